@@ -102,3 +102,29 @@ def exact_medians(df: DataFrame, keys: list[str], columns: list[str]) -> DataFra
     ).select(*keys, F.col("_m.c").alias("_c"), F.col("_m.v").alias("_v"))
     found = exact_quantiles(melted, [*keys, "_c"], "_v", {"_med": 0.5})
     return found.groupBy(*keys).agg(*[F.max(F.when(F.col("_c") == c, F.col("_med"))).alias(c) for c in columns])
+
+
+def value_at_rank(df: DataFrame, value: str, rank: int) -> tuple[float, int, int]:
+    """The value at 0-based ``rank`` in ascending order, how many rows are smaller, and how many equal it."""
+    counted = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("_value")).agg(
+        F.count(F.lit(1)).alias("_n")
+    )
+    ranked = running_totals(counted, [], "_value", ["_n"])
+    row = ranked.where((F.col("_n_before") <= rank) & (F.lit(rank) < F.col("_n_before") + F.col("_n"))).first()
+    if row is None:
+        raise ValueError(f"no value at rank {rank}")
+    return float(row["_value"]), int(row["_n_before"]), int(row["_n"])
+
+
+def largest(df: DataFrame, value: str, k: int, ties: list[str]) -> DataFrame:
+    """Exactly the ``k`` rows of largest ``value``; ties in the order of ``ties``.  For a k that grows with the
+    data: rows above the k-th value pass a filter, only rows equal to it are ordered."""
+    total = df.count()
+    if k >= total:
+        return df
+    if k <= 0:
+        return df.limit(0)
+    border, below, equal = value_at_rank(df, value, total - k)
+    above = total - below - equal
+    tied = df.where(F.col(value) == F.lit(border)).orderBy(*ties).limit(k - above)
+    return df.where(F.col(value) > F.lit(border)).unionByName(tied)
