@@ -91,25 +91,37 @@ def _average_path(n: np.ndarray | float) -> np.ndarray:
 
 
 def _grow(x: np.ndarray, rng: np.random.Generator, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One isolation tree in heap layout: split feature (-1 at a leaf), threshold, path length of a leaf."""
+    """One isolation tree in heap layout: split feature (-1 at a leaf), threshold, path length of a leaf.
+
+    Grown a level at a time: the rows of a level are sorted by node and every node split at once.
+    """
     size = 2 ** (depth + 1) - 1
     feature = np.full(size, -1, dtype=np.int16)
     threshold = np.zeros(size, dtype=np.float64)
     length = np.zeros(size, dtype=np.float32)
-    work = [(0, 0, np.arange(len(x)))]
-    while work:
-        node, level, rows = work.pop()
-        low, high = (x[rows].min(axis=0), x[rows].max(axis=0)) if len(rows) else (np.zeros(1), np.zeros(1))
-        open_features = np.flatnonzero(high > low)
-        if level >= depth or len(rows) <= 1 or not len(open_features):
-            length[node] = level + _average_path(len(rows))
-            continue
-        f = int(rng.choice(open_features))
-        at = rng.uniform(low[f], high[f])
-        feature[node], threshold[node] = f, at
-        right = x[rows, f] > at
-        work.append((2 * node + 1, level + 1, rows[~right]))
-        work.append((2 * node + 2, level + 1, rows[right]))
+    node, rows = np.zeros(len(x), dtype=np.int64), np.arange(len(x))
+    for level in range(depth + 1):
+        if not len(rows):
+            break
+        order = np.argsort(node, kind="stable")
+        node, rows = node[order], rows[order]
+        nodes, starts, counts = np.unique(node, return_index=True, return_counts=True)
+        low, high = np.minimum.reduceat(x[rows], starts, axis=0), np.maximum.reduceat(x[rows], starts, axis=0)
+        draw = np.where(high > low, rng.random(high.shape), -1.0)
+        pick = draw.argmax(axis=1)
+        each = np.arange(len(nodes))
+        leaf = (draw[each, pick] < 0) | (counts <= 1) | (level == depth)
+        length[nodes[leaf]] = level + _average_path(counts[leaf])
+        at = low[each, pick] + rng.random(len(nodes)) * (high[each, pick] - low[each, pick])
+        feature[nodes[~leaf]], threshold[nodes[~leaf]] = pick[~leaf], at[~leaf]
+        place = np.repeat(each, counts)
+        stay = ~leaf[place]
+        right = x[rows, pick[place]] > at[place]
+        node, rows = (2 * node + 1 + right)[stay], rows[stay]
+        # a node whose rows all went one way leaves an empty child: path length of nothing
+        children = np.concatenate([2 * nodes[~leaf] + 1, 2 * nodes[~leaf] + 2])
+        if level < depth:
+            length[children] = level + 1
     return feature, threshold, length
 
 
@@ -131,7 +143,7 @@ def grow_forest(features: DataFrame, columns: list[str] = FEATURES, trees: int =
     size = min(samples, rows)
     depth = max(1, math.ceil(math.log2(max(size, 2))))
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf[columns].to_numpy(float)
         x = x[np.lexsort(x.T)]  # the tree does not depend on the order rows arrive in
         f, t, h = _grow(x, np.random.default_rng([seed, int(key[0])]), depth)
