@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,8 +22,23 @@ SETTINGS = {
 }
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers of every executor, once per application."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='stockwright-')}/{package.name}", "zip", package.parent, package.name)
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(app)
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Apply ``SETTINGS`` to a session; only runtime SQL settings are touched."""
+    """Apply ``SETTINGS`` to a session (only runtime SQL settings are touched) and ship the package."""
+    ship(spark)
     for key, value in SETTINGS.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
