@@ -26,6 +26,13 @@ def ratio(top: Column, bottom: Column) -> Column:
     return F.try_divide(top.cast("double"), bottom.cast("double"))
 
 
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson correlation aggregate over complete pairs, NULL where a side is constant (``corr`` raises there)."""
+    whole = a.isNotNull() & b.isNotNull()
+    x, y = F.when(whole, a), F.when(whole, b)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def uniform(seed: int, stream: str, *keys) -> Column:
     """A uniform number in (0, 1) that depends only on seed, stream and keys, never on partitioning."""
     bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(stream), *keys), 11)

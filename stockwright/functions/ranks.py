@@ -39,9 +39,9 @@ def running_totals(
     borders = [-float("inf"), *points, float("inf")]
     if len(borders) < 3:
         borders = [-float("inf"), 0.0, float("inf")]
-    placed = Bucketizer(splits=borders, inputCol="_v", outputCol="_range").transform(
-        df.withColumn("_v", F.col(value).cast("double"))
-    ).drop("_v")
+    placed = Bucketizer(splits=borders, inputCol="_as_double", outputCol="_range").transform(
+        df.withColumn("_as_double", F.col(value).cast("double"))
+    ).drop("_as_double")
     sums = placed.groupBy(*keys, "_range").agg(*[F.sum(a).alias(f"_{a}") for a in amounts])
     # at most RANGES rows per key are sorted here
     ordered = Window.partitionBy(*keys).orderBy("_range")
@@ -128,3 +128,23 @@ def largest(df: DataFrame, value: str, k: int, ties: list[str]) -> DataFrame:
     above = total - below - equal
     tied = df.where(F.col(value) == F.lit(border)).orderBy(*ties).limit(k - above)
     return df.where(F.col(value) > F.lit(border)).unionByName(tied)
+
+
+def values_at_ranks(
+    draws: DataFrame, pool: DataFrame, keys: list[str], rank: str, value: str, before: str, count: str, width: int = 50_000
+) -> DataFrame:
+    """For each draw the pool value that covers its 0-based rank: an as-of lookup without a range join.
+
+    ``pool``: one row per (keys, value) with the number of rows before it and its own count.  Ranks are cut into
+    pieces of ``width``; a value is placed in every piece it spans, so a value that owns a third of all ranks is
+    spread over a third of the pieces, and each piece is one small sort.
+    """
+    piece = F.floor(F.col(rank) / width)
+    left = draws.withColumns({"_g": piece, "_r": F.col(rank).cast("bigint"), "_side": F.lit(1), "_v": F.lit(None).cast("double")})
+    spans = F.sequence(F.floor(F.col(before) / width), F.floor((F.col(before) + F.col(count) - 1) / width))
+    right = pool.select(*keys, F.col(before).alias("_b"), F.col(value).cast("double").alias("_v"), F.explode(spans).alias("_g")).select(
+        *keys, "_g", F.greatest(F.col("_b").cast("bigint"), (F.col("_g") * width).cast("bigint")).alias("_r"), "_v", F.lit(0).alias("_side")
+    )
+    w = Window.partitionBy(*keys, "_g").orderBy("_r", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    both = left.unionByName(right, allowMissingColumns=True).withColumn("_found", F.last("_v", ignorenulls=True).over(w))
+    return both.where(F.col("_side") == 1).select(*draws.columns, F.col("_found").alias(value))
