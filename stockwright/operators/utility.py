@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date, timedelta
 
 import numpy as np
@@ -44,10 +45,16 @@ def detection_report(both: DataFrame, columns: list[str], folds: int = 5, seed:
     numbered = marked.withColumn("_id", F.monotonically_increasing_id())
     rows = cut(numbered.withColumns({"_u": uniform(seed, "detect", "_id"), "fold": F.pmod(F.xxhash64(F.lit(seed), "_id"), F.lit(folds))}))
     sides = [largest(rows.where(F.col("label") == s), "_u", n, ["_id"]) for s in (0.0, 1.0)]
-    ready = cut(VectorAssembler(inputCols=columns, outputCol="features").transform(sides[0].unionByName(sides[1])))
+    # one partition per 50,000 rows: a boosted fit runs a job per tree level, so tiny tasks would dominate small tables
+    even = sides[0].unionByName(sides[1]).repartition(max(1, -(-2 * n // 50_000)), "_id")
+    ready = cut(VectorAssembler(inputCols=columns, outputCol="features").transform(even))
+    def fit(f: int):
+        return GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed).fit(ready.where(F.col("fold") != f))
+
+    with ThreadPoolExecutor(folds) as pool:  # folds are independent: their jobs share the cluster
+        models = list(pool.map(fit, range(folds)))
     scored = None
-    for f in range(folds):
-        model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed).fit(ready.where(F.col("fold") != f))
+    for f, model in enumerate(models):
         test = ready.where(F.col("fold") == f)
         for j, c in enumerate([None, *columns]):
             rows_of = test if c is None else _shuffled(test, columns, c, seed)
