@@ -361,8 +361,11 @@ def score_detectors(panel: DataFrame, detectors: dict[str, Callable[[DataFrame],
             parts = [("threshold", detection_scores(found, injected)), ("top-k", detection_scores(top_k(scores, k), injected))]
             rows = [p.select(F.lit(name).alias("detector"), F.lit(c).alias("cut"), "*", F.lit(None).cast("string").alias("error")) for c, p in parts]
         except ValueError as problem:
-            empty = detection_scores(injected.limit(0), injected.limit(0)).where("kind = 'all'")
-            rows = [empty.select(F.lit(name).alias("detector"), F.lit("threshold").alias("cut"), "*", F.lit(str(problem)).alias("error"))]
+            nothing = F.lit(None).cast("double")
+            rows = [panel.sparkSession.range(1).select(
+                F.lit(name).alias("detector"), F.lit("threshold").alias("cut"), F.lit("all").alias("kind"),
+                *[nothing.alias(c) for c in ("precision", "recall", "f1")],
+                *[nothing.cast("bigint").alias(c) for c in ("flagged", "hits", "places")], F.lit(str(problem)).alias("error"))]
         for row in rows:
             out = row if out is None else out.unionByName(row)
     return out

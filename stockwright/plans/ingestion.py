@@ -21,11 +21,11 @@ def _source(t: Tables):
     """Line items as a parsed source: returned lines negative, tiny discounts as zero quantity."""
     li = t("lineitem")
     qty = F.when(F.col("l_discount") == 0, F.lit(0.0)).when(F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(F.col("l_quantity") + 0.5)
-    return li.select("l_shipdate", "l_partkey", qty.alias("l_quantity"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("l_price"))
+    return li.select("l_shipdate", "l_partkey", qty.alias("l_quantity"), F.col("l_extendedprice").alias("l_price"))
 
 
 SOURCE_SQL = """source as (select l_shipdate as ts, cast(l_partkey as varchar) as sku_id, cast(round_even(case when l_discount = 0 then 0 when l_returnflag = 'R' then -l_quantity else l_quantity + 0.5::double end, 0) as bigint) as q,
-  l_extendedprice / l_quantity as price from lineitem), kept as (select * from source where q <> 0)"""
+  l_extendedprice as price from lineitem), kept as (select * from source where q <> 0)"""
 
 
 @query("a06_source_orders", with_sql(SOURCE_SQL) + """select cast(cast(ts as date) as varchar) as day, sku_id, abs(q) as quantity, case when q > 0 then 'shipped' else 'cancelled' end as status, count(*) as n from kept group by 1, 2, 3, 4""")

@@ -142,6 +142,54 @@ def _(t: Tables):
     return rounded(kpi.plan_dataset(_plan(t), c.sku(t)))
 
 
+
+# The replay as a recursion over days: d1 is due tomorrow ... d7 in seven days.
+REPLAY_SQL = """dense_levels as materialized (select d.sku_id, d.i, d.qty, l.policy, l.s, l.u from dense d join levels l on l.sku_id = d.sku_id),
+sim as (select * from (with recursive walk as (
+  select sku_id, policy, s, u, cast(-1 as bigint) as i, u as stock, 0::double as d1, 0::double as d2, 0::double as d3, 0::double as d4, 0::double as d5, 0::double as d6, 0::double as d7,
+    0::double as unmet, 0::double as holding, 0::bigint as orders, 0::double as wanted from levels
+  union all
+  select sku_id, policy, s, u, i, stock, d2, d3, d4, d5, d6, d7, case when pos <= s and u - pos > 0 then u - pos else 0 end, unmet, holding, orders + case when pos <= s and u - pos > 0 then 1 else 0 end, wanted from (
+    select *, stock + d2 + d3 + d4 + d5 + d6 + d7 as pos from (
+      select w.sku_id, w.policy, w.s, w.u, d.i, w.stock + w.d1 - least(w.stock + w.d1, d.qty) as stock, d2, d3, d4, d5, d6, d7,
+        unmet + greatest(0, d.qty - least(w.stock + w.d1, d.qty)) as unmet, holding + w.stock + w.d1 - least(w.stock + w.d1, d.qty) as holding, orders, wanted + d.qty as wanted
+      from walk w join dense_levels d on d.sku_id = w.sku_id and d.policy = w.policy and d.i = w.i + 1)))
+  select * from walk where i = (select max(n) - 1 from axis)))"""
+BOTH_LEVELS = """levels as (select sku_id, 'naive' as policy, mean * 7 as s, mean * 14 as u from profile where mean > 0
+  union all select sku_id, 'service-level', mean * 14 + 1.645 * variability * sqrt(14), mean * 14 + 1.645 * variability * sqrt(14) from variability where mean > 0)"""
+COST_SQL = """costs as (select policy, sum(unmet) as unmet_units, sum(wanted) as wanted, sum(holding * coalesce(unit_cost, 1) * 0.25 / 313) as holding_cost, sum(orders * 25.0) as order_cost,
+  sum(unmet * (coalesce(unit_price, 1.3) - coalesce(unit_cost, 1))) as lost_margin from sim left join sku k on k.sku_id = sim.sku_id group by 1)"""
+BRANDS = [c.BRAND_LINES_SQL, c.PANEL_SQL, c.DENSE_SQL, c.PROFILE_SQL, BOTH_LEVELS, REPLAY_SQL]
+
+
+def _brand_items(t: Tables, policies=("naive", "service-level")):
+    lines = c.brand_lines(t)
+    axis = dm.read_axis(lines)
+    return rp.policy_items(lines, axis, None, list(policies), rp.Costs()), axis
+
+
+@query("j05_replay_brand", with_sql(*BRANDS) + "select sku_id, policy, round(unmet, 3) as unmet_units, round(holding, 3) as holding_unit_days, orders as n_orders, wanted as total_demand from sim")
+def _(t: Tables):
+    items, axis = _brand_items(t)
+    return rounded(rp.replay(items, axis.days), 3)
+
+
+@query("j07_simulated_cost_brand", with_sql(*BRANDS, "sku as (select null::varchar as sku_id, 0.0 as unit_cost, 0.0 as unit_price)", COST_SQL) + """select policy, round(unmet_units, 2) as unmet_units, round(1 - unmet_units / wanted, 4) as fill_rate, round(holding_cost, 2) as holding_cost,
+  round(order_cost, 2) as order_cost, round(lost_margin, 2) as lost_margin from costs""")
+def _(t: Tables):
+    found = rp.simulated_cost(c.brand_lines(t), None)
+    return rounded(found.withColumn("fill_rate", F.round("fill_rate", 4)), 4).select("policy", *[r(x, 2).alias(x) for x in ("unmet_units", "holding_cost", "order_cost", "lost_margin")], "fill_rate")
+
+
+@query("j09_financial_impact_brand", with_sql(*BRANDS, "sku as (select null::varchar as sku_id, 0.0 as unit_cost, 0.0 as unit_price)", COST_SQL) + """select round(a.unmet_units - b.unmet_units, 2) as stockout_units_avoided, round(a.lost_margin - b.lost_margin, 2) as stockout_cost_saved,
+  round(b.holding_cost - a.holding_cost, 2) as extra_holding_cost, round(b.order_cost - a.order_cost, 2) as extra_order_cost,
+  round(a.lost_margin - b.lost_margin - (b.holding_cost - a.holding_cost) - (b.order_cost - a.order_cost), 2) as net_saving,
+  round((a.lost_margin - b.lost_margin - (b.holding_cost - a.holding_cost) - (b.order_cost - a.order_cost)) * 313 / (select n from axis), 2) as annualised_net_saving
+  from costs a join costs b on a.policy = 'naive' and b.policy = 'service-level'""")
+def _(t: Tables):
+    return rounded(rp.financial_impact(c.brand_lines(t), None), 2)
+
+
 def _supplier_items(t: Tables):
     lines = c.lines(t, "l_suppkey")
     axis = dm.read_axis(lines)

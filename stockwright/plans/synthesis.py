@@ -194,6 +194,13 @@ def _(t: Tables):
     return rounded(sy.bayesian_network_table(t("lineitem").select(*COLUMNS), COLUMNS, KINDS))
 
 
+@query("m06_quantile_bins", """with e as (select list_distinct(quantile_cont(l_extendedprice, [k / 20 for k in generate_series(1, 19)])) as edges from lineitem)
+  select len(list_filter(edges, lambda x: x <= l_extendedprice))::double as bin, count(*) as n from lineitem cross join e group by 1""")
+def _(t: Tables):
+    coded = sy.bin_columns(t("lineitem").select("l_extendedprice"), ["l_extendedprice"], {})[0]
+    return coded.groupBy(F.col("b_l_extendedprice").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("c11_conditional_table", """with j as (select l_discount as parent, l_tax as child, count(*) as n from lineitem group by 1, 2), d as (select count(distinct child) as size from j),
   g as (select p.parent, c.child, coalesce(j.n, 0) + 1.0::double / size as w from (select distinct parent from j) p cross join (select distinct child from j) c cross join d left join j on j.parent = p.parent and j.child = c.child)
   select parent, child, round(sum(w) over (partition by parent order by child) / sum(w) over (partition by parent), 6) as cumulative from g""")

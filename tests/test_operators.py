@@ -308,7 +308,7 @@ def test_injection_and_detection(spark):
     gaps = de.signal_features(panel.drop("kind")).where("abs(missing) > 1e-6").select("sku_id", "i")
     kinds = {r.kind for r in places.join(gaps, ["sku_id", "i"]).collect()}
     assert kinds <= {"shrinkage"}
-    scores = de.score_detectors(panel, {"isolation-forest": lambda p: de.isolation_forest(p, trees=60, samples=512), "broken": broken})
+    scores = de.score_detectors(panel, {"isolation-forest": lambda p: de.isolation_forest(p, trees=60), "broken": broken})
     got = {(r.detector, r.cut, r.kind): r for r in scores.collect()}
     assert got["isolation-forest", "threshold", "shrinkage"].recall >= 0.8
     assert got["broken", "threshold", "all"].error == "no answer"
