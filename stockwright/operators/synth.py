@@ -65,17 +65,19 @@ def nearest_observed(sample: DataFrame, fitted: DataFrame, column: str) -> DataF
     asked = sample.where(v.isNotNull() & ~F.isnan(v)).select(v.alias("x")).distinct()
     known = fitted.where(v.isNotNull() & ~F.isnan(v)).select(v.alias("x")).distinct()
     both = asked.withColumn("o", F.lit(None).cast("double")).unionByName(known.withColumn("o", F.col("x")))
-    points = split_points(known, "x")
+    points = split_points(both, "x")  # even over sampled and observed values together
     borders = [-float("inf"), *points, float("inf")] if points else [-float("inf"), 0.0, float("inf")]
     placed = Bucketizer(splits=borders, inputCol="x", outputCol="g").transform(both)
     ends = placed.groupBy("g").agg(F.min("o").alias("lo"), F.max("o").alias("hi"))  # at most 256 rows
     row = Window.orderBy("g")
     around = ends.select("g", F.max("hi").over(row.rowsBetween(Window.unboundedPreceding, -1)).alias("pre"),
                          F.min("lo").over(row.rowsBetween(1, Window.unboundedFollowing)).alias("post"))
-    inside = Window.partitionBy("g").orderBy("x", F.col("o").isNull())
+    up = Window.partitionBy("g").orderBy("x", F.col("o").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    # the same running frame from above: a frame that reaches to the end would be summed anew for every row
+    down = Window.partitionBy("g").orderBy(F.desc("x"), F.col("o").isNull()).rowsBetween(Window.unboundedPreceding, 0)
     looked = placed.join(around, "g").withColumns({
-        "below": F.coalesce(F.max("o").over(inside.rowsBetween(Window.unboundedPreceding, 0)), F.col("pre")),
-        "above": F.coalesce(F.min("o").over(inside.rowsBetween(0, Window.unboundedFollowing)), F.col("post")),
+        "below": F.coalesce(F.max("o").over(up), F.col("pre")),
+        "above": F.coalesce(F.min("o").over(down), F.col("post")),
     }).where(F.col("o").isNull())
     near = F.when(F.col("below").isNull(), F.col("above")).when(F.col("above").isNull(), F.col("below")).when(
         F.col("x") - F.col("below") <= F.col("above") - F.col("x"), F.col("below")).otherwise(F.col("above"))
