@@ -166,7 +166,8 @@ def forest_scores(features: DataFrame, forest: dict) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fo = shared.value
         for pdf in batches:
-            x = pdf[fo["columns"]].to_numpy(float)
+            # days of one item share many feature rows (no sale, no residual): each distinct row is scored once
+            x, place = np.unique(pdf[fo["columns"]].to_numpy(float), axis=0, return_inverse=True)
             lanes = np.arange(len(x))
             path = np.zeros(len(x))
             for f, t, h in zip(fo["f"], fo["t"], fo["h"]):
@@ -179,7 +180,7 @@ def forest_scores(features: DataFrame, forest: dict) -> DataFrame:
                     right = x[lanes, np.maximum(split, 0)] > t[node]
                     node = np.where(inner, 2 * node + 1 + right, node)
                 path += h[node]
-            pdf["score"] = np.power(2.0, -(path / len(fo["f"])) / fo["scale"])
+            pdf["score"] = np.power(2.0, -(path / len(fo["f"])) / fo["scale"])[place.ravel()]
             yield pdf
 
     fields = ", ".join(f"{n} {k}" for n, k in features.dtypes)
