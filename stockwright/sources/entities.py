@@ -161,15 +161,22 @@ def copula_input(rows: DataFrame, columns: list[str], quantity: str, limit: int
 def category_codes(rows: DataFrame, column: str) -> DataFrame:
     """``(label, code)``: 0 for the most frequent label, ties to the smaller label.
 
-    Ranks come from the number of labels with a larger count (two small aggregations) plus the place among labels
-    of the same count, so no window covers all labels unless all are equally frequent.
+    A label's code is the number of labels with a larger count plus its place among labels of its own count.
+    Those places are counted inside label ranges cut at sampled labels, so a column of a billion labels that
+    all occur once is still many small sorts.
     """
-    counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    sizes = counts.groupBy("n").agg(F.count(F.lit(1)).alias("labels"))
-    ahead = F.coalesce(F.sum("labels").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.select("n", ahead.alias("_ahead"))  # one row per distinct count
-    place = F.row_number().over(Window.partitionBy("n").orderBy("label")) - 1
-    return counts.join(offsets, "n").select("label", (F.col("_ahead") + place).cast("double").alias("code"))
+    counts = cut(rows.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("label")).agg(F.count(F.lit(1)).alias("n")))
+    borders = sorted(r.label for r in counts.orderBy(F.xxhash64("label")).limit(4096).collect())[::16]  # at most 256
+    at = F.size(F.filter(F.array(*[F.lit(b) for b in borders]), lambda b: b <= F.col("label"))) if borders else F.lit(0)
+    placed = counts.withColumn("_g", at)
+    sizes = placed.groupBy("n", "_g").agg(F.count(F.lit(1)).alias("labels"))
+    per_count = sizes.groupBy("n").agg(F.sum("labels").alias("labels"))  # one row per distinct count
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    larger = per_count.select("n", F.coalesce(F.sum("labels").over(before.orderBy(F.desc("n"))), F.lit(0)).alias("_larger"))
+    ranges = sizes.select("n", "_g", F.coalesce(F.sum("labels").over(before.partitionBy("n").orderBy("_g")), F.lit(0)).alias("_ahead"))
+    place = F.row_number().over(Window.partitionBy("n", "_g").orderBy("label")) - 1
+    found = placed.select("label", "n", "_g", place.alias("_place")).join(ranges, ["n", "_g"]).join(larger, "n")
+    return found.select("label", (F.col("_larger") + F.col("_ahead") + F.col("_place")).cast("double").alias("code"))
 
 
 def model_table(rows: DataFrame, numeric: list[str], categories: list[str] = [], time: str | None = None, parts: list[str] = [],
