@@ -17,7 +17,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import narrow
+from .common import narrow, slices
 
 #: The splitting pattern of this vocabulary family.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -194,7 +194,7 @@ def encode(docs: DataFrame, vocabulary: str, id: str = "doc_id", text: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(source.value)
-        for b in _small(batches):
+        for b in (x for whole in batches for x in slices(whole)):
             made = [ids for ids, _ in bpe.encode_batch([t or "" for t in b.column(1).to_pylist()])]
             flat = np.concatenate(made) if made else np.empty(0, np.int32)
             ends = np.cumsum([0, *map(len, made)])
@@ -212,7 +212,7 @@ def digests(docs: DataFrame, vocabulary: str, id: str = "doc_id", text: str = "t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(source.value)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        for b in _small(batches):
+        for b in (x for whole in batches for x in slices(whole)):
             n, a, d = [], [], []
             for ids, joined in bpe.encode_batch([t or "" for t in b.column(1).to_pylist()]):
                 n.append(len(ids))
@@ -223,10 +223,3 @@ def digests(docs: DataFrame, vocabulary: str, id: str = "doc_id", text: str = "t
 
     return df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
-
-def _small(batches: Iterator[pa.RecordBatch], size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of about ``size`` bytes, one row at least."""
-    for b in batches:
-        step = max(1, int(b.num_rows * size / max(1, b.nbytes)))
-        for at in range(0, b.num_rows, step):
-            yield b.slice(at, step)

@@ -26,6 +26,13 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(fn, schema)
 
 
+def slices(b: pa.RecordBatch, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of about ``size`` bytes, one row at least."""
+    step = max(1, int(b.num_rows * size / max(1, b.nbytes)))
+    for at in range(0, b.num_rows, step):
+        yield b.slice(at, step)
+
+
 def batch(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(columns)
 
@@ -43,4 +50,4 @@ def fold(id_column: str, parts: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")) % parts
 
 
-__all__ = ["WORD", "batch", "cut", "fold", "map_arrow", "narrow", "prepare", "same"]
+__all__ = ["WORD", "batch", "cut", "fold", "map_arrow", "narrow", "prepare", "same", "slices"]

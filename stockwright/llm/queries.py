@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, simhash
+from . import bpe, language, secrets, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,6 +33,16 @@ def op1(docs: DataFrame) -> DataFrame:
     return simhash.near_duplicates(docs)
 
 
+@query("op2_secrets", "documents")
+def op2(docs: DataFrame) -> DataFrame:
+    return secrets.report(docs)
+
+
+@query("op6_language", "documents")
+def op6(docs: DataFrame) -> DataFrame:
+    return language.identify(docs)
+
+
 @query("op7_bpe", "documents")
 def op7(docs: DataFrame) -> DataFrame:
     return bpe.digests(docs, VOCABULARY)
