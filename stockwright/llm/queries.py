@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language, secrets, simhash
+from . import bpe, chat, language, secrets, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -46,3 +46,8 @@ def op6(docs: DataFrame) -> DataFrame:
 @query("op7_bpe", "documents")
 def op7(docs: DataFrame) -> DataFrame:
     return bpe.digests(docs, VOCABULARY)
+
+
+@query("op10_chat", "conversations")
+def op10(chats: DataFrame) -> DataFrame:
+    return chat.report(chat.with_control_case(chats.sparkSession, chats), VOCABULARY)
