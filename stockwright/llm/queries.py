@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, language, secrets, simhash
+from . import bpe, chat, language, quality, secrets, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -51,3 +51,8 @@ def op7(docs: DataFrame) -> DataFrame:
 @query("op10_chat", "conversations")
 def op10(chats: DataFrame) -> DataFrame:
     return chat.report(chat.with_control_case(chats.sparkSession, chats), VOCABULARY)
+
+
+@query("op8_quality", "documents", quality.SQL)
+def op8(docs: DataFrame) -> DataFrame:
+    return quality.judged(docs)
