@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, language, quality, secrets, simhash
+from . import bpe, chat, language, mixing, quality, secrets, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -56,3 +56,8 @@ def op10(chats: DataFrame) -> DataFrame:
 @query("op8_quality", "documents", quality.SQL)
 def op8(docs: DataFrame) -> DataFrame:
     return quality.judged(docs)
+
+
+@query("op3_mixing", "documents", mixing.SQL)
+def op3(docs: DataFrame) -> DataFrame:
+    return mixing.mix(docs).withColumn("position", F.round("position", 6))
