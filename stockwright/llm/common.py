@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import cut, prepare
+from ..session import cut, prepare, shared_folder
 
 #: A word: a run without ASCII white space.  ``bytes.split()`` cuts at exactly these bytes.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,10 +23,6 @@ def narrow(df: DataFrame, **columns: str | None) -> DataFrame:
     return df.select(*[(F.lit(None).cast("string") if c is None else df[c]).alias(n) for n, c in columns.items()])
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
-
-
 def slices(b: pa.RecordBatch, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of about ``size`` bytes, one row at least."""
     step = max(1, int(b.num_rows * size / max(1, b.nbytes)))
@@ -33,16 +30,23 @@ def slices(b: pa.RecordBatch, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
         yield b.slice(at, step)
 
 
-def batch(**columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict(columns)
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def parts(data: bytes, size: int = 4 << 20) -> Iterator[bytes]:
+    """``data`` in pieces of about ``size`` bytes, cut at white space."""
+    at = 0
+    while len(data) - at > size and (m := _SPACE.search(data, at + size)):
+        yield data[at : m.start()]
+        at = m.end()
+    yield data[at:] if at else data
 
 
-def same(left: DataFrame, right: DataFrame, *names: str) -> Column:
-    """Equality of columns of two frames; NULL equals NULL."""
-    out = F.lit(True)
-    for n in names:
-        out = out & left[n].eqNullSafe(right[n])
-    return out
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as a compressed table in the shared folder and read again: cuts lineage where rows are many."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def fold(id_column: str, parts: int) -> Column:
@@ -50,4 +54,4 @@ def fold(id_column: str, parts: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")) % parts
 
 
-__all__ = ["WORD", "batch", "cut", "fold", "map_arrow", "narrow", "prepare", "same", "slices"]
+__all__ = ["WORD", "cut", "fold", "narrow", "parts", "prepare", "slices", "stored"]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, language, mixing, quality, secrets, simhash
+from . import bpe, chat, language, lm, mixing, neighbours, quality, secrets, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -61,3 +61,13 @@ def op8(docs: DataFrame) -> DataFrame:
 @query("op3_mixing", "documents", mixing.SQL)
 def op3(docs: DataFrame) -> DataFrame:
     return mixing.mix(docs).withColumn("position", F.round("position", 6))
+
+
+@query("op5_neighbours", "embeddings")
+def op5(vectors: DataFrame) -> DataFrame:
+    return neighbours.nearest(vectors)
+
+
+@query("op9_lm", "documents")
+def op9(docs: DataFrame) -> DataFrame:
+    return lm.score_texts(docs)
