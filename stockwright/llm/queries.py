@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, language, lm, mixing, neighbours, quality, secrets, simhash
+from . import bpe, chat, language, lm, mixing, neighbours, quality, secrets, simhash, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -71,3 +71,8 @@ def op5(vectors: DataFrame) -> DataFrame:
 @query("op9_lm", "documents")
 def op9(docs: DataFrame) -> DataFrame:
     return lm.score_texts(docs)
+
+
+@query("op4_suffixes", "documents")
+def op4(docs: DataFrame) -> DataFrame:
+    return suffixes.repeated_passages(docs)
