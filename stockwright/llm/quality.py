@@ -60,7 +60,7 @@ def measures(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str
 
 def _values() -> dict[str, Column]:
     n = F.col("n_words")
-    return {"word_length": F.col("word_chars") / n, "symbols_per_word": F.col("n_symbols") / n, "repeated_share": F.col("n_repeat_words") / n}
+    return {"word_length": F.try_divide("word_chars", n), "symbols_per_word": F.try_divide("n_symbols", n), "repeated_share": F.try_divide("n_repeat_words", n)}
 
 
 def sketches(measured: DataFrame) -> DataFrame:

@@ -280,12 +280,11 @@ def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFra
     found = near_duplicates(docs, id, text).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     winners = found.groupBy("doc_id", "fingerprint").agg(F.count(F.lit(1)).alias("n")).groupBy("doc_id").agg(
         F.min("fingerprint").alias("one"), F.sum("n").alias("n"))
-    winners = cut(winners.select(F.col("doc_id").alias("_keep_id"), (F.col("n") > 1).alias("_keep_more")))
-    names = docs.columns
-    kept = docs.join(winners, docs[id].eqNullSafe(winners["_keep_id"]), "left_semi") if winners.where("_keep_more").isEmpty() else None
-    if kept is not None:
-        return kept
-    once = docs.join(winners.where(~F.col("_keep_more")), docs[id].eqNullSafe(F.col("_keep_id")), "left_semi")
-    more = docs.join(winners.where("_keep_more"), docs[id].eqNullSafe(F.col("_keep_id")), "left_semi")
-    packed = more.select(F.col(id).alias("_keep_id"), F.struct(*[more[n] for n in names]).alias("row"))
-    return once.unionByName(packed.groupBy("_keep_id").agg(F.min("row").alias("row")).select("row.*"))
+    winners = cut(winners.select(F.col("doc_id").alias("keep_id"), (F.col("n") > 1).alias("more")))
+    held = docs.select(docs[id].alias("held_id"), F.struct(*[docs[n] for n in docs.columns]).alias("row"))
+    mine = F.col("held_id").eqNullSafe(F.col("keep_id"))
+    once = held.join(winners.where(~F.col("more")), mine, "left_semi").select("row")
+    if winners.where("more").isEmpty():
+        return once.select("row.*")
+    more = held.join(winners.where("more"), mine, "left_semi").groupBy("held_id").agg(F.min("row").alias("row"))
+    return once.unionByName(more.select("row")).select("row.*")
