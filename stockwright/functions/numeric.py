@@ -58,15 +58,13 @@ def _poisson(mean: pd.Series, u: pd.Series) -> pd.Series:
     for i, rate in enumerate(rates):
         if not rate > 0:
             continue
-        p, total, steps = math.exp(-rate), 0.0, []
-        k = 0
-        while total < 1.0 - 1e-15 and k < 40 + 4 * rate:
-            total += p
-            steps.append(total)
-            k += 1
-            p *= rate / k
+        # in logarithms, from 12 standard deviations below the mean to as many above: nothing underflows to start with
+        reach = 12 * math.sqrt(rate) + 40
+        k = np.arange(max(0, int(rate - reach)), int(rate + reach) + 1)
+        log_factorial = math.lgamma(k[0] + 1) + np.r_[0.0, np.cumsum(np.log(k[1:]))]
+        steps = np.cumsum(np.exp(k * math.log(rate) - rate - log_factorial))
         here = which == i
-        out[here] = np.searchsorted(np.array(steps), draws[here], side="left")
+        out[here] = k[0] + np.searchsorted(steps, draws[here], side="left")
     return pd.Series(out)
 
 
@@ -168,18 +166,3 @@ def t_quantile(p: float, df: float) -> float:
         else:
             high = mid
     return (low + high) / 2
-
-
-def negative_binomial_cdf(mean: np.ndarray, dispersion: float, largest: int) -> np.ndarray:
-    """P(X <= k) for k = 0..largest, one row per mean; ``dispersion`` is the size parameter r."""
-    mean = np.asarray(mean, dtype=float)
-    q = mean / (mean + dispersion)
-    p = np.power(dispersion / (mean + dispersion), dispersion)
-    total = p.copy()
-    out = np.empty((len(mean), largest + 1))
-    out[:, 0] = total
-    for k in range(1, largest + 1):
-        p = p * (k - 1 + dispersion) / k * q
-        total = total + p
-        out[:, k] = total
-    return np.minimum(out, 1.0)

@@ -126,15 +126,17 @@ def _grow(x: np.ndarray, rng: np.random.Generator, depth: int) -> tuple[np.ndarr
 
 
 def tree_samples(features: DataFrame, rows: int, columns: list[str], trees: int = TREES, samples: int = SAMPLES, seed: int = 0) -> DataFrame:
-    """About ``samples`` rows per tree, chosen by row hash: in several trees while rows are few, in at most one
-    once the table is larger than all samples together (then only chosen rows are ever exploded)."""
-    rate = min(1.0, samples / max(rows, 1))
+    """About ``samples`` rows per tree, by one rule for all sizes: a row's hash says in how many trees it is (on
+    average its share of all samples), and from where and by which stride it goes round the trees, each at most once."""
+    wanted = min(1.0, samples / max(rows, 1)) * trees
     keys = [F.col("sku_id"), F.col("i")]
-    if rate * trees < 1.0:
-        chosen = features.where(uniform(seed, "tree.pick", *keys) < rate * trees)
-        return chosen.withColumn("tree", F.floor(uniform(seed, "tree.of", *keys) * trees).cast("int")).select("tree", *columns)
-    spread = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: uniform(seed, "tree", *keys, t) < rate)
-    return features.withColumn("tree", F.explode(spread)).select("tree", *columns)
+    strides = [k for k in range(1, max(trees, 2)) if math.gcd(k, trees) == 1]
+    count = F.floor(F.lit(wanted) + uniform(seed, "tree.count", *keys)).cast("int")
+    first = F.floor(uniform(seed, "tree.first", *keys) * trees)
+    stride = F.element_at(F.array(*[F.lit(k) for k in strides]), (F.floor(uniform(seed, "tree.stride", *keys) * len(strides)) + 1).cast("int"))
+    some = features.withColumn("_n", F.least(count, F.lit(trees))).where(F.col("_n") > 0)
+    at = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda k: F.pmod(first + k * stride, F.lit(trees)).cast("int"))
+    return some.withColumn("tree", F.explode(at)).select("tree", *columns)
 
 
 def grow_forest(features: DataFrame, columns: list[str] = FEATURES, trees: int = TREES, samples: int = SAMPLES, seed: int = 0):

@@ -1,16 +1,10 @@
-"""Paired effect studies, experiments over generated worlds, and the promotion benchmark."""
+"""Paired effect studies: arms against their baseline, replicate by replicate."""
 
 from __future__ import annotations
 
-import math
+from pyspark.sql import DataFrame, functions as F
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-
-from ..functions.numeric import normal, t_quantile, uniform
-from ..session import cut
-from . import causal, demand as dm, kpi, replenish as rp, worlds as wo
-
-# --- paired replicates -------------------------------------------------------------------------------
+from ..functions.numeric import t_quantile
 
 
 def pair_arms(values: DataFrame, baseline: str = "baseline") -> DataFrame:
@@ -32,136 +26,3 @@ def paired_effects(values: DataFrame, replicates: int, confidence: float = 0.95,
     return out.withColumns({
         "low": F.col("effect") - half, "high": F.col("effect") + half, "relative": F.try_divide("effect", "baseline_mean"),
     }).drop("_s", "_a", "_b")
-
-
-# --- experiments over worlds ---------------------------------------------------------------------------
-
-
-def _world_keys(df: DataFrame) -> DataFrame:
-    """Replicate, arm and item back from the composite item id."""
-    parts = F.split("sku_id", r"\|")
-    return df.withColumns({"replicate": parts[0].cast("int"), "arm": parts[1]})
-
-
-def _melt(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
-    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])
-    return df.select(*keys, F.explode(pairs).alias("_m")).select(*keys, "_m.metric", "_m.value")
-
-
-def experiment(world: wo.Worlds, policies: list[str], outcomes: list[str], costs: rp.Costs = rp.Costs(), holdout_days: int = 30) -> DataFrame:
-    """``(replicate, arm, policy, metric, value)`` over all worlds of one generation job.
-
-    Outcomes: ``replenishment_need``, ``active_stockouts``, ``simulated_cost``, ``simulated_cost_holdout``,
-    ``kpis``; every item of every world is covered.
-    """
-    orders, stock = world.outbound, world.inventory
-    axis = dm.Axis(world.spec.start, world.spec.last_day, world.spec.horizon_days)
-    keys = ["replicate", "arm", "policy"]
-    parts = []
-    panel = dm.item_day_demand(orders)
-    profile = dm.profiles(panel, axis.days)
-    base = rp.with_prices(profile.where(F.col("mean") > 0), world.sku)
-
-    def levels(policy: str) -> DataFrame:
-        if policy == "naive":
-            return rp.naive_levels(base, costs.lead_time, costs.review)
-        if policy == "service-level":
-            return rp.service_levels(base, z=costs.z, lead_time=costs.lead_time, review=costs.review)
-        found = rp.cost_based_levels(base.join(dm.series(panel, axis), "sku_id"), axis.days, costs).drop("least_cost")
-        return base.join(found, "sku_id")
-
-    for outcome in outcomes:
-        if outcome == "replenishment_need":
-            for policy in policies:
-                planned = _world_keys(rp.plan(levels(policy), stock)).withColumn("policy", F.lit(policy))
-                need = planned.groupBy(*keys).agg(
-                    F.count_if(F.col("order_qty") > 0).alias("skus_needing_order"),
-                    F.round(F.sum("safety_stock"), 0).alias("safety_stock_units"),
-                    F.count_if((F.col("order_qty") > 0) & F.col("intermittent")).alias("intermittent_needing_order"),
-                )
-                parts.append(_melt(need, keys, ["skus_needing_order", "safety_stock_units", "intermittent_needing_order"]))
-        elif outcome in ("active_stockouts", "kpis"):
-            each = F.explode(F.array(*[F.lit(p) for p in policies])).alias("policy")
-            if outcome == "active_stockouts":
-                out = _world_keys(stock).groupBy("replicate", "arm").agg(F.count_if(kpi.available() == 0).alias("active_stockouts"))
-                parts.append(_melt(out.select("*", each), keys, ["active_stockouts"]))
-            else:
-                lines = _world_keys(orders).groupBy("replicate", "arm").agg(F.count(F.lit(1)).alias("outbound_lines"))
-                value = _world_keys(stock.join(world.sku.select("sku_id", "unit_cost"), "sku_id")).groupBy("replicate", "arm").agg(
-                    F.sum(F.col("on_hand") * F.col("unit_cost")).alias("inventory_value"))
-                parts.append(_melt(lines.select("*", each), keys, ["outbound_lines"]))
-                parts.append(_melt(value.select("*", each), keys, ["inventory_value"]))
-        elif outcome in ("simulated_cost", "simulated_cost_holdout"):
-            held = outcome.endswith("holdout")
-            fit = axis.days - holdout_days if held else None
-            items = rp.policy_items(orders, axis, world.sku, policies, costs, fit_days=fit)
-            start, days = (fit, holdout_days) if held else (0, axis.days)
-            priced = _world_keys(rp.price_replay(rp.replay(items, days, costs.lead_time, start), world.sku, costs))
-            summed = rp.cost_summary(priced, keys, total=held)
-            names = [c for c in summed.columns if c not in keys]
-            melted = _melt(summed, keys, names)
-            parts.append(melted.withColumn("metric", F.concat(F.lit("holdout_"), F.col("metric"))) if held else melted)
-        else:
-            raise ValueError(f"unknown outcome {outcome!r}")
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
-
-
-def effect_study(items: DataFrame, spec: wo.Spec, interventions: list[str], replicates: int = 3, policies: list[str] = ["service-level"],
-                 outcomes: list[str] = ["replenishment_need", "active_stockouts"], confidence: float = 0.95) -> tuple[DataFrame, DataFrame]:
-    """``(effects, replicate table)``: all arms of all replicates generated in ONE job and paired by replicate seed."""
-    arms = wo.arms_of(spec, ["baseline", *interventions], replicates)
-    values = cut(experiment(wo.generate(items, spec, arms), policies, outcomes))
-    return paired_effects(values, replicates, confidence), values
-
-
-def scenario_comparison(items: DataFrame, spec: wo.Spec, names: list[str]) -> DataFrame:
-    """One row per scenario with its KPIs, and safety stock against the baseline in percent."""
-    world = wo.generate(items, spec, wo.arms_of(spec, list(dict.fromkeys(["baseline", *names])), 1))
-    values = experiment(world, ["service-level"], ["kpis", "replenishment_need", "active_stockouts"])
-    metrics = ["outbound_lines", "inventory_value", "skus_needing_order", "safety_stock_units", "active_stockouts"]
-    wide = cut(values.groupBy("arm").agg(*[F.max(F.when(F.col("metric") == m, F.col("value"))).alias(m) for m in metrics]))
-    base = wide.where(F.col("arm") == "baseline").select("safety_stock_units").scalar()
-    return wide.withColumn("safety_stock_vs_baseline_pct",
-                           F.round(100 * (F.col("safety_stock_units") - base) / F.greatest(F.lit(1.0), base), 1))
-
-
-# --- promotion benchmark -------------------------------------------------------------------------------
-
-
-def promotion_benchmark(profiles: DataFrame, sku: DataFrame, uplift: float = 0.3, confounding: Column | float = 1.0, noise: float = 0.25,
-                        seed: int = 7) -> DataFrame:
-    """One row per item with demand: covariates, a promotion more likely for high demand, weekly units, and both
-    potential outcomes; the true effect is the mean of ``y1 - y0``."""
-    c = confounding if isinstance(confounding, Column) else F.lit(float(confounding))
-    units = profiles.where(F.col("mean") > 0).select("sku_id", F.ln("mean").alias("log_demand"), "mean").join(
-        sku.select("sku_id", "abc_class", F.log1p("unit_price").alias("log_price")), "sku_id")
-    moments = units.agg(F.avg("log_demand").alias("m"), F.stddev_pop("log_demand").alias("s"))
-    centre, spread = moments.select("m").scalar(), moments.select("s").scalar()
-    z = F.when(spread > 0, (F.col("log_demand") - centre) / spread).otherwise(F.lit(0.0))
-    p = 1.0 / (1.0 + F.exp(0.5 - c * F.col("_z")))
-    y0 = 7.0 * F.col("mean") * F.exp(F.lit(noise) * normal(seed, "promotion.noise", "sku_id"))
-    return units.withColumn("_z", z).withColumns({
-        "promoted": (uniform(seed, "promotion.pick", "sku_id") < p).cast("int"), "y0": y0, "y1": (1.0 + uplift) * y0,
-    }).withColumn("weekly_units", F.when(F.col("promoted") == 1, F.col("y1")).otherwise(F.col("y0"))).drop("_z", "mean")
-
-
-PROMOTION = causal.Question("promoted", "weekly_units", ("log_demand", "log_price", "abc_class"))
-
-
-def true_effect(drawn: DataFrame) -> float:
-    return float(drawn.agg(F.avg(F.col("y1") - F.col("y0")).alias("e")).first().e)
-
-
-def confounding_sweep(profiles: DataFrame, sku: DataFrame, steps: list[float] = [0.0, 0.75, 1.5, 2.25, 3.0], seed: int = 7,
-                      names: tuple[str, ...] = ("difference-in-means", "regression-adjustment", "ipw")) -> DataFrame:
-    """Bias of every estimator as confounding grows, on the same items and the same noise."""
-    out = None
-    shared = cut(profiles.select("sku_id", "mean"))
-    for c in steps:
-        drawn = cut(promotion_benchmark(shared, sku, confounding=c, seed=seed))
-        one = causal.score_estimators(drawn, PROMOTION, ("sku_id",), true_effect(drawn), names=names).withColumn("confounding", F.lit(c))
-        out = one if out is None else out.unionByName(one)
-    return out

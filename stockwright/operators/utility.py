@@ -1,10 +1,9 @@
-"""Detectability, train-on-synthetic utility, evaluation runs, and the exact demand benchmark."""
+"""Detectability, train-on-synthetic utility and evaluation runs."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
-from datetime import date, timedelta
 
 import numpy as np
 import pandas as pd
@@ -13,11 +12,10 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.numeric import negative_binomial_cdf, uniform
+from ..functions.numeric import uniform
 from ..functions.ranks import largest, running_totals
 from ..session import cut
 from . import fidelity as fi, series as se, synth as sy
-from .metrics import quantile_name
 
 # --- detection -----------------------------------------------------------------------------------------
 
@@ -41,8 +39,10 @@ def detection_report(both: DataFrame, columns: list[str], folds: int = 5, seed:
     if n < folds:
         raise ValueError(f"too few rows for {folds}-fold detection: {sizes.get(0, 0)} real, {sizes.get(1, 0)} synthetic")
     marked = both.select(F.col("side").cast("double").alias("label"), *[F.col(c).cast("double").alias(c) for c in columns])
-    # copies of a row are told apart by a number; the checkpoint below fixes it
-    numbered = marked.withColumn("_id", F.monotonically_increasing_id())
+    # a row is known by its values and the number of its copy, whatever the partitioning
+    counted = marked.groupBy(*marked.columns).agg(F.count(F.lit(1)).alias("_n"))
+    numbered = counted.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "_n"))).withColumn(
+        "_id", F.xxhash64(*marked.columns, "_copy")).drop("_n", "_copy")
     rows = cut(numbered.withColumns({"_u": uniform(seed, "detect", "_id"), "fold": F.pmod(F.xxhash64(F.lit(seed), "_id"), F.lit(folds))}))
     sides = [largest(rows.where(F.col("label") == s), "_u", n, ["_id"]) for s in (0.0, 1.0)]
     # one partition per 50,000 rows: a boosted fit runs a job per tree level, so tiny tasks would dominate small tables
@@ -57,7 +57,7 @@ def detection_report(both: DataFrame, columns: list[str], folds: int = 5, seed:
     for f, model in enumerate(models):
         test = ready.where(F.col("fold") == f)
         for j, c in enumerate([None, *columns]):
-            rows_of = test if c is None else _shuffled(test, columns, c, seed)
+            rows_of = test if c is None else _shuffled(test, columns, c, seed, 2 * n // folds)
             one = model.transform(rows_of).select(F.lit(f).alias("f"), F.lit(j).alias("variant"), "label", vector_to_array("probability")[1].alias("score"))
             scored = one if scored is None else scored.unionByName(one)
     found = {(r.f, r.variant): r.auc for r in auc(cut(scored), ["f", "variant"]).collect()}  # folds x (columns + 1) rows
@@ -71,12 +71,21 @@ def detection_report(both: DataFrame, columns: list[str], folds: int = 5, seed:
     ).withColumn("verdict", F.when(F.col("auc") < 0.6, "hard to distinguish").when(F.col("auc") <= 0.8, "distinguishable").otherwise("easily distinguished"))
 
 
-def _shuffled(test: DataFrame, columns: list[str], column: str, seed: int) -> DataFrame:
-    """``column`` exchanged within small hashed groups of rows: every row takes its neighbour's value in hash order."""
-    group = F.pmod(F.xxhash64(F.lit(seed), F.lit(column), "_id"), F.lit(4096))
-    w = Window.partitionBy(group).orderBy(uniform(seed, f"shuffle.{column}", "_id"))
-    cycled = F.coalesce(F.lead(column).over(w), F.first(column).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    moved = test.withColumn(column, cycled).drop("features")
+#: Rows whose hash order one task sorts.
+SHUFFLE_ROWS = 10_000
+
+
+def _shuffled(test: DataFrame, columns: list[str], column: str, seed: int, n: int) -> DataFrame:
+    """``column`` rotated over all ``n`` rows in hash order: every row takes the value of the one after it, the last
+    row of a hash range that of the next range's first, the last of all the first's."""
+    u = uniform(seed, f"shuffle.{column}", "_id")
+    placed = test.drop("features").withColumns({"_u": u, "_g": F.floor(u * max(1, -(-n // SHUFFLE_ROWS)))})
+    firsts = placed.groupBy("_g").agg(F.min_by(column, F.struct("_u", "_id")).alias("_first"))
+    # a row per range
+    after = F.coalesce(F.lead("_first").over(Window.orderBy("_g")), F.first("_first").over(Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    following = firsts.select("_g", after.alias("_next"))
+    cycled = F.coalesce(F.lead(column).over(Window.partitionBy("_g").orderBy("_u", "_id")), F.col("_next"))
+    moved = placed.join(following, "_g").withColumn(column, cycled).drop("_g", "_next")
     return VectorAssembler(inputCols=columns, outputCol="features").transform(moved)
 
 
@@ -149,55 +158,3 @@ def evaluate_series(series: DataFrame, period: int, seed: int = 7) -> DataFrame:
     fake = sy.sample_seasonal(sy.fit_seasonal(series, period), period, None, seed)
     both = series.select("key", "i", "value", F.lit(0).alias("side")).unionByName(fake.select("key", "i", "value", F.lit(1).alias("side")))
     return fi.series_fidelity(both, period)
-
-
-# --- demand benchmark with a known distribution -------------------------------------------------------------
-
-# The weekday profile, Monday first.
-WEEKDAY_PROFILE = [1.0, 1.05, 1.1, 1.1, 1.25, 0.8, 0.7]
-
-
-def demand_benchmark(items: DataFrame, days: int = 365, start: date = date(2025, 1, 1), intermittent_share: float = 0.3, promo_rate: float = 0.03,
-                     promo_uplift: float = 0.6, dispersion: float = 2.0, levels: list[float] = [0.1, 0.5, 0.9], seed: int = 7) -> DataFrame:
-    """``(sku_id, day, i, units, true_mean, q..)``: daily demand from a declared process with its exact distribution.
-
-    Level exp(N(1,1)) x weekday x trend, structural zeros on a share of items, promotions, negative binomial
-    counts.  Each item is drawn from a generator seeded by its own hash.
-    """
-    names = [quantile_name(lv) for lv in levels]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        calendar = [start + timedelta(days=j) for j in range(days)]
-        week = np.array([WEEKDAY_PROFILE[d.weekday()] for d in calendar])
-        for pdf in batches:
-            for sku, h in zip(pdf["sku_id"], pdf["h"]):
-                rng = np.random.default_rng([seed, int(h) & 0xFFFFFFFF, (int(h) >> 32) & 0xFFFFFFFF])
-                level, trend = np.exp(rng.normal(1.0, 1.0)), rng.normal(0.0, 0.001)
-                zero = rng.uniform(0.4, 0.8) if rng.random() < intermittent_share else 0.0
-                base = level * week * np.exp(trend * np.arange(days)) / (1 - zero)
-                lifted = base * np.where(rng.random(days) < promo_rate, 1 + promo_uplift, 1.0)
-                units = rng.poisson(rng.gamma(dispersion, lifted / dispersion)) * (rng.random(days) >= zero)
-                top = 32
-                wanted = max(levels) - 1e-12
-                while True:  # enlarge the support until the highest level is reached on every day
-                    plain = negative_binomial_cdf(base, dispersion, top)
-                    promo = negative_binomial_cdf(base * (1 + promo_uplift), dispersion, top)
-                    cdf = zero + (1 - zero) * ((1 - promo_rate) * plain + promo_rate * promo)
-                    if cdf[:, -1].min() >= wanted:
-                        break
-                    top *= 2
-                qs = {n: np.argmax(cdf >= lv - 1e-12, axis=1).astype(float) for n, lv in zip(names, levels)}
-                mean = (1 - zero) * base * (1 + promo_rate * promo_uplift)
-                yield pd.DataFrame({"sku_id": sku, "day": calendar, "i": np.arange(days), "units": units.astype(float), "true_mean": mean, **qs})
-
-    schema = "sku_id string, day date, i bigint, units double, true_mean double" + "".join(f", {n} double" for n in names)
-    keyed = items.select("sku_id", F.xxhash64(F.lit(seed), "sku_id").alias("h"))
-    return keyed.mapInPandas(run, schema)
-
-
-def truth_forecasts(drawn: DataFrame, origins: list[int], horizon: int, levels: list[float]) -> DataFrame:
-    """The exact distribution as one more forecaster, in the long form of the backtest."""
-    at = F.array(*[F.lit(o).cast("bigint") for o in origins])
-    spread = drawn.withColumn("origin", F.explode(F.filter(at, lambda o: (F.col("i") >= o) & (F.col("i") < o + horizon))))
-    return spread.select("sku_id", F.lit("true-distribution").alias("forecaster"), "origin", (F.col("i") - F.col("origin")).cast("int").alias("k"),
-                         F.col("units").alias("actual"), F.col("true_mean").alias("mean"), *[quantile_name(lv) for lv in sorted(levels)])

@@ -1,14 +1,11 @@
-"""Causal, benchmark, world-generation and effect-study queries."""
+"""Causal and paired-effect queries."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..operators import causal as ca
-from ..operators import demand as dm
 from ..operators import studies as st
-from ..operators import worlds as wo
-from . import canonical as c
 from .canonical import Tables, with_sql
 from .registry import query, r, rounded
 
@@ -66,17 +63,25 @@ def _(t: Tables):
     return rounded(_one(t.spark, ca.regression_adjustment(d)).select("estimator", "effect", "std_error"), 3)
 
 
-@query("l03_identification")
+@query("l03_identification", with_sql(ORDER_ROWS) + """, asked as (select *, 2 * balance as twice, 5.0 as constant, 20000 + (o_orderkey % 11) / 10.0 - 0.5 as narrow, balance as same, balance + o_orderkey as other from rows)
+  select 'none' as extra, case when var_pop(balance) > 0 then 'identified' end as answer from asked
+  union all select 'twice', case when regr_r2(twice, balance) > 1 - 1e-9 then 'not identified: twice is ' || cast(cast(round(regr_slope(twice, balance)) as int) as varchar) || ' x balance' else 'identified' end from asked
+  union all select 'constant', case when var_pop(constant) = 0 then 'not identified: constant is constant' else 'identified' end from asked
+  union all select 'narrow', case when var_pop(narrow) > 0 and regr_r2(narrow, balance) < 0.999 then 'identified' end from asked
+  union all select 'same', case when max(abs(same - balance)) = 0 then 'not identified: same equals balance' else 'identified' end from asked
+  union all select 'other', case when regr_r2(other, balance) < 0.999 then 'identified' end from asked""")
 def _(t: Tables):
-    rows = _rows(t).withColumns({"twice": F.col("balance") * 2, "constant": F.lit(5.0)})
+    key = F.col("o_orderkey")
+    rows = _rows(t).withColumns({"twice": F.col("balance") * 2, "constant": F.lit(5.0), "narrow": 20000 + (key % 11) / 10.0 - 0.5,
+                                 "same": F.col("balance"), "other": F.col("balance") + key})
     out = []
-    for extra in ((), ("twice",), ("constant",)):
+    for extra in ("none", "twice", "constant", "narrow", "same", "other"):
         try:
-            d = ca.design(rows, ca.Question("urgent", "price", ("balance", *extra)))
-            ca.identify(ca.gram(d)[0], d.n, d.names)
-            out.append((",".join(extra) or "none", "identified"))
+            d = ca.design(rows, ca.Question("urgent", "price", ("balance", *([extra] if extra != "none" else []))))
+            ca.identify(d, ca.scaled(d))
+            out.append((extra, "identified"))
         except ValueError as problem:
-            out.append((",".join(extra), str(problem)))
+            out.append((extra, str(problem)))
     return t.spark.createDataFrame(out, "extra string, answer string")
 
 
@@ -128,69 +133,18 @@ def _(t: Tables):
         "arm", "policy", "metric", r("baseline_mean", 4).alias("baseline_mean"), r("arm_mean", 4).alias("arm_mean"), r("effect", 4).alias("effect"), "n", "relative"))
 
 
-# --- generated worlds ------------------------------------------------------------------------------------
+SCORES_SQL = WELCH.replace("n1.n as n_treated, n0.n as n_control", "1000.0 as truth")
 
-SPEC = wo.Spec()
 
-
-def _items(t: Tables):
-    return t("part").select(F.col("p_partkey").alias("item"))
-
-
-@query("m01_world_counts")
+@query("d29_estimator_scores", with_sql(ORDER_ROWS, OLS) + f"""select estimator, round(effect, 3) as effect, truth, round(effect - truth, 3) as bias, round((effect - truth) / abs(truth), 6) as relative_bias,
+  abs(effect - truth) <= 1.96 * se as covers from (select 'difference-in-means' as estimator, * from ({SCORES_SQL}) union all
+  select 'regression-adjustment', any_value(bt), sqrt(sum(tr * tr * e * e) / (sum(tr * tr) * sum(tr * tr)) * any_value(n) / (any_value(n) - 3)), 1000.0 from parts)""")
 def _(t: Tables):
-    w = wo.generate(_items(t), SPEC)
-    parts = [("sku", w.sku), ("location", w.location), ("inventory", w.inventory), ("inbound", w.inbound), ("outbound", w.outbound), ("sensor", w.sensor)]
-    out = None
-    for name, df in parts:
-        one = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("entity"), "n")
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-@query("m01_world_outbound")
-def _(t: Tables):
-    w = wo.generate(_items(t), SPEC)
-    return w.outbound.groupBy("channel", "priority", "status").agg(F.count(F.lit(1)).alias("n"), F.sum("quantity").alias("units"))
-
-
-@query("l08_promotion_benchmark")
-def _(t: Tables):
-    return rounded(st.promotion_benchmark(dm.order_profiles(c.lines(t)), c.sku(t)).drop("y0", "y1"))
-
-
-@query("l09_confounding_sweep")
-def _(t: Tables):
-    found = st.confounding_sweep(dm.order_profiles(c.lines(t)), c.sku(t), names=("difference-in-means", "regression-adjustment"))
-    return rounded(found.select("confounding", "estimator", "effect", "truth", "bias", "relative_bias", "covers"), 4)
-
-
-@query("d29_estimator_scores")
-def _(t: Tables):
-    from ..session import cut
-
-    drawn = cut(st.promotion_benchmark(dm.order_profiles(c.lines(t)), c.sku(t)))
-    found = ca.score_estimators(drawn, st.PROMOTION, ("sku_id",), st.true_effect(drawn))
-    return rounded(found.drop("method"), 4)
-
-
-@query("l10_effect_study")
-def _(t: Tables):
-    return rounded(st.effect_study(_items(t), wo.Spec(horizon_days=45), ["promo_spike", "supply_disruption"], 3)[0], 4)
+    found = ca.score_estimators(_rows(t), Q_ONE, ("o_orderkey",), 1000.0, names=("difference-in-means", "regression-adjustment"))
+    return found.select("estimator", r("effect", 3).alias("effect"), "truth", r("bias", 3).alias("bias"), r("relative_bias", 6).alias("relative_bias"), "covers")
 
 
 @query("c12_policy_grid", """select p_partkey, arm, policy from part cross join (select unnest(['baseline', 'promo_spike']) as arm) cross join (select unnest(['naive', 'service-level']) as policy)""")
 def _(t: Tables):
     grid = F.array(*[F.struct(F.lit(a).alias("arm"), F.lit(p).alias("policy")) for a in ("baseline", "promo_spike") for p in ("naive", "service-level")])
     return t("part").select("p_partkey", F.explode(grid).alias("g")).select("p_partkey", "g.*")
-
-
-@query("l11_experiment_table")
-def _(t: Tables):
-    world = wo.generate(_items(t), wo.Spec(horizon_days=60), wo.arms_of(wo.Spec(horizon_days=60), ["baseline", "promo_spike"], 1))
-    return rounded(st.experiment(world, ["naive", "service-level"], ["replenishment_need", "active_stockouts", "simulated_cost"]), 2)
-
-
-@query("l12_scenario_comparison")
-def _(t: Tables):
-    return rounded(st.scenario_comparison(_items(t), wo.Spec(horizon_days=45), list(wo.SCENARIOS)), 2)

@@ -63,17 +63,17 @@ def _(t: Tables):
 
 
 @query("a09_feature_table", """select value as qty, cast(event_id % 90 + 1 as double) as price, cast(hour(ts) as double) as hour, cast(isodow(ts) - 1 as double) as weekday from events
-  where value > 0 order by event_id limit 3000""")
+  where value > 0""")
 def _(t: Tables):
     rows = t("events").withColumn("price", F.col("event_id") % 90 + 1)
-    return en.feature_table(rows, "ts", "value", "price", 3000, ["event_id"])
+    return en.feature_table(rows, "ts", "value", "price")
 
 
-@query("a10_model_table", """with kept as (select o_orderkey, o_totalprice, o_orderpriority, month(o_orderdate) as m from orders order by md5('7|' || cast(o_orderkey as varchar)), o_orderkey limit 3000),
+@query("a10_model_table", """with kept as (select o_orderkey, o_totalprice, o_orderpriority, month(o_orderdate) as m from orders),
   codes as (select o_orderpriority as label, row_number() over (order by count(*) desc, o_orderpriority) - 1 as code from kept group by 1)
   select o_totalprice, cast(code as double) as o_orderpriority from kept join codes on label = o_orderpriority""")
 def _(t: Tables):
-    return en.model_table(t("orders"), ["o_totalprice"], ["o_orderpriority"], limit=3000, seed=7, keys=["o_orderkey"])[0]
+    return en.model_table(t("orders"), ["o_totalprice"], ["o_orderpriority"])[0]
 
 
 @query("a10_decode", """select o_orderkey, label from (select o_orderkey, least(greatest(floor(o_totalprice / 60000 - 1 + 0.5::double), 0), 4) as k from orders)
@@ -83,10 +83,9 @@ def _(t: Tables):
     return en.decode(t("orders").select("o_orderkey", (F.col("o_totalprice") / 60000 - 1).alias("label")), codes)
 
 
-@query("a11_copula_input", """select o_totalprice, o_custkey from orders where o_totalprice > 0 and o_totalprice < (select quantile_cont(o_totalprice, 0.99) from orders where o_totalprice > 0)
-  order by md5('1|' || cast(o_orderkey as varchar)), o_orderkey limit 2000""")
+@query("a11_copula_input", """select o_totalprice, o_custkey from orders where o_totalprice > 0 and o_totalprice < (select quantile_cont(o_totalprice, 0.99) from orders where o_totalprice > 0)""")
 def _(t: Tables):
-    return en.copula_input(t("orders"), ["o_totalprice", "o_custkey"], "o_totalprice", 2000, 1, ["o_orderkey"])
+    return en.copula_input(t("orders"), ["o_totalprice", "o_custkey"], "o_totalprice")
 
 
 @query("a12_csv_cells", """select event_id, case when regexp_matches(x, '^[=+@-]') then '''' || x else x end as cell from (select event_id, case event_id % 4 when 0 then '=' when 1 then '-' when 2 then '@' else '' end || event_type as x from events)""")

@@ -217,23 +217,6 @@ def _(t: Tables):
     return rounded(sy.gaussian_copula_table(t("lineitem").select(*COLUMNS), COLUMNS, KINDS))
 
 
-@query("m08_demand_benchmark")
-def _(t: Tables):
-    items = t("supplier").select(F.col("s_suppkey").cast("string").alias("sku_id"))
-    return rounded(ut.demand_benchmark(items), 4)
-
-
-@query("i11_true_distribution")
-def _(t: Tables):
-    items = t("supplier").select(F.col("s_suppkey").cast("string").alias("sku_id"))
-    drawn = cut(ut.demand_benchmark(items, days=180))
-    panel = drawn.where(F.col("units") > 0).select("sku_id", "day", F.col("units").alias("qty"))
-    axis = dm.axis_of_panel(drawn)
-    at = fc.origins_of(axis, 14, 2, 7)
-    levels = [0.1, 0.5, 0.9]
-    return rounded(fc.backtest(panel, axis, 14, 2, 7, levels, more=ut.truth_forecasts(drawn, at, 14, levels))[0], 4)
-
-
 @query("m09_evaluate_table")
 def _(t: Tables):
     return ut.evaluate_table(t("part").select("p_size", "p_retailprice"), ["p_size", "p_retailprice"], {"p_size": "integer", "p_retailprice": "real"}, "bayesian-network")

@@ -46,20 +46,27 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def _folder(spark: SparkSession) -> str:
+    """The shared folder that the cluster names; a temporary one of this machine only in local mode."""
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="stockwright-checkpoint-")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` reliably, so that later branches neither recompute it nor lose it with an executor.
 
-    Writes to the folder of ``spark.checkpoint.dir``; a temporary folder is used only where none is set.
+    Writes to the folder of ``spark.checkpoint.dir``; a temporary folder is used only in local mode where none is set.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="stockwright-checkpoint-"))
+        context.setCheckpointDir(_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path for a written table in the shared checkpoint folder (a temporary one only where none is set)."""
-    context = spark.sparkContext
-    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stockwright-")
-    return f"{folder}/{name}-{uuid.uuid4().hex}"
+    """A new path for a written table in the shared checkpoint folder."""
+    return f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"

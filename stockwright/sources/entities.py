@@ -142,8 +142,8 @@ def dataset(rows: DataFrame, schema: de.Schema, times_of_day: list[str] = [], co
 # --- model tables ------------------------------------------------------------------------------------------
 
 
-def feature_table(rows: DataFrame, time: str, quantity: str, price: str, limit: int | None = 3000, order: list[str] | None = None) -> DataFrame:
-    """``(qty, price, hour, weekday)`` of rows with positive quantity and price, the first ``limit`` in ``order``."""
+def feature_table(rows: DataFrame, time: str, quantity: str, price: str, limit: int | None = None, order: list[str] | None = None) -> DataFrame:
+    """``(qty, price, hour, weekday)`` of all rows with positive quantity and price; with ``limit``, the first in ``order``."""
     kept = rows.where((F.col(quantity) > 0) & (F.col(price) > 0) & F.col(time).isNotNull())
     if limit is not None:
         kept = kept.orderBy(*order).limit(limit) if order else kept.limit(limit)
@@ -151,11 +151,12 @@ def feature_table(rows: DataFrame, time: str, quantity: str, price: str, limit:
                        F.hour(time).cast("double").alias("hour"), F.weekday(time).cast("double").alias("weekday"))
 
 
-def copula_input(rows: DataFrame, columns: list[str], quantity: str, limit: int = 2000, seed: int = 1, keys: list[str] | None = None) -> DataFrame:
-    """Complete positive rows below the 99 % quantile of quantity, a seeded sample of ``limit``."""
+def copula_input(rows: DataFrame, columns: list[str], quantity: str, limit: int | None = None, seed: int = 1, keys: list[str] | None = None) -> DataFrame:
+    """All complete positive rows below the 99 % quantile of quantity; with ``limit``, a seeded sample of so many."""
     kept = rows.select(*dict.fromkeys([*columns, *(keys or [])])).dropna().where(F.col(quantity) > 0)
     border = exact_quantiles(kept, [], quantity, {"q": 0.99}).scalar()
-    return hash_sample(kept.where(F.col(quantity) < border), limit, seed, keys or columns).select(*columns)
+    below = kept.where(F.col(quantity) < border)
+    return (below if limit is None else hash_sample(below, limit, seed, keys or columns)).select(*columns)
 
 
 def category_codes(rows: DataFrame, column: str) -> DataFrame:
@@ -249,7 +250,7 @@ def read_retail(spark: SparkSession, path: str, date_format: str | None = None)
     kept = marked.where(F.col("skip_reason").isNull())
     first = kept.groupBy("code").agg(F.min_by(F.struct("description", "price"), "_row").alias("f"))
     skus = first.select(
-        F.col("code").alias("sku_id"), F.substring(F.coalesce("f.description", "code"), 1, 60).alias("name"), F.lit("retail").alias("category"),
+        F.col("code").alias("sku_id"), F.coalesce("f.description", "code").alias("name"), F.lit("retail").alias("category"),
         F.round(F.col("f.price") * 0.6, 2).alias("unit_cost"), F.col("f.price").alias("unit_price"), F.lit(0.1).alias("weight_kg"),
         F.lit(0.001).alias("volume_m3"), F.lit("?").alias("abc_class"))
     orders = kept.select(

@@ -1,7 +1,8 @@
 """Live item-day demand, live stock position with a reorder signal, and live latest readings.
 
-Each job's final output equals the batch operator on the same rows, late rows aside: a row older than the
-watermark is dropped by Spark and shows in the query's ``numRowsDroppedByWatermark``.
+In update mode each key's last output equals the batch operator on the same rows, late rows aside: a row older than
+the watermark is dropped by Spark and shows in the query's ``numRowsDroppedByWatermark``.  In append mode live demand
+gives only the days that the watermark has closed.
 """
 
 from __future__ import annotations

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from stockwright.functions import numeric as nm, ranks
 from stockwright.operators import (boosting as bo, causal as ca, demand as dm, detect as de, fidelity as fi, forecast as fc, kpi, metrics,
-                                   pivot as pv, replenish as rp, series as se, studies as st, synth as sy, utility as ut, worlds as wo)
+                                   pivot as pv, replenish as rp, series as se, studies as st, synth as sy, utility as ut)
 
 DAY0 = date(2024, 1, 1)
 
@@ -378,30 +378,7 @@ def test_paired_effects_by_hand(spark):
     assert (r.effect, r.low, r.relative) == pytest.approx((2.0, 2.0 - half, 1.0), abs=1e-5)
 
 
-def test_promotion_benchmark_recovers_the_effect(spark):
-    profiles = spark.range(1500).select(F.concat(F.lit("k"), "id").alias("sku_id"), F.exp(nm.normal(1, "m", "id")).alias("mean"))
-    sku = profiles.select("sku_id", F.lit("A").alias("abc_class"), (1 + 10 * nm.uniform(1, "p", "sku_id")).alias("unit_price"))
-    drawn = st.promotion_benchmark(profiles, sku).cache()
-    truth = st.true_effect(drawn)
-    found = {r.estimator: r for r in ca.score_estimators(drawn, ca.Question("promoted", "weekly_units", ("log_demand", "log_price")), ("sku_id",), truth, names=("difference-in-means", "ipw")).collect()}
-    assert abs(found["ipw"].relative_bias) < abs(found["difference-in-means"].relative_bias)
-
-
-# --- worlds and synthesis ----------------------------------------------------------------------------------
-
-
-def test_worlds_are_paired_and_partition_independent(spark):
-    items = spark.range(60).withColumnRenamed("id", "item")
-    spec = wo.Spec(horizon_days=30)
-    arms = wo.arms_of(spec, ["baseline", "promo_spike"], 2)
-    a = wo.generate(items.repartition(1), spec, arms)
-    b = wo.generate(items.repartition(7), spec, arms)
-    for x, y in ((a.outbound, b.outbound), (a.inventory, b.inventory), (a.sku, b.sku)):
-        assert x.exceptAll(y).count() == 0 and y.exceptAll(x).count() == 0
-    lines = {(r.rep, r.arm): r.n for r in a.outbound.groupBy(F.split("sku_id", r"\|")[0].alias("rep"), F.split("sku_id", r"\|")[1].alias("arm")).agg(F.count("*").alias("n")).collect()}
-    assert lines["0", "promo_spike"] > 1.3 * lines["0", "baseline"]
-    effects = {(r.arm, r.metric): r for r in st.effect_study(items, spec, ["promo_spike", "supply_disruption"], 2)[0].collect()}
-    assert effects["promo_spike", "safety_stock_units"].effect > 0 and effects["promo_spike", "active_stockouts"].effect == 0
+# --- synthesis ----------------------------------------------------------------------------------
 
 
 def brute_nearest(q, p):
@@ -459,19 +436,6 @@ def test_detection_tells_a_shift_and_not_a_copy(spark):
     assert same.auc < 0.6 and moved.auc > 0.9 and moved.top_columns.startswith("a")
 
 
-def test_exact_distribution_scores_best_on_its_own_benchmark(spark):
-    items = spark.createDataFrame([(f"k{i}",) for i in range(40)], "sku_id string")
-    drawn = ut.demand_benchmark(items, days=120).cache()
-    rows = drawn.agg(F.avg((F.col("units") <= F.col("q90")).cast("double")).alias("c"), F.avg("units").alias("u"), F.avg("true_mean").alias("m")).first()
-    assert rows.c >= 0.88 and rows.u == pytest.approx(rows.m, rel=0.15)
-    panel = drawn.where("units > 0").select("sku_id", "day", F.col("units").alias("qty"))
-    axis = dm.axis_of_panel(drawn)
-    at = fc.origins_of(axis, 14, 3, 7)
-    scores, _ = fc.backtest(panel, axis, 14, 3, 7, [0.1, 0.5, 0.9], more=ut.truth_forecasts(drawn, at, 14, [0.1, 0.5, 0.9]))
-    pin = {r.forecaster: r.pinball for r in scores.where("days_ahead = 0").collect()}
-    assert min(pin, key=pin.get) == "true-distribution"
-
-
 def test_tstr_and_seasonal_series(spark):
     s = spark.createDataFrame([("k", i, 5.0 + 4 * (i % 7 == 3) + (i * 7919 % 5) / 5) for i in range(140)], "key string, i bigint, value double")
     r = ut.tstr(s, 7).first()
