@@ -9,6 +9,7 @@ from ..functions.ranks import exact_medians, exact_quantiles
 from ..functions.times import DATE_FORMATS, time_value
 from ..session import cut
 from . import delimited as de
+from .records import PLACE, cells, records
 from .tables import hash_sample
 
 # Allowed texts per entity field.
@@ -223,9 +224,9 @@ def read_retail(spark: SparkSession, path: str, date_format: str | None = None)
 
     The report counts rows by reason (NULL = kept).  A code's first row in the file names it.
     """
-    raw = spark.read.option("header", True).option("escape", '"').csv(path)
-    raw = raw.toDF(*[c.lstrip("﻿").strip() for c in raw.columns])
-    have = set(raw.columns)
+    names = de.read_header(spark, path, ",")
+    have = set(names)
+    raw = cells(records(spark, path), names, ",").withColumnsRenamed({f"c{i}": n for i, n in enumerate(names)})
 
     def text(*names: str) -> Column:
         found = [F.trim(F.col(f"`{n}`")) for n in names if n in have]
@@ -234,7 +235,7 @@ def read_retail(spark: SparkSession, path: str, date_format: str | None = None)
     formats = [date_format] if date_format else DATE_FORMATS
     price_text = F.coalesce(text("Price", "UnitPrice"), F.lit("0"))
     rows = raw.select(
-        F.monotonically_increasing_id().alias("_row"),  # file order: partitions of a file are numbered in order
+        F.struct(*PLACE).alias("_row"),  # file order
         text("StockCode").alias("code"), text("Description").alias("description"), text("Invoice", "InvoiceNo").alias("invoice"),
         de.number(text("Quantity")).alias("_qty"), de.number(price_text).alias("price"), time_value(text("InvoiceDate"), formats).alias("ts"),
     ).withColumn("qty", F.when(F.col("_qty") >= 0, F.floor("_qty")).otherwise(F.ceil("_qty")))
@@ -254,7 +255,7 @@ def read_retail(spark: SparkSession, path: str, date_format: str | None = None)
         F.round(F.col("f.price") * 0.6, 2).alias("unit_cost"), F.col("f.price").alias("unit_price"), F.lit(0.1).alias("weight_kg"),
         F.lit(0.001).alias("volume_m3"), F.lit("?").alias("abc_class"))
     orders = kept.select(
-        F.concat_ws("-", F.coalesce("invoice", F.lit("INV")), F.col("_row").cast("string")).alias("order_id"), "ts", F.col("code").alias("sku_id"),
+        F.concat_ws("-", F.coalesce("invoice", F.lit("INV")), F.hex(F.xxhash64("_row._file", "_row._block", "_row._line"))).alias("order_id"), "ts", F.col("code").alias("sku_id"),
         F.abs("qty").cast("bigint").alias("quantity"), F.lit("ecommerce").alias("channel"), F.lit("standard").alias("priority"),
         F.when(F.col("qty") > 0, "shipped").otherwise("cancelled").alias("status"))
     return skus, orders, report

@@ -2,6 +2,8 @@
 
 from datetime import date, datetime
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,3 +155,35 @@ def test_entity_checks_name_the_first_problem(spark):
     good, bad = en.split_checked(df, "inventory")
     assert good.count() == 1 and bad.first().problem == "sku_id: must be a non-empty string"
     assert len(bad.first().violations) == 2
+
+
+def test_cells_across_lines_and_splits(spark, tmp_path):
+    """A table with quotes, delimiters and line breaks in its cells comes back whole, however the file is split."""
+    rng = random.Random(4)
+    rows = [(i, "".join(rng.choice(['a', '"', ",", "\n", "x y", "\r\n", "é"]) for _ in range(rng.randrange(12))) + "z") for i in range(400)]
+    folder = tmp_path / "parts"
+    folder.mkdir()
+    for part in range(2):
+        lines = ["n,note"] + [f'{i},"{t.replace(chr(34), chr(34) * 2)}"' for i, t in rows[part * 200 : part * 200 + 200]]
+        (folder / f"{part}.csv").write_bytes("\n".join([*lines, ""]).encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    schema = de.Schema((de.ColumnSpec("n", "integer"), de.ColumnSpec("note", "text")))
+    try:
+        for size in ("97b", "1000b", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            assert sorted(tuple(r) for r in de.scan(spark, str(folder), schema).collect()) == [(i, t.strip(" ")) for i, t in rows]
+        assert de.audit(spark, str(folder), schema)["rows_read"] == 400
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_first_row_in_file_order_names_the_item(spark, tmp_path):
+    head = "Invoice,StockCode,Description,Quantity,InvoiceDate,Price,Customer ID,Country"
+    folder = tmp_path / "retail"
+    folder.mkdir()
+    for part, name in enumerate(["first\nof all", "second", "third"]):
+        rows = "".join(f'{part}{k},A,"{name} {k}",1,2010-12-01 08:2{k}:00,2.5,1,UK\n' for k in range(5))
+        (folder / f"{part}.csv").write_text(f"{head}\n{rows}")
+    skus, orders, _ = en.read_retail(spark, str(folder))
+    assert [r.name for r in skus.collect()] == ["first\nof all 0"]
+    assert orders.count() == orders.select("order_id").distinct().count() == 15
