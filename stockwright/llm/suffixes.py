@@ -162,7 +162,7 @@ def resolved(rows: DataFrame, buckets: int) -> DataFrame:
         text, base = [], 0
         for k, n, t, _ in held:
             width = len(t) // (len(n) // 8)
-            text.append(number[base + np.frombuffer(t, np.uint16 if width == 2 else np.uint32)])
+            text.append(number[base + np.frombuffer(t, np.uint16 if width == 2 else np.uint32).astype(np.int64)])
             base += len(k) // KEY_BYTES
         text = np.concatenate(text).astype(np.int64)
         order = np.lexsort((place & ~ASKED, text, name))
