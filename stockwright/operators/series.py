@@ -56,9 +56,39 @@ def design(values: np.ndarray, period: int) -> tuple[np.ndarray, np.ndarray]:
     return x, values[period:]
 
 
-def fit_weights(values: np.ndarray, period: int) -> np.ndarray:
-    """Minimum-norm least-squares weights of ``design``."""
-    return np.linalg.lstsq(*design(values, period), rcond=None)[0]
+class RunningFit:
+    """Least squares of several equally long series at once, from normal equations that grow day by day.
+
+    A day's columns: 1, the day, its place in the cycle (place 0 left out), the values a day and a cycle before.
+    Days are added once, whatever the number of refits; a refit solves one small system per series.
+    """
+
+    DAYS = 256  # added together
+
+    def __init__(self, values: np.ndarray, period: int):
+        self.values, self.period, self.upto = values, period, period
+        self.square = np.zeros((len(values), period + 3, period + 3))
+        self.cross = np.zeros((len(values), period + 3))
+
+    def advance(self, upto: int) -> None:
+        p, y = self.period, self.values
+        while self.upto < upto:
+            i = np.arange(self.upto, min(upto, self.upto + self.DAYS))
+            x = np.empty((len(y), len(i), p + 3))
+            x[:, :, 0], x[:, :, 1], x[:, :, 2 : p + 1] = 1.0, i, i[:, None] % p == np.arange(1, p)
+            x[:, :, p + 1], x[:, :, p + 2] = y[:, i - 1], y[:, i - p]
+            flip = x.transpose(0, 2, 1)
+            self.square += flip @ x
+            self.cross += (flip @ y[:, i, None])[:, :, 0]
+            self.upto = int(i[-1]) + 1
+
+    def weights(self) -> np.ndarray:
+        """One row per series; directions that its days do not determine get no weight."""
+        size = np.sqrt(np.maximum(np.einsum("bii->bi", self.square), 1e-300))
+        root, axes = np.linalg.eigh(self.square / size[:, :, None] / size[:, None, :])
+        inverse = np.where(root > 1e-10 * root[:, -1:], 1 / np.where(root > 0, root, 1.0), 0.0)
+        turned = np.einsum("bji,bj->bi", axes, self.cross / size)
+        return np.einsum("bij,bj->bi", axes, turned * inverse) / size
 
 
 def predict(weights: np.ndarray, i: int, period: int, lag1: float, lagp: float) -> float:
@@ -75,12 +105,13 @@ def seasonal_linear_steps(series: DataFrame, period: int = 7, test_len: int = 21
         y = pdf["value"].to_numpy(float)
         n = len(y)
         size = min(test_len, max(1, n // 3)) if n >= MIN_POINTS else 0
-        out = []
+        fit, out = RunningFit(y[None, :], period), []
         for t in range(n - size, n):
             if t < 2 * period + 2:
                 out.append(y[t - 1] if t else 0.0)
-            else:
-                out.append(predict(fit_weights(y[:t], period), t, period, y[t - 1], y[t - period]))
+                continue
+            fit.advance(t)
+            out.append(predict(fit.weights()[0], t, period, y[t - 1], y[t - period]))
         return pd.DataFrame({"key": pdf["key"].to_numpy()[n - size :], "i": pdf["i"].to_numpy()[n - size :],
                              "actual": y[n - size :], "model": f"seas_linear{period}", "pred": out})
 

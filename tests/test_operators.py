@@ -6,6 +6,7 @@ from datetime import date, timedelta
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from stockwright.functions import numeric as nm, ranks
@@ -442,3 +443,40 @@ def test_tstr_and_seasonal_series(spark):
     assert r.train_len == 98 and r.test_len == 42 and 0.5 < r.ratio < 3
     fake = sy.sample_seasonal(sy.fit_seasonal(s, 7), 7)
     assert fake.count() == 140 and ut.evaluate_series(s, 7).first().profile_corr > 0.9
+
+
+def test_running_fit_equals_least_squares():
+    rng = np.random.default_rng(3)
+    y = rng.gamma(2.0, 3.0, (4, 120)) * (1 + (np.arange(120) % 7 == 2))
+    fit = se.RunningFit(y, 7)
+    for upto in (30, 75, 119):
+        fit.advance(upto)
+        for row, w in zip(y, fit.weights()):
+            assert w == pytest.approx(np.linalg.lstsq(*se.design(row[:upto], 7), rcond=None)[0], rel=1e-5, abs=1e-6)
+    flat = se.RunningFit(np.full((1, 60), 5.0), 7)
+    flat.advance(60)
+    assert se.predict(flat.weights()[0], 60, 7, 5.0, 5.0) == pytest.approx(5.0)
+
+
+def test_poisson_draws_of_large_means(spark):
+    rows = spark.range(4000).select(nm.poisson(F.lit(800.0), nm.uniform(1, "p", "id")).alias("k")).agg(F.avg("k"), F.stddev("k")).first()
+    assert rows[0] == pytest.approx(800, abs=2) and rows[1] == pytest.approx(math.sqrt(800), rel=0.05)
+
+
+def test_identification_ignores_large_means(spark):
+    rows = spark.range(400).select((F.col("id") % 2).alias("t"), (F.col("id") * 7 % 13).cast("double").alias("y"), (20000 + (F.col("id") * 31 % 17) / 17.0 - 0.5).alias("x"))
+    d = ca.design(rows, ca.Question("t", "y", ("x",)))
+    assert ca.identify(d, ca.scaled(d))[0].shape == (3, 3)
+    twice = ca.design(rows.withColumn("z", F.col("x") * 2), ca.Question("t", "y", ("x", "z")))
+    with pytest.raises(ValueError, match="z is 2 x x"):
+        ca.identify(twice, ca.scaled(twice))
+
+
+def test_rotation_moves_every_row_once(spark):
+    rows = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(
+        spark.range(800).select(F.col("id").alias("_id"), F.col("id").cast("double").alias("a"), F.lit(1.0).alias("b")))
+    for size in (50, 10_000):
+        ut.SHUFFLE_ROWS = size
+        moved = ut._shuffled(rows, ["a", "b"], "a", 7, 800).select("_id", "a").collect()
+        assert sorted(r.a for r in moved) == list(map(float, range(800))) and sum(r.a == r["_id"] for r in moved) == 0
+    ut.SHUFFLE_ROWS = 10_000
