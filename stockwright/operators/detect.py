@@ -285,40 +285,61 @@ def inject(panel: DataFrame, rate: float = 0.01, kinds: list[str] = KINDS, seed:
         uniform(seed, "inject.again", *keys).alias("_b"),
     )
 
-    def per_item(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i", ignore_index=True)
-        demand, stock = pdf["demand"].to_numpy(float).copy(), pdf["on_hand"].to_numpy(float).copy()
-        receipts = np.nan_to_num(pdf["receipts"].to_numpy(float))
-        mean = demand.mean()
-        named = np.full(len(pdf), None, dtype=object)
-        start = int(pdf["_t"].iloc[0] * len(kinds))
-        for turn, t in enumerate(np.flatnonzero(pdf["chosen"].to_numpy())):
-            kind = kinds[(start + turn) % len(kinds)]
-            a, b = pdf["_a"].iloc[t], pdf["_b"].iloc[t]
-            size = 3 + 3 * a if kind == "spike" else 2 + 3 * a
-            known = not math.isnan(stock[t])
-            spare = float(stock[t:].min()) if known else 0.0
-            short = kind == "shrinkage" and (not known or spare < size * mean)
-            if short or (kind == "drop" and demand[t] <= 0):
-                if "spike" not in kinds:
-                    continue
-                kind, size = "spike", 3 + 3 * b
-            if kind == "spike":
-                demand[t] += size * mean
-                if known:
-                    stock[t:] -= min(size * mean, spare)
-            elif kind == "drop":
-                if known:
-                    stock[t:] += min(demand[t], stock[t - 1] + receipts[t])
-                demand[t] = 0.0
-            else:
-                stock[t:] -= size * mean
-            named[t] = kind
-        return pdf[["sku_id", "day", "i", "receipts"]].assign(demand=demand, on_hand=stock, kind=named)
-
-    return ready.groupBy("sku_id").applyInPandas(
-        per_item, "sku_id string, day date, i bigint, receipts double, demand double, on_hand double, kind string"
-    )
+    columns = ["i", "day", "demand", "on_hand", "receipts", "chosen", "_a", "_b"]
+    items = ready.groupBy("sku_id").agg(F.first("_t").alias("start"), F.array_sort(F.collect_list(F.struct(*columns))).alias("rows"))
+    packed = items.select("sku_id", "start", *[F.col(f"rows.{c}").alias(c) for c in columns])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for _, same in pdf.groupby(pdf["i"].map(len)):  # items of one axis length
+                for at in range(0, len(same), 64):
+                    block = same.iloc[at : at + 64]
+                    tall = {c: np.array(block[c].tolist(), dtype=float) for c in ("demand", "on_hand", "receipts", "_a", "_b")}
+                    chosen = np.array(block["chosen"].tolist(), dtype=bool)
+                    demand, stock, code = changed(tall["demand"], tall["on_hand"], np.nan_to_num(tall["receipts"]), chosen,
+                                                  (block["start"].to_numpy() * len(kinds)).astype(int), tall["_a"], tall["_b"], kinds)
+                    yield pd.DataFrame({
+                        "sku_id": np.repeat(block["sku_id"].to_numpy(), demand.shape[1]), "day": np.concatenate(block["day"].tolist()),
+                        "i": np.concatenate(block["i"].tolist()), "receipts": tall["receipts"].ravel(), "demand": demand.ravel(),
+                        "on_hand": stock.ravel(), "kind": np.array([*kinds, None], dtype=object)[code.ravel()]})
+
+    return packed.mapInPandas(run, "sku_id string, day date, i bigint, receipts double, demand double, on_hand double, kind string")
+
+
+def changed(demand: np.ndarray, stock: np.ndarray, receipts: np.ndarray, chosen: np.ndarray, start: np.ndarray, a: np.ndarray, b: np.ndarray,
+            kinds: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Demand, stock (NaN: not known) and kind numbers (-1: none) of items x days after all changes.
+
+    The first chosen place of every item is changed at once, then the second, and so on: a change reads the stock that
+    the item's earlier ones left.  A spike sells more and takes what stock allows; a drop sells nothing and leaves the
+    goods in stock; shrinkage takes stock alone.  Where a drop has nothing to drop, or shrinkage too little to take, a
+    spike takes its turn, if spikes are asked for.
+    """
+    demand, stock, code = demand.copy(), stock.copy(), np.full(demand.shape, -1)
+    number = {kind: kinds.index(kind) if kind in kinds else len(kinds) for kind in KINDS}
+    usual, turn_of, days = demand.mean(axis=1), np.cumsum(chosen, axis=1), np.arange(demand.shape[1])
+    for turn in range(1, int(turn_of[:, -1].max(initial=0)) + 1):
+        item = np.flatnonzero(turn_of[:, -1] >= turn)
+        day = (turn_of[item] < turn).sum(axis=1)
+        kind = (start[item] + turn - 1) % len(kinds)
+        from_here = days >= day[:, None]
+        least = np.where(from_here, stock[item], np.inf).min(axis=1)
+        known = ~np.isnan(stock[item, day])
+        spiky = kind == number["spike"]
+        size = (np.where(spiky, 3, 2) + 3 * a[item, day]) * usual[item]
+        unfit = (kind == number["drop"]) & (demand[item, day] <= 0)
+        unfit |= (kind == number["shrinkage"]) & (~known | (least < size))
+        size = np.where(unfit, (3 + 3 * b[item, day]) * usual[item], size)
+        kind = np.where(unfit, number["spike"], kind)
+        spike, drop, loss = (kind == number[k] for k in ("spike", "drop", "shrinkage"))
+        sold = demand[item, day]
+        back = np.minimum(sold, stock[item, np.maximum(day - 1, 0)] + receipts[item, day])
+        move = np.select([spike & known, drop & known, loss], [-np.minimum(size, least), back, -size], 0.0)
+        stock[item] += np.where(from_here, move[:, None], 0.0)
+        demand[item, day] = np.select([spike, drop], [sold + size, 0.0], sold)
+        done = kind < len(kinds)
+        code[item[done], day[done]] = kind[done]
+    return demand, stock, code
 
 
 # --- scoring ---------------------------------------------------------------------------------------

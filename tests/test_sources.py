@@ -133,7 +133,7 @@ def test_contract_and_catalog(spark):
     fields = [tb.Field("k", "dimension"), tb.Field("d", "time"), tb.Field("v", "measure")]
     assert {r.field: r.violations for r in tb.contract_violations(df, fields).collect()} == {"k": 0, "d": 1, "v": 1}
     assert tb.described(df, fields).schema["v"].metadata["aggregate"] == "sum"
-    with pytest.raises(ValueError, match="only a measure"):
+    with pytest.raises(ValueError, match="does not go with kind dimension"):
         tb.Field("k", "dimension", unit="x")
     book = tb.Catalog()
     book.register("one", "sku", "files", df)
