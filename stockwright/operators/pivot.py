@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.numeric import ratio
 from ..functions.ranks import quantiles_of_counts
 from ..functions.times import GRAINS, WEEKDAYS, time_key
+from ..session import cut
 
 AGGREGATIONS = ["sum", "count", "count_distinct", "mean", "median", "min", "max"]
 SHOW_AS = ["value", "share_of_total", "share_of_row", "share_of_column"]
@@ -143,11 +144,11 @@ def _same(keys: list[str]) -> Column:
 
 def _aggregate(keyed: DataFrame, rows: list[str], cols: list[str], values: list) -> DataFrame:
     keys = [*rows, *cols]
-    base, final, outs = [F.count(F.lit(1)).alias("n")], [F.sum("n").alias("n")], []
+    base, final, outs = [F.sum("_w").alias("n")], [F.sum("n").alias("n")], []
     for i, (_, agg) in enumerate(values, start=1):
         f, v = F.col(f"f{i}"), f"v{i}"
         if agg in ("sum", "mean"):
-            base += [F.sum(f.cast("double")).alias(f"s{i}"), F.count(f).alias(f"k{i}")]
+            base += [F.sum(f.cast("double") * F.col("_w")).alias(f"s{i}"), F.sum(F.when(f.isNotNull(), F.col("_w")).otherwise(0)).alias(f"k{i}")]
             final += [F.sum(f"s{i}").alias(f"s{i}"), F.sum(f"k{i}").alias(f"k{i}")]
             outs.append((F.col(f"s{i}") if agg == "sum" else F.try_divide(F.col(f"s{i}"), F.col(f"k{i}"))).alias(v))
         elif agg in ("min", "max"):
@@ -163,7 +164,7 @@ def _aggregate(keyed: DataFrame, rows: list[str], cols: list[str], values: list)
         if agg not in ("count_distinct", "median"):
             continue
         counted = keyed.where(F.col(f"f{i}").isNotNull()).groupBy(*keys, F.col(f"f{i}").alias("x")).agg(
-            F.count(F.lit(1)).alias("k")
+            F.sum("_w").alias("k")
         )
         per_level = _leveled(counted, rows, cols, ["x"], [F.sum("k").alias("k")])
         if agg == "count_distinct":
@@ -213,18 +214,23 @@ def pivot(df: DataFrame, view: View) -> DataFrame:
     """
     check_view(df, view)
     keyed, rows, cols = _keyed(df, view)
+    several = any(agg in ("count_distinct", "median") for _, agg in view.values) or view.max_columns is not None and bool(cols)
+    # one pass over the source: what several aggregations read is reduced to distinct rows with their number first
+    keyed = cut(keyed.groupBy(*keyed.columns).agg(F.count(F.lit(1)).alias("_w"))) if several and keyed.columns else keyed.withColumn("_w", F.lit(1).cast("bigint"))
     if view.max_columns is not None and cols:
         keyed = _fold(keyed, cols, view)
     result = _aggregate(keyed, rows, cols, view.values)
-    return shares(result, keyed, rows, cols, view)
+    return shares(result, rows, cols, view)
 
 
-def shares(result: DataFrame, keyed: DataFrame, rows: list[str], cols: list[str], view: View) -> DataFrame:
+def shares(result: DataFrame, rows: list[str], cols: list[str], view: View) -> DataFrame:
     """Divide by the grand, row or column total; NULL when the whole is 0 or NULL."""
     names = [f"v{i}" for i in range(1, len(view.values) + 1)]
     if view.show_as == "value" or not names:
         return result
-    grand = _aggregate(keyed, [], [], view.values)
+    result = cut(result)
+    top = result.where(F.col("depth") == 0)  # the totals that everything is divided by are rows of the result
+    grand = top.where(~F.col("cell"))
     of_grand = {v: ratio(F.col(v), grand.select(v).scalar()) for v in names}
     if view.show_as == "share_of_total":
         return result.withColumns(of_grand)
@@ -233,7 +239,7 @@ def shares(result: DataFrame, keyed: DataFrame, rows: list[str], cols: list[str]
         joined = result.alias("a").join(totals.alias("b"), _same(["depth", *rows]), "left")
         keep = [c for c in result.columns if c not in names]
         return joined.select(*[f"a.{c}" for c in keep], *[ratio(F.col(f"a.{v}"), F.col(f"b.w{v}")).alias(v) for v in names])
-    totals = _column_totals(keyed, cols, view.values).select(*cols, *[F.col(v).alias(f"w{v}") for v in names])
+    totals = top.where("cell").select(*cols, *[F.col(v).alias(f"w{v}") for v in names])
     joined = result.alias("a").join(totals.alias("b"), _same(cols) & F.col("a.cell"), "left")
     keep = [c for c in result.columns if c not in names]
     return joined.select(
