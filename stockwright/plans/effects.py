@@ -127,10 +127,11 @@ def _(t: Tables):
 
 
 @query("d27_paired_effects", with_sql(VALUES_SQL) + """select arm, policy, metric, round(avg(base), 4) as baseline_mean, round(avg(value), 4) as arm_mean, round(avg(difference), 4) as effect,
-  count(*) as n, round(avg(difference) / avg(base), 6) as relative from paired group by 1, 2, 3""")
+  count(*) as n, round(avg(difference) / avg(base), 6) as relative, round(avg(difference) - 2.4469118511449692 * stddev_samp(difference) / sqrt(count(*)), 3) as low,
+  round(avg(difference) + 2.4469118511449692 * stddev_samp(difference) / sqrt(count(*)), 3) as high from paired group by 1, 2, 3""")
 def _(t: Tables):
     return rounded(st.paired_effects(_values(t), 7).withColumn("relative", F.round("relative", 6)).select(
-        "arm", "policy", "metric", r("baseline_mean", 4).alias("baseline_mean"), r("arm_mean", 4).alias("arm_mean"), r("effect", 4).alias("effect"), "n", "relative"))
+        "arm", "policy", "metric", r("baseline_mean", 4).alias("baseline_mean"), r("arm_mean", 4).alias("arm_mean"), r("effect", 4).alias("effect"), "n", "relative", r("low", 3).alias("low"), r("high", 3).alias("high")))
 
 
 SCORES_SQL = WELCH.replace("n1.n as n_treated, n0.n as n_control", "1000.0 as truth")
