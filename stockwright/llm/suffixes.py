@@ -39,6 +39,8 @@ ANCHOR_EVERY = 32
 BUCKET_ROWS = 2_000_000
 PIECE = 1 << 21
 KEY_BYTES = 16
+#: Bytes of a sample place's name that are sent.
+SAMPLE_BYTES = 6
 
 _FACTOR = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 
@@ -126,14 +128,28 @@ def near_hits(n: int, hits: np.ndarray) -> np.ndarray:
 ASKED = np.uint32(1 << 31)
 
 
-def dealt(key: list[bytes], entries: list[tuple[np.ndarray, np.ndarray]], buckets: int) -> pa.RecordBatch:
-    """Rows (bucket, keys, names, texts, places): what the texts of a slice send to each bucket."""
-    name = np.concatenate([e[0] for e in entries])
+def packed(values: np.ndarray, width: int) -> bytes:
+    """The lower ``width`` bytes of each number."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1)[:, :width]).tobytes()
+
+
+def unpacked(data: bytes, width: int, kind: type) -> np.ndarray:
+    out = np.zeros((len(data) // width, np.dtype(kind).itemsize), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
+    return out.view(kind).ravel()
+
+
+def dealt(key: list[bytes], entries: list[tuple[np.ndarray, np.ndarray]], buckets: int, width: int) -> pa.RecordBatch:
+    """Rows (bucket, keys, names, texts, places): what the texts of a slice send to each bucket.
+
+    ``width``: bytes of a name that are sent.  The sample only filters, so six do there: a chance twin costs work, not truth.
+    """
+    name = np.concatenate([e[0] for e in entries]) >> np.uint64(64 - 8 * width)
     place = np.concatenate([e[1] for e in entries]).astype(np.uint32)
     text = np.repeat(np.arange(len(entries), dtype=np.uint32), [len(e[0]) for e in entries])
     order = np.argsort(name, kind="stable")
     name, place, text = name[order], place[order], text[order]
-    bucket = ((name >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    bucket = ((name >> np.uint64(8 * width - 32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
     cut = np.searchsorted(bucket, np.arange(buckets + 1))
     keys = np.frombuffer(b"".join(key), np.uint8).reshape(-1, KEY_BYTES)
     rows = []
@@ -141,79 +157,102 @@ def dealt(key: list[bytes], entries: list[tuple[np.ndarray, np.ndarray]], bucket
         s = slice(cut[b], cut[b + 1])
         who, inner = np.unique(text[s], return_inverse=True)
         small = inner.astype(np.uint16 if len(who) < 1 << 16 else np.uint32)
-        rows.append((int(b), keys[who].tobytes(), name[s].tobytes(), small.tobytes(), place[s].tobytes()))
+        where, asked = place[s] & ~ASKED, (place[s] >= ASKED).astype(np.uint32)
+        short = int(where.max()) < 1 << 23  # three bytes, the wish in the highest bit
+        where |= asked << np.uint32(23 if short else 31)
+        rows.append((int(b), keys[who].tobytes(), packed(name[s], width), small.tobytes(), packed(where, 3 if short else 4)))
     columns = list(zip(*rows)) or [()] * 5
     return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]],
                                       ["bucket", "keys", "names", "texts", "places"])
 
 
 DEALT = "bucket int, keys binary, names binary, texts binary, places binary"
-
-
-def resolved(rows: DataFrame, buckets: int) -> DataFrame:
-    """``key``, ``places``, ``first``: per text and bucket the places whose name occurs at another place too, and for
-    each whether it is its class's first.  Each bucket is sorted by itself."""
-
-    def solve(held: list[tuple[bytes, bytes, bytes, bytes]]) -> pa.RecordBatch:
-        keys = np.concatenate([np.frombuffer(k, np.dtype((np.void, KEY_BYTES))) for k, *_ in held])
-        own, number = np.unique(keys, return_inverse=True)
-        name = np.concatenate([np.frombuffer(x[1], np.uint64) for x in held])
-        place = np.concatenate([np.frombuffer(x[3], np.uint32) for x in held])
-        text, base = [], 0
-        for k, n, t, _ in held:
-            width = len(t) // (len(n) // 8)
-            text.append(number[base + np.frombuffer(t, np.uint16 if width == 2 else np.uint32).astype(np.int64)])
+KEY = np.dtype((np.void, KEY_BYTES))
+
+
+def resolved(rows: DataFrame, buckets: int, width: int) -> DataFrame:
+    """``key``, ``places``, ``first``, a row per text: the places whose name occurs at another place too, ascending,
+    and for each whether it is its class's first.  Each bucket is sorted by itself; its answers are packed by bins of
+    texts, and each bin puts its texts' answers together."""
+
+    def solve(held: list[list[bytes]]) -> pa.RecordBatch:
+        own, number = np.unique(np.concatenate([np.frombuffer(k, KEY) for k, *_ in held]), return_inverse=True)
+        name = np.concatenate([unpacked(x[1], width, np.uint64) for x in held])
+        text, place, base = [], [], 0
+        for k, n, t, p in held:
+            rows = len(n) // width
+            text.append(number[base + np.frombuffer(t, np.uint16 if len(t) == 2 * rows else np.uint32).astype(np.int64)])
+            some = unpacked(p, len(p) // rows, np.uint32)
+            place.append((some & np.uint32(0x7FFFFF)) | (some >> np.uint32(23)) << np.uint32(31) if len(p) == 3 * rows else some)
             base += len(k) // KEY_BYTES
-        text = np.concatenate(text).astype(np.int64)
+        text, place = np.concatenate(text).astype(np.int64), np.concatenate(place)
         order = np.lexsort((place & ~ASKED, text, name))
         name, place, text = name[order], place[order], text[order]
         where = place & ~ASKED
         new = np.r_[True, (name[1:] != name[:-1]) | (text[1:] != text[:-1]) | (where[1:] != where[:-1])]
         name, place, text, where = name[new], place[new], text[new], where[new]  # copies of a text count once
         head = np.r_[True, name[1:] != name[:-1]]
-        again = ~head | ~np.r_[head[1:], True]
-        want = again & (place >= ASKED)
+        want = (~head | ~np.r_[head[1:], True]) & (place >= ASKED)
         text, where, head = text[want], where[want], head[want]
-        order = np.lexsort((where, text))
-        text, where, head = text[order], where[order], head[order]
-        begin = np.flatnonzero(np.r_[True, text[1:] != text[:-1]]) if len(text) else np.empty(0, np.int64)
-        cut = np.r_[begin, len(text)]
-        spans = list(zip(cut.tolist(), cut[1:].tolist()))
-        return pa.RecordBatch.from_arrays([pa.array([own[text[a]].tobytes() for a in begin], pa.binary()), pa.array([where[a:z].tobytes() for a, z in spans], pa.binary()),
-                                           pa.array([np.packbits(head[a:z]).tobytes() for a, z in spans], pa.binary())], ["key", "places", "first"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-        for b in batches:
-            for bucket, *rest in zip(*[c.to_pylist() for c in b.columns]):
-                if now is not None and bucket != now:
-                    yield solve(held)
-                    held = []
-                now = bucket
-                held.append(rest)
-        if held:
-            yield solve(held)
-
-    return rows.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "key binary, places binary, first binary")
-
-
-def gathered(found: DataFrame, name: str) -> DataFrame:
-    """One row per text: the lists of all buckets."""
-    return found.groupBy("key").agg(F.collect_list(F.struct("places", "first")).alias(name))
-
-
-def places_of(lists: list[dict] | None) -> tuple[np.ndarray, np.ndarray]:
+        # bins of texts: by the first bytes of their keys
+        lead = own.view(np.uint8).reshape(-1, KEY_BYTES)[:, :4].astype(np.int64) @ np.array([1 << 24, 1 << 16, 1 << 8, 1])
+        bins = (lead * buckets >> 32)[text]
+        order = np.lexsort((where, text, bins))
+        text, where, head, bins = text[order], where[order], head[order], bins[order]
+        made = []
+        for z in np.unique(bins):
+            a, e = np.searchsorted(bins, [z, z + 1])
+            who, n = np.unique(text[a:e], return_counts=True)  # ascending, as the rows are
+            made.append((int(z), own[who].tobytes(), n.astype(np.uint32).tobytes(), where[a:e].tobytes(), np.packbits(head[a:e]).tobytes()))
+        columns = list(zip(*made)) or [()] * 5
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]]], ["bin", "keys", "n", "places", "first"])
+
+    def merge(held: list[list[bytes]]) -> pa.RecordBatch:
+        own, number = np.unique(np.concatenate([np.frombuffer(k, KEY) for k, *_ in held]), return_inverse=True)
+        text = np.repeat(number, np.concatenate([np.frombuffer(n, np.uint32) for _, n, _, _ in held]))
+        place = [np.frombuffer(p, np.uint32) for _, _, p, _ in held]
+        first = np.concatenate([np.unpackbits(np.frombuffer(f, np.uint8), count=len(p)) for (*_, f), p in zip(held, place)])
+        place = np.concatenate(place)
+        order = np.lexsort((place, text))
+        text, place, first = text[order], place[order], first[order]
+        edge = np.searchsorted(text, np.arange(len(own) + 1)).tolist()
+        spans = list(zip(edge, edge[1:]))
+        return pa.RecordBatch.from_arrays([pa.array([k.tobytes() for k in own], pa.binary()), pa.array([place[a:z].tobytes() for a, z in spans], pa.binary()),
+                                           pa.array([np.packbits(first[a:z]).tobytes() for a, z in spans], pa.binary())], ["key", "places", "first"])
+
+    answers = rows.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(
+        lambda batches: _grouped(batches, solve), "bin int, keys binary, n binary, places binary, first binary")
+    return answers.repartition(buckets, "bin").sortWithinPartitions("bin").mapInArrow(
+        lambda batches: _grouped(batches, merge), "key binary, places binary, first binary")
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], done) -> Iterator[pa.RecordBatch]:
+    """``done(rows)`` for the rows of each value of the first column, which come one value after another."""
+    now, held = None, []
+    for b in batches:
+        for value, *rest in zip(*[c.to_pylist() for c in b.columns]):
+            if now is not None and value != now:
+                yield done(held)
+                held = []
+            now = value
+            held.append(rest)
+    if held:
+        yield done(held)
+
+
+def named(found: DataFrame, name: str) -> DataFrame:
+    return found.select("key", F.struct("places", "first").alias(name))
+
+
+def places_of(answer: dict | None) -> tuple[np.ndarray, np.ndarray]:
     """Ascending places, and whether each is its class's first."""
-    if not lists:
+    if not answer:
         return np.empty(0, np.int64), np.empty(0, bool)
-    place = [np.frombuffer(x["places"], np.uint32) for x in lists]
-    first = [np.unpackbits(np.frombuffer(x["first"], np.uint8), count=len(p)).astype(bool) for x, p in zip(lists, place)]
-    place, first = np.concatenate(place).astype(np.int64), np.concatenate(first)
-    order = np.argsort(place)
-    return place[order], first[order]
+    place = np.frombuffer(answer["places"], np.uint32).astype(np.int64)
+    return place, np.unpackbits(np.frombuffer(answer["first"], np.uint8), count=len(place)).astype(bool)
 
 
-def _sent(df: DataFrame, make, buckets: int) -> DataFrame:
+def _sent(df: DataFrame, make, buckets: int, width: int = 8) -> DataFrame:
     """``make(row) -> (names, places)`` of every row, dealt to buckets; rows begin with key and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,7 +264,7 @@ def _sent(df: DataFrame, make, buckets: int) -> DataFrame:
                     keys.append(key)
                     entries.append(make(np.frombuffer(text, np.uint8), *rest))
             if entries:
-                yield dealt(keys, entries, buckets)
+                yield dealt(keys, entries, buckets, width)
 
     return df.mapInArrow(run, DEALT)
 
@@ -235,12 +274,12 @@ def _sampled(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return names(data, at, SHARED), at | int(ASKED)
 
 
-def _long_ties(data: np.ndarray, hits: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+def _long_ties(data: np.ndarray, hits: dict) -> tuple[np.ndarray, np.ndarray]:
     a, b = gaps(data, near_hits(len(data), places_of(hits)[0]))
     return names(data, a, b - a + LENGTH), a | int(ASKED)
 
 
-def _cover(data: np.ndarray, hits: list[dict], ties: list[dict] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _cover(data: np.ndarray, hits: dict, ties: dict | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Which starts may be repeated, which are known to be, and which stand for a class of long ties."""
     wanted = near_hits(len(data), places_of(hits)[0])
     known, standing = np.zeros(len(wanted) + 1, np.int32), np.zeros(len(wanted) + 1, np.int32)
@@ -254,7 +293,7 @@ def _cover(data: np.ndarray, hits: list[dict], ties: list[dict] | None) -> tuple
     return wanted, np.cumsum(known[:-1]) > 0, np.cumsum(standing[:-1]) > 0
 
 
-def _rest(data: np.ndarray, hits: list[dict], ties: list[dict] | None) -> tuple[np.ndarray, np.ndarray]:
+def _rest(data: np.ndarray, hits: dict, ties: dict | None) -> tuple[np.ndarray, np.ndarray]:
     wanted, known, standing = _cover(data, hits, ties)
     at = np.flatnonzero(wanted & (~known | standing))
     return names(data, at, LENGTH), at | np.where(known[at], 0, int(ASKED))
@@ -290,15 +329,15 @@ def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text") -
 
     long = whole.where(F.octet_length("text") >= LENGTH).select(key.alias("key"), "text")
     n = buckets(total * (ORDER + 1) / COVER)
-    hits = gathered(resolved(_sent(long, _sampled, n), n), "hits")
+    hits = named(resolved(_sent(long, _sampled, n, SAMPLE_BYTES), n, SAMPLE_BYTES), "hits")
     once = long.groupBy("key").agg(F.first("text").alias("text"))
     candidates = stored(once.join(hits, "key"), "suffix-candidates")
     size = candidates.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = buckets(size / ANCHOR_EVERY)
-    ties = gathered(resolved(_sent(candidates.select("key", "text", "hits"), _long_ties, n), n), "ties")
+    ties = named(resolved(_sent(candidates.select("key", "text", "hits"), _long_ties, n), n, 8), "ties")
     tied = stored(candidates.join(ties, "key", "left").select("key", "text", "hits", "ties"), "suffix-ties")
     n = buckets(size)
-    rest = gathered(resolved(_sent(tied, _rest, n), n), "rest")
+    rest = named(resolved(_sent(tied, _rest, n), n, 8), "rest")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
