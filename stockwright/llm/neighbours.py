@@ -198,7 +198,7 @@ def nearest(table: DataFrame, id: str = "vec_id", vector: str = "embedding", k:
     dealt = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
     found = None
     for block in range(blocks):
-        rows = [r for r in _usable(dealt.where(F.col("block") == block).select("vec_id", "vector").toArrow().to_batches())]
+        rows = list(_usable(dealt.where(F.col("block") == block).select("vec_id", "vector").toArrow().to_batches()))
         sent = table.sparkSession.sparkContext.broadcast(rows)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, block=block) -> Iterator[pa.RecordBatch]:

@@ -193,9 +193,10 @@ def scan_text(text: str, most: int = LAYER_BYTES) -> tuple[list[Span], list[Span
 
 
 def scan_bytes(data: bytes | None) -> tuple[list[Span], list[Span], int]:
-    if not data or not (_MAYBE.search(data) or any(w in low for low in (data.lower(),) for w in _WORDS)):
+    if not data:
         return [], [], 0
-    return scan_text(data.decode())
+    low = data.lower()
+    return scan_text(data.decode()) if _MAYBE.search(data) or any(w in low for w in _WORDS) else ([], [], 0)
 
 
 def scan(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
