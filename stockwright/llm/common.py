@@ -45,7 +45,7 @@ def parts(data: bytes, size: int = 4 << 20) -> Iterator[bytes]:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a compressed table in the shared folder and read again: cuts lineage where rows are many."""
     path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -334,8 +334,9 @@ def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text") -
     candidates = stored(once.join(hits, "key"), "suffix-candidates")
     size = candidates.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = buckets(size / ANCHOR_EVERY)
-    ties = named(resolved(_sent(candidates.select("key", "text", "hits"), _long_ties, n), n, 8), "ties")
-    tied = stored(candidates.join(ties, "key", "left").select("key", "text", "hits", "ties"), "suffix-ties")
+    ties = stored(named(resolved(_sent(candidates.select("key", "text", "hits"), _long_ties, n), n, 8), "ties"), "suffix-ties")
+    # read twice in the last plan below, where Spark shuffles the texts once and reuses the exchange
+    tied = candidates.join(ties, "key", "left").select("key", "text", "hits", "ties")
     n = buckets(size)
     rest = named(resolved(_sent(tied, _rest, n), n, 8), "rest")
 
