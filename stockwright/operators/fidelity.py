@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numeric import correlation, ratio
-from ..functions.ranks import exact_quantiles, running_totals, value_at_rank
+from ..functions.ranks import exact_quantiles, running_totals
 from ..session import cut
 
 # --- distributions -----------------------------------------------------------------------------------
@@ -152,7 +152,7 @@ def _neighbours(cells: list[str], d: int) -> Column:
     return F.array(*[F.struct(*[(F.col(c) + s).alias(c) for c, s in zip(cells, shift)]) for shift in out])
 
 
-def two_nearest(queries: DataFrame, points: DataFrame, columns: list[str], most: int = 1_000_000) -> DataFrame:
+def two_nearest(queries: DataFrame, points: DataFrame, columns: list[str]) -> DataFrame:
     """Exact distances ``d1 <= d2`` from each distinct query to its two nearest points (both scaled to 0..1).
 
     ``queries``: distinct rows; ``points``: distinct rows with multiplicity ``n``.  Space is cut into cells of

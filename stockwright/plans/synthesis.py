@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..operators import demand as dm
 from ..operators import fidelity as fi
-from ..operators import forecast as fc
 from ..operators import synth as sy
 from ..operators import utility as ut
 from ..session import cut
