@@ -3,8 +3,8 @@
 A text starts a worklist.  Each layer taken from it is scanned with the base rules and unwrapped: percent codes and
 Unicode escapes of the whole layer, base64 runs one by one, compressed bytes found inside these.  Every layer knows,
 for each of its characters, which characters of the original text it came from, so what is found in a layer is
-reported as a span of the original.  A layer that was seen before in the same text is not opened again, which ends
-cycles; the worklist ends when nothing new can be unwrapped.
+reported as a span of the original.  A layer's text is scanned once, however often it occurs; what it holds is then
+mapped to every place that it was unwrapped from.  That ends cycles; the worklist ends when nothing new can be unwrapped.
 """
 
 from __future__ import annotations
@@ -44,19 +44,18 @@ Span = tuple[int, int, int]  # start, place of the kind in KINDS, end
 
 
 class Layer:
-    """A text with the original characters (``start[i]`` to ``end[i]``) behind each of its characters."""
+    """A text whose character i came from characters ``first[i]`` to ``last[i]`` (exclusive) of the text around it."""
 
-    def __init__(self, text: str, start: np.ndarray | None = None, end: np.ndarray | None = None):
-        self.text, self.start, self.end = text, start, end
+    def __init__(self, text: str, first: np.ndarray, last: np.ndarray):
+        self.text, self.first, self.last = text, first, last
 
-    def span(self, a: int, b: int) -> tuple[int, int]:
-        return (a, b) if self.start is None else (int(self.start[a]), int(self.end[b - 1]))
+    def outer(self, spans: set[Span]) -> set[Span]:
+        """Spans of this layer as spans of the text around it."""
+        return {(int(self.first[a]), kind, int(self.last[b - 1])) for a, kind, b in spans}
 
     def inner(self, text: str, first: np.ndarray, last: np.ndarray) -> Layer:
-        """A layer whose character i came from characters ``first[i]`` to ``last[i]`` (exclusive) of this one."""
-        if self.start is None:
-            return Layer(text, first, last)
-        return Layer(text, self.start[first], self.end[last - 1])
+        """A layer made of this one's text, with its places outside of this one."""
+        return Layer(text, self.first[first], self.last[last - 1])
 
 
 def base(text: str) -> list[Span]:
@@ -67,17 +66,17 @@ def base(text: str) -> list[Span]:
     return sorted(found)
 
 
-def _rewritten(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
-    """The layer with all matches replaced; ``decode(match)`` gives the new text and its places, or None."""
+def _rewritten(text: str, pattern: re.Pattern, decode) -> Layer | None:
+    """The text with all matches replaced; ``decode(match)`` gives the new text and its places, or None."""
     out, first, last, at = [], [], [], 0
 
     def plain(upto: int) -> None:
         if upto > at:
-            out.append(layer.text[at:upto])
+            out.append(text[at:upto])
             first.append(np.arange(at, upto))
             last.append(np.arange(at + 1, upto + 1))
 
-    for m in pattern.finditer(layer.text):
+    for m in pattern.finditer(text):
         made = decode(m)
         if made is None:
             continue
@@ -88,8 +87,8 @@ def _rewritten(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
         at = m.end()
     if not at:
         return None
-    plain(len(layer.text))
-    return layer.inner("".join(out), np.concatenate(first), np.concatenate(last))
+    plain(len(text))
+    return Layer("".join(out), np.concatenate(first), np.concatenate(last))
 
 
 def _text_of(data: bytes) -> tuple[str, np.ndarray] | None:
@@ -120,8 +119,9 @@ def _paired(layer: Layer | None) -> Layer | None:
     """UTF-16 halves that escapes have put next to each other become one character."""
     if layer is None or not re.search("[\ud800-\udbff][\udc00-\udfff]", layer.text):
         return layer
-    return _rewritten(layer, re.compile("[\ud800-\udbff][\udc00-\udfff]"),
-                      lambda m: (m[0].encode("utf-16", "surrogatepass").decode("utf-16"), np.zeros(1, np.int64), np.array([2])))
+    whole = _rewritten(layer.text, re.compile("[\ud800-\udbff][\udc00-\udfff]"),
+                       lambda m: (m[0].encode("utf-16", "surrogatepass").decode("utf-16"), np.zeros(1, np.int64), np.array([2])))
+    return layer.inner(whole.text, whole.first, whole.last)
 
 
 def unpacked(data: bytes, most: int = LAYER_BYTES) -> bytes | None:
@@ -145,9 +145,9 @@ def unpacked(data: bytes, most: int = LAYER_BYTES) -> bytes | None:
     return out
 
 
-def _runs(layer: Layer, most: int) -> Iterator[Layer | None]:
+def _runs(text: str, most: int) -> Iterator[Layer | None]:
     """Layers inside base64 runs; None for one that is too large."""
-    for m in RUN.finditer(layer.text):
+    for m in RUN.finditer(text):
         body = m[0].rstrip("=")
         if len(body) % 4 == 1:
             continue
@@ -166,30 +166,39 @@ def _runs(layer: Layer, most: int) -> Iterator[Layer | None]:
             continue
         if (made := _text_of(inside)) is None:
             continue
-        text, border = made
+        found, border = made
         if packed:
-            yield layer.inner(text, np.full(len(text), m.start()), np.full(len(text), m.end()))
+            yield Layer(found, np.broadcast_to(m.start(), len(found)), np.broadcast_to(m.end(), len(found)))
         else:
-            yield layer.inner(text, m.start() + border[:-1] * 8 // 6, m.start() + (border[1:] * 8 - 1) // 6 + 1)
+            yield Layer(found, m.start() + border[:-1] * 8 // 6, m.start() + (border[1:] * 8 - 1) // 6 + 1)
 
 
 def scan_text(text: str, most: int = LAYER_BYTES) -> tuple[list[Span], list[Span], int]:
     """Base spans, all spans, and the number of layers left closed, of one text."""
     plain = base(text)
-    spans, seen, work, closed = set(plain), {text}, [Layer(text)], 0
+    spans: dict[str, set[Span]] = {text: set(plain)}  # of each layer's text, in its own places
+    around: dict[str, list[tuple[str, Layer]]] = {text: []}  # the texts that each was unwrapped from
+    work, order, closed = [text], [], 0
     while work:
-        layer = work.pop()
-        if layer.start is not None:
-            for a, kind, b in base(layer.text):
-                start, end = layer.span(a, b)
-                spans.add((start, kind, end))
-        found = [_rewritten(layer, PERCENT, _percent), _paired(_rewritten(layer, ESCAPE, _escape)), *_runs(layer, most)]
+        outside = work.pop()
+        order.append(outside)
+        found = [_rewritten(outside, PERCENT, _percent), _paired(_rewritten(outside, ESCAPE, _escape)), *_runs(outside, most)]
         closed += found[2:].count(None)
         for inner in found:
-            if inner is not None and inner.text not in seen:
-                seen.add(inner.text)
-                work.append(inner)
-    return plain, sorted(spans), closed
+            if inner is None:
+                continue
+            if inner.text not in spans:
+                spans[inner.text], around[inner.text] = set(base(inner.text)), []
+                work.append(inner.text)
+            around[inner.text].append((outside, inner))
+    work = [(t, spans[t]) for t in order if spans[t]]
+    while work:
+        inside, new = work.pop()
+        for outside, layer in around[inside]:
+            if more := layer.outer(new) - spans[outside]:
+                spans[outside] |= more
+                work.append((outside, more))
+    return plain, sorted(spans[text]), closed
 
 
 def scan_bytes(data: bytes | None) -> tuple[list[Span], list[Span], int]:
