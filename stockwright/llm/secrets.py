@@ -1,17 +1,17 @@
 """Secrets in texts, plain or wrapped in URL, Unicode, base64 and compressed layers.
 
 A text starts a worklist.  Each layer taken from it is scanned with the base rules and unwrapped: percent codes and
-Unicode escapes of the whole layer, base64 runs one by one, compressed bytes found inside these.  Every layer knows,
-for each of its characters, which characters of the original text it came from, so what is found in a layer is
+Unicode escapes of the whole layer, base64 runs one by one and joined over line breaks, from each of the four places
+where a group of four may begin, and all members of compressed streams anywhere inside these.  Every layer knows, for each of its characters, which characters of the original text it came from, so what is found in a layer is
 reported as a span of the original.  A layer's text is scanned once, however often it occurs; what it holds is then
 mapped to every place that it was unwrapped from.  That ends cycles; the worklist ends when nothing new can be unwrapped.
 """
 
 from __future__ import annotations
 
-import base64
 import binascii
 import bz2
+import hashlib
 import lzma
 import re
 import zlib
@@ -33,7 +33,13 @@ LEAST = {"assign": 6, "access": 20}
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-#: A layer that unpacks to more bytes than this stays closed and is counted in ``closed``.
+#: Runs of lines that follow each other: base64 as MIME, PEM or the command wrap it.
+BLOCK = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:[ \t]*+(?:\r\n?|\n)[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+URL_SAFE = bytes.maketrans(b"-_", b"+/")
+#: How compressed streams begin.  ``skip``: a frame of zstd without content.
+MAGIC = re.compile(rb"(?P<zlib>\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda])|(?P<bz2>BZh[1-9])|(?P<xz>\xfd7zXZ\x00)|(?P<zstd>\x28\xb5\x2f\xfd|[\x50-\x5f]\x2a\x4d\x18)", re.S)
+WIDE = re.compile(rb"(?P<le>(?:[\t-~]\x00){8,})|(?P<be>(?:\x00[\t-~]){8,})")
+#: A layer that unpacks to more bytes than this is scanned in windows of this size that overlap by half, and is counted in ``closed``.
 LAYER_BYTES = 1 << 26
 
 # what a text needs for any of the above: tried on its UTF-8 bytes, so that most texts are not decoded at all
@@ -91,21 +97,41 @@ def _rewritten(text: str, pattern: re.Pattern, decode) -> Layer | None:
     return Layer("".join(out), np.concatenate(first), np.concatenate(last))
 
 
-def _text_of(data: bytes) -> tuple[str, np.ndarray] | None:
-    """Printable text in UTF-8, and the byte borders of its characters."""
+def _maybe(data: bytes) -> bool:
+    """Whether anything can be found in or unwrapped from a text with these bytes."""
+    if _MAYBE.search(data):
+        return True
+    low = data.lower()
+    return any(w in low for w in _WORDS)
+
+
+def _text_of(data: bytes) -> tuple[str, np.ndarray]:
+    """The text in UTF-8, or else Latin-1, and the byte borders of its characters."""
     try:
         text = data.decode()
     except UnicodeDecodeError:
-        return None
-    if not text or not all(c.isprintable() or c in "\t\n\r" for c in text):
-        return None
-    return text, np.cumsum([0, *(len(c.encode()) for c in text)])
+        return data.decode("latin-1"), np.arange(len(data) + 1)
+    if len(text) == len(data):
+        return text, np.arange(len(data) + 1)
+    code = np.frombuffer(text.encode("utf-32-le"), "<u4")
+    return text, np.r_[0, np.cumsum(1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF))]
+
+
+def _views(data: bytes) -> Iterator[tuple[str, np.ndarray]]:
+    """Texts that the bytes may stand for, with byte borders: UTF-8 or Latin-1, and UTF-16 where letters show in it.
+    Those in which nothing can be found are left out."""
+    if _maybe(data):
+        yield _text_of(data)
+    for kind, odd in sorted({(m.lastgroup, m.start() % 2) for m in WIDE.finditer(data)}):
+        text = data[odd : len(data) - (len(data) - odd) % 2].decode(f"utf-16-{kind}", "surrogatepass")
+        if _maybe(text.encode("utf-8", "surrogatepass")):
+            code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+            yield text, odd + np.r_[0, np.cumsum(2 + 2 * (code > 0xFFFF))]
 
 
 def _percent(m: re.Match):
-    data = bytes.fromhex(m[0].replace("%", ""))
-    made = _text_of(data) or (data.decode("latin-1"), np.arange(len(data) + 1))
-    return made[0], made[1][:-1] * 3, made[1][1:] * 3
+    text, border = _text_of(bytes.fromhex(m[0].replace("%", "")))
+    return text, border[:-1] * 3, border[1:] * 3
 
 
 def _escape(m: re.Match):
@@ -124,69 +150,113 @@ def _paired(layer: Layer | None) -> Layer | None:
     return layer.inner(whole.text, whole.first, whole.last)
 
 
-def unpacked(data: bytes, most: int = LAYER_BYTES) -> bytes | None:
-    """What compressed bytes hold; None if they are not compressed; ValueError if they hold more than ``most``."""
-    try:
-        if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 2 and int.from_bytes(data[:2]) % 31 == 0:
-            out = zlib.decompressobj(47).decompress(data, most + 1)
-        elif data[:3] == b"BZh":
-            out = bz2.BZ2Decompressor().decompress(data, most + 1)
-        elif data[:6] == b"\xfd7zXZ\x00":
-            out = lzma.LZMADecompressor().decompress(data, most + 1)
-        elif data[:4] == b"\x28\xb5\x2f\xfd":
-            with zstandard.ZstdDecompressor().stream_reader(data) as r:
-                out = r.read(most + 1)
-        else:
-            return None
-    except (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError):
-        return None
-    if len(out) > most:
-        raise ValueError("too large")
-    return out
-
-
-def _runs(text: str, most: int) -> Iterator[Layer | None]:
-    """Layers inside base64 runs; None for one that is too large."""
-    for m in RUN.finditer(text):
-        body = m[0].rstrip("=")
-        if len(body) % 4 == 1:
-            continue
-        try:
-            data = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4))
-        except binascii.Error:
+class Stream:
+    """The compressed stream that begins at ``at``: where it ends, where others may begin, and whether it is large."""
+
+    def __init__(self, data: bytes, at: int):
+        self.data, self.at, self.end, self.next, self.large = data, at, len(data), at + 1, False
+
+    def pieces(self) -> Iterator[bytes]:
+        """What all members and frames hold; of a broken or cut one what comes before the break."""
+        at, view = self.at, memoryview(self.data)
+        while m := MAGIC.match(self.data, at):
+            kind = m.lastgroup
+            one = {"zlib": lambda: zlib.decompressobj(47), "bz2": bz2.BZ2Decompressor, "xz": lzma.LZMADecompressor,
+                   "zstd": lambda: zstandard.ZstdDecompressor().decompressobj()}[kind]()
+            step, place = 1 << (10 if kind == "zstd" else 12), at
+            try:
+                while not one.eof and place < len(view):
+                    given = view[place : place + step]
+                    place += len(given)
+                    if kind in ("bz2", "xz"):
+                        yield one.decompress(given, 1 << 20)
+                        while not one.needs_input and not one.eof:
+                            yield one.decompress(b"", 1 << 20)
+                    else:
+                        yield one.decompress(given)
+            except (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError):
+                return
+            if not one.eof:
+                return
+            at = place - len(one.unused_data)
+            self.next = at
+            while at < len(view) and view[at] == 0:  # padding
+                at += 1
+        self.end = self.next
+
+    def windows(self, most: int) -> Iterator[bytes]:
+        held = bytearray()
+        for piece in self.pieces():
+            held += piece
+            while len(held) > most:
+                self.large = True
+                yield bytes(held[:most])
+                del held[: most - most // 2]
+        if held:
+            yield bytes(held)
+
+
+def _streams(data: bytes) -> Iterator[Stream]:
+    at = 0
+    while m := MAGIC.search(data, at):
+        yield (stream := Stream(data, m.start()))
+        at = stream.next
+
+
+def _contents(stream: Stream, most: int, chain: tuple[bytes, ...] = ()) -> Iterator[bytes]:
+    """The windows of a stream, and of all streams inside them; a window that lies in itself is not opened again."""
+    for window in stream.windows(most):
+        if window in chain:
             continue
-        try:
-            inside, packed = data, False
-            seen = set()
-            while inside not in seen and (more := unpacked(inside, most)) is not None:
-                seen.add(inside)
-                inside, packed = more, True
-        except ValueError:
-            yield None
-            continue
-        if (made := _text_of(inside)) is None:
-            continue
-        found, border = made
-        if packed:
-            yield Layer(found, np.broadcast_to(m.start(), len(found)), np.broadcast_to(m.end(), len(found)))
-        else:
-            yield Layer(found, m.start() + border[:-1] * 8 // 6, m.start() + (border[1:] * 8 - 1) // 6 + 1)
+        yield window
+        for inner in _streams(window):
+            for deeper in _contents(inner, most, (*chain, window)):
+                stream.large |= inner.large
+                yield deeper
+
+
+def _runs(text: str, most: int) -> Iterator[Layer | tuple[int, int, set[int]]]:
+    """Layers inside base64 runs; of one that is too large its place and the kinds found in its windows."""
+    for m in (*RUN.finditer(text), *BLOCK.finditer(text)):
+        whole = np.frombuffer(m[0].rstrip("=").encode(), np.uint8)
+        place = np.flatnonzero(whole > 32)
+        body, place = whole[place].tobytes().translate(URL_SAFE), m.start() + place
+        for shift in range(4):
+            size = len(body) - shift - ((len(body) - shift) % 4 == 1)
+            data = binascii.a2b_base64(body[shift : shift + size] + b"=" * (-size % 4))
+            for found, border in _views(data):
+                yield Layer(found, place[shift + border[:-1] * 8 // 6], place[shift + (border[1:] * 8 - 1) // 6] + 1)
+            for stream in _streams(data):
+                start, kinds, done = int(place[shift + stream.at * 8 // 6]), set(), set()
+                end = lambda: m.end() if stream.end == len(data) else int(place[shift + (stream.end * 8 - 1) // 6]) + 1  # noqa: B023, E731
+                for window in _contents(stream, most):
+                    if not stream.large:
+                        for found, _ in _views(window):
+                            yield Layer(found, np.broadcast_to(start, len(found)), np.broadcast_to(end(), len(found)))
+                    elif (digest := hashlib.blake2b(window).digest()) not in done:
+                        done.add(digest)
+                        kinds |= {kind for found, _ in _views(window) for _, kind, _ in scan_text(found, most)[1]}
+                if stream.large:
+                    yield start, end(), kinds
 
 
 def scan_text(text: str, most: int = LAYER_BYTES) -> tuple[list[Span], list[Span], int]:
-    """Base spans, all spans, and the number of layers left closed, of one text."""
+    """Base spans, all spans, and the number of layers too large to be held whole, of one text."""
     plain = base(text)
     spans: dict[str, set[Span]] = {text: set(plain)}  # of each layer's text, in its own places
     around: dict[str, list[tuple[str, Layer]]] = {text: []}  # the texts that each was unwrapped from
-    work, order, closed = [text], [], 0
+    work, order, closed = [text], [], set()
     while work:
         outside = work.pop()
         order.append(outside)
-        found = [_rewritten(outside, PERCENT, _percent), _paired(_rewritten(outside, ESCAPE, _escape)), *_runs(outside, most)]
-        closed += found[2:].count(None)
-        for inner in found:
+        for inner in (_rewritten(outside, PERCENT, _percent), _paired(_rewritten(outside, ESCAPE, _escape)), *_runs(outside, most)):
             if inner is None:
                 continue
+            if isinstance(inner, tuple):
+                start, end, kinds = inner
+                spans[outside] |= {(start, kind, end) for kind in kinds}
+                closed.add((len(order), start))
+                continue
             if inner.text not in spans:
                 spans[inner.text], around[inner.text] = set(base(inner.text)), []
                 work.append(inner.text)
@@ -198,19 +268,19 @@ def scan_text(text: str, most: int = LAYER_BYTES) -> tuple[list[Span], list[Span
             if more := layer.outer(new) - spans[outside]:
                 spans[outside] |= more
                 work.append((outside, more))
-    return plain, sorted(spans[text]), closed
+    return plain, sorted(spans[text]), len(closed)
 
 
 def scan_bytes(data: bytes | None) -> tuple[list[Span], list[Span], int]:
     if not data:
         return [], [], 0
-    low = data.lower()
-    return scan_text(data.decode()) if _MAYBE.search(data) or any(w in low for w in _WORDS) else ([], [], 0)
+    return scan_text(data.decode()) if _maybe(data) else ([], [], 0)
 
 
 def scan(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: ``doc_id``, ``base`` and ``spans`` (arrays of kind, start, end in code points, by start,
-    then kind as listed, then end) and ``closed`` (layers above ``LAYER_BYTES``, which are not opened).
+    then kind as listed, then end) and ``closed`` (layers above ``LAYER_BYTES``, which are scanned in
+    overlapping windows).
 
     NULL texts count as empty: empty arrays.  Repeated rows are each scanned; a span found in several layers is
     reported once; spans may overlap.
