@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import cut, narrow
 
@@ -257,6 +258,17 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     NULL and empty texts have the fingerprint zero and are linked like others.  Repeated rows are each returned.  A
     component's id is its smallest id that is not NULL; it is NULL if there is none.  An empty table gives no row.
     """
+    marked, rooted = _grouped(docs, id, text)
+    heads = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("n").alias("copies"))
+    named = cut(rooted.select("fp", "root").join(heads, "root").select("fp", "component_id", "copies"))
+    return marked.join(named, "fp").select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "copies"
+    )
+
+
+def _grouped(docs: DataFrame, id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """``doc_id``, ``fp`` of every document; and of every fingerprint ``fp``, ``root`` (the least of its component),
+    ``first`` (its smallest id) and ``n`` (its documents)."""
     marked = cut(fingerprints(docs, id, text))
     values = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
     rows = values.count() * (RADIUS + 1)
@@ -265,26 +277,34 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     edges = shards.repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(_links, "a bigint, b bigint")
     known = components(edges)
     rooted = values.join(known, values.fp == known.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "first", "n")
-    heads = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("n").alias("copies"))
-    named = cut(rooted.select("fp", "root").join(heads, "root").select("fp", "component_id", "copies"))
-    return marked.join(named, "fp").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "copies"
-    )
+    return marked, rooted
 
 
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents of ``docs`` (all columns) that have the smallest id of their component.
+    """One document (all columns) of each component of ``docs``: the one with the smallest id, NULL being the last;
+    among rows with this id the one with the smallest fingerprint, among these the least row.
 
-    Rows that repeat this id inside the component count as one document: the least of them stays.
+    Rows whose id no other row has are told by it; rows without an id or with a repeated one by id and fingerprint.
     """
-    found = near_duplicates(docs, id, text).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    winners = found.groupBy("doc_id", "fingerprint").agg(F.count(F.lit(1)).alias("n")).groupBy("doc_id").agg(
-        F.min("fingerprint").alias("one"), F.sum("n").alias("n"))
-    winners = cut(winners.select(F.col("doc_id").alias("keep_id"), (F.col("n") > 1).alias("more")))
-    held = docs.select(docs[id].alias("held_id"), F.struct(*[docs[n] for n in docs.columns]).alias("row"))
-    mine = F.col("held_id").eqNullSafe(F.col("keep_id"))
-    once = held.join(winners.where(~F.col("more")), mine, "left_semi").select("row")
-    if winners.where("more").isEmpty():
+    marked, rooted = _grouped(docs, id, text)
+    heads = rooted.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "fp")).alias("w"))
+    repeated = marked.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again"))
+    winners = heads.select(F.col("w.first").alias("keep_id"), F.col("w.fp").alias("keep_fp"))
+    winners = cut(winners.join(repeated, F.col("keep_id") == F.col("again"), "left").select(
+        "keep_id", "keep_fp", (F.col("keep_id").isNull() | F.col("again").isNotNull()).alias("more")))
+    held = docs.select(docs[id].alias("held_id"), docs[text].alias("text"), F.struct(*[docs[n] for n in docs.columns]).alias("row"))
+    once = held.join(winners.where(~F.col("more")), F.col("held_id") == F.col("keep_id"), "left_semi").select("row")
+    shared = cut(winners.where("more").select("keep_id", "keep_fp"))
+    if shared.isEmpty():
         return once.select("row.*")
-    more = held.join(winners.where("more"), mine, "left_semi").groupBy("held_id").agg(F.min("row").alias("row"))
-    return once.unionByName(more.select("row")).select("row.*")
+    some = held.where("held_id IS NULL").unionByName(held.join(shared.select("keep_id").distinct(), F.col("held_id") == F.col("keep_id"), "left_semi"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [0 if t is None else fingerprint(t) for t in b.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(found, np.uint64).view(np.int64)), b.column(2)], ["held_id", "held_fp", "row"])
+
+    told = some.mapInArrow(run, StructType([some.schema["held_id"], StructField("held_fp", LongType()), some.schema["row"]]))
+    least = told.groupBy("held_id", "held_fp").agg(F.min("row").alias("row"))
+    mine = F.col("held_id").eqNullSafe(F.col("keep_id")) & (F.col("held_fp") == F.col("keep_fp"))
+    return once.unionByName(least.join(shared, mine, "left_semi").select("row")).select("row.*")

@@ -82,6 +82,27 @@ def test_columns_stay_and_empty_tables_pass(docs, name):
         assert [r["text"] for r in rows if r["doc_id"] == 1] == [None] and len(rows) == len(ROWS)
 
 
+def test_one_document_of_each_component_stays(spark):
+    text = lambda k: " ".join(hashlib.sha256(f"{k} {i}".encode()).hexdigest()[:6] for i in range(40))
+    rows = [(None, text(0)), (None, text(1)), (None, text(1)), (None, text(2)), (3, text(3)), (3, text(4)), (3, text(4)), (5, text(5)), (None, text(5)),
+            (3, text(6)), (2, text(6)), (8, text(7)), (9, text(7))]
+    found = simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    names = {text(k): k for k in range(8)}
+    assert sorted((names[r["text"]], r["doc_id"]) for r in found) == [(0, None), (1, None), (2, None), (3, 3), (4, 3), (5, 5), (6, 2), (7, 8)]
+
+
+def test_rows_without_an_id_are_mixed_as_often_as_taken(spark):
+    rows = [(None, f"{'a' if k % 2 else 'b'}{k} one two three", "en", "t" if k % 8 else "s") for k in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    sources = dict(zip([r[1] for r in rows], [r[3] for r in rows]))
+    sizes = {40: 0, 280: 0}  # words of sources s and t
+    for r in mixing.mix(docs).collect():
+        sizes[r["source_size"]] += int(r["taken"] / r["size"] + 0.5)
+    found = [r["text"] for r in mixing.arranged(docs).collect()]
+    assert [sum(sources[t] == s for t in found) for s in "st"] == [sizes[40], sizes[280]]
+    assert max(map(found.count, found)) <= 3
+
+
 def test_only_nulls(spark):
     nothing = spark.createDataFrame([(None, None, None, None)] * 3, "doc_id bigint, text string, lang string, source string")
     for name, operator in DOCUMENT_OPERATORS.items():
