@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, language, lm, mixing, neighbours, quality, secrets, simhash, suffixes
+from . import bpe, chat, importance, language, lm, mixing, neighbours, quality, secrets, simhash, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -16,11 +16,11 @@ ORACLES: dict[str, str] = {}
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
-def query(name: str, table: str, sql: str | None = None):
-    """Register ``fn(table) -> DataFrame`` under ``name``."""
+def query(name: str, table: str, sql: str | None = None, *others: str):
+    """Register ``fn(table, *others) -> DataFrame`` under ``name``."""
 
-    def keep(fn: Callable[[DataFrame], DataFrame]):
-        QUERIES[name] = lambda spark, folder: fn(spark.read.parquet(f"{folder}/{table}.parquet"))
+    def keep(fn: Callable[..., DataFrame]):
+        QUERIES[name] = lambda spark, folder: fn(*[spark.read.parquet(f"{folder}/{t}.parquet") for t in (table, *others)])
         if sql is not None:
             ORACLES[name] = sql
         return fn
@@ -76,3 +76,8 @@ def op9(docs: DataFrame) -> DataFrame:
 @query("op4_suffixes", "documents")
 def op4(docs: DataFrame) -> DataFrame:
     return suffixes.repeated_passages(docs)
+
+
+@query("op12_importance", "documents", importance.SQL, "benchmark")
+def op12(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    return importance.resample(docs, benchmark)
