@@ -7,13 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, importance, language, lm, mixing, neighbours, quality, secrets, simhash, suffixes
+from . import alignment, bpe, chat, importance, language, lm, mixing, neighbours, quality, secrets, simhash, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 #: Where the public vocabulary lies.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def query(name: str, table: str, sql: str | None = None, *others: str):
@@ -81,3 +82,8 @@ def op4(docs: DataFrame) -> DataFrame:
 @query("op12_importance", "documents", importance.SQL, "benchmark")
 def op12(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return importance.resample(docs, benchmark)
+
+
+@query("op13_alignment", "documents")
+def op13(docs: DataFrame) -> DataFrame:
+    return alignment.report(docs, VOCABULARY, PIECE_MODEL)
