@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import alignment, bpe, chat, importance, language, lm, mixing, neighbours, quality, secrets, simhash, suffixes
+from . import alignment, bpe, chat, importance, language, lm, mixing, neighbours, quality, secrets, simhash, suffixes, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -87,3 +87,8 @@ def op12(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 @query("op13_alignment", "documents")
 def op13(docs: DataFrame) -> DataFrame:
     return alignment.report(docs, VOCABULARY, PIECE_MODEL)
+
+
+@query("op11_toxicity", "documents", None, "labels")
+def op11(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    return toxicity.score_texts(docs, labels)
