@@ -12,7 +12,7 @@ from ..operators import metrics
 from ..operators import replenish as rp
 from . import canonical as c
 from .canonical import Tables, with_sql
-from .forecasting import RESIDUAL_SQL, SERIES_SQL, SUPPLIERS, _panel, _series
+from .forecasting import H, LEVELS, ORIGINS, RESIDUAL_SQL, SERIES_SQL, STEP, SUPPLIERS, _panel, _series
 from .registry import query, rounded
 
 
@@ -178,7 +178,6 @@ def _(t: Tables):
 
 @query("i09_gradient_boosting")
 def _(t: Tables):
-    lines = c.brand_lines(t)
-    panel, axis = dm.item_day_demand(lines), dm.read_axis(lines)
-    at = fc.origins_of(axis, 7, 1, 7)
-    return rounded(bo.boosted_forecasts(panel, axis, at, 7, [0.1, 0.5, 0.9], trees=10), 4)
+    panel, axis = _panel(t)
+    at = fc.origins_of(axis, H, ORIGINS, STEP)
+    return rounded(bo.boosted_forecasts(panel, axis, at, H, LEVELS, trees=30, rate=0.2, max_rows=60_000), 4)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from stockwright.functions import numeric as nm, ranks
 from stockwright.operators import (boosting as bo, causal as ca, demand as dm, detect as de, fidelity as fi, forecast as fc, kpi, metrics,
-                                   pivot as pv, replenish as rp, series as se, studies as st, synth as sy, utility as ut)
+                                   pivot as pv, replenish as rp, series as se, studies as st, synth as sy, trees as tr, utility as ut)
 
 DAY0 = date(2024, 1, 1)
 
@@ -281,9 +281,62 @@ def test_boosted_forecast_beats_seasonal_naive_on_its_own_ground(spark):
     y = {f"k{j}": rng.poisson(week[np.arange(140) % 7] * (1 + j % 3)).astype(float) for j in range(12)}
     panel, axis = panel_of(spark, y), axis_of(140)
     at = fc.origins_of(axis, 7, 1, 7)
-    scores, _ = fc.backtest(panel, axis, 7, 1, 7, [0.1, 0.9], more=bo.boosted_forecasts(panel, axis, at, 7, [0.1, 0.9], trees=10))
-    got = {r.forecaster: r.relative for r in scores.where("days_ahead = 0").collect()}
-    assert got["gradient-boosting"] < 0.9
+    scores, _ = fc.backtest(panel, axis, 7, 1, 7, [0.1, 0.9], more=bo.boosted_forecasts(panel, axis, at, 7, [0.1, 0.9], trees=12, rate=0.3))
+    got = {r.forecaster: r for r in scores.where("days_ahead = 0").collect()}
+    assert got["gradient-boosting"].relative < 0.9 and got["gradient-boosting"].pinball < 0.9 * got["seasonal-naive"].pinball
+
+
+def test_boosted_forecast_reads_nothing_from_an_origin_on(spark):
+    rng = np.random.default_rng(2)
+    y = {f"k{j}": rng.poisson(3 + j, 90).astype(float) for j in range(6)} | {"young": np.r_[np.zeros(70), rng.poisson(5, 20)]}
+    later = {k: np.r_[v[:76], v[76:] * 7 + 1] for k, v in y.items()}
+    one, other = ({(r.sku_id, r.k): (r.mean, r.q10, r.q90) for r in bo.boosted_forecasts(panel_of(spark, s), axis_of(90), [76, 83], 7, [0.9, 0.1], trees=4, rate=0.3).where("origin = 76").collect()}
+                  for s in (y, later))
+    assert one == other and len(one) == 7 * len(y)
+    assert all(0 <= low <= high for _, low, high in one.values())
+    held = fc.forecasts(panel_of(spark, y), axis_of(90), [76], 7, [0.1, 0.9], ["moving-average"]).where("sku_id = 'young' and k = 0").first()
+    assert one["young", 0] == pytest.approx((held.mean, held.q10, held.q90))
+    nothing = bo.boosted_forecasts(panel_of(spark, {"b": np.r_[np.zeros(80), np.ones(10)]}), axis_of(90), [76], 7, [0.5], trees=2).collect()
+    assert len(nothing) == 7 and all(r.mean == 0 for r in nothing)
+
+
+def test_first_tree_against_every_split(spark):
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 6, (3000, 2)).astype(float)
+    y = np.round(5 + 4 * (x[:, 0] > 2) * x[:, 1] + rng.normal(0, 1, 3000), 2)
+    df = spark.createDataFrame([(float(a), float(b), float(t)) for (a, b), t in zip(x, y)], "a double, b double, y double")
+    model = tr.fit(df, ["a", "b"], "y", [tr.Spec(None), tr.Spec(0.8)], trees=1, rate=1.0, depth=1)
+    for m, level in enumerate((None, 0.8)):
+        start = model.trees[m][0].leaf[0]
+        assert start == pytest.approx(np.log(y.mean()) if level is None else np.quantile(y, level), rel=0.03)
+        g, h = (y - np.exp(start), np.full(len(y), np.exp(start))) if level is None else tr._slopes(level, y, np.full(len(y), start), y.max() * tr.FINEST)
+        gain = {(f, b): sum(g[s].sum() ** 2 / h[s].sum() for s in (x[:, f] <= b, x[:, f] > b)) for f in (0, 1) for b in range(5)}
+        f, b = max(gain, key=gain.get)
+        tree = model.trees[m][1]
+        assert tree.feature == [f] and (tr.binned(x, model.borders)[f] <= tree.bin[0]).tolist() == (x[:, f] <= b).tolist()
+        for leaf, side in zip(tree.leaf, (x[:, f] <= b, x[:, f] > b)):
+            want = np.clip(g[side].sum() / h[side].sum(), -2, 2) if level is None else np.quantile(y[side] - start, level, method="inverted_cdf")
+            assert leaf == pytest.approx(want, rel=0.03, abs=0.01)
+    with pytest.raises(ValueError, match="negative"):
+        tr.fit(df.withColumn("y", -F.col("y")), ["a", "b"], "y", [tr.Spec(None)])
+
+
+def test_trees_fit_quantiles_under_any_partitioning(spark):
+    rng = np.random.default_rng(0)
+    x = rng.integers(0, 8, (6000, 2)).astype(float)
+    y = rng.poisson(1 + x[:, 0] * (x[:, 1] > 4)).astype(float)
+    df = spark.createDataFrame([(float(a), float(b), float(t), i % 3) for i, ((a, b), t) in enumerate(zip(x, y))], "a double, b double, y double, w int")
+    specs = [tr.Spec(0.1, 2), tr.Spec(0.5, 2), tr.Spec(0.9, 2), tr.Spec(0.9, 0)]
+    one, other = (tr.fit(d, ["a", "b"], "y", specs, "w", trees=8, rate=0.5, depth=3).predicted(x, range(4)) for d in (df, df.repartition(5)))
+    assert np.abs(one - other).max() < 1e-9
+    pinball = lambda q, f: np.mean(np.maximum(q * (y - f), (q - 1) * (y - f)))
+    cell = x[:, 0] * 10 + x[:, 1]
+    for i, q in enumerate((0.1, 0.5, 0.9)):
+        best = np.zeros(len(y))
+        for c in np.unique(cell):
+            best[cell == c] = np.quantile(y[cell == c], q, method="inverted_cdf")
+        assert pinball(q, one[i]) < 1.08 * pinball(q, best)
+    assert pinball(0.9, one[3]) < 0.6 * pinball(0.9, np.quantile(y, 0.9))
 
 
 # --- detectors -----------------------------------------------------------------------------------------
