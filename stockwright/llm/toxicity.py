@@ -9,8 +9,7 @@
 3.  Spark's boosted trees are fitted on the features of all folds but the last, and isotonic regression on the last turns
     their margins, rounded to a grid of fixed step, into probabilities.
 
-The lexicons (``LEXICON`` terms each), the trees and the calibration have fixed bounds and are sent to the tasks; all
-counts cover all labelled training texts.
+The lexicons (``LEXICON`` terms each), the trees and the calibration have fixed bounds and are sent to the tasks.
 """
 
 from __future__ import annotations
@@ -26,6 +25,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.numeric import uniform
 from .common import fold, narrow, parts, slices, stored
 
 FOLDS = 4
@@ -45,6 +45,9 @@ SEED = 11
 #: Step of the grid of margins that are calibrated.
 GRID = 0.01
 CUTOFF = 0.7
+#: Labelled texts that the classifier is fitted on: all, or about so many by a hash of their ids where there are more.
+#: The labels of that many ids are broadcast, so no text is shuffled.
+FITTED = 200_000
 #: Terms that a task counts, and words that a worker keeps, before it starts afresh.
 HELD_TERMS = 400_000
 KEPT_WORDS = 300_000
@@ -73,7 +76,7 @@ def core(word: str) -> str:
 
 def terms_of(word: str) -> tuple[str, ...]:
     """The word (two letters at least) and its stems, marked by a star."""
-    c = core(word)
+    c = word if word.isalpha() else core(word)
     return ((c,) if len(c) > 1 else ()) + tuple(c[:n] + "*" for n in STEMS if len(c) > n)
 
 
@@ -158,18 +161,21 @@ class Codes(dict):
 
     def __init__(self, lexicon: dict[str, float]):
         self.lexicon = lexicon
+        self.starts = {t[: STEMS[0]] for t in lexicon if t[-1] == "*"}
 
     def weight(self, name: str) -> tuple[float, bool]:
         own = self.lexicon.get(name, 0.0)
+        if name[: STEMS[0]] not in self.starts:
+            return own, False
         stem = max((self.lexicon.get(name[:n] + "*", 0.0) for n in STEMS if len(name) > n), default=0.0)
         return (stem, True) if stem > own else (own, False)
 
     def __missing__(self, word: str) -> int:
         if len(self) >= KEPT_WORDS:
             self.clear()
-        name = core(word)
+        name = word if word.isalpha() else core(word)
         found, stem = self.weight(name)
-        inside = any(c.isalpha() for c in word) and name != "" and not name.isalpha()
+        inside = name != "" and not name.isalpha()
         code = 0
         if inside:
             code |= self.MASKED
@@ -278,15 +284,19 @@ def train(labelled: DataFrame):
 def score_texts(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
     """One row per document: ``doc_id``, ``held_out``, ``score`` (0 to 1) and ``predicted`` (1 from ``CUTOFF`` on).
 
-    Learned from labelled documents whose crc32 of the id as text, modulo 3, is not 1; a NULL id has no label.  Several
+    Learned from labelled documents whose crc32 of the id as text, modulo 3, is not 1, about ``FITTED`` of them by a hash of
+    their ids where there are more; a NULL id has no label.  Several
     labels of one id count as their highest, NULL labels as none.  NULL texts are empty and are scored like any other.
     Repeated rows each count and are each scored.  Without labels all scores are 0.  An empty table gives no row.
     """
     df = narrow(docs, doc_id=id, text=text)
-    known = narrow(labels, doc_id=id, label=label).where("label is not null").groupBy("doc_id").agg(F.max((F.col("label") > 0).cast("int")).alias("label"))
-    used = known.where(fold("doc_id", 3) != 1)
+    known = narrow(labels, doc_id=id, label=label).where(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", 3) != 1))
+    used = known.groupBy("doc_id").agg(F.max((F.col("label") > 0).cast("int")).alias("label"))
+    share = FITTED / max(1, used.count())
+    if share < 1:
+        used = used.where(uniform(SEED, "toxicity", "doc_id") < share)
     place = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(FOLDS)).cast("int")
-    key, scored = train(stored(df.where(fold("doc_id", 3) != 1).join(used, "doc_id").select("text", "label", place.alias("fold")), "toxicity-labelled"))
+    key, scored = train(stored(df.where(fold("doc_id", 3) != 1).join(F.broadcast(used), "doc_id").select("text", "label", place.alias("fold")), "toxicity-labelled"))
     found = scored(featured(df.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "text", F.lit(None).cast("int").alias("fold")), key))
     score = F.least(F.greatest(F.col("score"), F.lit(0.0)), F.lit(1.0))
     return found.select("doc_id", "held_out", score.alias("score"), (score >= CUTOFF).cast("int").alias("predicted"))
