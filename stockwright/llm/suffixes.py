@@ -12,8 +12,12 @@ named by rolling hashes of what they begin with, and buckets are ranges of names
     repeated, every suffix in the gap is.  One member of each such class stands for it in the next step.
 3.  The rest: suffixes not yet resolved are sorted by their names with the standing members, a bucket at a time.
 
-A task never holds more than one bucket, and a bucket's size is bounded by the number of buckets.  Exact copies of a
-text are looked at once; all of their bytes go.
+A task holds one bucket at a time; the number of buckets follows the number of names, but all places of one name are in
+one bucket.  Exact copies of a text are looked at once; all of their bytes go.
+
+A passage of over 50 words may have fewer than 400 bytes.  None of its bytes go, but it is reported: of any 11 consecutive
+41-word strings the one of least name is sent, so texts that share 51 words send a string in common.  The names are sorted
+in buckets like the others.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import narrow, slices, stored
+from .common import WORD, narrow, parts, slices, stored
 
 LENGTH = 400
 ORDER = 17
@@ -42,6 +46,12 @@ KEY_BYTES = 16
 #: Bytes of a sample place's name that are sent.
 SAMPLE_BYTES = 6
 
+#: Words of a shared passage that is reported in any case, and of the strings that are compared to find it.
+PASSAGE = 51
+GRAM = 41
+#: Bytes of such a string's name that are sent.
+GRAM_BYTES = 7
+
 _FACTOR = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 
 
@@ -122,6 +132,53 @@ def near_hits(n: int, hits: np.ndarray) -> np.ndarray:
     return upto[start + COVER] > upto[start]
 
 
+def word_names(data: np.ndarray) -> np.ndarray:
+    """64-bit names of the words (runs without ASCII white space), in order."""
+    letter, power, _ = _tables()
+    out = []
+    for part in parts(data.tobytes()):
+        some = np.frombuffer(part, np.uint8)
+        inside = (some != 32) & ((some < 9) | (some > 13))
+        at = np.flatnonzero(inside)
+        if len(at):
+            head = np.flatnonzero(np.r_[True, np.diff(at) > 1])
+            start = np.repeat(at[head], np.diff(np.r_[head, len(at)]))
+            out.append(np.add.reduceat(letter[some[at]] * power[(at - start) & 0xFFFF], head))
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+
+def passage_names(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Names of the chosen ``GRAM``-word strings and the numbers of their first words."""
+    _, power, inverse = _tables()
+    word = word_names(data)
+    width = PASSAGE - GRAM + 1
+    found, places = [], []
+    for base in range(0, max(0, len(word) - PASSAGE + 1), PIECE):
+        some = word[base : base + PIECE + PASSAGE - 1]
+        total = np.zeros(len(some) + 1, np.uint64)
+        np.cumsum(some * power[: len(some)], out=total[1:])
+        name = (total[GRAM:] - total[:-GRAM]) * inverse[: len(some) - GRAM + 1]
+        name ^= name >> np.uint64(32)
+        name *= np.uint64(0xD6E8FEB86659FD93)
+        name ^= name >> np.uint64(29)
+        n = len(name) - width + 1
+        least = name[:n].copy()
+        for j in range(1, width):
+            np.minimum(least, name[j : j + n], out=least)
+        padded = np.zeros(n + 2 * (width - 1), np.uint64)
+        padded[width - 1 : width - 1 + n] = least
+        most = padded[: len(name)].copy()  # the largest least name of the windows that hold each string
+        for j in range(1, width):
+            np.maximum(most, padded[j : j + len(name)], out=most)
+        at = np.flatnonzero(most == name)
+        found.append(name[at])
+        places.append(at + base)
+    if not found:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    place, first = np.unique(np.concatenate(places), return_index=True)  # pieces overlap
+    return np.concatenate(found)[first], place
+
+
 # --- buckets ---------------------------------------------------------------------------------------------------
 
 #: The highest bit of a place: an answer is wanted.
@@ -170,9 +227,9 @@ DEALT = "bucket int, keys binary, names binary, texts binary, places binary"
 KEY = np.dtype((np.void, KEY_BYTES))
 
 
-def resolved(rows: DataFrame, buckets: int, width: int) -> DataFrame:
-    """``key``, ``places``, ``first``, a row per text: the places whose name occurs at another place too, ascending,
-    and for each whether it is its class's first.  Each bucket is sorted by itself; its answers are packed by bins of
+def resolved(rows: DataFrame, buckets: int, width: int, across: bool = False) -> DataFrame:
+    """``key``, ``places``, ``first``, a row per text: the places whose name occurs at another place too (``across``: in
+    another text), ascending, and for each whether it is its class's first.  Each bucket is sorted by itself; its answers are packed by bins of
     texts, and each bin puts its texts' answers together."""
 
     def solve(held: list[list[bytes]]) -> pa.RecordBatch:
@@ -192,7 +249,13 @@ def resolved(rows: DataFrame, buckets: int, width: int) -> DataFrame:
         new = np.r_[True, (name[1:] != name[:-1]) | (text[1:] != text[:-1]) | (where[1:] != where[:-1])]
         name, place, text, where = name[new], place[new], text[new], where[new]  # copies of a text count once
         head = np.r_[True, name[1:] != name[:-1]]
-        want = (~head | ~np.r_[head[1:], True]) & (place >= ASKED)
+        if across:
+            begin = np.flatnonzero(head)
+            size = np.diff(np.r_[begin, len(head)])
+            want = np.repeat(text[begin] != text[begin + size - 1], size)
+        else:
+            want = ~head | ~np.r_[head[1:], True]
+        want &= place >= ASKED
         text, where, head = text[want], where[want], head[want]
         # bins of texts: by the first bytes of their keys
         lead = own.view(np.uint8).reshape(-1, KEY_BYTES)[:, :4].astype(np.int64) @ np.array([1 << 24, 1 << 16, 1 << 8, 1])
@@ -274,6 +337,11 @@ def _sampled(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return names(data, at, SHARED), at | int(ASKED)
 
 
+def _passages(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    name, at = passage_names(data)
+    return name, at | int(ASKED)
+
+
 def _long_ties(data: np.ndarray, hits: dict) -> tuple[np.ndarray, np.ndarray]:
     a, b = gaps(data, near_hits(len(data), places_of(hits)[0]))
     return names(data, a, b - a + LENGTH), a | int(ASKED)
@@ -312,7 +380,8 @@ def _outcome(text: bytes, repeated: np.ndarray) -> tuple[int, int, str]:
 
 def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: ``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept_sha256``, the digest of the
-    bytes left when every byte covered by a repeated 400-byte string is removed.
+    bytes left when every byte covered by a repeated 400-byte string is removed, and ``n_shared_words``: words inside strings of ``GRAM`` words that also stand in another document; any ``PASSAGE`` words
+    shared with another document count, fewer than ``GRAM`` never do.  Of exact copies with ``PASSAGE`` words all do.
 
     NULL texts are empty; texts below 400 bytes keep all.  Strings don't cross documents and are judged on the input.
     Repeated rows are copies of each other: all their bytes go if they have 400.  An empty table gives no row.
@@ -321,7 +390,8 @@ def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text") -
     whole = df.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     digest = F.sha2("text", 256)
     key = F.unhex(F.substring(digest, 1, 2 * KEY_BYTES))
-    marked = stored(whole.select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), digest.alias("sha")), "suffix-texts")
+    octets, words = F.octet_length("text"), F.regexp_count(F.col("text").cast("string"), F.lit(WORD))
+    marked = stored(whole.select("doc_id", octets.cast("bigint").alias("n_bytes"), digest.alias("sha"), F.when(octets >= 2 * PASSAGE - 1, words).otherwise(0).alias("n_words")), "suffix-texts")
     copies = marked.groupBy("sha").agg(F.count(F.lit(1)).alias("copies"))
     total = marked.where(F.col("n_bytes") >= LENGTH).agg(F.sum("n_bytes")).first()[0] or 0
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -355,8 +425,20 @@ def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text") -
         finish, "key binary, n_removed bigint, n_spans bigint, kept string").where("n_removed > 0")
     outcome = copies.withColumn("key", F.unhex(F.substring("sha", 1, 2 * KEY_BYTES))).join(cleaned, "key", "left").select("sha", "copies", "n_removed", "n_spans", "kept")
     gone = (F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)
-    found = marked.join(outcome, "sha")
+    def covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = []
+            for places in b.column(1).to_pylist():
+                at = np.frombuffer(places, np.uint32).astype(np.int64) & int(~ASKED)
+                n.append(int(np.minimum(np.diff(at), GRAM).sum()) + GRAM)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], ["key", "shared"])
+
+    n = buckets((marked.agg(F.sum("n_words")).first()[0] or 0) * 2 / (PASSAGE - GRAM + 2))
+    several = whole.where(octets >= 2 * PASSAGE - 1).select(key.alias("key"), "text")
+    shared = resolved(_sent(several, _passages, n, GRAM_BYTES), n, GRAM_BYTES, across=True).select("key", "places").mapInArrow(covered, "key binary, shared bigint")
+    found = marked.withColumn("key", F.unhex(F.substring("sha", 1, 2 * KEY_BYTES))).join(outcome, "sha").join(shared, "key", "left")
     return found.select(
         "doc_id", "n_bytes", F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(gone, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("bigint").alias("n_spans"),
-        F.when(gone, F.sha2(F.lit(b""), 256)).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"))
+        F.when(gone, F.sha2(F.lit(b""), 256)).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"),
+        F.when((F.col("copies") > 1) & (F.col("n_words") >= PASSAGE), F.col("n_words").cast("bigint")).otherwise(F.coalesce("shared", F.lit(0))).alias("n_shared_words"))

@@ -198,7 +198,7 @@ def test_passages(spark, documents):
     pool = [word(n) for n in (390, 400, 401, 450, 800, 1500)]
     texts = ["".join(rng.choice([word(rng.randrange(300)), rng.choice(pool)]) for _ in range(rng.randrange(6))) for _ in range(60)]
     texts += ["ab" * 500, "c" * 399, "c" * 400, pool[4], pool[4], pool[3][:-1]]
-    found = {r["doc_id"]: tuple(r)[1:] for r in suffixes.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    found = {r["doc_id"]: tuple(r)[1:5] for r in suffixes.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
     assert [found[i] for i in range(len(texts))] == list(plain_removal([t.encode() for t in texts]))
 
 
@@ -389,3 +389,38 @@ def test_stages(spark, documents):
     for r in rows:
         assert r["decoded"] == clean[r["doc_id"]] and r["ids"] == library.encode(r["decoded"], add_special_tokens=False).ids
     assert corpus_pipeline.run(spark, SMALL).count() == len(rows)
+
+
+def shared_words(texts):
+    """Per text the 51-word strings that also stand in another text, and the longest run of words that does."""
+    words = [(t or "").split() for t in texts]
+    out = []
+    for n in (41, 51):
+        where = {}
+        for i, w in enumerate(words):
+            for a in range(len(w) - n + 1):
+                where.setdefault(" ".join(w[a : a + n]), set()).add(i)
+        out.append([any(len(where[" ".join(w[a : a + n])]) > 1 for a in range(len(w) - n + 1)) for w in words])
+    return list(zip(*out))
+
+
+def test_shared_passages_below_400_bytes(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 7)))
+    plants = [" ".join(word() for _ in range(n)) for n in (40, 41, 45, 51, 52, 55, 60, 90)]
+    texts = []
+    for plant in plants:
+        for _ in range(3):
+            texts.append(" ".join(word() for _ in range(rng.randint(0, 80))) + " " + plant + "\n" + " ".join(word() for _ in range(rng.randint(0, 80))))
+    texts += [" ".join(word() for _ in range(200)) for _ in range(30)]
+    texts += [(line := " ".join(word() for _ in range(52))) + " x " + line, "a b c " * 16, "a b c " * 16, None, ""]  # repeats inside a text, short copies
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5)
+    found = {r["doc_id"]: r for r in suffixes.repeated_passages(rows).collect()}
+    for i, (possible, sure) in enumerate(shared_words(texts)):
+        n = found[i]["n_shared_words"]
+        if i < len(texts) - 4:
+            assert (n > 0) >= sure and (n > 0) <= possible, i
+    assert found[len(texts) - 5]["n_shared_words"] == 0 and found[len(texts) - 4]["n_shared_words"] == 0 == found[len(texts) - 1]["n_shared_words"]
+    long = "w" * 3 + " the same " * 30
+    both = suffixes.repeated_passages(spark.createDataFrame([(1, long), (2, long), (3, "x " + long)], "doc_id int, text string")).collect()
+    assert sorted((r["doc_id"], r["n_shared_words"] > 0) for r in both) == [(1, True), (2, True), (3, True)]
