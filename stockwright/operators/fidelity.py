@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import math
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.numeric import correlation, ratio
+from ..functions.numeric import correlation, ratio, uniform
 from ..functions.ranks import exact_quantiles, running_totals
 from ..session import cut
 
@@ -132,7 +133,14 @@ def shared_histogram(both: DataFrame, column: str, bins: int = 12, side: str = "
 
 # --- privacy -----------------------------------------------------------------------------------------
 
-BLOCK_ROWS, CELL_ROWS = 2048, 256
+#: Points a cell should hold, cells at most (beyond, cells grow), points that the cells' borders are read from.
+CELL_ROWS = 8192
+CELLS = 4096
+SAMPLE_ROWS = 1 << 18
+#: Points in a leaf of a cell's own tree, queries of one task and queries compared together.
+LEAF_ROWS = 32
+BLOCK_ROWS = 4096
+TOGETHER = 256
 
 
 def normalised(both: DataFrame, columns: list[str]) -> DataFrame:
@@ -144,77 +152,184 @@ def normalised(both: DataFrame, columns: list[str]) -> DataFrame:
     })
 
 
-def _neighbours(cells: list[str], d: int) -> Column:
-    """The 3^d cells around a cell, as an array of structs."""
-    out = [[]]
-    for _ in range(d):
-        out = [o + [s] for o in out for s in (-1, 0, 1)]
-    return F.array(*[F.struct(*[(F.col(c) + s).alias(c) for c, s in zip(cells, shift)]) for shift in out])
+class Cells:
+    """Space cut at medians, the widest side first, until a cell holds about ``rows`` of the points or no side is wide."""
+
+    def __init__(self, points: np.ndarray, rows: int):
+        self.side, self.value, self.child, self.parts = [], [], [], []
+        self._cut(points, np.arange(len(points)), rows)
+
+    def _cut(self, points: np.ndarray, inside: np.ndarray, rows: int) -> int:
+        """The number of a new node, or -1 minus the number of a new cell."""
+        mine = points[inside]
+        if len(mine) > rows:
+            for side in np.argsort(mine.min(axis=0) - mine.max(axis=0), kind="stable"):
+                low, high = mine[:, side].min(), mine[:, side].max()
+                if low == high:
+                    break
+                value = np.partition(mine[:, side], (len(mine) - 1) // 2)[(len(mine) - 1) // 2]
+                if value == high:  # more than half of them: the largest value below goes left
+                    value = mine[mine[:, side] < high, side].max()
+                node = len(self.side)
+                self.side.append(int(side))
+                self.value.append(float(value))
+                self.child.append([0, 0])
+                left = mine[:, side] <= value
+                self.child[node] = [self._cut(points, inside[left], rows), self._cut(points, inside[~left], rows)]
+                return node
+        self.parts.append(inside)
+        return -len(self.parts)
+
+    def of(self, points: np.ndarray) -> np.ndarray:
+        """The cell of each point."""
+        at = np.zeros(len(points), np.int64) if self.side else np.full(len(points), -1)
+        side, value, child = np.array(self.side or [0]), np.array(self.value or [0.0]), np.array(self.child or [[0, 0]])
+        open_ = np.flatnonzero(at >= 0)
+        while len(open_):
+            node = at[open_]
+            at[open_] = child[node, (points[open_, side[node]] > value[node]).astype(int)]
+            open_ = open_[at[open_] >= 0]
+        return -1 - at
+
+
+def box_distances(queries: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Squared distances of queries (rows) to boxes (columns); 0 inside."""
+    out = np.zeros((len(queries), len(low)))
+    for j in range(queries.shape[1]):
+        x = queries[:, j][:, None]
+        out += np.maximum(np.maximum(low[:, j] - x, x - high[:, j]), 0) ** 2
+    return out
+
+
+def nearest_two(points: np.ndarray, twin: np.ndarray, queries: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Squared distances to the two nearest ``points`` (one that is a ``twin`` counts twice), and how many pairs were compared.
+
+    Only leaves whose box is nearer than ``bound`` (squared) and than the second distance found so far are compared.
+    """
+    tree = Cells(points, LEAF_ROWS)
+    size = np.array([len(x) for x in tree.parts])
+    begin = np.cumsum(size) - size
+    order = np.concatenate(tree.parts)
+    points, twin = points[order], twin[order]
+    low, high = np.minimum.reduceat(points, begin), np.maximum.reduceat(points, begin)
+    best = np.full((len(queries), 2), np.inf)
+    compared = 0
+    for at in range(0, len(queries), TOGETHER):
+        some = queries[at : at + TOGETHER]
+        box = box_distances(some, low, high)
+        near = best[at : at + TOGETHER]
+        for first in (True, False):
+            reach = np.minimum(bound[at : at + TOGETHER], near[:, 1])
+            here = np.arange(len(low)) == box.argmin(axis=1)[:, None]
+            q, leaf = np.nonzero((here if first else ~here) & (box < reach[:, None]))
+            n = size[leaf]
+            owner = np.repeat(q, n)
+            place = np.repeat(begin[leaf] - (np.cumsum(n) - n), n) + np.arange(len(owner))
+            d = ((points[place] - some[owner]) ** 2).sum(axis=1)
+            compared += len(d)
+            again = twin[place]
+            owner, d = np.r_[owner, owner[again]], np.r_[d, d[again]]
+            ranked = np.lexsort((d, owner))
+            owner, d = owner[ranked], d[ranked]
+            head = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.empty(0, np.int64)
+            second = head[np.diff(np.r_[head, len(owner)]) > 1] + 1
+            new = np.full_like(near, np.inf)
+            new[owner[head], 0] = d[head]
+            new[owner[second], 1] = d[second]
+            near[:] = np.sort(np.c_[near, new], axis=1)[:, :2]
+    return best[:, 0], best[:, 1], compared
 
 
 def two_nearest(queries: DataFrame, points: DataFrame, columns: list[str]) -> DataFrame:
     """Exact distances ``d1 <= d2`` from each distinct query to its two nearest points (both scaled to 0..1).
 
-    ``queries``: distinct rows; ``points``: distinct rows with multiplicity ``n``.  Space is cut into cells of
-    width 2^-level with about ``CELL_ROWS`` points each.  Only the 3^d cells around a query are compared; the answer
-    is final when the second distance does not exceed one cell width, and the rest goes on with cells four
-    times as wide, down to one cell.  Within a cell, both sides are split into blocks of ``BLOCK_ROWS``, so a
-    dense cell becomes many small tasks and nothing is broadcast.
+    ``queries``: distinct rows; ``points``: distinct rows with multiplicity ``n``.  Space is cut at medians into cells of
+    about equally many points, by the medians of a bounded sample: dense spots get small cells.  The tight boxes of all
+    cells (``CELLS`` at most) are known to every task.  A query goes to the cell whose box is nearest, and then, in rounds of
+    growing width, to the next nearest boxes that are nearer than its second distance so far; it is done when none is left.
+    A cell's queries are dealt to blocks, and inside a cell a tree of small leaves is searched in the same way.  ``d2`` is
+    NULL where there is one point only; without points there is no row.
     """
-    d = len(columns)
-    points = cut(points.select(*columns, "n"))
+    spark, d = points.sparkSession, len(columns)
+    points = cut(points.select(*[F.col(c).cast("double") for c in columns], F.col("n").cast("bigint")))
     size = points.count()
-    level = max(0, int(math.log2(max(size / CELL_ROWS, 1)) / d))
-    cells = [f"_c{i}" for i in range(d)]
-    left, done = cut(queries.select(*columns).withColumn("_q", F.xxhash64(*columns))), None
-
-    def best(key: tuple, qs: pd.DataFrame, ps: pd.DataFrame) -> pd.DataFrame:
-        if not len(qs) or not len(ps):
-            return pd.DataFrame({**{c: [] for c in columns}, "d1": [], "d2": []})
-        a, b = qs[columns].to_numpy(float), ps[columns].to_numpy(float)
-        first, second = np.full(len(a), np.inf), np.full(len(a), np.inf)
-        twin = ps["n"].to_numpy() > 1
-        for start in range(0, len(a), 256):
-            part = np.zeros((min(256, len(a) - start), len(b)))
-            for j in range(a.shape[1]):
-                part += (a[start : start + 256, j][:, None] - b[:, j][None, :]) ** 2
-            near = part.argmin(axis=1)
-            rows = np.arange(len(part))
-            lowest = part[rows, near].copy()
-            part[rows, near] = np.where(twin[near], lowest, np.inf)
-            first[start : start + 256], second[start : start + 256] = lowest, part.min(axis=1)
-        return pd.DataFrame({**{c: qs[c].to_numpy() for c in columns}, "d1": np.sqrt(first), "d2": np.sqrt(second)})
-
-    schema = ", ".join(f"{c} double" for c in columns) + ", d1 double, d2 double"
+    if not size:
+        return queries.select(*[F.col(c).cast("double") for c in columns], F.lit(0.0).alias("d1"), F.lit(0.0).alias("d2")).limit(0)
+    share = SAMPLE_ROWS / size
+    drawn = points if share >= 1 else points.where(uniform(0, "cells", *columns) < share)
+    sample = drawn.select(*columns).toPandas().to_numpy(float)
+    tree = Cells(sample, max(1, int(min(1.0, share) * max(CELL_ROWS, size / CELLS))))
+    coordinates = ", ".join(f"{c} double" for c in columns)
+    sent = spark.sparkContext.broadcast(tree)
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.column_stack([b.column(j).to_numpy() for j in range(d)]) if b.num_rows else np.empty((0, d))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sent.value.of(x))], [*b.schema.names, "cell"])
+
+    held = cut(points.mapInArrow(placed, f"{coordinates}, n bigint, cell bigint"))
+    box = held.groupBy("cell").agg(*[f(c).alias(f"{k}{j}") for j, c in enumerate(columns) for k, f in (("a", F.min), ("z", F.max))]).orderBy("cell").toPandas()
+    cells = box["cell"].to_numpy()
+    low, high = (box[[f"{k}{j}" for j in range(d)]].to_numpy(float) for k in "az")
+    boxes = spark.sparkContext.broadcast((cells, low, high))
+    state = f"{coordinates}, d1 double, d2 double, seen bigint"
+
+    def visits(width: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            cells, low, high = boxes.value
+            for whole in batches:
+                for at in range(0, whole.num_rows, TOGETHER):
+                    b = whole.slice(at, TOGETHER)
+                    x = np.column_stack([b.column(j).to_numpy() for j in range(d)])
+                    second, seen = b.column(d + 1).to_numpy(), b.column(d + 2).to_numpy()
+                    far = box_distances(x, low, high)
+                    order = np.argsort(far, axis=1, kind="stable")
+                    place = np.arange(len(cells))
+                    fits = (place >= seen[:, None]) & (place < seen[:, None] + width) & (np.take_along_axis(far, order, axis=1) < second[:, None] ** 2)
+                    q, k = np.nonzero(fits)
+                    none = np.flatnonzero(~fits.any(axis=1))
+                    rows = np.r_[q, none]
+                    to = np.r_[cells[order[q, k]], np.full(len(none), -1)]
+                    out = pa.Table.from_batches([b]).take(pa.array(rows)).combine_chunks()
+                    columns_ = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in out.columns]
+                    columns_[d + 2] = pa.array((seen[rows] + width).astype(np.int64))
+                    yield pa.RecordBatch.from_arrays([*columns_, pa.array(to.astype(np.int64))], [*out.schema.names, "cell"])
+
+        return run
+
+    def search(key: tuple, asked: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
+        out = asked.drop(columns=["cell", "_b"])
+        if len(asked) and len(there):
+            one, two, _ = nearest_two(there[columns].to_numpy(float), there["n"].to_numpy() > 1, asked[columns].to_numpy(float), asked["d2"].to_numpy(float) ** 2)
+            out["e1"], out["e2"] = np.sqrt(one), np.sqrt(two)
+        else:
+            out["e1"] = out["e2"] = np.inf
+        return out
+
+    inf = F.lit(float("inf"))
+    open_ = queries.select(*[F.col(c).cast("double") for c in columns], inf.alias("d1"), inf.alias("d2"), F.lit(0).cast("bigint").alias("seen"))
+    done, width = None, 1
     while True:
-        width = 2.0**-level
-        place = [F.floor(F.col(c) / F.lit(width)).cast("bigint").alias(k) for c, k in zip(columns, cells)]
-        held = points.select("*", *place)
-        counts = held.groupBy(*cells).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("_nb"))
-        blocked = held.join(counts, cells).withColumn("_pb", F.pmod(F.xxhash64(*columns), F.col("_nb")))
-        around = left.select(*columns, "_q", *place).select(*columns, "_q", F.explode(_neighbours(cells, d)).alias("_n")).select(
-            *columns, "_q", *[F.col(f"_n.{k}").alias(k) for k in cells])
-        asked = around.join(counts, cells)  # empty cells drop out here
-        chunks = asked.groupBy(*cells).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("_nq"))
-        sent = asked.join(chunks, cells).withColumn("_qb", F.pmod(F.col("_q"), F.col("_nq"))).withColumn(
-            "_pb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_nb") - 1)))
-        met = blocked.join(chunks, cells).withColumn("_qb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_nq") - 1)))
-        keys = [*cells, "_qb", "_pb"]
-        # fresh column identities: both sides descend from the same cell counts
-        sent, met = (x.select(*[F.col(c).alias(c) for c in x.columns]) for x in (sent, met))
-        found = sent.groupBy(*keys).cogroup(met.groupBy(*keys)).applyInPandas(best, schema)
-        # at most two distances per (cell, block) and query
-        merged = cut(found.select(*columns, F.explode(F.array("d1", "d2")).alias("d")).where(F.col("d") < float("inf")).groupBy(*columns).agg(
-            F.slice(F.array_sort(F.collect_list("d")), 1, 2).alias("_d")))
-        sure = merged.where((F.size("_d") == 2) & (F.element_at("_d", 2) <= width)) if level > 0 else merged
-        part = sure.select(*columns, F.col("_d")[0].alias("d1"), F.try_element_at("_d", F.lit(2)).alias("d2"))
-        done = part if done is None else done.unionByName(part)
-        if level == 0:
-            return done
-        left = cut(left.join(sure.select(*columns), columns, "left_anti"))
-        if left.isEmpty():
-            return done
-        level = max(0, level - 2)
+        asked = cut(open_.mapInArrow(visits(width), f"{state}, cell bigint"))
+        ready = asked.where("cell = -1").select(*columns, "d1", "d2")
+        done = ready if done is None else done.unionByName(ready)
+        asked = asked.where("cell >= 0")
+        blocks = asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("_n")).collect()  # a row per cell
+        if not blocks:
+            finite = lambda c: F.when(F.col(c) < inf, F.col(c)).alias(c)
+            return done.select(*columns, finite("d1"), finite("d2"))
+        number = F.broadcast(spark.createDataFrame([(r["cell"], r["_n"]) for r in blocks], "cell bigint, _n bigint"))
+        left = asked.join(number, "cell").withColumn("_b", F.pmod(F.xxhash64(*columns), F.col("_n"))).drop("_n")
+        right = held.join(number, "cell").withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1))).drop("_n")
+        left = left.select(*columns, "d1", "d2", "seen", "cell", "_b")
+        # fresh column identities: both sides hold the same numbers of blocks
+        left, right = (x.select(*[F.col(c).alias(c) for c in x.columns]) for x in (left, right))
+        found = left.groupBy("cell", "_b").cogroup(right.groupBy("cell", "_b")).applyInPandas(search, f"{state}, e1 double, e2 double")
+        # a query has at most ``width`` rows here
+        both = F.array_sort(F.flatten(F.collect_list(F.array("e1", "e2"))))
+        merged = found.groupBy(*columns, "d1", "d2", "seen").agg(both.alias("_e")).withColumn("_e", F.array_sort(F.concat(F.array("d1", "d2"), F.slice("_e", 1, 2))))
+        open_ = merged.select(*columns, F.col("_e")[0].alias("d1"), F.col("_e")[1].alias("d2"), "seen")
+        width = min(4 * width, len(cells))
 
 
 def nearest_distances(both: DataFrame, columns: list[str], side: str = "side") -> DataFrame:
@@ -229,20 +344,18 @@ def privacy_report(both: DataFrame, columns: list[str], eps: float = 0.02, side:
     """DCR median and 5 % order statistic, NNDR median, share of near copies and the verdict, over ALL rows."""
     near = cut(nearest_distances(both, columns, side))
     row = near.agg(F.sum("m").alias("n"), F.sum(F.when(F.col("d1") < eps, F.col("m")).otherwise(0)).alias("c")).first()
-    spread = near.withColumn("nndr", F.when(F.col("d2") > 0, F.col("d1") / F.col("d2")).otherwise(F.lit(1.0)))
-
-    def at(column: str, rank: int) -> float:
-        counted = spread.groupBy(F.col(column).alias("_v")).agg(F.sum("m").alias("k"))
-        ranked = running_totals(counted, [], "_v", ["k"])
-        return float(ranked.where((F.col("k_before") <= rank) & (F.lit(rank) < F.col("k_before") + F.col("k"))).first()["_v"])
-
+    nndr = F.when(F.col("d2") > 0, F.col("d1") / F.col("d2")).otherwise(F.lit(1.0))
+    each = near.select("m", F.explode(F.array(F.struct(F.lit("dcr").alias("c"), F.col("d1").alias("v")), F.struct(F.lit("nndr").alias("c"), nndr.alias("v")))).alias("x"))
+    counted = each.groupBy(F.col("x.c").alias("_c"), F.col("x.v").alias("_v")).agg(F.sum("m").alias("k"))
     n = int(row.n)
-    middle = [(n - 1) // 2, n // 2]
-    dcr = sum(at("d1", m) for m in middle) / 2
-    nndr = sum(at("nndr", m) for m in middle) / 2
-    p05 = at("d1", max(0, int(0.05 * n) - 1))
+    ranks = {(n - 1) // 2, n // 2, max(0, int(0.05 * n) - 1)}
+    covers = [(F.col("k_before") <= r) & (F.lit(r) < F.col("k_before") + F.col("k")) for r in sorted(ranks)]
+    here = running_totals(counted, ["_c"], "_v", ["k"]).where(functools.reduce(lambda a, b: a | b, covers)).collect()  # a value per rank
+    at = {(r["_c"], k): float(r["_v"]) for r in here for k in ranks if r["k_before"] <= k < r["k_before"] + r["k"]}
+    dcr, ratio_ = (sum(at[c, m] for m in ((n - 1) // 2, n // 2)) / 2 for c in ("dcr", "nndr"))
+    p05 = at["dcr", max(0, int(0.05 * n) - 1)]
     verdict = "low leakage risk" if p05 > eps else "review: some synthetic rows are close to real rows"
     return both.sparkSession.createDataFrame(
-        [(n, len(columns), round(dcr, 4), round(p05, 4), round(nndr, 4), round(100.0 * int(row.c) / n, 2), verdict)],
+        [(n, len(columns), round(dcr, 4), round(p05, 4), round(ratio_, 4), round(100.0 * int(row.c) / n, 2), verdict)],
         "n_synth bigint, dims int, dcr_median double, dcr_p05 double, nndr_median double, clone_risk_pct double, verdict string",
     )

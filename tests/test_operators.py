@@ -450,6 +450,40 @@ def test_nearest_rows_equal_brute_force_on_clustered_data(spark):
     assert got.shape == want.shape and np.allclose(got, want)
 
 
+@pytest.mark.parametrize("sides", [2, 10])
+def test_nearest_rows_with_most_points_in_one_spot(spark, sides, monkeypatch):
+    monkeypatch.setattr(fi, "CELL_ROWS", 200)
+    rng = np.random.default_rng(3)
+    spot = lambda n: np.concatenate([0.3 + rng.normal(0, 1e-4, (9 * n // 10, sides)), rng.random((n // 10, sides))])
+    points, asked = spot(6000), spot(1000)
+    columns = [f"c{j}" for j in range(sides)]
+    df = spark.createDataFrame(pd.DataFrame(points, columns=columns).assign(n=1))
+    found = fi.two_nearest(spark.createDataFrame(pd.DataFrame(asked, columns=columns)), df, columns).toPandas().sort_values(columns)
+    want = np.concatenate([brute_nearest(asked[at : at + 100], points) for at in range(0, len(asked), 100)])[np.lexsort(asked.T[::-1])]
+    assert np.allclose(found[["d1", "d2"]].to_numpy(), want)
+
+
+def test_compared_pairs_grow_with_the_queries_alone():
+    rng = np.random.default_rng(1)
+    pairs = []
+    for n in (4000, 32000):
+        points = np.concatenate([0.3 + rng.normal(0, 1e-5, (9 * n // 10, 3)), rng.random((n // 10, 3))])
+        asked = points[rng.integers(0, n, 500)] + rng.normal(0, 1e-6, (500, 3))
+        one, two, compared = fi.nearest_two(points, np.zeros(n, bool), asked, np.full(500, np.inf))
+        pairs.append(compared)
+        want = brute_nearest(asked[:50], points)
+        assert np.allclose(np.sqrt(np.c_[one, two])[:50], want)
+    assert pairs[1] < 1.6 * pairs[0] < 1.6 * 500 * 1000
+
+
+def test_nearest_rows_of_few_points(spark):
+    asked = spark.createDataFrame([(0.0, 0.0), (1.0, 1.0)], "a double, b double")
+    one = spark.createDataFrame([(0.0, 1.0, 1)], "a double, b double, n int")
+    assert sorted(map(tuple, fi.two_nearest(asked, one, ["a", "b"]).collect())) == [(0.0, 0.0, 1.0, None), (1.0, 1.0, 1.0, None)]
+    assert [r.d2 for r in fi.two_nearest(asked, one.withColumn("n", F.lit(2)), ["a", "b"]).collect()] == [1.0, 1.0]
+    assert fi.two_nearest(asked, one.limit(0), ["a", "b"]).count() == 0
+
+
 def test_fidelity_of_a_copy_is_perfect(spark):
     s = spark.createDataFrame([("k", i, float(i % 7 + i % 3)) for i in range(70)], "key string, i bigint, value double")
     both = s.withColumn("side", F.lit(0)).unionByName(s.withColumn("side", F.lit(1)))
