@@ -15,8 +15,8 @@ named by rolling hashes of what they begin with, and buckets are ranges of names
 A task holds one bucket at a time; the number of buckets follows the number of names, but all places of one name are in
 one bucket.  Exact copies of a text are looked at once; all of their bytes go.
 
-A passage of over 50 words may have fewer than 400 bytes.  None of its bytes go, but it is reported: of any 11 consecutive
-41-word strings the one of least name is sent, so texts that share 51 words send a string in common.  The names are sorted
+A passage of over 50 words may have fewer than 400 bytes.  None of its bytes go, but it is reported: of any 14 consecutive
+38-word strings the one of least name is sent, so texts that share 51 words send a string in common.  The names are sorted
 in buckets like the others.
 """
 
@@ -48,9 +48,9 @@ SAMPLE_BYTES = 6
 
 #: Words of a shared passage that is reported in any case, and of the strings that are compared to find it.
 PASSAGE = 51
-GRAM = 41
-#: Bytes of such a string's name that are sent.
-GRAM_BYTES = 7
+GRAM = 38
+#: Of such a string's name so many bits more are sent than tell all of them apart.
+SPARE_BITS = 18
 
 _FACTOR = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 
@@ -338,8 +338,8 @@ def _sampled(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _passages(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    name, at = passage_names(data)
-    return name, at | int(ASKED)
+    name = passage_names(data)[0]
+    return name, np.full(len(name), int(ASKED))  # only the text matters, not the place
 
 
 def _long_ties(data: np.ndarray, hits: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -379,9 +379,11 @@ def _outcome(text: bytes, repeated: np.ndarray) -> tuple[int, int, str]:
 
 
 def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: ``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept_sha256``, the digest of the
-    bytes left when every byte covered by a repeated 400-byte string is removed, and ``n_shared_words``: words inside strings of ``GRAM`` words that also stand in another document; any ``PASSAGE`` words
-    shared with another document count, fewer than ``GRAM`` never do.  Of exact copies with ``PASSAGE`` words all do.
+    """One row per document: ``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` (the digest of the bytes
+    left when every byte covered by a repeated 400-byte string is removed) and ``n_shared``.
+
+    ``n_shared``: of the chosen strings of ``GRAM`` words, the number that also stand in another document.  It is above 0
+    where ``PASSAGE`` words are shared and never for fewer than ``GRAM``; for copies with ``PASSAGE`` words it is 1 at least.
 
     NULL texts are empty; texts below 400 bytes keep all.  Strings don't cross documents and are judged on the input.
     Repeated rows are copies of each other: all their bytes go if they have 400.  An empty table gives no row.
@@ -425,20 +427,13 @@ def repeated_passages(docs: DataFrame, id: str = "doc_id", text: str = "text") -
         finish, "key binary, n_removed bigint, n_spans bigint, kept string").where("n_removed > 0")
     outcome = copies.withColumn("key", F.unhex(F.substring("sha", 1, 2 * KEY_BYTES))).join(cleaned, "key", "left").select("sha", "copies", "n_removed", "n_spans", "kept")
     gone = (F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)
-    def covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n = []
-            for places in b.column(1).to_pylist():
-                at = np.frombuffer(places, np.uint32).astype(np.int64) & int(~ASKED)
-                n.append(int(np.minimum(np.diff(at), GRAM).sum()) + GRAM)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], ["key", "shared"])
-
-    n = buckets((marked.agg(F.sum("n_words")).first()[0] or 0) * 2 / (PASSAGE - GRAM + 2))
+    many = (marked.agg(F.sum("n_words")).first()[0] or 0) * 2 // (PASSAGE - GRAM + 2)
+    n, width = buckets(many), min(8, max(6, -(-(int(many).bit_length() + SPARE_BITS) // 8)))
     several = whole.where(octets >= 2 * PASSAGE - 1).select(key.alias("key"), "text")
-    shared = resolved(_sent(several, _passages, n, GRAM_BYTES), n, GRAM_BYTES, across=True).select("key", "places").mapInArrow(covered, "key binary, shared bigint")
+    shared = resolved(_sent(several, _passages, n, width), n, width, across=True).select("key", (F.octet_length("places") / 4).cast("bigint").alias("shared"))
     found = marked.withColumn("key", F.unhex(F.substring("sha", 1, 2 * KEY_BYTES))).join(outcome, "sha").join(shared, "key", "left")
     return found.select(
         "doc_id", "n_bytes", F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(gone, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("bigint").alias("n_spans"),
         F.when(gone, F.sha2(F.lit(b""), 256)).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"),
-        F.when((F.col("copies") > 1) & (F.col("n_words") >= PASSAGE), F.col("n_words").cast("bigint")).otherwise(F.coalesce("shared", F.lit(0))).alias("n_shared_words"))
+        F.greatest(F.coalesce("shared", F.lit(0)), ((F.col("copies") > 1) & (F.col("n_words") >= PASSAGE)).cast("bigint")).alias("n_shared"))

@@ -392,10 +392,10 @@ def test_stages(spark, documents):
 
 
 def shared_words(texts):
-    """Per text the 51-word strings that also stand in another text, and the longest run of words that does."""
+    """Per text: does a string of 38 words, does one of 51 words also stand in another text?"""
     words = [(t or "").split() for t in texts]
     out = []
-    for n in (41, 51):
+    for n in (suffixes.GRAM, suffixes.PASSAGE):
         where = {}
         for i, w in enumerate(words):
             for a in range(len(w) - n + 1):
@@ -407,7 +407,7 @@ def shared_words(texts):
 def test_shared_passages_below_400_bytes(spark):
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 7)))
-    plants = [" ".join(word() for _ in range(n)) for n in (40, 41, 45, 51, 52, 55, 60, 90)]
+    plants = [" ".join(word() for _ in range(n)) for n in (37, 38, 45, 51, 52, 55, 60, 90)]
     texts = []
     for plant in plants:
         for _ in range(3):
@@ -417,10 +417,10 @@ def test_shared_passages_below_400_bytes(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(5)
     found = {r["doc_id"]: r for r in suffixes.repeated_passages(rows).collect()}
     for i, (possible, sure) in enumerate(shared_words(texts)):
-        n = found[i]["n_shared_words"]
+        n = found[i]["n_shared"]
         if i < len(texts) - 4:
             assert (n > 0) >= sure and (n > 0) <= possible, i
-    assert found[len(texts) - 5]["n_shared_words"] == 0 and found[len(texts) - 4]["n_shared_words"] == 0 == found[len(texts) - 1]["n_shared_words"]
+    assert found[len(texts) - 5]["n_shared"] == 0 and found[len(texts) - 4]["n_shared"] == 0 == found[len(texts) - 1]["n_shared"]
     long = "w" * 3 + " the same " * 30
     both = suffixes.repeated_passages(spark.createDataFrame([(1, long), (2, long), (3, "x " + long)], "doc_id int, text string")).collect()
-    assert sorted((r["doc_id"], r["n_shared_words"] > 0) for r in both) == [(1, True), (2, True), (3, True)]
+    assert sorted((r["doc_id"], r["n_shared"] > 0) for r in both) == [(1, True), (2, True), (3, True)]
