@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.numeric import ratio
 from ..functions.ranks import quantiles_of_counts
@@ -142,68 +142,111 @@ def _same(keys: list[str]) -> Column:
     return out
 
 
-def _aggregate(keyed: DataFrame, rows: list[str], cols: list[str], values: list) -> DataFrame:
+#: Distinct values of a column up to which a group's values are ordered in one window; beyond, value ranges are.
+WINDOW_VALUES = 20_000
+
+
+def _reduced(keyed: DataFrame, keys: list[str], values: list) -> DataFrame:
+    """One row per (keys, ``_j``, value): ``_j`` 0 holds sums, counts and extremes of the keys, and ``_j`` i counts the
+    values of the i-th column where these are needed one by one (medians ``_d``, distinct values ``_s``).  One shuffle."""
+    none = (F.lit(None).cast("string"), F.lit(None).cast("double"))
+    kinds = [(0, *none)]
+    aggs = [F.count(F.lit(1)).alias("n")]
+    first = F.col("_j") == 0
+    for i, (_, agg) in enumerate(values, start=1):
+        f = F.col(f"f{i}")
+        if agg == "median":
+            kinds.append((i, none[0], f.cast("double")))
+        elif agg == "count_distinct":
+            kinds.append((i, f.cast("string"), none[1]))
+        elif agg in ("sum", "mean"):
+            aggs += [F.sum(F.when(first, f.cast("double"))).alias(f"s{i}"), F.count(F.when(first, f)).alias(f"k{i}")]
+        elif agg in ("min", "max"):
+            aggs.append((F.min if agg == "min" else F.max)(F.when(first, f.cast("double"))).alias(f"s{i}"))
+    if len(kinds) == 1:
+        return keyed.select("*", F.lit(0).alias("_j"), none[0].alias("_s"), none[1].alias("_d")).groupBy(*keys, "_j", "_s", "_d").agg(*aggs)
+    each = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), x.alias("s"), d.alias("d")) for j, x, d in kinds]))
+    melted = keyed.withColumn("_x", each).select(*keyed.columns, F.col("_x.j").alias("_j"), F.col("_x.s").alias("_s"), F.col("_x.d").alias("_d"))
+    return cut(melted.where(first | F.col("_s").isNotNull() | F.col("_d").isNotNull()).groupBy(*keys, "_j", "_s", "_d").agg(*aggs))
+
+
+def _rolled_up(counted: DataFrame, rows: list[str], cols: list[str], x: str) -> DataFrame:
+    """Value counts of every level, each added up from those of the next finer level: ``depth, cell, keys, x, n``."""
+    def add(finer: DataFrame, keys: list[str]) -> DataFrame:
+        return finer.groupBy(*keys, x).agg(F.sum("n").alias("n"))
+
+    def shown(level: DataFrame, depth: int, cell: bool, keys: list[str]) -> DataFrame:
+        absent = [F.lit(None).cast("string").alias(k) if k not in keys else F.col(k) for k in [*rows, *cols]]
+        return level.select(F.lit(depth).alias("depth"), F.lit(cell).alias("cell"), *absent, x, "n")
+
+    out, finer = None, counted
+    for depth in range(len(rows), -1, -1):
+        keys = [*rows[:depth], *cols]
+        finer = add(finer, keys)
+        levels = [shown(finer, depth, bool(cols), keys)]
+        if cols:
+            levels.append(shown(add(finer, rows[:depth]), depth, False, rows[:depth]))
+        for level in levels:
+            out = level if out is None else out.unionByName(level)
+    return out
+
+
+def _medians(counts: DataFrame, keys: list[str], x: str, name: str, few: bool) -> DataFrame:
+    if not few:
+        return quantiles_of_counts(counts, keys, x, "n", {name: 0.5})
+    upto = Window.partitionBy(*keys).orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
+    placed = counts.withColumns({"_upto": F.sum("n").over(upto), "_all": F.sum("n").over(Window.partitionBy(*keys))})
+    middle = [F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1]  # one place where the number is odd
+    return placed.groupBy(*keys).agg((sum(F.min(F.when(F.col("_upto") >= m, F.col(x))) for m in middle) / 2).alias(name))
+
+
+def _aggregate(reduced: DataFrame, rows: list[str], cols: list[str], values: list) -> DataFrame:
     keys = [*rows, *cols]
-    base, final, outs = [F.sum("_w").alias("n")], [F.sum("n").alias("n")], []
+    final, outs = [F.sum("n").alias("n")], []
     for i, (_, agg) in enumerate(values, start=1):
-        f, v = F.col(f"f{i}"), f"v{i}"
+        v = f"v{i}"
         if agg in ("sum", "mean"):
-            base += [F.sum(f.cast("double") * F.col("_w")).alias(f"s{i}"), F.sum(F.when(f.isNotNull(), F.col("_w")).otherwise(0)).alias(f"k{i}")]
             final += [F.sum(f"s{i}").alias(f"s{i}"), F.sum(f"k{i}").alias(f"k{i}")]
             outs.append((F.col(f"s{i}") if agg == "sum" else F.try_divide(F.col(f"s{i}"), F.col(f"k{i}"))).alias(v))
         elif agg in ("min", "max"):
-            one = F.min if agg == "min" else F.max
-            base.append(one(f.cast("double")).alias(f"s{i}"))
-            final.append(one(f"s{i}").alias(f"s{i}"))
+            final.append((F.min if agg == "min" else F.max)(f"s{i}").alias(f"s{i}"))
             outs.append(F.col(f"s{i}").alias(v))
         elif agg == "count":
             outs.append(F.col("n").cast("double").alias(v))
-    leaves = keyed.groupBy(*keys).agg(*base)
-    out = _leveled(leaves, rows, cols, [], final).select("depth", "cell", *keys, "n", *outs)
-    for i, (_, agg) in enumerate(values, start=1):
-        if agg not in ("count_distinct", "median"):
-            continue
-        counted = keyed.where(F.col(f"f{i}").isNotNull()).groupBy(*keys, F.col(f"f{i}").alias("x")).agg(
-            F.sum("_w").alias("k")
-        )
-        per_level = _leveled(counted, rows, cols, ["x"], [F.sum("k").alias("k")])
-        if agg == "count_distinct":
-            found = per_level.groupBy("depth", "cell", *keys).agg(F.count(F.lit(1)).cast("double").alias(f"v{i}"))
+    out = _leveled(reduced.where("_j = 0"), rows, cols, [], final).select("depth", "cell", *keys, "n", *outs)
+    several = [(i, agg) for i, (_, agg) in enumerate(values, start=1) if agg in ("count_distinct", "median")]
+    medians = [i for i, agg in several if agg == "median"]
+    few = reduced.where(F.col("_j").isin(medians)).groupBy("_j").agg(F.count_distinct("_d").alias("k")).collect() if medians else []  # a row per column
+    few = {r["_j"] for r in few if r["k"] <= WINDOW_VALUES}
+    for i, agg in several:
+        x = "_d" if agg == "median" else "_s"
+        levels = _rolled_up(reduced.where(F.col("_j") == i).select(*keys, x, "n"), rows, cols, x)
+        if agg == "median":
+            found = _medians(levels, ["depth", "cell", *keys], x, f"v{i}", i in few)
         else:
-            found = quantiles_of_counts(
-                per_level.withColumn("x", F.col("x").cast("double")), ["depth", "cell", *keys], "x", "k", {f"v{i}": 0.5}
-            )
+            found = levels.groupBy("depth", "cell", *keys).agg(F.count(F.lit(1)).cast("double").alias(f"v{i}"))
         joined = out.alias("a").join(found.alias("b"), _same(["depth", "cell", *keys]), "left")
         value = F.coalesce(F.col(f"b.v{i}"), F.lit(0.0)) if agg == "count_distinct" else F.col(f"b.v{i}")
         out = joined.select("a.*", value.alias(f"v{i}"))
     return out.select("depth", "cell", *keys, "n", *[f"v{i}" for i in range(1, len(values) + 1)])
 
 
-def _column_totals(keyed: DataFrame, cols: list[str], values: list) -> DataFrame:
-    return _aggregate(keyed, [], cols, values).where("cell")
-
-
-def _fold(keyed: DataFrame, cols: list[str], view: View) -> DataFrame:
+def _fold(reduced: DataFrame, cols: list[str], view: View) -> DataFrame:
     """Keep the ``max_columns - 1`` columns of largest absolute first total; the rest become one column."""
     most = view.max_columns
     first = F.col("v1") if view.values else F.col("n")
     labels = [k for c in cols for k in label_keys(F.col(c))]
-    top = (
-        _column_totals(keyed, cols, view.values[:1])
-        .orderBy(F.isnull(first), F.desc(F.abs(first)), *labels).limit(most + 1).select(*cols).collect()
-    )  # at most max_columns + 1 rows
-    if len(top) <= most:
-        return keyed
-    keep = F.lit(False)
-    for row in top[: most - 1]:
-        same = F.lit(True)
-        for c in cols:
-            same = same & F.col(c).eqNullSafe(F.lit(row[c]))
-        keep = keep | same
-    return keyed.withColumns({
-        c: F.when(keep, F.col(c)).otherwise(F.lit(OTHER) if i == 0 else F.lit(None).cast("string"))
+    by_size = [F.isnull(first), F.desc(F.abs(first)), *labels]
+    totals = _aggregate(reduced, [], cols, view.values[:1]).where("cell")
+    largest = totals.orderBy(*by_size).limit(most + 1)  # windows and broadcast over max_columns + 1 rows at most
+    whole = Window.partitionBy(F.lit(0))
+    kept = largest.withColumns({"_at": F.row_number().over(whole.orderBy(*by_size)), "_all": F.count(F.lit(1)).over(whole)}).where(
+        (F.col("_at") < most) | (F.col("_all") <= most)).select(*cols, F.lit(True).alias("_kept"))
+    marked = reduced.alias("a").join(F.broadcast(kept).alias("b"), _same(cols), "left").select("a.*", "b._kept")
+    return marked.withColumns({
+        c: F.when(F.col("_kept"), F.col(c)).otherwise(F.lit(OTHER) if i == 0 else F.lit(None).cast("string"))
         for i, c in enumerate(cols)
-    })
+    }).drop("_kept")
 
 
 def pivot(df: DataFrame, view: View) -> DataFrame:
@@ -214,13 +257,10 @@ def pivot(df: DataFrame, view: View) -> DataFrame:
     """
     check_view(df, view)
     keyed, rows, cols = _keyed(df, view)
-    several = any(agg in ("count_distinct", "median") for _, agg in view.values) or view.max_columns is not None and bool(cols)
-    # one pass over the source: what several aggregations read is reduced to distinct rows with their number first
-    keyed = cut(keyed.groupBy(*keyed.columns).agg(F.count(F.lit(1)).alias("_w"))) if several and keyed.columns else keyed.withColumn("_w", F.lit(1).cast("bigint"))
+    reduced = _reduced(keyed, [*rows, *cols], view.values)
     if view.max_columns is not None and cols:
-        keyed = _fold(keyed, cols, view)
-    result = _aggregate(keyed, rows, cols, view.values)
-    return shares(result, rows, cols, view)
+        reduced = _fold(reduced, cols, view)
+    return shares(_aggregate(reduced, rows, cols, view.values), rows, cols, view)
 
 
 def shares(result: DataFrame, rows: list[str], cols: list[str], view: View) -> DataFrame:
