@@ -33,14 +33,23 @@ BLOCK_ROWS = 1 << 14
 TASK_BLOCKS = 2
 #: A Newton step never moves a logarithm farther.
 LONGEST_STEP = 2.0
+LOGISTIC = "logistic"
 
 
 @dataclass(frozen=True)
 class Spec:
-    """One model: the Poisson loss (``level`` None) or the pinball loss of a level, on rows of windows up to ``window``."""
+    """One model: the Poisson loss (``level`` None), the pinball loss of a level, or the logistic loss (``level`` "logistic",
+    targets 0 and 1), on rows of windows up to ``window``, or, where ``without`` is given, on those of all other windows."""
 
-    level: float | None
+    level: float | str | None
     window: int = 0
+    without: int | None = None
+
+    def used(self, first: np.ndarray):
+        """The places of its rows among rows in order of their windows."""
+        if self.without is not None:
+            return np.flatnonzero(first != self.without)
+        return slice(0, int(np.searchsorted(first, self.window, side="right")))
 
 
 @dataclass
@@ -93,6 +102,8 @@ class Ensemble:
         for at, m in enumerate(which):
             if self.specs[m].level is None:
                 out[at] = np.exp(out[at])
+            elif self.specs[m].level == LOGISTIC:
+                out[at] = 1 / (1 + np.exp(-out[at]))
         return out
 
 
@@ -160,7 +171,7 @@ def _opened(b: pa.RecordBatch, width: int, models: int) -> Iterator[tuple[np.nda
                np.frombuffer(scores, np.float32).reshape(models, len(y)))
 
 
-def _slopes(level: float | None, y: np.ndarray, score: np.ndarray, finest: float) -> tuple[np.ndarray, np.ndarray]:
+def _slopes(level: float | str | None, y: np.ndarray, score: np.ndarray, finest: float) -> tuple[np.ndarray, np.ndarray]:
     """Downward slope of the loss in each row's score, and its curvature.
 
     The pinball loss is smoothed over the width of the sketch's bins: many rows equal their score in counts, and a step
@@ -169,6 +180,9 @@ def _slopes(level: float | None, y: np.ndarray, score: np.ndarray, finest: float
     if level is None:
         mean = np.exp(np.clip(score, -30, 30))
         return y - mean, mean
+    if level == LOGISTIC:
+        share = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
+        return y - share, np.maximum(share * (1 - share), 1e-12)
     width = ACCURACY * np.maximum(np.abs(y), np.abs(score)) + finest
     return np.clip(level - 0.5 + (y - score) / (2 * width), level - 1, level), np.ones(len(y))
 
@@ -184,7 +198,8 @@ def _merged(sent: DataFrame, tasks: int, done, schema: str) -> list:
         for m, total in held.items():
             yield done.row(m, total)
 
-    return sent.repartition(tasks, "model").mapInArrow(run, schema).collect()
+    gathered = sent.repartition(tasks, "model") if tasks > 1 else sent.coalesce(1)
+    return gathered.mapInArrow(run, schema).collect()
 
 
 class _Splits:
@@ -237,11 +252,14 @@ class _Leaves:
         keys, values = total
         out = np.zeros(self.leaves)
         level = self.specs[m].level
-        if level is None:
+        if not isinstance(level, float):
             sums = np.zeros(2 * self.leaves)
             sums[keys] = values
             slope, curve = sums[: self.leaves], sums[self.leaves :]
-            if self.first:  # at score 0 the mean is 1
+            if self.first and level == LOGISTIC:  # at score 0 the share is a half, the curvature a quarter of the rows
+                share = 0.5 + slope[0] / (4 * curve[0])
+                out[0] = np.log(share / (1 - share)) if 0 < share < 1 else -np.inf
+            elif self.first:  # at score 0 the mean is 1
                 out[0] = np.log((slope[0] + curve[0]) / curve[0]) if slope[0] + curve[0] > 0 else -np.inf
             else:
                 there = curve > 0
@@ -268,7 +286,7 @@ def fit(rows: DataFrame, features: list[str], target: str, specs: list[Spec], wi
     """
     if depth < 1 or trees < 1 or not 2 <= bins <= 256 or not 0 < rate <= 1:
         raise ValueError("trees and depth are at least 1, bins 2 to 256, and the rate lies in (0, 1]")
-    if any(s.level is not None and not 0 < s.level < 1 for s in specs):
+    if any(isinstance(s.level, float) and not 0 < s.level < 1 for s in specs):
         raise ValueError("levels lie strictly between 0 and 1")
     spark: SparkSession = prepare(rows.sparkSession)
     known = rows.where(F.col(target).isNotNull()).withColumn("_window", F.col(window) if window else F.lit(0))
@@ -296,17 +314,16 @@ def fit(rows: DataFrame, features: list[str], target: str, specs: list[Spec], wi
                 for bins_, first, y, w, scores in _opened(b, width, models):
                     now = current(state, bins_, scores, since)
                     for m, spec in enumerate(specs):
-                        n = int(np.searchsorted(first, spec.window, side="right"))
-                        if not n:
-                            continue
-                        slope, curve = _slopes(spec.level, y[:n], now[m][:n], finest)
-                        weight, node = w[:n], state.trees[m][-1].nodes(bins_, level)[:n] * bins
-                        parts = (slope * weight, curve * weight, weight) if spec.level is None else (slope * weight, weight)
+                        use = spec.used(first)
+                        slope, curve = _slopes(spec.level, y[use], now[m][use], finest)
+                        weight, node = w[use], state.trees[m][-1].nodes(bins_, level)[use] * bins
+                        second_order = not isinstance(spec.level, float)
+                        parts = (slope * weight, curve * weight, weight) if second_order else (slope * weight, weight)
                         for f in range(width):
-                            key = node + bins_[f, :n]
+                            key = node + bins_[f, use]
                             for at, part in enumerate(parts):
                                 total[m, at, :, f] += np.bincount(key, weights=part, minlength=nodes * bins).reshape(nodes, bins)
-                        if spec.level is not None:
+                        if not second_order:
                             total[m, 2] = total[m, 1]
             yield pa.RecordBatch.from_pydict({"model": list(range(models)), "stats": [t.tobytes() for t in total]})
 
@@ -327,16 +344,16 @@ def fit(rows: DataFrame, features: list[str], target: str, specs: list[Spec], wi
                 for bins_, first, y, w, scores in _opened(b, width, models):
                     now = current(state, bins_, scores, since)
                     for m, spec in enumerate(specs):
-                        n = int(np.searchsorted(first, spec.window, side="right"))
-                        if not n:
+                        use = spec.used(first)
+                        if not len(y[use]):
                             continue
-                        leaf = state.trees[m][-1].nodes(bins_, levels)[:n]
-                        if spec.level is None:
-                            slope, curve = _slopes(None, y[:n], now[m][:n], finest)
-                            keys = np.arange(2 << levels)
-                            values = np.r_[np.bincount(leaf, slope * w[:n], 1 << levels), np.bincount(leaf, curve * w[:n], 1 << levels)]
+                        leaf = state.trees[m][-1].nodes(bins_, levels)[use]
+                        if isinstance(spec.level, float):
+                            keys, values = leaves.sketch(y[use] - now[m][use], leaf, w[use])
                         else:
-                            keys, values = leaves.sketch(y[:n] - now[m][:n], leaf, w[:n])
+                            slope, curve = _slopes(spec.level, y[use], now[m][use], finest)
+                            keys = np.arange(2 << levels)
+                            values = np.r_[np.bincount(leaf, slope * w[use], 1 << levels), np.bincount(leaf, curve * w[use], 1 << levels)]
                         held[m] = leaves.add(held[m], (keys.astype(np.int64).tobytes(), values.tobytes()))
             there = [m for m in range(models) if held[m] is not None]
             yield pa.RecordBatch.from_arrays([pa.array(there, pa.int64()), pa.array([held[m][0].tobytes() for m in there], pa.binary()),

@@ -228,9 +228,10 @@ def _(t: Tables):
 
 @query("m10_detection_test")
 def _(t: Tables):
-    real = t("part").select("p_size", "p_retailprice")
-    fake = sy.bootstrap_table(real, ["p_size", "p_retailprice"], {"p_size": "integer"})
-    return ut.detection_report(cut(ut.side_by_side(real, fake)), ["p_size", "p_retailprice"])
+    columns = [*COLUMNS, "l_extendedprice"]
+    real = t("lineitem").select(*columns)
+    fake = sy.bootstrap_table(real, columns, KINDS)
+    return ut.detection_report(cut(ut.side_by_side(real, fake)), columns)
 
 
 @query("m11_tstr")

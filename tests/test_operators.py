@@ -6,7 +6,6 @@ from datetime import date, timedelta
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from stockwright.functions import numeric as nm, ranks
@@ -557,11 +556,26 @@ def test_identification_ignores_large_means(spark):
         ca.identify(twice, ca.scaled(twice))
 
 
-def test_rotation_moves_every_row_once(spark):
-    rows = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(
-        spark.range(800).select(F.col("id").alias("_id"), F.col("id").cast("double").alias("a"), F.lit(1.0).alias("b")))
+def test_rotation_moves_every_row_once(spark, monkeypatch):
+    rows = spark.range(800).select(F.col("id").alias("_id"), (F.col("id") % 2).cast("int").alias("fold"), F.col("id").cast("double").alias("a"), F.lit(1.0).alias("b"))
     for size in (50, 10_000):
-        ut.SHUFFLE_ROWS = size
-        moved = ut._shuffled(rows, ["a", "b"], "a", 7, 800).select("_id", "a").collect()
-        assert sorted(r.a for r in moved) == list(map(float, range(800))) and sum(r.a == r["_id"] for r in moved) == 0
-    ut.SHUFFLE_ROWS = 10_000
+        monkeypatch.setattr(ut, "SHUFFLE_ROWS", size)
+        moved = ut.rotated(rows, ["a", "b"], 7, 2, 400).collect()
+        for at in (0, 1):  # two repeats of the first column
+            assert sorted(r.taken[at] for r in moved) == list(map(float, range(800)))
+            assert all(r.taken[at] != r["_id"] and r.taken[at] % 2 == r["_id"] % 2 for r in moved)
+        assert all(r.taken[2:] == [1.0, 1.0] for r in moved) and any(r.taken[0] != r.taken[1] for r in moved)
+
+
+def test_models_that_leave_out_a_fold(spark):
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 10, 900).astype(float)
+    y = (rng.random(900) < 0.1 + 0.08 * x).astype(float)
+    fold = np.arange(900) % 3
+    rows = pd.DataFrame({"x": x, "y": y, "fold": fold})
+    whole = tr.fit(spark.createDataFrame(rows), ["x"], "y", [tr.Spec(tr.LOGISTIC, without=f) for f in range(3)], "fold", trees=6, rate=0.5, depth=2)
+    for f in range(3):
+        alone = tr.fit(spark.createDataFrame(rows[(rows.fold != f)].assign(fold=0)), ["x"], "y", [tr.Spec(tr.LOGISTIC)], "fold", trees=6, rate=0.5, depth=2)
+        grid = np.arange(10.0)[:, None]
+        assert np.abs(whole.predicted(grid, [f])[0] - alone.predicted(grid, [0])[0]).max() < 0.02
+        assert whole.predicted(grid, [f])[0][9] > whole.predicted(grid, [f])[0][0] + 0.4
