@@ -30,7 +30,7 @@ FINEST = 1e-5
 REFRESH = 2
 #: Distinct rows in a block, and blocks in a task.
 BLOCK_ROWS = 1 << 14
-TASK_BLOCKS = 2
+TASK_BLOCKS = 6
 #: A Newton step never moves a logarithm farther.
 LONGEST_STEP = 2.0
 LOGISTIC = "logistic"

@@ -29,7 +29,7 @@ def auc(scored: DataFrame, keys: list[str], score: str = "score", label: str = "
 SHUFFLE_ROWS = 10_000
 
 
-def detection_report(both: DataFrame, columns: list[str], folds: int = 5, seed: int = 7, trees: int = 50, depth: int = 5, rate: float = 0.2,
+def detection_report(both: DataFrame, columns: list[str], folds: int = 5, seed: int = 7, trees: int = 30, depth: int = 4, rate: float = 0.3,
                      repeats: int = 5) -> DataFrame:
     """How well boosted trees tell synthetic (side 1) from real rows on ``folds`` held-out folds.
 
@@ -50,8 +50,12 @@ def detection_report(both: DataFrame, columns: list[str], folds: int = 5, seed:
     names = [f"x{j}" for j in range(len(columns))]
     ready = cut(largest(rows.where("label = 0"), "_u", n, ["_id"]).unionByName(largest(rows.where("label = 1"), "_u", n, ["_id"])).drop("_u"))
     model = tr.fit(ready, names, "label", [tr.Spec(tr.LOGISTIC, without=f) for f in range(folds)], "fold", trees, rate, depth)
-    scored = permuted_scores(ready, model, names, seed, repeats, -(-2 * n // folds))
-    found = {(r.fold, r.variant): r.auc for r in auc(scored, ["fold", "variant"]).collect()}  # folds x (columns x repeats + 1) rows
+    counts = permuted_scores(ready, model, names, seed, repeats, -(-2 * n // folds))
+    below = Window.partitionBy("fold", "variant").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)  # a row per step of the grid
+    won = F.col("p") * (F.coalesce(F.sum("q").over(below), F.lit(0)) + F.col("q") / 2.0)
+    share = F.sum("won") / (F.sum("p").cast("double") * F.sum("q"))
+    ranked = counts.withColumn("won", won).groupBy("fold", "variant").agg(share.alias("auc"))
+    found = {(r.fold, r.variant): r.auc for r in ranked.collect()}  # folds x (columns x repeats + 1) rows
     aucs = [found[f, 0] for f in range(folds)]
     lost = [np.mean([found[f, 0] - found[f, 1 + j * repeats + r] for f in range(folds) for r in range(repeats)]) for j in range(len(columns))]
     ranked = [columns[j] for j in sorted(range(len(columns)), key=lambda j: (-lost[j], j)) if lost[j] > 0][:3]
@@ -84,8 +88,10 @@ def rotated(rows: DataFrame, names: list[str], seed: int, repeats: int, fold_row
 
 
 def permuted_scores(rows: DataFrame, model: tr.Ensemble, names: list[str], seed: int, repeats: int, fold_rows: int) -> DataFrame:
-    """``fold, variant, label, score``: each row scored by its fold's model as it is (variant 0) and with column j taken from
-    the r-th rotation (variant 1 + j * repeats + r).  The forests go to the tasks as arrays; one plan scores all variants."""
+    """``fold, variant, score, p, q``: synthetic and real rows by score, to four decimals, where each row is scored by its
+    fold's model as it is (variant 0) and with column j taken from the r-th rotation (variant 1 + j * repeats + r).
+
+    The forests go to the tasks as arrays; one plan scores all variants, and tasks count equal scores before the shuffle."""
     sent, width = rows.sparkSession.sparkContext.broadcast(model), len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,10 +107,13 @@ def permuted_scores(rows: DataFrame, model: tr.Ensemble, names: list[str], seed:
                 for f in np.unique(fold):
                     mine = fold == f
                     score[mine] = sent.value.predicted(moved[mine], [int(f)])[0]
-                yield pa.RecordBatch.from_pydict({"fold": fold, "variant": np.full(b.num_rows, variant, np.int32), "label": label, "score": np.round(score, 9)})
+                key, place = np.unique(np.rint(score * 10_000).astype(np.int64) + 100_000 * fold, return_inverse=True)
+                p, q = (np.bincount(place, weights=side, minlength=len(key)).astype(np.int64) for side in (label == 1, label == 0))
+                yield pa.RecordBatch.from_pydict({"fold": (key // 100_000).astype(np.int32), "variant": np.full(len(key), variant, np.int32),
+                                                  "score": (key % 100_000).astype(np.int32), "p": p, "q": q})
 
     joined = rows.join(rotated(rows, names, seed, repeats, fold_rows), "_id").select("fold", "label", *names, "taken")
-    return cut(joined.mapInArrow(run, "fold int, variant int, label double, score double"))
+    return joined.mapInArrow(run, "fold int, variant int, score int, p bigint, q bigint").groupBy("fold", "variant", "score").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
 
 
 # --- train on synthetic, test on real ----------------------------------------------------------------------

@@ -228,9 +228,10 @@ def _(t: Tables):
 
 @query("m10_detection_test")
 def _(t: Tables):
-    columns = [*COLUMNS, "l_extendedprice"]
-    real = t("lineitem").select(*columns)
-    fake = sy.bootstrap_table(real, columns, KINDS)
+    columns = ["price", "month", "weekday"]
+    real = t("orders").select(F.col("o_totalprice").cast("double").alias("price"), F.month("o_orderdate").cast("double").alias("month"),
+                              F.weekday("o_orderdate").cast("double").alias("weekday"))
+    fake = sy.bootstrap_table(real, columns, {"month": "category", "weekday": "category"})
     return ut.detection_report(cut(ut.side_by_side(real, fake)), columns)
 
 
