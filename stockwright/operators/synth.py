@@ -13,7 +13,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.numeric import correlation, normal, uniform
 from ..functions.ranks import exact_quantiles, running_totals, values_at_ranks
@@ -218,35 +218,58 @@ def fit_network(fitted: DataFrame, columns: list[str], kinds: dict[str, str], bi
     return Network(columns, parent, order, coded, edges)
 
 
-def conditional_table(net: Network, j: int, smoothing: float = 1.0) -> DataFrame:
-    """``(parent, bins, steps)``: per parent bin the child bins and their cumulative smoothed probabilities.
-
-    A parent bin's row holds one entry per child bin (at most ``bins``, or the observed categories).
-    """
+def conditional_counts(net: Network, j: int) -> DataFrame:
+    """``(parent, child, n, n_before, n_total)``: the observed pairs of a parent's and a child's bin, each with its number
+    and the running total over the parent's children.  Pairs that don't occur have no row."""
     child = F.col(f"b_{net.columns[j]}").alias("child")
     up = F.lit(0.0).alias("parent") if net.parent[j] is None else F.col(f"b_{net.columns[net.parent[j]]}").alias("parent")
     counts = net.coded.groupBy(up, child).agg(F.count(F.lit(1)).cast("double").alias("n"))
-    size = counts.agg(F.count_distinct("child").alias("s")).first().s
-    seen = counts.groupBy("parent").agg(F.map_from_entries(F.collect_list(F.struct("child", "n"))).alias("m"), F.sum("n").alias("t"))
-    every = counts.agg(F.array_sort(F.collect_set("child")).alias("b")).scalar()
-    extra = smoothing / size
-    steps = F.transform("bins", lambda b: (F.coalesce(F.element_at("m", b), F.lit(0.0)) + extra) / (F.col("t") + smoothing))
-    # running sums of a parent bin's probabilities
-    total = F.aggregate(steps, F.array().cast("array<double>"), lambda acc, p: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0.0)) + p)))
-    return seen.withColumn("bins", every).select("parent", "bins", total.alias("steps"))
-
-
-def sample_network(net: Network, fitted: DataFrame, kinds: dict[str, str], n: int, seed: int = 7) -> DataFrame:
-    """Bins drawn down the tree, then a real value of each bin."""
+    return cut(running_totals(counts, ["parent"], "child", ["n"]))
+
+
+def child_ranks(counts: DataFrame) -> DataFrame:
+    """``(child, one, one_before, one_total)``: the distinct bins of a child in order, with their places."""
+    return running_totals(counts.groupBy("child").agg(F.lit(1.0).alias("one")), [], "child", ["one"])
+
+
+def conditional_table(net: Network, j: int, smoothing: float = 1.0) -> DataFrame:
+    """``(parent, child, cumulative)``: smoothed cumulative probabilities of all child bins under every parent bin.
+
+    Laid out from the sparse counts: every observed pair fills the bins up to the parent's next observed one.
+    """
+    counts = conditional_counts(net, j)
+    ranks = cut(child_ranks(counts))
+    placed = counts.join(ranks, "child").select("parent", "n", "n_before", "n_total", F.col("one_before").cast("int").alias("at"), F.col("one_total").cast("int").alias("size"))
+    by = Window.partitionBy("parent").orderBy("at")
+    start = F.when(F.row_number().over(by) == 1, F.lit(0)).otherwise(F.col("at"))
+    stop = F.coalesce(F.lead("at").over(by), F.col("size")) - 1
+    filled = placed.withColumns({"_a": start, "_z": stop}).withColumn("place", F.explode(F.sequence("_a", "_z")))
+    upto = F.when(F.col("place") >= F.col("at"), F.col("n_before") + F.col("n")).otherwise(0.0)
+    share = (upto + smoothing / F.col("size") * (F.col("place") + 1)) / (F.col("n_total") + smoothing)
+    names = ranks.select("child", F.col("one_before").cast("int").alias("place"))
+    return filled.select("parent", "place", share.alias("cumulative")).join(names, "place").select("parent", "child", "cumulative")
+
+
+def sample_network(net: Network, fitted: DataFrame, kinds: dict[str, str], n: int, seed: int = 7, smoothing: float = 1.0) -> DataFrame:
+    """Bins drawn down the tree, then a real value of each bin.
+
+    A draw falls on the observed children of its parent, by their counts, or, with the weight of the smoothing, on any
+    child bin alike: two as-of lookups over running totals, and never the product of all parents and children.
+    """
     out = _rows(fitted, n)
     for j in net.order:
         c = net.columns[j]
-        table = conditional_table(net, j)
+        counts = conditional_counts(net, j)
+        ranks = cut(child_ranks(counts))
+        size = F.lit(float(ranks.count()))
         key = F.lit(0.0) if net.parent[j] is None else F.col(f"b_{net.columns[net.parent[j]]}")
-        u = uniform(seed, f"network.{j}", "row")
-        at = F.least(F.size(F.filter("steps", lambda s: s <= F.col("_u"))) + 1, F.size("bins"))
-        out = out.withColumns({"_k": key, "_u": u}).join(table, F.col("_k") == F.col("parent")).withColumn(
-            f"b_{c}", F.element_at("bins", at)).drop("parent", "bins", "steps", "_k", "_u")
+        weights = counts.groupBy("parent").agg(F.max("n_total").alias("_t"))
+        drawn = out.withColumn("parent", key).join(weights, "parent").withColumn("_w", uniform(seed, f"network.{j}", "row") * (F.col("_t") + smoothing))
+        seen = drawn.where(F.col("_w") < F.col("_t")).withColumn("_r", F.floor("_w"))
+        other = drawn.where(F.col("_w") >= F.col("_t")).withColumn("_r", F.least(F.floor((F.col("_w") - F.col("_t")) / smoothing * size), size - 1).cast("bigint"))
+        found = values_at_ranks(seen, counts, ["parent"], "_r", "child", "n_before", "n").unionByName(
+            values_at_ranks(other, ranks, [], "_r", "child", "one_before", "one"))
+        out = found.withColumnRenamed("child", f"b_{c}").drop("parent", "_t", "_w", "_r")
     triples = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"b_{c}").alias("bin"), F.col(c).alias("value")) for c in net.columns])
     pool = _pool(net.coded.select(F.explode(triples).alias("t")).select("t.*"), net.columns, ["bin"])
     sizes = pool.groupBy("column", "bin").agg(F.max("n_total").alias("size"))

@@ -207,8 +207,7 @@ def _(t: Tables):
     columns = ["l_discount", "l_tax"]
     coded, edges = sy.bin_columns(t("lineitem").select(*columns), columns, {})
     table = sy.conditional_table(sy.Network(columns, [None, 0], [0, 1], coded, edges), 1)
-    return rounded(table.select("parent", F.explode(F.arrays_zip("bins", "steps")).alias("z")).select(
-        "parent", F.col("z.bins").alias("child"), F.col("z.steps").alias("cumulative")))
+    return rounded(table)
 
 
 @query("m07_gaussian_copula")

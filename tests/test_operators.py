@@ -579,3 +579,23 @@ def test_models_that_leave_out_a_fold(spark):
         grid = np.arange(10.0)[:, None]
         assert np.abs(whole.predicted(grid, [f])[0] - alone.predicted(grid, [0])[0]).max() < 0.02
         assert whole.predicted(grid, [f])[0][9] > whole.predicted(grid, [f])[0][0] + 0.4
+
+
+def test_conditional_draws_of_many_labels(spark):
+    rows = spark.range(6000).select((F.col("id") % 3000).cast("double").alias("a"), (F.col("id") % 3000 * 7 % 3001).cast("double").alias("b"))
+    net = sy.fit_network(rows, ["a", "b"], {"a": "category", "b": "category"})
+    child = 1 if net.parent[1] == 0 else 0
+    counts = sy.conditional_counts(net, child)
+    assert counts.count() == 3000  # pairs that occur, not 3000 x 3000
+    got = sy.sample_network(net, rows, {"a": "category", "b": "category"}, 4000, smoothing=1.0).toPandas()
+    kept = (got.b == got.a * 7 % 3001).mean()
+    assert 2 / 3 - 0.04 < kept < 2 / 3 + 0.04  # two rows a label against a smoothing of one
+    assert set(got.a) | set(got.b) <= set(map(float, range(3001))) and got.b.nunique() > 1500
+
+
+def test_conditional_table_is_the_smoothed_distribution(spark):
+    rows = spark.createDataFrame([(0.0, 1.0)] * 3 + [(0.0, 5.0)] + [(1.0, 3.0)] * 2, "a double, b double")
+    net = sy.Network(["a", "b"], [None, 0], [0, 1], rows.select("a", "b", F.col("a").alias("b_a"), F.col("b").alias("b_b")), {})
+    got = {(r.parent, r.child): r.cumulative for r in sy.conditional_table(net, 1).collect()}
+    want = {(0.0, 1.0): (3 + 1 / 3) / 5, (0.0, 3.0): (3 + 2 / 3) / 5, (0.0, 5.0): 1.0, (1.0, 1.0): 1 / 9, (1.0, 3.0): (2 + 2 / 3) / 3, (1.0, 5.0): 1.0}
+    assert got == pytest.approx(want)
