@@ -19,7 +19,7 @@ REACH = 3.0
 #: A sketch of fewer documents gives way to its language's, and this one to that of all documents.
 LEAST_DOCUMENTS = 50
 #: Rule: margin that a fence keeps from its quartile, and whether small values fail too.
-RULES = {"word_length": (3.0, True), "symbols_per_word": (0.25, False), "repeated_share": (0.2, False)}
+RULES = {"word_length": (3.0, True), "symbols_per_word": (0.25, False), "repeated_share": (0.14, False), "repeated_lines": (0.04, False)}
 
 _LOG = "ln(1.01 / 0.99)"
 
@@ -60,7 +60,8 @@ def measures(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str
 
 def _values() -> dict[str, Column]:
     n = F.col("n_words")
-    return {"word_length": F.try_divide("word_chars", n), "symbols_per_word": F.try_divide("n_symbols", n), "repeated_share": F.try_divide("n_repeat_words", n)}
+    return {"word_length": F.try_divide("word_chars", n), "symbols_per_word": F.try_divide("n_symbols", n), "repeated_share": F.try_divide("n_repeat_words", n),
+            "repeated_lines": F.try_divide("n_dup_lines", n)}
 
 
 def sketches(measured: DataFrame) -> DataFrame:
@@ -136,8 +137,8 @@ m as (
 judged as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from m),
 long as (
   select lang, source, rule, case when v > 0 then cast(ceil(ln(v) / ln(1.01 / 0.99)) as int) end as bin from (
-    select lang, source, unnest(['word_length', 'symbols_per_word', 'repeated_share']) as rule,
-      unnest([cast(word_chars as double) / n_words, cast(n_symbols as double) / n_words, cast(n_repeat_words as double) / n_words]) as v
+    select lang, source, unnest(['word_length', 'symbols_per_word', 'repeated_share', 'repeated_lines']) as rule,
+      unnest([cast(word_chars as double) / n_words, cast(n_symbols as double) / n_words, cast(n_repeat_words as double) / n_words, cast(n_dup_lines as double) / n_words]) as v
     from judged where not base_failed)),
 sk as (
   select 0 as level, lang, source, rule, bin, count(*) as n from long group by all
@@ -152,7 +153,7 @@ q as (
   from ranked group by level, lang, source, rule),
 f as (
   select *, case when rule = 'word_length' then q1 - mar else -1 end as low, q3 + mar as high from (
-    select *, greatest(3 * (q3 - q1), case rule when 'word_length' then 3.0 when 'symbols_per_word' then 0.25 else 0.2 end) as mar from q)),
+    select *, greatest(3 * (q3 - q1), case rule when 'word_length' then 3.0 when 'symbols_per_word' then 0.25 when 'repeated_share' then 0.14 else 0.04 end) as mar from q)),
 own as (
   select a.lang, a.source, a.rule,
     case when a.docs >= 50 then a.low when b.docs >= 50 then b.low else c.low end as low,
@@ -161,10 +162,10 @@ own as (
   where a.level = 0),
 wide as (
   select lang, source, max(case when rule = 'word_length' then low end) as l1, max(case when rule = 'word_length' then high end) as h1,
-    max(case when rule = 'symbols_per_word' then high end) as h2, max(case when rule = 'repeated_share' then high end) as h3
+    max(case when rule = 'symbols_per_word' then high end) as h2, max(case when rule = 'repeated_share' then high end) as h3, max(case when rule = 'repeated_lines' then high end) as h4
   from own group by lang, source)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   not base_failed and coalesce(cast(word_chars as double) / n_words between l1 and h1 and cast(n_symbols as double) / n_words <= h2
-    and cast(n_repeat_words as double) / n_words <= h3, false) as kept
+    and cast(n_repeat_words as double) / n_words <= h3 and cast(n_dup_lines as double) / n_words <= h4, false) as kept
 from judged j left join wide x on x.lang is not distinct from j.lang and x.source is not distinct from j.source
 """

@@ -424,3 +424,18 @@ def test_shared_passages_below_400_bytes(spark):
     long = "w" * 3 + " the same " * 30
     both = suffixes.repeated_passages(spark.createDataFrame([(1, long), (2, long), (3, "x " + long)], "doc_id int, text string")).collect()
     assert sorted((r["doc_id"], r["n_shared"] > 0) for r in both) == [(1, True), (2, True), (3, True)]
+
+
+def test_every_quality_rule_rejects_a_text_that_passes_the_base(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 7)))
+    plain = lambda n: " ".join(word() for _ in range(n))
+    texts = [plain(100) for _ in range(120)]
+    again = plain(9)
+    planted = {"word_length": " ".join("x" * 30 for _ in range(3)) + " " + " ".join("y" * 25 + str(i) for i in range(20)), "symbols_per_word": plain(40) + " #" * 30,
+               "repeated_share": f"{plain(40)} {again} {plain(40)} {again} {plain(9)}", "repeated_lines": "\n".join(f"{word()} {word()}\nok" for _ in range(20))}
+    rows = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate([*texts, *planted.values()])], "doc_id int, text string, lang string, source string")
+    found = {r["doc_id"]: r for r in quality.judged(rows).collect()}
+    assert all(found[i]["kept"] for i in range(len(texts)))
+    for i, rule in enumerate(planted, len(texts)):
+        assert not found[i]["base_failed"] and not found[i]["kept"], rule
