@@ -269,10 +269,10 @@ def inject(panel: DataFrame, rate: float = 0.01, kinds: list[str] = KINDS, seed:
     days from a hashed start.  Changes are sequential within an item, whose rows are its axis days.
     """
     if not 0.001 <= rate <= 0.05:
-        raise ValueError(f"rate must be in [0.001, 0.05], got {rate}")
+        raise ValueError(f"a rate of {rate} lies outside 0.1 % to 5 %")
     unknown = [k for k in kinds if k not in KINDS]
     if unknown or not kinds or len(set(kinds)) != len(kinds):
-        raise ValueError(f"kinds must be distinct names from {KINDS}, got {kinds}")
+        raise ValueError(f"name each kind of anomaly once, out of {', '.join(KINDS)}; this is {kinds}")
     keys = [F.col("sku_id"), F.col("i")]
     sold = F.sum("demand").over(Window.partitionBy("sku_id"))
     marked = panel.withColumn("_u", F.when((F.col("i") >= 1) & (sold > 0), uniform(seed, "inject", *keys)))

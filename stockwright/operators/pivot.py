@@ -42,26 +42,26 @@ def check_view(df: DataFrame, view: View) -> None:
     kinds = dict(df.dtypes)
     for name, grain in [*_axis(view.rows), *_axis(view.columns)]:
         if name not in kinds:
-            raise ValueError(f"unknown field {name!r}")
+            raise ValueError(f"no column {name!r}")
         if grain is not None and kinds[name] != "date":
-            raise ValueError(f"field {name}: a time grain applies to a time field only")
+            raise ValueError(f"{name} holds no dates, so it has no grain")
         if grain is not None and grain not in GRAINS:
-            raise ValueError(f"unknown time grain {grain!r}; choose from {GRAINS}")
+            raise ValueError(f"no grain {grain!r} (there are {', '.join(GRAINS)})")
     numeric = ("int", "bigint", "double", "float", "smallint", "tinyint")
     for name, agg in view.values:
         if name not in kinds:
-            raise ValueError(f"unknown field {name!r}")
+            raise ValueError(f"no column {name!r}")
         if agg not in AGGREGATIONS:
-            raise ValueError(f"unknown aggregation {agg!r}; choose from {AGGREGATIONS}")
+            raise ValueError(f"no aggregate {agg!r} (there are {', '.join(AGGREGATIONS)})")
         if agg not in ("count", "count_distinct") and not kinds[name].startswith(("decimal", *numeric)):
-            raise ValueError(f"field {name}: {agg} needs a measure")
+            raise ValueError(f"{agg} takes numbers, and {name} holds none")
     for name, rule in view.filters.items():
         if name not in kinds:
-            raise ValueError(f"unknown field {name!r}")
+            raise ValueError(f"no column {name!r}")
         if len([k for k in ("include", "exclude") if k in rule]) != 1 or len(rule) != 1:
-            raise ValueError(f"filter on {name}: give include or exclude, not both")
+            raise ValueError(f"a filter is one list, include or exclude: {name} has {sorted(rule)}")
     if view.show_as not in SHOW_AS:
-        raise ValueError(f"unknown show_as {view.show_as!r}; choose from {SHOW_AS}")
+        raise ValueError(f"no way {view.show_as!r} to show values (there are {', '.join(SHOW_AS)})")
 
 
 def listed(name: str, values: list) -> Column:
@@ -297,12 +297,12 @@ def ordered(result: DataFrame, n_rows: int, by: str = "label", descending: bool
     and the folded label stay last in either direction.
     """
     if by not in ("label", "value", "column"):
-        raise ValueError("by must be label, value or column")
+        raise ValueError(f"rows are ordered by label, value or column, not by {by!r}")
     rows = [f"r{i + 1}" for i in range(n_rows)]
     out = result.where(~F.col("cell"))
     if by == "column":
         if column is None:
-            raise ValueError("a column sort needs the column's key")
+            raise ValueError("which column orders the rows? its key is missing")
         source = result.where("cell")
         for i, part in enumerate(column):
             source = source.where(F.col(f"c{i + 1}").eqNullSafe(F.lit(part)))

@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..functions.numeric import correlation, normal, uniform
+from ..functions.numeric import clip, correlation, normal, uniform
 from ..functions.ranks import exact_quantiles, running_totals, values_at_ranks
 from ..session import cut
 from .fidelity import melt_columns, mutual_information
@@ -29,21 +29,18 @@ KINDS = ("real", "integer", "category")
 def apply_kinds(sample: DataFrame, fitted: DataFrame, kinds: dict[str, str]) -> DataFrame:
     """Integer columns rounded and clipped to the observed whole range, category columns moved to the nearest
     observed value (the lower one on a tie); NaN and NULL stay."""
-    unknown = {k for k in kinds.values() if k not in KINDS}
-    if unknown:
-        raise ValueError(f"unknown column kinds {sorted(unknown)}; each is one of {list(KINDS)}")
+    if odd := sorted(set(kinds.values()) - set(KINDS)):
+        raise ValueError(f"no such kind of column: {', '.join(odd)} (there are {', '.join(KINDS)})")
     whole = [c for c, k in kinds.items() if k == "integer"]
     out = sample
     if whole:
-        row = fitted.agg(*[F.min(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))).alias(f"lo_{c}") for c in whole],
-                         *[F.max(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))).alias(f"hi_{c}") for c in whole]).first()
+        value = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in whole}
+        bounds = fitted.agg(*[F.array(F.ceil(F.min(v)), F.floor(F.max(v))).alias(c) for c, v in value.items()]).first()
         for c in whole:
-            if row[f"lo_{c}"] is None:
-                continue
-            lo = math.ceil(row[f"lo_{c}"])
-            hi = max(lo, math.floor(row[f"hi_{c}"]))
-            fixed = F.least(F.greatest(F.bround(c), F.lit(float(lo))), F.lit(float(hi)))
-            out = out.withColumn(c, F.when(F.col(c).isNotNull() & ~F.isnan(c), fixed).otherwise(F.col(c)))
+            low, high = bounds[c]
+            if low is not None:  # whole numbers between the observed ends, the lowest one where there are none
+                inside = clip(F.bround(c), float(low), float(max(low, high)))
+                out = out.withColumn(c, F.when(value[c].isNotNull(), inside).otherwise(F.col(c)))
     for c in [c for c, k in kinds.items() if k == "category"]:
         out = nearest_observed(out, fitted, c)
     return out
@@ -89,7 +86,7 @@ def nearest_observed(sample: DataFrame, fitted: DataFrame, column: str) -> DataF
 def check_sample(sample: DataFrame, columns: list[str]) -> DataFrame:
     """Refuse other columns; count values that are not finite numbers, per column."""
     if list(sample.columns) != list(columns):
-        raise ValueError(f"a sampled row has the columns {sample.columns}, not {columns}")
+        raise ValueError(f"the sample has columns {sample.columns}, the fitted table {columns}")
     return sample.agg(*[F.count_if(F.col(c).isNull() | F.isnan(F.col(c).cast("double")) | (F.abs(F.col(c).cast("double")) == float("inf"))).alias(c)
                         for c in columns])
 
@@ -209,7 +206,7 @@ def fit_network(fitted: DataFrame, columns: list[str], kinds: dict[str, str], bi
     coded = cut(coded)
     bad = coded.agg(*[F.count_if(F.col(c).isNull() | F.isnan(c)).alias(c) for c in columns]).first()
     if any(bad):
-        raise ValueError("the table has a missing value; fill or drop it first")
+        raise ValueError("NULL or NaN in a column to be modelled: leave such rows out or fill them before")
     k = len(columns)
     mi = {}
     if k > 1:

@@ -83,9 +83,9 @@ def test_dense_and_slices(spark):
     got = [r.qty for r in dm.dense(panel, axis).orderBy("i").collect()]
     assert got == [0, 2, 0, 0, 1, 0]
     assert dm.until(panel, DAY0 + timedelta(days=2)).count() == 1
-    with pytest.raises(ValueError, match="not 9"):
+    with pytest.raises(ValueError, match="of 9 days"):
         dm.window(panel, axis, DAY0, 9)
-    with pytest.raises(ValueError, match="is not a day"):
+    with pytest.raises(ValueError, match="lies outside"):
         dm.window(panel, axis, date(2020, 1, 1), 2)
 
 
@@ -168,11 +168,11 @@ def test_pivot_folds_and_orders(spark):
     assert got.where("cell and depth = 0 and c1 = 'Other'").first().v1 == 0.0
     order = [r.r1 for r in pv.ordered(got, 1).where("depth = 1").collect()]
     assert order == ["item1", "item2", "item10"]
-    with pytest.raises(ValueError, match="not both"):
+    with pytest.raises(ValueError, match="one list"):
         pv.pivot(df, pv.View(filters={"r": {"include": [], "exclude": []}}))
-    with pytest.raises(ValueError, match="needs a measure"):
+    with pytest.raises(ValueError, match="takes numbers"):
         pv.pivot(df, pv.View(values=[("r", "sum")]))
-    with pytest.raises(ValueError, match="time field only"):
+    with pytest.raises(ValueError, match="no grain"):
         pv.pivot(df, pv.View(rows=[("r", "month")]))
     blank = pv.apply_filters(spark.createDataFrame([("a",), (None,)], "r string"), {"r": {"exclude": [None]}})
     assert [x.r for x in blank.collect()] == ["a"]
@@ -412,12 +412,12 @@ def test_causal_refusals(spark):
     for extra in ("x2", "five"):
         rows = ca.score_estimators(twice, ca.Question("t", "y", ("x", extra)), ("id",), names=("regression-adjustment",)).collect()
         assert "not identified" in rows[0].error
-    for q, text in ((ca.Question("t", "t"), "needs two fields"), (ca.Question("t", "y", ("y",)), "outcome itself"), (ca.Question("x", "y"), "other than 0 and 1"),
-                    (ca.Question("t", "y", ("nope",)), "unknown field")):
+    for q, text in ((ca.Question("t", "t"), "one role"), (ca.Question("t", "y", ("y",)), "one role"), (ca.Question("x", "y"), "must be 0 or 1"),
+                    (ca.Question("t", "y", ("nope",)), "no such column")):
         with pytest.raises(ValueError, match=text):
             ca.design(df, q)
     split = df.withColumn("sure", F.col("t") * 10.0 + F.col("x") / 100)
-    assert "no overlap" in ca.score_estimators(split, ca.Question("t", "y", ("sure",)), ("id",), names=("ipw",)).first().error
+    assert "hardly overlap" in ca.score_estimators(split, ca.Question("t", "y", ("sure",)), ("id",), names=("ipw",)).first().error
 
 
 def test_paired_effects_by_hand(spark):

@@ -46,7 +46,7 @@ def test_scan_and_audit_count_every_row(spark, tmp_path):
 
 def test_audit_refuses_other_columns_and_unreadable_quantities(spark, tmp_path):
     schema = de.infer_schema(spark, write(tmp_path, sales()))
-    with pytest.raises(ValueError, match="are not the schema's"):
+    with pytest.raises(ValueError, match="columns differ"):
         de.audit(spark, write(tmp_path, "A,B\n1,2\n", "other.csv"), schema)
     bad = "OrderDate,Sku,Units,UnitPrice\n" + "2024-01-01,S,many,1\n" * 3 + "2024-01-01,S,2,1\n" * 7
     with pytest.raises(ValueError, match="column Units: 3 of 10"):
