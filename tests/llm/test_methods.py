@@ -432,7 +432,7 @@ def test_every_quality_rule_rejects_a_text_that_passes_the_base(spark):
     plain = lambda n: " ".join(word() for _ in range(n))
     texts = [plain(100) for _ in range(120)]
     again = plain(9)
-    planted = {"word_length": " ".join("x" * 30 for _ in range(3)) + " " + " ".join("y" * 25 + str(i) for i in range(20)), "symbols_per_word": plain(40) + " #" * 30,
+    planted = {"word_length": " ".join("x" * 30 for _ in range(3)) + " " + " ".join("y" * 25 + str(i) for i in range(20)), "symbols_per_word": " ".join(word() + "#" for _ in range(40)),
                "repeated_share": f"{plain(40)} {again} {plain(40)} {again} {plain(9)}", "repeated_lines": "\n".join(f"{word()} {word()}\nok" for _ in range(20))}
     rows = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate([*texts, *planted.values()])], "doc_id int, text string, lang string, source string")
     found = {r["doc_id"]: r for r in quality.judged(rows).collect()}
