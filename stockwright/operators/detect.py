@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions import groups
 from ..functions.numeric import uniform
 from ..functions.ranks import largest, value_at_rank
 from ..session import cut
@@ -19,6 +20,8 @@ from . import series as se
 
 STRONG = 3.0
 TREES, SAMPLES = 200, 8192
+#: Days before and after that a rolling median reads.
+HALF = 3
 KINDS = ["spike", "drop", "shrinkage"]
 DIRECTIONS = ["spike", "drop", "other"]
 
@@ -26,7 +29,7 @@ DIRECTIONS = ["spike", "drop", "other"]
 # --- features --------------------------------------------------------------------------------------
 
 
-def rolling_median(value: str, half: int = 3) -> Column:
+def rolling_median(value: str, half: int = HALF) -> Column:
     """Centred rolling median by item; the first and last values are repeated beyond the ends."""
     w = Window.partitionBy("sku_id").orderBy("i")
     whole = Window.partitionBy("sku_id")
@@ -39,43 +42,57 @@ def rolling_median(value: str, half: int = 3) -> Column:
     return F.sort_array(F.concat(near, F.array_repeat(start, head), F.array_repeat(end, tail)))[half]
 
 
-def weekday_median(value: str) -> Column:
-    """The item's median on the same weekday."""
-    return F.percentile(value, F.lit(0.5)).over(Window.partitionBy("sku_id", F.weekday("day")))
+def weekday_median(panel: DataFrame, value: str, together: bool = False) -> DataFrame:
+    """The panel with ``weekday_median``: the item's median of ``value`` on the same weekday."""
+    def compute(m: groups.Matrices) -> dict:
+        return {"weekday_median": groups.medians_by(_weekdays(m), m[value][0].astype(float), m[value][1])}
 
+    placed = panel.withColumn("_day", F.weekday("day"))
+    return groups.in_groups(placed, "sku_id", "i", [value, "_day"], {"weekday_median": "double"}, compute, together).drop("_day")
 
-def stock_balance() -> Column:
+
+def _weekdays(m: groups.Matrices) -> np.ndarray:
+    return np.where(m["_day"][1], -1, m["_day"][0]).astype(int)
+
+
+def _balance(m: groups.Matrices) -> tuple[np.ndarray, np.ndarray]:
     """Stock change that neither receipts nor demand explain; 0 on the first day and for rounding noise."""
-    before = F.lag("on_hand").over(Window.partitionBy("sku_id").orderBy("i"))
-    gap = F.col("on_hand") - before - F.col("receipts") + F.col("demand")
-    return F.when(before.isNull() | (F.abs(gap) < 1e-6), F.lit(0.0)).otherwise(gap)
+    (stock, no_stock), (got, no_got), (sold, no_sold) = m["on_hand"], m["receipts"], m["demand"]
+    gap, null = np.zeros(stock.shape), np.zeros(stock.shape, bool)
+    gap[:, 1:] = stock[:, 1:] - stock[:, :-1] - got[:, 1:] + sold[:, 1:]
+    null[:, 1:] = ~no_stock[:, :-1] & (no_stock | no_got | no_sold)[:, 1:]  # a day after one without stock starts anew
+    gap[:, 1:][no_stock[:, :-1]] = 0.0
+    return np.where(np.abs(gap) < 1e-6, 0.0, gap), null
 
 
-def signal_features(panel: DataFrame) -> DataFrame:
-    """Scaled demand features and missing stock per item and day; every window shares one shuffle by item."""
-    whole = Window.partitionBy("sku_id")
+def stock_balance(panel: DataFrame, together: bool = False) -> DataFrame:
+    """The panel with ``balance``: stock change that neither receipts nor demand explain."""
+    return groups.in_groups(panel, "sku_id", "i", ["demand", "on_hand", "receipts"], {"balance": "double"}, lambda m: {"balance": _balance(m)}, together)
+
+
+def signal_features(panel: DataFrame, together: bool = False) -> DataFrame:
+    """Scaled demand features and missing stock per item and day, an item's days worked on at once.  ``together``: its rows
+    follow each other already."""
     zero = F.lit(0.0)
-    filled = panel.repartition("sku_id").select(
-        "sku_id", "day", "i", *[F.coalesce(F.nanvl(F.col(c), zero), zero).alias(c) for c in ("demand", "on_hand", "receipts")]
-    )
-    shaped = filled.withColumns({
-        "_s": F.greatest(F.stddev_pop("demand").over(whole), F.lit(1.0)),
-        "_med": F.percentile("demand", F.lit(0.5)).over(whole),
-        "_mean": F.greatest(F.avg("demand").over(whole), F.lit(1e-9)),
-        "_wd": weekday_median("demand"),
-        "_roll": rolling_median("demand"),
-        "_gap": stock_balance(),
-    })
-    x = F.col("demand")
-    return shaped.select(
-        "sku_id", "day", "i", "demand",
-        ((x - F.col("_med")) / F.col("_s")).alias("level"),
-        ((x - F.col("_wd")) / F.col("_s")).alias("weekday"),
-        ((x - F.col("_roll")) / F.col("_s")).alias("rolling"),
-        (x == 0).cast("double").alias("is_zero"),
-        (F.least(F.col("_gap"), zero) / F.col("_mean")).alias("missing"),
+    filled = panel.select(
+        "sku_id", "day", "i", *[F.coalesce(F.nanvl(F.col(c).cast("double"), zero), zero).alias(c) for c in ("demand", "on_hand", "receipts")],
+        F.weekday("day").alias("_day"),
     )
 
+    def compute(m: groups.Matrices) -> dict:
+        x, known = m["demand"]
+        spread = np.maximum(x.std(axis=1), 1.0)[:, None]
+        mean = np.maximum(x.mean(axis=1), 1e-9)[:, None]
+        weekday, _ = groups.medians_by(_weekdays(m), x, known)
+        wide = np.concatenate([np.repeat(x[:, :1], HALF, axis=1), x, np.repeat(x[:, -1:], HALF, axis=1)], axis=1)
+        near = np.lib.stride_tricks.sliding_window_view(wide, 2 * HALF + 1, axis=1)
+        rolling = np.partition(near, HALF, axis=2)[:, :, HALF]
+        return {"level": (x - np.median(x, axis=1)[:, None]) / spread, "weekday": (x - weekday) / spread, "rolling": (x - rolling) / spread,
+                "is_zero": (x == 0).astype(float), "missing": np.minimum(_balance(m)[0], 0.0) / mean}
+
+    found = groups.in_groups(filled, "sku_id", "i", ["demand", "on_hand", "receipts", "_day"], {c: "double" for c in FEATURES}, compute, together)
+    return found.select("sku_id", "day", "i", "demand", *FEATURES)
+
 
 FEATURES = ["level", "weekday", "rolling", "is_zero", "missing"]
 
@@ -214,13 +231,12 @@ def isolation_forest(panel: DataFrame, contamination: float = 0.01, trees: int =
 # --- rules and guards ------------------------------------------------------------------------------
 
 
-def seasonal_detector(panel: DataFrame, k: float = 3.5, period: int = 7):
+def seasonal_detector(panel: DataFrame, k: float = 3.5, period: int = 7, together: bool = False):
     """``(scores, detections)`` of the seasonal residual rule on every item and day."""
     rows = panel.select(F.col("sku_id").alias("key"), "i", F.coalesce("demand", F.lit(0.0)).alias("value"), "day")
-    z = se.seasonal_residuals(rows.select("key", "i", "value"), period)
-    found = panel.select("sku_id", "day", "i").join(
-        z.select(F.col("key").alias("sku_id"), "i", "robust_z"), ["sku_id", "i"], "left"
-    ).select("sku_id", "day", "i", F.coalesce(F.abs("robust_z"), F.lit(0.0)).alias("score"), "robust_z")
+    z = F.when(F.col("key").isNotNull(), F.col("robust_z"))  # a day of no item has no score
+    found = se.residual_rule(rows, period, together=together).select(
+        F.col("key").alias("sku_id"), "day", "i", F.coalesce(F.abs(z), F.lit(0.0)).alias("score"), z.alias("robust_z"))
     flagged = found.where(F.abs("robust_z") >= k).select(
         "sku_id", "day", "i", F.round("score", 2).alias("score"),
         F.when(F.col("robust_z") > 0, "spike").otherwise("drop").alias("direction"), F.array(F.lit("demand")).alias("reasons"),

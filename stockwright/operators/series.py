@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions import groups
 from . import metrics
 
 MAD_TO_SIGMA = 0.6745
@@ -150,28 +151,52 @@ def scale_of(mad: Column, mean_abs: Column, min_scale: float = 1.0) -> tuple[Col
     return scale, F.when(use_mad, "mad").when(use_mean, "mean_abs_dev").otherwise("floor")
 
 
-def seasonal_residuals(series: DataFrame, period: int, min_scale: float = 1.0) -> DataFrame:
+def residual_rule(series: DataFrame, period: int, min_scale: float = 1.0, together: bool = False) -> DataFrame:
+    """``series`` (key, i, value and any other columns) with ``expected, residual, robust_z, method``, all NULL in keys
+    too short for the rule.  A key's points are worked on at once; ``together``: they follow each other already."""
+
+    def compute(m: groups.Matrices) -> dict:
+        (x, null), (place, _) = m["value"], m["_pos"]
+        if x.shape[1] < max(2 * period, 8):
+            no = np.ones(x.shape, bool)
+            return {**{n: (np.zeros(x.shape), no) for n in ("expected", "residual", "robust_z")}, "method": (np.full(x.shape, None, object), no)}
+        x = x.astype(float)
+        expected, unknown = groups.medians_by(place, x, null)
+        residual = x - expected
+        middle, _ = groups.median(residual, null)
+        off = np.abs(residual - middle[:, None])
+        mad, none = groups.median(off, null)
+        mean = np.where(null, 0.0, off).sum(axis=1) / np.maximum((~null).sum(axis=1), 1)
+        by_mad, by_mean = mad / MAD_TO_SIGMA, mean / MEAN_ABS_TO_SIGMA
+        # NaN stands above all numbers
+        use_mad = ~none & ~(mad <= 0) & ~(by_mad < min_scale)
+        use_mean = ~none & (mad == 0) & ~(by_mean < min_scale)
+        scale = np.where(use_mad, by_mad, np.where(use_mean, by_mean, min_scale))
+        method = np.where(use_mad, "mad", np.where(use_mean, "mean_abs_dev", "floor")).astype(object)
+        return {"expected": (expected, unknown), "residual": (residual, null), "robust_z": ((residual - middle[:, None]) / scale[:, None], null),
+                "method": np.repeat(method[:, None], x.shape[1], axis=1)}
+
+    placed = series.withColumn("_pos", F.pmod("i", F.lit(period)))
+    made = {"expected": "double", "residual": "double", "robust_z": "double", "method": "string"}
+    return groups.in_groups(placed, "key", "i", ["value", "_pos"], made, compute, together).drop("_pos")
+
+
+def seasonal_residuals(series: DataFrame, period: int, min_scale: float = 1.0, together: bool = False) -> DataFrame:
     """``expected, residual, robust_z, method`` of every point; keys too short for the rule are left out."""
-    by_key = Window.partitionBy("key")
-    place = Window.partitionBy("key", "_pos")
-    half = F.lit(0.5)
-    shaped = (
-        series.repartition("key")  # every window below is partitioned by key: this is their only shuffle
-        .withColumn("_pos", F.pmod("i", F.lit(period)))
-        .withColumn("_n", F.count(F.lit(1)).over(by_key))
-        .where(F.col("_n") >= max(2 * period, 8))
-        .withColumn("expected", F.percentile("value", half).over(place))
-        .withColumn("residual", F.col("value") - F.col("expected"))
-        .withColumn("_med", F.percentile("residual", half).over(by_key))
-        .withColumn("_dev", F.abs(F.col("residual") - F.col("_med")))
-        .withColumn("_mad", F.percentile("_dev", half).over(by_key))
-        .withColumn("_abs", F.avg("_dev").over(by_key))
-    )
-    scale, method = scale_of(F.col("_mad"), F.col("_abs"), min_scale)
-    return shaped.select(
-        "key", "i", "value", "expected", "residual", ((F.col("residual") - F.col("_med")) / scale).alias("robust_z"),
-        method.alias("method"),
-    )
+    found = residual_rule(series.select("key", "i", "value"), period, min_scale, together)
+    return found.where(F.col("method").isNotNull())
+
+
+def lagged(series: DataFrame, rows: int, default: float = 0.0, together: bool = False) -> DataFrame:
+    """``series`` with the values of so many points before; ``default`` where there is none."""
+    def compute(m: groups.Matrices) -> dict:
+        x, null = m["value"]
+        moved, gone = np.full(x.shape, default), np.zeros(x.shape, bool)
+        moved[:, rows:], gone[:, rows:] = x[:, : max(0, x.shape[1] - rows)], null[:, : max(0, x.shape[1] - rows)]
+        return {"_moved": (moved, gone)}
+
+    found = groups.in_groups(series, "key", "i", ["value"], {"_moved": "double"}, compute, together)
+    return found.select(*[F.col("_moved" if c == "value" else c).alias(c) for c in series.columns])
 
 
 def residual_scales(series: DataFrame, period: int, min_scale: float = 1.0) -> DataFrame:
@@ -190,9 +215,9 @@ def residual_scales(series: DataFrame, period: int, min_scale: float = 1.0) -> D
     return spread.select("key", scale.alias("scale"), method.alias("method"))
 
 
-def seasonal_anomalies(series: DataFrame, period: int, k: float = 3.5, min_scale: float = 1.0) -> DataFrame:
+def seasonal_anomalies(series: DataFrame, period: int, k: float = 3.5, min_scale: float = 1.0, together: bool = False) -> DataFrame:
     """Points whose robust z is at least ``k`` in size, with direction."""
-    return seasonal_residuals(series, period, min_scale).where(F.abs("robust_z") >= k).withColumn(
+    return seasonal_residuals(series, period, min_scale, together).where(F.abs("robust_z") >= k).withColumn(
         "direction", F.when(F.col("robust_z") > 0, "spike").otherwise("drop")
     )
 

@@ -43,13 +43,13 @@ def _(t: Tables):
 @query("e07_weekday_median", with_sql(*SUPPLIERS) + """select sku_id, i, m as weekday_median from dense join (select sku_id as s, isodow(day) as w, median(qty) as m from dense group by 1, 2)
   on s = sku_id and w = isodow(day)""")
 def _(t: Tables):
-    return rounded(_plain_signals(t).select("sku_id", "i", de.weekday_median("demand").alias("weekday_median")))
+    return rounded(de.weekday_median(_plain_signals(t).select("sku_id", "day", "i", "demand"), "demand", together=True).select("sku_id", "i", "weekday_median"))
 
 
 @query("e08_stock_balance", with_sql(*SUPPLIERS, SIGNAL_SQL) + """select sku_id, i, case when g is null or abs(g) < 1e-6 then 0 else g end as balance from (select sku_id, i,
   on_hand - lag(on_hand) over (partition by sku_id order by i) - receipts + demand as g from signals)""")
 def _(t: Tables):
-    return rounded(_plain_signals(t).select("sku_id", "i", de.stock_balance().alias("balance")))
+    return rounded(de.stock_balance(_plain_signals(t).drop("day"), together=True).select("sku_id", "i", "balance"))
 
 
 FEATURES_SQL = """roll as materialized (select a.sku_id, a.i, median(b.qty) as rolling from dense a cross join (select unnest(generate_series(-3, 3)) as o) cross join axis x
@@ -65,7 +65,7 @@ gaps as (select sku_id, i, on_hand - lag(on_hand) over (partition by sku_id orde
   from signals d join item on item.sku_id = d.sku_id join wd on wd.sku_id = d.sku_id and w = isodow(d.day) join roll on roll.sku_id = d.sku_id and roll.i = d.i
   join gaps on gaps.sku_id = d.sku_id and gaps.i = d.i""")
 def _(t: Tables):
-    return rounded(de.signal_features(_plain_signals(t)))
+    return rounded(de.signal_features(_plain_signals(t), together=True))
 
 
 @query("k04_isolation_forest")
@@ -96,7 +96,7 @@ PLACES = [*SUPPLIERS, SERIES_SQL, RESIDUAL_SQL, PLACES_SQL]
 
 def _places(t: Tables):
     panel = dm.dense(*_panel(t)).select("sku_id", "day", "i", F.col("qty").alias("demand"))
-    found = de.seasonal_detector(panel)[1]
+    found = de.seasonal_detector(panel, together=True)[1]
     kinds = F.array(*[F.lit(k) for k in de.KINDS])
     injected = panel.where((F.col("i") * 31 + F.col("sku_id").cast("bigint") * 17) % 97 == 0).select(
         "sku_id", "day", "i", F.element_at(kinds, (F.col("i") % 3 + 1).cast("int")).alias("kind"))
@@ -128,7 +128,7 @@ def _(t: Tables):
   limit (select cast(round(count(*) / 100) as bigint) from dense)""")
 def _(t: Tables):
     panel = dm.dense(*_panel(t)).select("sku_id", "day", "i", F.col("qty").alias("demand"))
-    scores = de.seasonal_detector(panel)[0]
+    scores = de.seasonal_detector(panel, together=True)[0]
     return rounded(de.top_k(scores, round(panel.count() / 100)).select("sku_id", "i", "score"))
 
 
@@ -141,7 +141,7 @@ def _(t: Tables):
 @query("b12_detection_guard", "select 0::bigint as missing_scores, 0::bigint as bad_scores, 0::bigint as outside, 0::bigint as bad_detections, 0::bigint as bad_directions")
 def _(t: Tables):
     panel = dm.dense(*_panel(t)).select("sku_id", "day", "i", F.col("qty").alias("demand"))
-    return de.guard(*de.seasonal_detector(panel), panel)
+    return de.guard(*de.seasonal_detector(panel, together=True), panel)
 
 
 def _threshold(panel):

@@ -107,19 +107,19 @@ def _(t: Tables):
 
 @query("k03_item_day_scores", with_sql(*SUPPLIERS, SERIES_SQL, RESIDUAL_SQL) + """select key, i, value, expected, residual, round(robust_z, 6) + 0 as robust_z, method from scored""")
 def _(t: Tables):
-    return rounded(se.seasonal_residuals(_series(t), 7))
+    return rounded(se.seasonal_residuals(_series(t), 7, together=True))
 
 
 @query("k02_seasonal_anomalies", with_sql(*SUPPLIERS, SERIES_SQL, RESIDUAL_SQL) + """select key, i, value, expected, residual, round(robust_z, 6) as robust_z, method,
   case when robust_z > 0 then 'spike' else 'drop' end as direction from scored where abs(robust_z) >= 3.5""")
 def _(t: Tables):
-    return rounded(se.seasonal_anomalies(_series(t), 7))
+    return rounded(se.seasonal_anomalies(_series(t), 7, together=True))
 
 
 @query("f03_top_anomalies", with_sql(*SUPPLIERS, SERIES_SQL, RESIDUAL_SQL) + """select key, i, value, round(robust_z, 6) as robust_z from scored where abs(robust_z) >= 3.5
   order by abs(round(robust_z, 2)) desc, key, i limit 20""")
 def _(t: Tables):
-    return rounded(se.top_anomalies(se.seasonal_anomalies(_series(t), 7)).select("key", "i", "value", "robust_z"))
+    return rounded(se.top_anomalies(se.seasonal_anomalies(_series(t), 7, together=True)).select("key", "i", "value", "robust_z"))
 
 
 # --- panel forecasts ---------------------------------------------------------------------------------
