@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import demand as dm
 from ..operators import fidelity as fi
+from ..operators import series as se
 from ..operators import synth as sy
 from ..operators import utility as ut
 from ..session import cut
@@ -55,10 +56,8 @@ shape as (select key, round(corr(a, b), 4) as pc from cycle group by 1)"""
   round(100 * (ss - rs) / rs, 2) + 0 as std_delta_pct, round(rm, 2) as real_mean, round(sm, 2) as synth_mean, round(100 * (1 - ks) * greatest(0, pc), 1) as fidelity_score
   from moments m join shape s on s.key = m.key join ks on ks.key = m.key""")
 def _(t: Tables):
-    from pyspark.sql import Window
-
     s = _series(t)
-    moved = s.withColumn("value", F.lag("value", 7, 0.0).over(Window.partitionBy("key").orderBy("i")))
+    moved = se.lagged(s, 7, together=True)
     both = s.withColumn("side", F.lit(0)).unionByName(moved.withColumn("side", F.lit(1)))
     return rounded(fi.series_fidelity(both, 7), 4)
 
