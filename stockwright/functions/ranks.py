@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import cut
+
 RANGES = 256
 
 
@@ -105,15 +107,29 @@ def exact_medians(df: DataFrame, keys: list[str], columns: list[str]) -> DataFra
 
 
 def value_at_rank(df: DataFrame, value: str, rank: int) -> tuple[float, int, int]:
-    """The value at 0-based ``rank`` in ascending order, how many rows are smaller, and how many equal it."""
-    counted = df.where(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("_value")).agg(
-        F.count(F.lit(1)).alias("_n")
-    )
-    ranked = running_totals(counted, [], "_value", ["_n"])
-    row = ranked.where((F.col("_n_before") <= rank) & (F.lit(rank) < F.col("_n_before") + F.col("_n"))).first()
-    if row is None:
+    """The value at 0-based ``rank`` in ascending order, how many rows are smaller, and how many equal it.
+
+    Approximate quantiles tell between which values it lies; only those are counted one by one, the rest are added up.
+    Should it lie outside, all values are counted.
+    """
+    known = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("_value"))
+    probs = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
+    points, n = known.agg(F.percentile_approx("_value", probs, 4096), F.count(F.lit(1))).first()
+    if not 0 <= rank < n:
         raise ValueError(f"no value at rank {rank}")
-    return float(row["_value"]), int(row["_n_before"]), int(row["_n"])
+    near = rank * RANGES // n - 1  # the quantile at or below the rank
+    low, high = (points[near - 1] if near >= 1 else None), (points[near + 2] if near + 2 < len(points) else None)
+    for low, high in ((low, high), (None, None)):
+        some = known if high is None else known.where(F.col("_value") <= F.lit(high))
+        inside = F.col("_value") if low is None else F.when(F.col("_value") >= F.lit(low), F.col("_value"))
+        counted = cut(some.groupBy(inside.alias("_value")).agg(F.count(F.lit(1)).alias("_n")))  # NULL: all below
+        below = counted.where(F.col("_value").isNull()).agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+        here = counted.where(F.col("_value").isNotNull())
+        if below <= rank < below + here.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]:
+            break
+    ranked = running_totals(here, [], "_value", ["_n"])
+    row = ranked.where((F.col("_n_before") <= rank - below) & (F.lit(rank - below) < F.col("_n_before") + F.col("_n"))).first()
+    return float(row["_value"]), int(below + row["_n_before"]), int(row["_n"])
 
 
 def largest(df: DataFrame, value: str, k: int, ties: list[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import cut, prepare, shared_folder
+from ..session import cut, prepare, stored
 
 #: A word: a run without ASCII white space.  ``bytes.split()`` cuts at exactly these bytes.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -42,13 +42,6 @@ def parts(data: bytes, size: int = 4 << 20) -> Iterator[bytes]:
     yield data[at:] if at else data
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a compressed table in the shared folder and read again: cuts lineage where rows are many."""
-    path = shared_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def fold(id_column: str, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; a NULL id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")) % parts

@@ -15,11 +15,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import groups
 from ..functions.numeric import uniform
 from ..functions.ranks import largest, value_at_rank
-from ..session import cut
+from ..session import cut, stored
 from . import series as se
 
 STRONG = 3.0
 TREES, SAMPLES = 200, 8192
+#: Equal ranges of hashes, counted to find the places of injected anomalies.
+BINS = 1 << 16
 #: Days before and after that a rolling median reads.
 HALF = 3
 KINDS = ["spike", "drop", "shrinkage"]
@@ -178,27 +180,39 @@ def grow_forest(features: DataFrame, columns: list[str] = FEATURES, trees: int =
     }
 
 
+def _gathered(batches: Iterator[pd.DataFrame], rows: int = 1 << 16) -> Iterator[pd.DataFrame]:
+    """Batches put together to about ``rows`` rows."""
+    held: list[pd.DataFrame] = []
+    for pdf in batches:
+        held.append(pdf)
+        if sum(map(len, held)) >= rows:
+            yield pd.concat(held, ignore_index=True)
+            held = []
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def forest_scores(features: DataFrame, forest: dict) -> DataFrame:
     """``score`` of every row, larger is more anomalous: 2 ** -(mean path / expected path)."""
     shared = features.sparkSession.sparkContext.broadcast(forest)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fo = shared.value
-        for pdf in batches:
+        for pdf in _gathered(batches):
             # days of one item share many feature rows (no sale, no residual): each distinct row is scored once
             x, place = np.unique(pdf[fo["columns"]].to_numpy(float), axis=0, return_inverse=True)
-            lanes = np.arange(len(x))
-            path = np.zeros(len(x))
+            flat, n = np.ascontiguousarray(x.T).ravel(), len(x)
+            path = np.zeros(n)
             for f, t, h in zip(fo["f"], fo["t"], fo["h"]):
-                node = np.zeros(len(x), dtype=np.int32)
+                lane, node = np.arange(n), np.zeros(n, dtype=np.int64)
                 for _ in range(fo["depth"]):
-                    split = f[node]
+                    split = f.take(node)
                     inner = split >= 0
-                    if not inner.any():
-                        break
-                    right = x[lanes, np.maximum(split, 0)] > t[node]
-                    node = np.where(inner, 2 * node + 1 + right, node)
-                path += h[node]
+                    if not inner.all():  # rows at a leaf are done
+                        path[lane[~inner]] += h.take(node[~inner])
+                        lane, node, split = lane[inner], node[inner], split[inner]
+                    node = 2 * node + 1 + (flat.take(split * n + lane) > t.take(node))
+                path[lane] += h.take(node)
             pdf["score"] = np.power(2.0, -(path / len(fo["f"])) / fo["scale"])[place.ravel()]
             yield pdf
 
@@ -208,8 +222,8 @@ def forest_scores(features: DataFrame, forest: dict) -> DataFrame:
 
 def isolation_forest(panel: DataFrame, contamination: float = 0.01, trees: int = TREES, samples: int = SAMPLES, seed: int = 0):
     """``(scores, detections)``: the top ``contamination`` share flagged, with reasons and direction."""
-    features = cut(signal_features(panel))
-    scored = cut(forest_scores(features, grow_forest(features, FEATURES, trees, samples, seed)))
+    features = stored(signal_features(panel), "features")
+    scored = stored(forest_scores(features, grow_forest(features, FEATURES, trees, samples, seed)), "scores")
     n = scored.count()
     border, _, _ = value_at_rank(scored, "score", max(0, min(n - 1, math.floor((n - 1) * (1 - contamination)))))
     demand_strength = F.greatest(F.abs("level"), F.abs("weekday"), F.abs("rolling"))
@@ -272,7 +286,7 @@ def in_order(detections: DataFrame) -> DataFrame:
 
 def top_k(scores: DataFrame, k: int) -> DataFrame:
     """The k item-days of highest score; ties go to the smaller item, then the earlier day."""
-    return largest(cut(scores), "score", k, ["sku_id", "day"])
+    return largest(stored(scores, "scores"), "score", k, ["sku_id", "day"])
 
 
 # --- injected anomalies ----------------------------------------------------------------------------
@@ -290,36 +304,38 @@ def inject(panel: DataFrame, rate: float = 0.01, kinds: list[str] = KINDS, seed:
     if unknown or not kinds or len(set(kinds)) != len(kinds):
         raise ValueError(f"name each kind of anomaly once, out of {', '.join(KINDS)}; this is {kinds}")
     keys = [F.col("sku_id"), F.col("i")]
-    sold = F.sum("demand").over(Window.partitionBy("sku_id"))
-    marked = panel.withColumn("_u", F.when((F.col("i") >= 1) & (sold > 0), uniform(seed, "inject", *keys)))
-    sizes = marked.agg(F.count(F.lit(1)).alias("n"), F.count("_u").alias("c")).first()
-    count = min(sizes.c, round(rate * sizes.n))
-    border = value_at_rank(marked, "_u", count - 1)[0] if count else -1.0
-    ready = marked.select(
-        "sku_id", "day", "i", "demand", "on_hand", "receipts", F.coalesce(F.col("_u") <= border, F.lit(False)).alias("chosen"),
-        uniform(seed, "inject.start", F.col("sku_id")).alias("_t"), uniform(seed, "inject.size", *keys).alias("_a"),
-        uniform(seed, "inject.again", *keys).alias("_b"),
-    )
+    rows = stored(panel.select("sku_id", "day", "i", *[F.col(c).cast("double").alias(c) for c in ("demand", "on_hand", "receipts")]), "signals")
+    hashed = rows.select("sku_id", "i", uniform(seed, "inject", *keys).alias("_u"))
+    may = hashed.where(F.col("i") >= 1)
+    idle = cut(rows.groupBy("sku_id").agg(F.sum("demand").alias("_sold")).where(~F.coalesce(F.col("_sold") > 0, F.lit(False))).select("sku_id"))
+    if not idle.isEmpty():
+        may = may.alias("m").join(idle.alias("o"), F.col("m.sku_id").eqNullSafe(F.col("o.sku_id")), "left_anti")
+    # the bin of hashes that holds the last place chosen; only its hashes are put in order
+    bins = sorted(tuple(r) for r in may.groupBy(F.floor(F.col("_u") * BINS).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect())
+    left = count = min(sum(n for _, n in bins), round(rate * rows.count()))
+    border = -1.0
+    for b, n in bins if count else ():
+        if left <= n:
+            border = value_at_rank(cut(may.where(F.floor(F.col("_u") * BINS) == b).select("_u")), "_u", left - 1)[0]
+            break
+        left -= n
+    ready = rows.withColumns({
+        "_u": uniform(seed, "inject", *keys), "_t": uniform(seed, "inject.start", F.col("sku_id")),
+        "_a": uniform(seed, "inject.size", *keys), "_b": uniform(seed, "inject.again", *keys),
+    })
 
-    columns = ["i", "day", "demand", "on_hand", "receipts", "chosen", "_a", "_b"]
-    items = ready.groupBy("sku_id").agg(F.first("_t").alias("start"), F.array_sort(F.collect_list(F.struct(*columns))).alias("rows"))
-    packed = items.select("sku_id", "start", *[F.col(f"rows.{c}").alias(c) for c in columns])
+    def compute(m: groups.Matrices) -> dict:
+        (sold, unsold), day = m["demand"], m["i"][0]
+        some = ~(np.where(unsold, 0.0, sold).sum(axis=1) <= 0)
+        chosen = (m["_u"][0] <= border) & (day >= 1) & some[:, None]
+        demand, stock, code = changed(sold, m["on_hand"][0], np.nan_to_num(m["receipts"][0]), chosen, (m["_t"][0][:, 0] * len(kinds)).astype(int),
+                                      m["_a"][0], m["_b"][0], kinds)
+        return {"_sold": (demand, np.isnan(demand)), "_stock": (stock, np.isnan(stock)), "kind": np.array([*kinds, None], dtype=object)[code]}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for _, same in pdf.groupby(pdf["i"].map(len)):  # items of one axis length
-                for at in range(0, len(same), 64):
-                    block = same.iloc[at : at + 64]
-                    tall = {c: np.array(block[c].tolist(), dtype=float) for c in ("demand", "on_hand", "receipts", "_a", "_b")}
-                    chosen = np.array(block["chosen"].tolist(), dtype=bool)
-                    demand, stock, code = changed(tall["demand"], tall["on_hand"], np.nan_to_num(tall["receipts"]), chosen,
-                                                  (block["start"].to_numpy() * len(kinds)).astype(int), tall["_a"], tall["_b"], kinds)
-                    yield pd.DataFrame({
-                        "sku_id": np.repeat(block["sku_id"].to_numpy(), demand.shape[1]), "day": np.concatenate(block["day"].tolist()),
-                        "i": np.concatenate(block["i"].tolist()), "receipts": tall["receipts"].ravel(), "demand": demand.ravel(),
-                        "on_hand": stock.ravel(), "kind": np.array([*kinds, None], dtype=object)[code.ravel()]})
-
-    return packed.mapInPandas(run, "sku_id string, day date, i bigint, receipts double, demand double, on_hand double, kind string")
+    made = {"_sold": "double", "_stock": "double", "kind": "string"}
+    found = groups.in_groups(ready, "sku_id", "i", ["i", "demand", "on_hand", "receipts", "_u", "_t", "_a", "_b"], made, compute)
+    return found.select(F.col("sku_id").cast("string"), "day", F.col("i").cast("bigint"), "receipts", F.col("_sold").alias("demand"),
+                        F.col("_stock").alias("on_hand"), "kind")
 
 
 def changed(demand: np.ndarray, stock: np.ndarray, receipts: np.ndarray, chosen: np.ndarray, start: np.ndarray, a: np.ndarray, b: np.ndarray,
@@ -376,7 +392,8 @@ def detection_scores(flagged: DataFrame, injected: DataFrame) -> DataFrame:
         F.grouping("kind").alias("_all"), F.count_if(hit).alias("hits"), F.count_if("injected").alias("places"),
         F.count_if(F.col("flagged") & ~F.col("injected")).alias("_false"),
     ).where((F.col("_all") == 1) | F.col("kind").isNotNull())
-    false_alarms = both.agg(F.count_if(F.col("flagged") & ~F.col("injected")).alias("n")).scalar()
+    per = cut(per)  # a row per kind; the places are joined once
+    false_alarms = per.where(F.col("_all") == 1).agg(F.max("_false").alias("n")).scalar()
     shaped = per.select(
         F.when(F.col("_all") == 1, "all").otherwise(F.col("kind")).alias("kind"), "hits", "places",
         (F.col("hits") + false_alarms).alias("flagged"),
@@ -391,14 +408,15 @@ def score_detectors(panel: DataFrame, detectors: dict[str, Callable[[DataFrame],
 
     A detector is any function from the panel to ``(scores, detections)``; one that fails becomes an error row.
     """
-    injected = panel.where(F.col("kind").isNotNull()).select("sku_id", "day", "kind")
+    injected = cut(panel.where(F.col("kind").isNotNull()).select("sku_id", "day", "kind"))
     k = injected.count()
     out = None
     for name, run in detectors.items():
         try:
             scores, found = run(panel.drop("kind"))
-            scores = cut(scores)
-            parts = [("threshold", detection_scores(found, injected)), ("top-k", detection_scores(top_k(scores, k), injected))]
+            scores = stored(scores, "scores")
+            first = largest(scores, "score", k, ["sku_id", "day"])
+            parts = [("threshold", detection_scores(found, injected)), ("top-k", detection_scores(first, injected))]
             rows = [p.select(F.lit(name).alias("detector"), F.lit(c).alias("cut"), "*", F.lit(None).cast("string").alias("error")) for c, p in parts]
         except ValueError as problem:
             nothing = F.lit(None).cast("double")

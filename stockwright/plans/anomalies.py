@@ -81,9 +81,9 @@ def _(t: Tables):
 
 @query("k08_detector_benchmark")
 def _(t: Tables):
-    from ..session import cut
+    from ..session import stored
 
-    panel = cut(de.inject(_signals(t)))
+    panel = stored(de.inject(_signals(t)), "injected")
     return rounded(de.score_detectors(panel, {"seasonal-residual": de.seasonal_detector, "isolation-forest": de.isolation_forest}))
 
 
