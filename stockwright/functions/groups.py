@@ -96,7 +96,7 @@ def in_groups(rows: DataFrame, key: str, order: str, inputs: list[str], made: di
                     if n not in out:
                         out[n] = np.empty(table.num_rows, found.dtype), np.zeros(table.num_rows, bool)
                     out[n][0][at], out[n][1][at] = found, null
-            new = [pa.array(out[n][0], mask=out[n][1]) for n in made]
+            new = [pa.array(out[n][0], mask=out[n][1], type=pa.list_(pa.float64()) if k == "array<double>" else None) for n, k in made.items()]
             yield from pa.Table.from_arrays([*[_flat(table, n) for n in names], *new], [*names, *made]).to_batches(ROWS)
 
     return clustered(rows, key, together).mapInArrow(run, schema)

@@ -248,9 +248,11 @@ def isolation_forest(panel: DataFrame, contamination: float = 0.01, trees: int =
 def seasonal_detector(panel: DataFrame, k: float = 3.5, period: int = 7, together: bool = False):
     """``(scores, detections)`` of the seasonal residual rule on every item and day."""
     rows = panel.select(F.col("sku_id").alias("key"), "i", F.coalesce("demand", F.lit(0.0)).alias("value"), "day")
-    z = F.when(F.col("key").isNotNull(), F.col("robust_z"))  # a day of no item has no score
-    found = se.residual_rule(rows, period, together=together).select(
-        F.col("key").alias("sku_id"), "day", "i", F.coalesce(F.abs(z), F.lit(0.0)).alias("score"), z.alias("robust_z"))
+    placed = F.col("key").isNotNull() & F.col("i").isNotNull()  # a day of no item, or no day, has no score
+    each = F.when(placed & F.col("twins").isNotNull(), F.col("twins")).otherwise(F.array(F.when(placed, F.col("robust_z"))))
+    # a day that an item has more than once is paired with the score of each of its rows
+    scored = se.residual_rule(rows, period, together=together, twins=True).select("key", "day", "i", F.explode(each).alias("robust_z"))
+    found = scored.select(F.col("key").alias("sku_id"), "day", "i", F.coalesce(F.abs("robust_z"), F.lit(0.0)).alias("score"), "robust_z")
     flagged = found.where(F.abs("robust_z") >= k).select(
         "sku_id", "day", "i", F.round("score", 2).alias("score"),
         F.when(F.col("robust_z") > 0, "spike").otherwise("drop").alias("direction"), F.array(F.lit("demand")).alias("reasons"),

@@ -151,15 +151,17 @@ def scale_of(mad: Column, mean_abs: Column, min_scale: float = 1.0) -> tuple[Col
     return scale, F.when(use_mad, "mad").when(use_mean, "mean_abs_dev").otherwise("floor")
 
 
-def residual_rule(series: DataFrame, period: int, min_scale: float = 1.0, together: bool = False) -> DataFrame:
+def residual_rule(series: DataFrame, period: int, min_scale: float = 1.0, together: bool = False, twins: bool = False) -> DataFrame:
     """``series`` (key, i, value and any other columns) with ``expected, residual, robust_z, method``, all NULL in keys
-    too short for the rule.  A key's points are worked on at once; ``together``: they follow each other already."""
+    too short for the rule.  A key's points are worked on at once; ``together``: they follow each other already.
+    ``twins``: one column more, the robust z of all points at the same place of the key, NULL where there is one."""
 
     def compute(m: groups.Matrices) -> dict:
         (x, null), (place, _) = m["value"], m["_pos"]
         if x.shape[1] < max(2 * period, 8):
             no = np.ones(x.shape, bool)
-            return {**{n: (np.zeros(x.shape), no) for n in ("expected", "residual", "robust_z")}, "method": (np.full(x.shape, None, object), no)}
+            return {**{n: (np.zeros(x.shape), no) for n in ("expected", "residual", "robust_z")},
+                    **{n: (np.full(x.shape, None, object), no) for n in made if n in ("method", "twins")}}
         x = x.astype(float)
         expected, unknown = groups.medians_by(place, x, null)
         residual = x - expected
@@ -173,12 +175,28 @@ def residual_rule(series: DataFrame, period: int, min_scale: float = 1.0, togeth
         use_mean = ~none & (mad == 0) & ~(by_mean < min_scale)
         scale = np.where(use_mad, by_mad, np.where(use_mean, by_mean, min_scale))
         method = np.where(use_mad, "mad", np.where(use_mean, "mean_abs_dev", "floor")).astype(object)
-        return {"expected": (expected, unknown), "residual": (residual, null), "robust_z": ((residual - middle[:, None]) / scale[:, None], null),
-                "method": np.repeat(method[:, None], x.shape[1], axis=1)}
+        z = (residual - middle[:, None]) / scale[:, None]
+        found = {"expected": (expected, unknown), "residual": (residual, null), "robust_z": (z, null),
+                 "method": np.repeat(method[:, None], x.shape[1], axis=1)}
+        if twins:
+            found["twins"] = _twins(m["i"][0], z, null)
+        return found
 
     placed = series.withColumn("_pos", F.pmod("i", F.lit(period)))
-    made = {"expected": "double", "residual": "double", "robust_z": "double", "method": "string"}
-    return groups.in_groups(placed, "key", "i", ["value", "_pos"], made, compute, together).drop("_pos")
+    made = {"expected": "double", "residual": "double", "robust_z": "double", "method": "string", **({"twins": "array<double>"} if twins else {})}
+    return groups.in_groups(placed, "key", "i", ["value", "_pos", "i"], made, compute, together).drop("_pos")
+
+
+def _twins(place: np.ndarray, z: np.ndarray, null: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """At points whose place (in order) is taken more than once: the z of all points there."""
+    out, none = np.full(z.shape, None, object), np.ones(z.shape, bool)
+    again = place[:, 1:] == place[:, :-1]
+    for row in np.flatnonzero(again.any(axis=1)):
+        for p in np.unique(place[row, 1:][again[row]]):
+            at = np.flatnonzero(place[row] == p)
+            for j in at:
+                out[row, j], none[row, j] = [None if null[row, k] else float(z[row, k]) for k in at], False
+    return out, none
 
 
 def seasonal_residuals(series: DataFrame, period: int, min_scale: float = 1.0, together: bool = False) -> DataFrame:

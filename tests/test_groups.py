@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stockwright.functions import groups
+from stockwright.functions.ranks import value_at_rank
 from stockwright.operators import demand as dm, detect as de, series as se
 
 DAY0 = date(2024, 1, 1)
@@ -59,7 +60,7 @@ def test_dense_rows_are_neither_sorted_nor_windowed(spark):
     for found in (se.seasonal_residuals(series, 7, together=True), se.lagged(series, 7, together=True), de.signal_features(panel, together=True),
                   de.weekday_median(panel, "demand", together=True), de.stock_balance(panel, together=True), de.seasonal_detector(panel, together=True)[0]):
         plan = plan_of(found)
-        above = plan[: plan.index("Generate")]
+        above = plan[: plan.rindex("Generate")]
         assert "Sort" not in above and "Window" not in above and "Exchange" not in above
 
 
@@ -77,3 +78,31 @@ def test_scattered_groups_are_refused(spark):
     rows = spark.createDataFrame([("a", 0, 1.0), ("b", 0, 1.0), ("a", 1, 1.0)], "key string, i bigint, value double").coalesce(1)
     with pytest.raises(Exception, match="do not stand together"):
         list(groups.whole(iter([b for b in rows.toArrow().to_batches()]), "key"))
+
+
+def test_a_repeated_day_is_paired_with_the_score_of_each_row(spark):
+    rows = [("a", DAY0 + timedelta(days=i), i, float(i % 3)) for i in range(30)] + [("a", DAY0 + timedelta(days=4), 4, 50.0), (None, DAY0, 0, 1.0)]
+    panel = spark.createDataFrame(rows, "sku_id string, day date, i bigint, demand double")
+    scores, found = de.seasonal_detector(panel)
+    got = [r.score for r in scores.where("sku_id = 'a' and i = 4").collect()]
+    assert len(got) == 4 and len(set(got)) == 2 and scores.count() == 30 - 1 + 4 + 1
+    assert found.where("i = 4").count() == 2 and scores.where("sku_id is null").first().score == 0.0
+
+
+def test_value_at_every_kind_of_rank(spark):
+    values = sorted([float(x) for x in np.random.default_rng(3).exponential(size=3000)] + [0.5] * 1500 + [1e9])
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double").repartition(3)
+    for rank in (0, 1, 1234, 2000, 4499, 4500):
+        want = values[rank]
+        assert value_at_rank(df, "v", rank) == (want, values.index(want), values.count(want))
+    with pytest.raises(ValueError, match="no value at rank"):
+        value_at_rank(df, "v", 4501)
+
+
+def test_injection_collects_no_item_and_skips_items_without_demand(spark):
+    rows = [(k, DAY0 + timedelta(days=i), i, 0.0 if k == "idle" else 4.0, 20.0, 4.0) for k in ("a", "b", "idle") for i in range(100)]
+    panel = spark.createDataFrame(rows, "sku_id string, day date, i bigint, demand double, on_hand double, receipts double")
+    made = de.inject(panel, 0.05)
+    assert "collect_list" not in plan_of(made) and "Window" not in plan_of(made)
+    places = made.where("kind is not null").collect()
+    assert len(places) == 15 and {r.sku_id for r in places} == {"a", "b"} and made.count() == 300
