@@ -14,6 +14,7 @@ stream by; a conversation is never held as a group of rows, only as its own outp
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,6 +33,8 @@ CONTROL = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|endofte
 #: This template's own marks; ids are given above the vocabulary in this order.
 MARKS = ("<|chat|>", "<|turn|>", "<|says|>", "<|end|>")
 TRAINED_ROLE = "assistant"
+#: Bytes of turns encoded at once: the library holds some hundred bytes for each token of them.
+SLICE = 1 << 18
 
 _TAILS = "|".join(re.escape(s[1:]) for s in sorted({*CONTROL, *MARKS}, key=lambda s: (-len(s), s)))
 _PLAIN = re.compile(rf"(?<=[<\[])(?=\\*(?:{_TAILS}))")
@@ -50,6 +53,7 @@ def unescape(text: str) -> str:
 
 @lru_cache(maxsize=1)
 def _tokenizer(source: str) -> tokenizers.Tokenizer:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads of a worker's own only add memory
     made = tokenizers.Tokenizer.from_str(source)
     made.encode_special_tokens = True  # strings of special tokens are ordinary text
     return made
@@ -63,13 +67,20 @@ def formatted(chats: DataFrame, vocabulary: str, conv: str = "conv_id", turn: st
     NULL roles and texts are empty.  Rows with a NULL conversation form one conversation.  The loss covers each text of
     the assistant, nothing around it.  An empty table gives no row.
     """
-    df = narrow(chats, conv_id=conv, turn=turn, role=role, text=text)
     source = read_vocabulary(chats.sparkSession, vocabulary)
+    turns = _encoded(chats, source, conv, turn, role, text)
+    conv_type = turns.schema["conv_id"].dataType.simpleString()
+    return turns.mapInArrow(_assembler(source), f"conv_id {conv_type}, ids array<int>, loss array<boolean>, formatted string, spans array<struct<start:bigint,end:bigint>>")
+
+
+def _encoded(chats: DataFrame, source, conv: str, turn: str, role: str, text: str) -> DataFrame:
+    """A row per turn with the written forms and ids of its role and text; turns of a conversation follow each other."""
+    df = narrow(chats, conv_id=conv, turn=turn, role=role, text=text)
     conv_type, turn_type = (df.schema[c].dataType.simpleString() for c in ("conv_id", "turn"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = _tokenizer(source.value)
-        for b in (x for whole in batches for x in slices(whole, 1 << 20)):
+        for b in (x for whole in batches for x in slices(whole, SLICE)):
             roles, texts = ([t or "" for t in b.column(i).to_pylist()] for i in (2, 3))
             trained = pa.array([r == TRAINED_ROLE for r in roles])
             columns = []
@@ -81,7 +92,11 @@ def formatted(chats: DataFrame, vocabulary: str, conv: str = "conv_id", turn: st
 
     turns = df.mapInArrow(encode, f"conv_id {conv_type}, turn {turn_type}, role string, role_ids array<int>, text string, text_ids array<int>, trained boolean")
     tasks = int(chats.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    turns = turns.repartition(tasks, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    return turns.repartition(tasks, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+
+
+def _assembler(source):
+    """Puts the turns of ``_encoded`` together, conversation by conversation, as they stream by."""
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = _tokenizer(source.value).get_vocab_size()
@@ -123,7 +138,7 @@ def formatted(chats: DataFrame, vocabulary: str, conv: str = "conv_id", turn: st
             close()
             yield flush()
 
-    return turns.mapInArrow(assemble, f"conv_id {conv_type}, ids array<int>, loss array<boolean>, formatted string, spans array<struct<start:bigint,end:bigint>>")
+    return assemble
 
 
 def read_turns(written: str) -> list[tuple[str, str]]:
@@ -134,17 +149,20 @@ def read_turns(written: str) -> list[tuple[str, str]]:
     return [(unescape(parts[i]), unescape(parts[i + 1])) for i in range(2, len(parts) - 1, 3)]
 
 
-def report(chats: DataFrame, vocabulary: str, **columns: str) -> DataFrame:
-    """What ``formatted`` wrote, read back: the ids are decoded, cut at the reserved ids and unescaped, and compared
-    with the written form; the loss text comes from the token mask and must equal the character spans."""
-    made = formatted(chats, vocabulary, **columns)
+def report(chats: DataFrame, vocabulary: str, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """What ``formatted`` writes, read back: the ids are decoded, cut at the reserved ids and unescaped, and compared
+    with the written form; the loss text comes from the token mask and must equal the character spans.
+
+    Rows are read back in the worker that wrote them: a second worker a task would hold the vocabulary once more.
+    """
     source = read_vocabulary(chats.sparkSession, vocabulary)
+    turns, assemble = _encoded(chats, source, conv, turn, role, text), _assembler(source)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _tokenizer(source.value)
         first = tokens.get_vocab_size()
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        for b in batches:
+        for b in assemble(batches):
             rows = []
             for _, ids, loss, written, spans in zip(*[c.to_pylist() for c in b.columns]):
                 ids, loss = np.array(ids), np.array(loss, bool)
@@ -166,8 +184,8 @@ def report(chats: DataFrame, vocabulary: str, **columns: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, k) for c, k in zip(columns_, kinds)]],
                                              ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    kind = made.schema["conv_id"].dataType.simpleString()
-    return made.mapInArrow(run, f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+    kind = turns.schema["conv_id"].dataType.simpleString()
+    return turns.mapInArrow(run, f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
 
 
 def with_control_case(spark: SparkSession, chats: DataFrame) -> DataFrame:

@@ -103,6 +103,12 @@ def test_rows_without_an_id_are_mixed_as_often_as_taken(spark):
     assert max(map(found.count, found)) <= 3
 
 
+def test_a_task_that_reads_chats_back_has_one_worker(spark):
+    table = spark.createDataFrame([(1, 0, "user", "hello there"), (1, 1, "assistant", "a word")], "conv_id bigint, turn bigint, role string, text string")
+    plan = chat.report(table, VOCABULARY)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 2  # one before the turns are dealt, one after
+
+
 def test_only_nulls(spark):
     nothing = spark.createDataFrame([(None, None, None, None)] * 3, "doc_id bigint, text string, lang string, source string")
     for name, operator in DOCUMENT_OPERATORS.items():
