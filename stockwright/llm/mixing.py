@@ -76,9 +76,15 @@ def mix(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "
     source's target reaches is taken in part, so a source's taken words are its target's whole words.  Sizes of NULL and empty
     texts are 0; they take nothing.  Rows that repeat an id are documents of their own.  A NULL source is the last one.
     An empty table gives no row.
+
+    Rows come in training order: one range sort of all sources by position, ties by id, then size; what takes nothing
+    comes last, in no order.
     """
     position = F.when(F.col("taken") > 0, _time(F.col("fraction"), F.col("place")))
-    return _dealt(docs, id, text, source).select("doc_id", "size", "source_size", "target", "taken", position.alias("position"))
+    dealt = cut(_dealt(docs, id, text, source).select("doc_id", "size", "source_size", "target", "taken", position.alias("position")))
+    # documents without a turn share one position: dealt over all ranges after the last turn
+    late = F.coalesce("position", F.lit(2.0) + F.rand(0))
+    return dealt.withColumn("_at", late).repartitionByRange("_at", "doc_id", "size").sortWithinPartitions("_at", "doc_id", "size").drop("_at")
 
 
 def _dealt(docs: DataFrame, id: str, text: str, source: str) -> DataFrame:

@@ -103,6 +103,16 @@ def test_rows_without_an_id_are_mixed_as_often_as_taken(spark):
     assert max(map(found.count, found)) <= 3
 
 
+def test_a_mix_comes_in_training_order(spark):
+    rows = [(k, " ".join(["word"] * (k % 7)), "en", "uvw"[k % 3]) for k in range(400)]
+    found = mixing.mix(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).collect()
+    turns = [r["position"] for r in found if r["taken"] > 0]
+    assert len(found) == 400 and 0 < len(turns) < 400 and turns == sorted(turns)
+    assert all(r["taken"] == 0 and r["position"] is None for r in found[len(turns):])
+    places = {s: [i for i, r in enumerate(found[: len(turns)]) if rows[r["doc_id"]][3] == s] for s in "uvw"}
+    assert all(p[0] < len(turns) / 4 and p[-1] > len(turns) / 4 for p in places.values())  # sources are interleaved
+
+
 def test_a_task_that_reads_chats_back_has_one_worker(spark):
     table = spark.createDataFrame([(1, 0, "user", "hello there"), (1, 1, "assistant", "a word")], "conv_id bigint, turn bigint, role string, text string")
     plan = chat.report(table, VOCABULARY)._jdf.queryExecution().executedPlan().toString()
