@@ -5,11 +5,17 @@ all other words fall into classes by length.  The log-bilinear model predicts a
 context's vectors, each turned by a matrix for its distance, add up to a vector whose product with a class's vector,
 plus its bias, is the class's score.  It is fitted in numpy by noise-contrastive estimation on the counts of all class
 triples of the corpus, a table bounded by the number of classes.  One batched matrix product over all contexts and a
-normalisation give every log-probability; a word inside its class has its smoothed relative frequency.  So the
-probabilities of all words, unseen ones included, add up to one in every context.
+normalisation give every log-probability.
 
-Frequent words' counts are broadcast: a word of at least ``SHARE`` of all tokens, so at most ``1 / SHARE`` words.  The
-rare words of a text are joined with their exact counts by word.
+Inside a class of several words, each word of at least ``SHARE`` of all tokens has a vector of its own, however many
+there are: a word's score is the log of its smoothed count plus the product of the context's vector with its own.  These
+vectors are fitted on every training token: tasks sum the context vectors before each word, and one Newton step of the
+class's likelihood, shrunk by the word's count, gives its vector.  Rarer words back off to their smoothed counts.  The
+normaliser of each class in every context is an exact sum over all its words.  So the probabilities of all words, unseen
+ones included, add up to one in every context.
+
+Frequent words' counts and vectors are broadcast: at most ``1 / SHARE`` words.  The rare words of a text are joined with
+their exact counts by word.
 """
 
 from __future__ import annotations
@@ -38,6 +44,12 @@ BATCH = 2048
 RATE = 0.1
 SEED = 9
 SMOOTH = 0.1
+#: A word's vector is half of its Newton step at so many tokens.
+SHRINK = 50
+#: Context vectors are summed in whole steps of this size, so that sums are the same in any order.
+STEP = 2.0**-20
+#: Words whose scores are held at once, for a row of contexts, when the normalisers are made.
+HELD_SCORES = 50_000
 #: Distinct words that a task holds before it passes on its counts.
 HELD_WORDS = 400_000
 END = ""
@@ -198,6 +210,95 @@ def log_table(model: dict[str, np.ndarray]) -> np.ndarray:
     return (score - np.log(np.exp(score).sum(axis=1, keepdims=True))) / np.log(10)
 
 
+def context_vectors(model: dict[str, np.ndarray]) -> np.ndarray:
+    """The vector that predicts the next class, for every context (far * CLASSES + near)."""
+    return ((model["context"] @ model["far"])[:, None, :] + (model["context"] @ model["near"])[None, :, :]).reshape(-1, SIZE)
+
+
+def word_contexts(texts: DataFrame, key: _Key, steps) -> DataFrame:
+    """``code`` of a frequent word that shares its class, and ``s0`` .. : the sums of the context vectors before it.
+
+    ``steps`` is a broadcast of the context vectors in whole steps.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        look, q = _lookup(key), steps.value
+        total, seen = np.zeros((len(look.counts), SIZE), np.int64), np.zeros(len(look.counts), bool)
+        for b in batches:
+            for t in b.column(0).cast(pa.binary()).to_pylist():
+                last = np.zeros(2, np.int64)
+                for codes in look.encode(t or b""):
+                    c = np.r_[last, look.classed(codes)]
+                    at = np.flatnonzero((codes >= 0) & (c[2:] > 0) & (c[2:] <= TAILS))
+                    np.add.at(total, codes[at], q[c[at] * CLASSES + c[at + 1]])
+                    seen[codes[at]] = True
+                    last = c[-2:]
+        there = np.flatnonzero(seen)
+        for k in range(0, len(there), 20_000):
+            some = there[k : k + 20_000]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *[pa.array(total[some, j]) for j in range(SIZE)]],
+                                             ["code", *[f"s{j}" for j in range(SIZE)]])
+
+    names = [f"s{j}" for j in range(SIZE)]
+    found = texts.select("text").mapInArrow(run, "code int, " + ", ".join(f"{n} bigint" for n in names))
+    return found.groupBy("code").agg(*[F.sum(n).alias(n) for n in names])
+
+
+def word_vectors(look: Lookup, codes: np.ndarray, sums: np.ndarray, q: np.ndarray, cells: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """One row per frequent word: its vector, and a bias that leaves the word's mean share in its class as counted.
+
+    ``sums`` are the context vectors before the words ``codes``; ``cells`` and ``counts`` all class triples, which give
+    the mean and the spread of the contexts of a class.  Words with a class of their own have zeros.
+    """
+    out = np.zeros((len(look.counts), SIZE + 1))
+    context, target = cells // CLASSES, cells % CLASSES
+    for t in range(1, TAILS + 1):
+        mine, words = target == t, codes[look.classes[codes] == t]
+        if not len(words):
+            continue
+        share = counts[mine] / counts[mine].sum()
+        mean = share @ q[context[mine]]
+        off = q[context[mine]] - mean
+        spread = (off * share[:, None]).T @ off
+        n = look.counts[words][:, None].astype(float)
+        shift = sums[look.classes[codes] == t] / n - mean
+        ridge = spread + np.eye(SIZE) * (1e-3 * np.trace(spread) / SIZE + 1e-9)
+        v = np.linalg.solve(ridge, (shift * n / (n + SHRINK)).T).T
+        out[words, :SIZE] = v
+        out[words, SIZE] = -(v @ mean) - 0.5 * np.einsum("wi,ij,wj->w", v, spread, v)
+    return out.astype(np.float32).astype(float)
+
+
+def normalisers(spark, key: _Key, sent, rare: np.ndarray) -> np.ndarray:
+    """log10 of the summed weights of each class's words (columns) in every context (rows); made in tasks, a row of
+    contexts at a time.  ``sent`` is a broadcast of context vectors and word vectors; ``rare`` the weight of each class's
+    words without a vector, unseen ones included."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        look, (q, v) = _lookup(key), sent.value
+        groups = [np.flatnonzero(look.classes == t + 1) for t in range(TAILS)]
+        for b in batches:
+            for far in b.column(0).to_pylist():
+                at = np.c_[q[far * CLASSES : (far + 1) * CLASSES], np.ones(CLASSES)]
+                out = np.empty((CLASSES, TAILS))
+                for t, words in enumerate(groups):
+                    total = np.full(CLASSES, np.log(rare[t]))
+                    for k in range(0, len(words), HELD_SCORES):
+                        some = words[k : k + HELD_SCORES]
+                        weight = at @ v[some].T + np.log(look.counts[some] + SMOOTH)
+                        top = weight.max(axis=1)
+                        total = np.logaddexp(total, top + np.log(np.exp(weight - top[:, None]).sum(axis=1)))
+                    out[:, t] = total / np.log(10)
+                yield pa.RecordBatch.from_arrays([pa.array([far], pa.int32()), pa.array([out.ravel().tolist()], pa.list_(pa.float64()))], ["far", "logs"])
+
+    tasks = int(np.clip(len(_lookup(key).counts) // 2_000, 1, CLASSES))
+    made = spark.range(0, CLASSES, 1, tasks).select(F.col("id").cast("int").alias("far")).mapInArrow(run, "far int, logs array<double>").toArrow()
+    out = np.empty((CLASSES, CLASSES, TAILS))
+    for far, logs in zip(made.column("far").to_pylist(), made.column("logs").to_pylist()):
+        out[far] = np.reshape(logs, (CLASSES, TAILS))
+    return out.reshape(-1, TAILS)
+
+
 def score_texts(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: ``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` (by
     smoothed word frequencies) and ``score`` (by the model), both log10 of the whole text's probability.
@@ -216,8 +317,16 @@ def score_texts(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
     words, numbers = [w.encode() for _, w in found], np.array([c for c, _ in found], np.int64)
     key = _Key(spark.sparkContext.broadcast((words, numbers)), hash((spark.sparkContext.applicationId, id, n, v, len(words), counts.inputFiles()[0] if n else "")))
     look = Lookup(words, numbers)
-    cells = triples(train, key).toArrow()
-    model = fit(cells.column("cell").to_numpy().astype(np.int64), cells.column("n").to_numpy())
+    found = triples(train, key).toArrow()
+    order = np.argsort(found.column("cell").to_numpy())
+    cells, times = (found.column(c).to_numpy().astype(np.int64)[order] for c in ("cell", "n"))
+    model = fit(cells, times)
+    steps = np.round(context_vectors(model) / STEP).astype(np.int64)
+    q = steps * STEP
+    summed = word_contexts(train, key, spark.sparkContext.broadcast(steps)).toArrow()
+    codes = summed.column("code").to_numpy()
+    sums = np.column_stack([summed.column(f"s{j}").to_numpy() for j in range(SIZE)]) * STEP
+    vectors = word_vectors(look, codes, sums, q, cells, times)
 
     own = spark.createDataFrame([(w.decode(),) for w in [b"", *look.own]], "word string")
     length = F.least(F.floor(F.octet_length("word") / BYTES_A_TAIL), F.lit(TAILS - 1)).cast("int")
@@ -225,14 +334,19 @@ def score_texts(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
     tails = np.zeros((TAILS, 2))
     for r in sizes:
         tails[r["t"]] = r["c"], r["v"]
-    log_class = np.log10(tails[:, 0] + SMOOTH * (tails[:, 1] + 1))
+    shared = np.flatnonzero((look.classes > 0) & (look.classes <= TAILS))
+    held = np.bincount(look.classes[shared] - 1, weights=look.counts[shared] + SMOOTH, minlength=TAILS)
+    # at least the unseen word's weight: the difference of two sums is off by their rounding
+    rest = np.maximum(tails[:, 0] + SMOOTH * (tails[:, 1] + 1) - held, SMOOTH)
+    log_class = normalisers(spark, key, spark.sparkContext.broadcast((q, vectors)), rest)
     log_all = float(np.log10(n + SMOOTH * (v + 1)))
     end_known = bool(len(words)) and b"" in look.codes
-    sent = spark.sparkContext.broadcast((model, log_class))
+    sent = spark.sparkContext.broadcast((model, log_class, q, vectors))
     kind = df.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look, (model, log_class) = _lookup(key), sent.value
+        look, (model, log_class, q, vectors) = _lookup(key), sent.value
+        inner = q, vectors, log_class
         table = log_table(model)
         log_count = np.log10(look.counts + SMOOTH)
         is_own = (look.classes > TAILS) | (look.classes == 0)
@@ -244,11 +358,11 @@ def score_texts(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
                 rare: Counter[bytes] = Counter()
                 for part in parts(t or b""):
                     w = part.lower().split()
-                    last, a = _add(look, table, log_class, log_count, is_own, log_all, np.fromiter(map(look.codes.__getitem__, w), np.int64, len(w)), last)
+                    last, a = _add(look, table, inner, log_count, is_own, log_all, np.fromiter(map(look.codes.__getitem__, w), np.int64, len(w)), last)
                     rare.update([w[i] for i in np.flatnonzero(a[4]).tolist()])
                     tokens, known, base, score = tokens + a[0], known + a[1], base + a[2], score + a[3]
                 if end_known:
-                    last, a = _add(look, table, log_class, log_count, is_own, log_all, np.array([look.codes[b""]]), last)
+                    last, a = _add(look, table, inner, log_count, is_own, log_all, np.array([look.codes[b""]]), last)
                     tokens, known, base, score = tokens + a[0], known + a[1], base + a[2], score + a[3]
                 else:
                     tokens, base, score = tokens + 1, base + np.log10(SMOOTH) - log_all, score + table[last[0] * CLASSES + last[1], 0]
@@ -272,7 +386,7 @@ def score_texts(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
         (F.col("base_score") + rare).alias("base_score"), (F.col("score") + rare).alias("score"))
 
 
-def _add(look: Lookup, table, log_class, log_count, is_own, log_all: float, codes: np.ndarray, last: np.ndarray):
+def _add(look: Lookup, table, inner, log_count, is_own, log_all: float, codes: np.ndarray, last: np.ndarray):
     """The context after ``codes``, and: tokens, known ones, the two sums without rare words' counts, which are rare."""
     classes = look.classed(codes)
     c = np.r_[last, classes]
@@ -280,6 +394,11 @@ def _add(look: Lookup, table, log_class, log_count, is_own, log_all: float, code
     often = codes[~rare]
     logs = log_count[often]
     score = table[c[:-2] * CLASSES + c[1:-1], classes].sum() + logs[~is_own[often]].sum()
-    inside = classes[(classes > 0) & (classes <= TAILS)] - 1
-    score -= log_class[inside].sum()
+    q, vectors, log_class = inner
+    context = c[:-2] * CLASSES + c[1:-1]
+    inside = np.flatnonzero((classes > 0) & (classes <= TAILS))
+    score -= log_class[context[inside], classes[inside] - 1].sum()
+    own = inside[codes[inside] >= 0]
+    v = vectors[codes[own]]
+    score += (np.einsum("ij,ij->", q[context[own]], v[:, :SIZE]) + v[:, SIZE].sum()) / np.log(10)
     return c[-2:], (len(codes), len(often), logs.sum() - log_all * len(codes), score, rare)

@@ -328,6 +328,43 @@ def test_rare_words_are_joined_exactly(documents, monkeypatch):
         assert tuple(r)[:5] == want[r["doc_id"]][:5] and abs(r["base_score"] - want[r["doc_id"]][5]) < 1e-6 * abs(r["base_score"])
 
 
+def test_words_of_one_class_have_contexts_of_their_own(spark, monkeypatch):
+    """After ``alpha`` comes one group of rare words and after ``omega`` another, all of one length and so of one class."""
+    rng = random.Random(3)
+    words = {"alpha": [f"la{k:03}" for k in range(100)], "omega": [f"lo{k:03}" for k in range(100)]}
+    own = [f"w{k}" for k in range(81)]
+
+    def text(swap):
+        out = []
+        for _ in range(60):
+            key = rng.choice(["alpha", "omega"])
+            out += [rng.choice(own), key, rng.choice(words["omega" if (key == "alpha") == swap else "alpha"])]
+        return " ".join(out)
+
+    rows = [(k, text(False)) for k in range(300)] + [(k, text(True)) for k in range(1000, 1300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    swapped = docs.where("doc_id >= 1000 AND pmod(crc32(CAST(doc_id AS string)), 10) = 0")
+    found = lm.score_texts(docs.where("doc_id < 1000").unionByName(swapped)).where("held_out").collect()
+    usual, other = ([r["score"] / r["n_tokens"] for r in found if (r["doc_id"] >= 1000) == o] for o in (False, True))
+    assert len(usual) > 10 and len(other) > 10
+    assert min(usual) > max(other) + 0.05  # a word's context counts, not only its class
+
+
+def test_words_of_a_class_add_up(spark):
+    rng = np.random.default_rng(1)
+    words = [b"", *[b"own%d" % k for k in range(83)], *[b"la%03d" % k for k in range(40)]]
+    numbers = np.r_[900, np.arange(200, 117, -1), rng.integers(1, 100, 40)]
+    look = lm.Lookup(words, numbers)
+    q, cells = rng.normal(0, 1, (lm.CLASSES**2, lm.SIZE)), np.arange(lm.CLASSES**2) * lm.CLASSES + 1 + lm.tail(words[-1])
+    codes = np.arange(84, 124)
+    vectors = lm.word_vectors(look, codes, rng.normal(0, 1, (40, lm.SIZE)) * numbers[84:, None], q, cells, np.ones(len(cells)))
+    send = spark.sparkContext.broadcast
+    key, t = lm._Key(send((words, numbers)), 7), lm.tail(words[-1])
+    logs = lm.normalisers(spark, key, send((q, vectors)), np.full(lm.TAILS, 2.5))
+    weights = np.exp(q @ vectors[codes, : lm.SIZE].T + vectors[codes, lm.SIZE]) * (numbers[codes] + lm.SMOOTH)
+    assert np.abs(vectors[codes]).max() > 0.1 and np.allclose(10 ** logs[:, t], weights.sum(axis=1) + 2.5)
+
+
 # --- chats
 
 
