@@ -46,8 +46,13 @@ def apply_kinds(sample: DataFrame, fitted: DataFrame, kinds: dict[str, str]) ->
     return out
 
 
+#: Observed values that tasks look up in an array; more of them are sorted with the sampled ones.
+FEW = 4096
+
+
 def nearest_observed(sample: DataFrame, fitted: DataFrame, column: str) -> DataFrame:
-    """``column`` moved to the nearest value of ``fitted``; distinct sampled values are looked up once each.
+    """``column`` moved to the nearest value of ``fitted``.  Up to ``FEW`` observed values go to the tasks as an array;
+    where there are more, distinct sampled values are looked up once each.
 
     Sampled and observed distinct values are sorted together in value ranges (no range join, no broadcast);
     each range also sees the last observed value of the ranges before it and the first of those after.
@@ -58,9 +63,14 @@ def nearest_observed(sample: DataFrame, fitted: DataFrame, column: str) -> DataF
     from ..functions.ranks import split_points
 
     v = F.col(column).cast("double")
+    known = fitted.where(v.isNotNull() & ~F.isnan(v)).select(v.alias("x")).distinct()
+    if len(few := known.limit(FEW + 1).collect()) <= FEW:
+        if not few:
+            return sample
+        near = _nearest_of(np.sort(np.array([r.x for r in few], float)))(v)
+        return sample.withColumn(column, F.when(v.isNotNull() & ~F.isnan(v), near).otherwise(F.col(column)))
     sample = cut(sample)  # read twice: for its distinct values and to be rewritten
     asked = sample.where(v.isNotNull() & ~F.isnan(v)).select(v.alias("x")).distinct()
-    known = fitted.where(v.isNotNull() & ~F.isnan(v)).select(v.alias("x")).distinct()
     both = asked.withColumn("o", F.lit(None).cast("double")).unionByName(known.withColumn("o", F.col("x")))
     points = split_points(both, "x")  # even over sampled and observed values together
     borders = [-float("inf"), *points, float("inf")] if points else [-float("inf"), 0.0, float("inf")]
@@ -83,6 +93,21 @@ def nearest_observed(sample: DataFrame, fitted: DataFrame, column: str) -> DataF
     return joined.select(*[F.coalesce("_near", F.col(c)).alias(c) if c == column else F.col(c) for c in sample.columns])
 
 
+def _nearest_of(values: np.ndarray):
+    """A column function: the nearest of ``values`` (sorted), the lower one on a tie."""
+
+    @F.pandas_udf(T.DoubleType())
+    def near(x: pd.Series) -> pd.Series:
+        asked = x.to_numpy(float)
+        at = np.searchsorted(values, asked)  # the first value that is not smaller
+        above, below = values[np.minimum(at, len(values) - 1)], values[np.maximum(at - 1, 0)]
+        with np.errstate(invalid="ignore"):
+            lower = (at == len(values)) | ((at > 0) & (above != asked) & (asked - below <= above - asked))
+        return pd.Series(np.where(lower, below, above))
+
+    return near
+
+
 def check_sample(sample: DataFrame, columns: list[str]) -> DataFrame:
     """Refuse other columns; count values that are not finite numbers, per column."""
     if list(sample.columns) != list(columns):

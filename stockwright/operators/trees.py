@@ -98,7 +98,11 @@ class Ensemble:
 
     def predicted(self, values: np.ndarray, which: Sequence[int]) -> np.ndarray:
         """Models x rows of ``values`` (rows x features)."""
-        out = self.scores(binned(values, self.borders), which)
+        return self.linked(binned(values, self.borders), which)
+
+    def linked(self, bins: np.ndarray, which: Sequence[int]) -> np.ndarray:
+        """``predicted`` of rows already binned (features x rows)."""
+        out = self.scores(bins, which)
         for at, m in enumerate(which):
             if self.specs[m].level is None:
                 out[at] = np.exp(out[at])
@@ -136,8 +140,9 @@ def _blocks(rows: DataFrame, features: list[str], target: str, window: str, bord
             packed[:, :width] = binned(values, borders).T
             packed[:, width] = first
             packed[:, width + 1 :] = np.ascontiguousarray(y, np.float64).view(np.uint8).reshape(-1, 8)
-            same, n = np.unique(np.ascontiguousarray(packed).view(np.dtype((np.void, width + 9))).ravel(), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([s.tobytes() for s in same], pa.binary()), pa.array(n.astype(np.int64))], ["row", "n"])
+            row = pa.Array.from_buffers(pa.binary(width + 9), b.num_rows, [None, pa.py_buffer(packed)])
+            same = pa.table([row.cast(pa.binary())], ["row"]).group_by("row").aggregate([([], "count_all")])
+            yield from same.select(["row", "count_all"]).rename_columns(["row", "n"]).to_batches()
 
     columns = [*[F.col(f).cast("double").alias(f"f{i}") for i, f in enumerate(features)], F.col(target).cast("double").alias("y"), F.col(window).cast("int").alias("first")]
     distinct = cut(rows.select(*columns).mapInArrow(bin_rows, "row binary, n bigint").groupBy("row").agg(F.sum("n").alias("n")))

@@ -25,8 +25,10 @@ def auc(scored: DataFrame, keys: list[str], score: str = "score", label: str = "
     return ranked.groupBy(*keys).agg((wins / (F.max("p_total").cast("double") * F.max("q_total"))).alias("auc"))
 
 
-#: Rows whose hash order one task sorts.
-SHUFFLE_ROWS = 10_000
+#: Rows whose hash order one task sorts, rows dealt together and binned rows that are counted by number.
+SHUFFLE_ROWS = 500_000
+DEALT_ROWS = 1 << 17
+NUMBERED = 1 << 20
 
 
 def detection_report(both: DataFrame, columns: list[str], folds: int = 5, seed: int = 7, trees: int = 30, depth: int = 4, rate: float = 0.3,
@@ -65,55 +67,162 @@ def detection_report(both: DataFrame, columns: list[str], folds: int = 5, seed:
     ).withColumn("verdict", F.when(F.col("auc") < 0.6, "hard to distinguish").when(F.col("auc") <= 0.8, "distinguishable").otherwise("easily distinguished"))
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Tables of at least ``rows`` rows, but for the last."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def hash_ranges(rows: DataFrame, payload: list[str], pack: Callable[[list[np.ndarray]], np.ndarray], names: list[str], seed: int, repeats: int, fold_rows: int) -> DataFrame:
+    """``fold, v, g, block``: the rows of every fold in hash ranges ``g`` of about ``SHUFFLE_ROWS`` rows, once for each column
+    and repeat (``v``: column * repeats + repeat, each with a hash order of its own).
+
+    A block holds, for many rows, the hash, the ``_id`` and what ``pack`` makes of the columns ``payload``, bytes of equal
+    length for each row: what is shuffled is a few blocks per task and range, and never a record per row."""
+    ranges, keys = max(1, -(-fold_rows // SHUFFLE_ROWS)), len(names) * repeats
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _gathered(batches, DEALT_ROWS):
+            columns = [c.to_numpy() for c in t.columns]
+            fold, kept = columns[0].astype(np.int64), pack(columns[2 + keys :])
+            made = np.empty(t.num_rows, np.dtype([("u", np.float64), ("id", np.int64), ("row", np.uint8, (kept.shape[1],))]))
+            made["id"], made["row"] = columns[1], kept
+            for v in range(keys):
+                made["u"] = columns[2 + v]
+                place = fold * ranges + np.floor(made["u"] * ranges).astype(np.int64)
+                order = np.argsort(place, kind="stable")
+                dealt, at = made[order], place[order]
+                starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+                ends = np.r_[starts[1:], len(at)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array((at[starts] // ranges).astype(np.int32)), pa.array(np.full(len(starts), v, np.int32)), pa.array((at[starts] % ranges).astype(np.int32)),
+                     pa.array([dealt[i:j].tobytes() for i, j in zip(starts, ends)], pa.binary())], ["fold", "v", "g", "block"])
+
+    drawn = [uniform(seed, f"shuffle.{j}.{r}", "_id").alias(f"_u{j}_{r}") for j in range(len(names)) for r in range(repeats)]
+    return rows.select("fold", "_id", *drawn, *payload).mapInArrow(deal, "fold int, v int, g int, block binary")
+
+
+def _ordered(table: pa.Table) -> tuple[int, int, int, np.ndarray, np.ndarray]:
+    """Fold, number of the order and range, and the ``_id`` and bytes of all rows of a range in hash order."""
+    blocks = table.column("block").to_pylist()
+    data = np.frombuffer(b"".join(blocks), np.uint8)
+    fold, v, g = (table.column(c)[0].as_py() for c in ("fold", "v", "g"))
+    width = int(table.column("width")[0].as_py())
+    rows = data.view(np.dtype([("u", np.float64), ("id", np.int64), ("row", np.uint8, (width,))]))
+    order = np.argsort(rows["u"], kind="stable")
+    u = rows["u"][order]
+    if (u[1:] == u[:-1]).any():
+        order = np.lexsort((rows["id"], rows["u"]))
+    return fold, v, g, rows["id"][order], rows["row"][order]
+
+
+def _following(ends: DataFrame, first: str) -> DataFrame:
+    """``ends`` (a row per range) with ``_next``: ``first`` of the next range, after the last that of the first one."""
+    order = Window.partitionBy("fold", "v").orderBy("g")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return ends.withColumn("_next", F.coalesce(F.lead(first).over(order), F.first(first).over(whole)))
+
+
 def rotated(rows: DataFrame, names: list[str], seed: int, repeats: int, fold_rows: int) -> DataFrame:
     """``_id`` and ``taken``: for every column and repeat the value that another row of the fold gives.
 
     In the hash order of each (fold, column, repeat) every row takes the value of the one after it: inside a hash range
-    by a window over about ``SHUFFLE_ROWS`` rows, from one range to the next and from the last to the first by the ranges'
-    first values.  All columns and repeats are moved in one pass.
+    of ``hash_ranges``, from one range to the next and from the last to the first by the ranges' first values.
     """
-    ranges = max(1, -(-fold_rows // SHUFFLE_ROWS))
-    each = [F.struct(F.lit(j * repeats + r).alias("v"), uniform(seed, f"shuffle.{j}.{r}", "_id").alias("u"), F.col(c).alias("x"))
-            for j, c in enumerate(names) for r in range(repeats)]
-    melted = rows.select("_id", "fold", F.explode(F.array(*each)).alias("m")).select("_id", "fold", "m.v", "m.u", "m.x", F.floor(F.col("m.u") * ranges).alias("g"))
-    keys = ["fold", "v"]
-    firsts = melted.groupBy(*keys, "g").agg(F.min_by("x", F.struct("u", "_id")).alias("_first"))
-    order = Window.partitionBy(*keys).orderBy("g")  # a row per range
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    following = firsts.select(*keys, "g", F.coalesce(F.lead("_first").over(order), F.first("_first").over(whole)).alias("_next"))
-    placed = melted.join(following, [*keys, "g"])
-    moved = F.coalesce(F.lead("x").over(Window.partitionBy(*keys, "g").orderBy("u", "_id")), F.col("_next"))
-    taken = placed.select("_id", "v", moved.alias("x")).groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("v", "x"))).alias("_t"))
-    return taken.select("_id", F.col("_t.x").alias("taken"))
+    width = 8 * len(names)
+
+    def pack(columns: list[np.ndarray]) -> np.ndarray:
+        return np.ascontiguousarray(np.column_stack(columns).astype(np.float64)).view(np.uint8)
+
+    def run(table: pa.Table) -> pa.Table:
+        fold, v, g, ids, packed = _ordered(table)
+        x = np.ascontiguousarray(packed).view(np.float64)[:, v // repeats]
+        some = np.r_[False, np.ones(len(x) - 1, bool)]
+        return pa.table({"fold": pa.array(np.full(len(x), fold, np.int32)), "v": pa.array(np.full(len(x), v, np.int32)), "g": pa.array(np.full(len(x), g, np.int32)),
+                         "_id": ids, "x": pa.array(np.r_[x[1:], 0.0], mask=~np.r_[some[1:], False]), "first": pa.array(np.full(len(x), x[0]))})
+
+    dealt = hash_ranges(rows, [F.col(c).cast("double").alias(c) for c in names], pack, names, seed, repeats, fold_rows)
+    moved = cut(dealt.withColumn("width", F.lit(width)).groupBy("fold", "v", "g").applyInArrow(run, "fold int, v int, g int, _id bigint, x double, first double"))
+    last = _following(moved.where(F.col("x").isNull()), "first").select("_id", "v", F.col("_next").alias("x"))
+    taken = moved.where(F.col("x").isNotNull()).select("_id", "v", "x").unionByName(last)
+    return taken.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("v", "x"))).alias("_t")).select("_id", F.col("_t.x").alias("taken"))
+
+
+def _distinct(rows: np.ndarray, sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows of small numbers (column j below ``sizes[j]``) and how often each comes."""
+    if int(np.prod([float(n) for n in sizes])) <= NUMBERED:
+        steps = np.cumprod([1, *sizes[:-1]])
+        number = np.zeros(len(rows), np.int64)
+        for j, step in enumerate(steps):
+            number += rows[:, j].astype(np.int64) * step
+        n = np.bincount(number)
+        there = np.flatnonzero(n)
+        return np.column_stack([there // step % size for step, size in zip(steps, sizes)]).astype(np.uint8), n[there]
+    same, n = np.unique(np.ascontiguousarray(rows).view(np.dtype((np.void, rows.shape[1]))).ravel(), return_counts=True)
+    return np.frombuffer(same.tobytes(), np.uint8).reshape(-1, rows.shape[1]), n
 
 
 def permuted_scores(rows: DataFrame, model: tr.Ensemble, names: list[str], seed: int, repeats: int, fold_rows: int) -> DataFrame:
     """``fold, variant, score, p, q``: synthetic and real rows by score, to four decimals, where each row is scored by its
     fold's model as it is (variant 0) and with column j taken from the r-th rotation (variant 1 + j * repeats + r).
 
-    The forests go to the tasks as arrays; one plan scores all variants, and tasks count equal scores before the shuffle."""
+    A rotation is that of ``rotated``: in the hash order of (fold, column, repeat) a row takes the value of the one after it.
+    The model sees bins only, so a row's bins and label go to each of its hash ranges, and are not joined back.  Tasks
+    score each distinct binned row of a range once and count equal scores before the shuffle."""
     sent, width = rows.sparkSession.sparkContext.broadcast(model), len(names)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sizes = [*[len(b) + 1 for b in model.borders], 2]
+
+    def pack(columns: list[np.ndarray]) -> np.ndarray:
+        bins = tr.binned(np.column_stack(columns[1:]).astype(float), sent.value.borders)
+        return np.ascontiguousarray(np.vstack([bins, (columns[0] == 1).astype(np.uint8)[None, :]]).T)
+
+    def counted(fold: int, variant: int, packed: np.ndarray) -> dict:
+        same, n = _distinct(packed, sizes)
+        score = sent.value.linked(np.ascontiguousarray(same[:, :width].T), [fold])[0]
+        key, place = np.unique(np.rint(score * 10_000).astype(np.int32), return_inverse=True)
+        p, q = (np.bincount(place, weights=n * (same[:, width] == side), minlength=len(key)).astype(np.int64) for side in (1, 0))
+        return {"fold": np.full(len(key), fold, np.int32), "variant": np.full(len(key), variant, np.int32), "score": key, "p": p, "q": q}
+
+    counts = "fold int, variant int, score int, p bigint, q bigint"
+
+    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _gathered(batches, DEALT_ROWS):
+            fold, *columns = [c.to_numpy() for c in t.columns]
+            packed = pack(columns)
+            for f in np.unique(fold):
+                yield pa.RecordBatch.from_pydict(counted(int(f), 0, packed[fold == f]))
+
+    def inside(table: pa.Table) -> pa.Table:
+        fold, v, g, _, packed = _ordered(table)
+        moved = packed[:-1].copy()
+        moved[:, v // repeats] = packed[1:, v // repeats]
+        found = pa.table(counted(fold, 1 + v, moved)) if len(moved) else pa.table({n: pa.array([], k) for n, k in zip(("fold", "variant", "score", "p", "q"), (pa.int32(),) * 3 + (pa.int64(),) * 2)})
+        for name, value, kind in (("v", None, pa.int32()), ("g", None, pa.int32()), ("first", None, pa.binary()), ("last", None, pa.binary())):
+            found = found.append_column(name, pa.array([value] * found.num_rows, kind))
+        end = {"fold": [fold], "variant": [None], "score": [None], "p": [None], "q": [None], "v": [v], "g": [g], "first": [packed[0].tobytes()], "last": [packed[-1].tobytes()]}
+        return pa.concat_tables([found, pa.table(end, schema=found.schema)])
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fold, label = b.column(0).to_numpy(), b.column(1).to_numpy()
-            x = np.column_stack([b.column(2 + j).to_numpy(zero_copy_only=False) for j in range(width)]).astype(float)
-            taken = np.array(b.column(2 + width).to_pylist(), float).reshape(b.num_rows, -1)
-            for variant in range(1 + taken.shape[1]):
-                moved = x.copy()
-                if variant:
-                    moved[:, (variant - 1) // repeats] = taken[:, variant - 1]
-                score = np.zeros(b.num_rows)
-                for f in np.unique(fold):
-                    mine = fold == f
-                    score[mine] = sent.value.predicted(moved[mine], [int(f)])[0]
-                key, place = np.unique(np.rint(score * 10_000).astype(np.int64) + 100_000 * fold, return_inverse=True)
-                p, q = (np.bincount(place, weights=side, minlength=len(key)).astype(np.int64) for side in (label == 1, label == 0))
-                yield pa.RecordBatch.from_pydict({"fold": (key // 100_000).astype(np.int32), "variant": np.full(len(key), variant, np.int32),
-                                                  "score": (key % 100_000).astype(np.int32), "p": p, "q": q})
-
-    joined = rows.join(rotated(rows, names, seed, repeats, fold_rows), "_id").select("fold", "label", *names, "taken")
-    return joined.mapInArrow(run, "fold int, variant int, score int, p bigint, q bigint").groupBy("fold", "variant", "score").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
+            for fold, v, last, following in zip(*[c.to_pylist() for c in b.columns]):
+                moved = np.frombuffer(last, np.uint8)[None, :].copy()
+                moved[0, v // repeats] = following[v // repeats]
+                yield pa.RecordBatch.from_pydict(counted(fold, 1 + v, moved))
+
+    payload = [F.col("label"), *[F.col(c) for c in names]]
+    dealt = hash_ranges(rows, payload, pack, names, seed, repeats, fold_rows).withColumn("width", F.lit(width + 1))
+    scored = cut(dealt.groupBy("fold", "v", "g").applyInArrow(inside, f"{counts}, v int, g int, first binary, last binary"))
+    ends = _following(scored.where(F.col("v").isNotNull()).select("fold", "v", "g", "first", "last"), "first")  # a row per range
+    every = rows.select("fold", *payload).mapInArrow(plain, counts).unionByName(scored.where(F.col("v").isNull()).select("fold", "variant", "score", "p", "q")).unionByName(
+        ends.select("fold", "v", "last", "_next").mapInArrow(across, counts))
+    return every.groupBy("fold", "variant", "score").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
 
 
 # --- train on synthetic, test on real ----------------------------------------------------------------------

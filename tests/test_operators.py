@@ -599,3 +599,40 @@ def test_conditional_table_is_the_smoothed_distribution(spark):
     got = {(r.parent, r.child): r.cumulative for r in sy.conditional_table(net, 1).collect()}
     want = {(0.0, 1.0): (3 + 1 / 3) / 5, (0.0, 3.0): (3 + 2 / 3) / 5, (0.0, 5.0): 1.0, (1.0, 1.0): 1 / 9, (1.0, 3.0): (2 + 2 / 3) / 3, (1.0, 5.0): 1.0}
     assert got == pytest.approx(want)
+
+
+def test_rotated_rows_are_scored_from_few_blocks(spark, monkeypatch):
+    """Scores of all rotations equal those of rows that take the values of ``rotated``, without a shuffled record per row."""
+    rng = np.random.default_rng(12)
+    frame = pd.DataFrame({"_id": np.arange(900) * 7919, "fold": (np.arange(900) % 3).astype(np.int32), "label": (np.arange(900) // 3 % 2).astype(float), "x0": rng.normal(size=900), "x1": rng.integers(0, 9, 900).astype(float)})
+    frame.loc[frame.label == 1, "x0"] += 0.7
+    rows, names = spark.createDataFrame(frame).repartition(4).cache(), ["x0", "x1"]
+    model = tr.fit(rows, names, "label", [tr.Spec(tr.LOGISTIC, without=f) for f in range(3)], "fold", 4, 0.3, 3)
+    taken = {r["_id"]: r.taken for r in ut.rotated(rows, names, 7, 2, 300).collect()}
+    want = {}
+    for variant in range(5):
+        x = frame[names].to_numpy()
+        if variant:
+            x[:, (variant - 1) // 2] = [taken[i][variant - 1] for i in frame["_id"]]
+        for at, (fold, label) in enumerate(zip(frame.fold, frame.label)):
+            key = (fold, variant, int(np.rint(model.predicted(x[at : at + 1], [fold])[0, 0] * 10_000)))
+            p, q = want.get(key, (0, 0))
+            want[key] = (p + (label == 1), q + (label == 0))
+    for size, numbered in ((40, 1 << 20), (10_000, 1 << 20), (10_000, 1)):
+        monkeypatch.setattr(ut, "SHUFFLE_ROWS", size)
+        monkeypatch.setattr(ut, "NUMBERED", numbered)
+        assert {(r.fold, r.variant, r.score): (r.p, r.q) for r in ut.permuted_scores(rows, model, names, 7, 2, 300).collect()} == want
+    blocks = ut.hash_ranges(rows, names, lambda c: np.zeros((len(c[0]), 1), np.uint8), names, 7, 2, 300)
+    assert blocks.count() <= 4 * 3 * 4  # partitions x folds x orders, not 900 x 4 rows
+
+
+def test_few_observed_values_are_looked_up_as_many_are(spark, monkeypatch):
+    fitted = spark.createDataFrame([(v,) for v in (8.0, 1.0, 4.0, None, float("nan"))], "x double")
+    sample = spark.createDataFrame([(i, v) for i, v in enumerate([-5.0, 1.0, 2.5, 2.6, 4.0, 6.0, 99.0, None, float("nan")])], "i int, x double")
+    found = []
+    for few in (4096, 2):
+        monkeypatch.setattr(sy, "FEW", few)
+        moved = sy.nearest_observed(sample, fitted, "x")
+        assert few == 2 or "Exchange" not in moved._jdf.queryExecution().toString()
+        found.append(sorted(map(str, moved.collect())))
+    assert found[0] == found[1]
