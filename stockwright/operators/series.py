@@ -98,6 +98,13 @@ def predict(weights: np.ndarray, i: int, period: int, lag1: float, lagp: float)
     return max(0.0, weights[0] + weights[1] * i + cycle + weights[period + 1] * lag1 + weights[period + 2] * lagp)
 
 
+def predictions(weights: np.ndarray, i: np.ndarray, period: int, values: np.ndarray) -> np.ndarray:
+    """``predict`` of the places ``i``, each from the ``values`` before it."""
+    place = i % period
+    cycle = np.where(place > 0, weights[1 + place], 0.0)
+    return np.maximum(0.0, weights[0] + weights[1] * i + cycle + weights[period + 1] * values[i - 1] + weights[period + 2] * values[i - period])
+
+
 def seasonal_linear_steps(series: DataFrame, period: int = 7, test_len: int = 21) -> DataFrame:
     """One-step seasonal-linear predictions of the test points, refitted at each; last value when too short."""
 

@@ -7,14 +7,16 @@ Fitted state is small (profiles, edges, a k x k matrix, a k-node tree) or a Data
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from ..functions import groups
 from ..functions.numeric import clip, correlation, normal, uniform
 from ..functions.ranks import exact_quantiles, running_totals, values_at_ranks
 from ..session import cut
@@ -119,27 +121,82 @@ def check_sample(sample: DataFrame, columns: list[str]) -> DataFrame:
 # --- seasonal series ---------------------------------------------------------------------------------
 
 
-def fit_seasonal(series: DataFrame, period: int) -> DataFrame:
+def _cycle(i: np.ndarray, value: np.ndarray, null: np.ndarray, period: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A key's profile (0 at places without a value), and the pool of ratios with which of them are NULL."""
+    place = np.mod(i, period)
+    n = np.bincount(place[~null], minlength=period)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        level = np.bincount(place[~null], weights=value[~null], minlength=period) / n
+        kept = (n[place] > 0) & ~(level[place] <= 0)  # NaN stands above all numbers
+        ratio = value[kept] / level[place[kept]]
+    order = np.lexsort((ratio, ~null[kept], i[kept]))
+    profile = np.where(n > 0, level, 0.0)
+    return (profile, ratio[order], null[kept][order]) if kept.any() else (profile, np.ones(1), np.zeros(1, bool))
+
+
+def fitted_heads(series: DataFrame, period: int, head: Callable[[int], int], together: bool = False) -> DataFrame:
+    """``key, profile, pool, n`` of each key's points before place ``head(points of its axis)``, with ``length`` of its axis
+    and ``values``, all its points in order.  Keys without such points and NULL keys are left out.
+
+    A task reads its keys' points once and gives a row per key (arrays bounded by the key's time axis); ``together``: a
+    key's points follow each other already."""
+    kind = series.schema["key"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in groups.whole(batches, "key"):
+            keys = groups._flat(table, "key").take(pa.array(starts))
+            place, column = groups._flat(table, "i").to_numpy(), groups._flat(table, "value")
+            value, none = column.to_numpy(zero_copy_only=False), np.asarray(column.is_null())
+            at, rows, lists = [], [], ([], [], [])
+            for k, (low, high) in enumerate(zip(starts, np.r_[starts[1:], table.num_rows])):
+                i, x, null = place[low:high], value[low:high], none[low:high]
+                if (i[1:] < i[:-1]).any():
+                    order = np.argsort(i, kind="stable")
+                    i, x, null = i[order], x[order], null[order]
+                length = int(i[-1]) + 1
+                use = i < head(length)
+                if not use.any():
+                    continue
+                profile, pool, gone = _cycle(i[use], x[use], null[use], period)
+                at.append(k)
+                rows.append((int(i[use][-1]) + 1, length))
+                for held, new in zip(lists, ((profile, None), (pool, gone), (x, null))):
+                    held.append(pa.array(new[0], pa.float64(), mask=new[1]))
+            if not at:
+                continue
+            size = np.array(rows, np.int64)
+            made = [pa.ListArray.from_arrays(np.cumsum([0, *map(len, held)], dtype=np.int32), pa.concat_arrays(held)) for held in lists]
+            whole = pa.table([keys.take(pa.array(at)), made[0], made[1], pa.array(size[:, 0]), pa.array(size[:, 1]), made[2]], ["key", "profile", "pool", "n", "length", "values"])
+            yield from whole.to_batches(256)
+
+    points = series.where(F.col("key").isNotNull() & F.col("i").isNotNull()).select("key", F.col("i").cast("bigint"), F.col("value").cast("double"))
+    return groups.clustered(points, "key", together).mapInArrow(
+        run, f"key {kind}, profile array<double>, pool array<double>, n bigint, length bigint, values array<double>")
+
+
+def fit_seasonal(series: DataFrame, period: int, together: bool = False) -> DataFrame:
     """Per key: the cycle's mean profile and the pool of value / profile ratios in series order (arrays bounded by
     the key's time axis)."""
-    place = F.pmod("i", F.lit(period)).cast("int")
-    profile = series.groupBy("key", place.alias("p")).agg(F.avg("value").alias("m"))
-    packed = profile.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("p", "m"))).alias("_m"))
-    ratios = series.withColumn("p", place).join(profile, ["key", "p"]).where(F.col("m") > 0).groupBy("key").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("i", (F.col("value") / F.col("m")).alias("r")))), lambda x: x["r"]).alias("_pool"))
-    length = series.groupBy("key").agg((F.max("i") + 1).alias("n"))
-    levels = F.transform(F.sequence(F.lit(0), F.lit(period - 1)), lambda p: F.coalesce(F.element_at("_m", p), F.lit(0.0)))
-    pool = F.coalesce("_pool", F.array(F.lit(1.0)))
-    return packed.join(ratios, "key", "left").join(length, "key").select("key", levels.alias("profile"), pool.alias("pool"), "n")
+    return fitted_heads(series, period, lambda n: n, together).select("key", "profile", "pool", "n")
+
+
+def seasonal_draw(period: int, seed: int, i: Column) -> Column:
+    """The point of place ``i`` of a fitted key: its profile times a resampled ratio."""
+    at = (F.floor(uniform(seed, "seasonal", "key", i) * F.size("pool")) + 1).cast("int")
+    return F.element_at("profile", (F.pmod(i, F.lit(period)) + 1).cast("int")) * F.element_at("pool", at)
 
 
 def sample_seasonal(model: DataFrame, period: int, n: int | None = None, seed: int = 7) -> DataFrame:
     """``(key, i, value)``: profile times a resampled ratio; as many points as were fitted unless ``n`` says."""
+    drawn = drawn_heads(model, period, seed, n)
+    return drawn.select("key", F.posexplode("drawn").alias("i", "value")).select("key", F.col("i").cast("bigint").alias("i"), "value")
+
+
+def drawn_heads(model: DataFrame, period: int, seed: int = 7, n: int | None = None) -> DataFrame:
+    """``model`` with ``drawn``, the points of ``sample_seasonal`` as an array: the pool is not copied to each of them."""
     points = F.col("n") if n is None else F.lit(n)
-    spread = model.withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), points.cast("bigint") - 1)))
-    at = (F.floor(uniform(seed, "seasonal", "key", "i") * F.size("pool")) + 1).cast("int")
-    level = F.element_at("profile", (F.pmod("i", F.lit(period)) + 1).cast("int"))
-    return spread.select("key", "i", (level * F.element_at("pool", at)).alias("value"))
+    places = F.sequence(F.lit(0).cast("bigint"), points.cast("bigint") - 1)
+    return model.withColumn("drawn", F.transform(places, lambda i: seasonal_draw(period, seed, i)))
 
 
 # --- tables ------------------------------------------------------------------------------------------

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -228,32 +227,36 @@ def permuted_scores(rows: DataFrame, model: tr.Ensemble, names: list[str], seed:
 # --- train on synthetic, test on real ----------------------------------------------------------------------
 
 
-def tstr(series: DataFrame, period: int, test_frac: float = 0.3, seed: int = 7) -> DataFrame:
-    """Per key: error on the real tail of a seasonal-linear model trained on the real and on a synthetic head."""
-    counted = series.groupBy("key").agg((F.max("i") + 1).alias("n")).withColumn(
-        "split", F.greatest(F.lit(2 * period + 2), F.floor(F.col("n") * F.lit(1 - test_frac))).cast("bigint"))
-    usable = counted.where(F.col("split") < F.col("n") - 1)
-    head = series.join(usable, "key").where(F.col("i") < F.col("split")).select("key", "i", "value")
-    fake = sy.sample_seasonal(sy.fit_seasonal(head, period), period, None, seed)
-    both = series.join(usable, "key").select("key", "i", "value", "split", F.lit(0).alias("side")).unionByName(
-        fake.join(usable, "key").select("key", "i", "value", "split", F.lit(1).alias("side")))
-
-    def per_key(pdf: pd.DataFrame) -> pd.DataFrame:
-        split = int(pdf["split"].iloc[0])
-        y = pdf[pdf["side"] == 0].sort_values("i")["value"].to_numpy(float)
-        s = pdf[pdf["side"] == 1].sort_values("i")["value"].to_numpy(float)
-        errors, full = [], []
-        for train in (y[:split], s):
-            x, target = se.design(train, period)
-            w, _, rank, _ = np.linalg.lstsq(x, target, rcond=None)
-            preds = [se.predict(w, t, period, y[t - 1], y[t - period]) for t in range(split, len(y))]
-            errors.append(float(np.abs(np.array(preds) - y[split:]).mean()))
-            full.append(bool(rank < x.shape[1]))
-        return pd.DataFrame({"key": [pdf["key"].iloc[0]], "train_len": [split], "test_len": [len(y) - split], "trtr_mae": [errors[0]],
-                             "tstr_mae": [errors[1]], "trtr_rank_deficient": [full[0]], "tstr_rank_deficient": [full[1]]})
-
-    out = both.groupBy("key").applyInPandas(
-        per_key, "key string, train_len bigint, test_len bigint, trtr_mae double, tstr_mae double, trtr_rank_deficient boolean, tstr_rank_deficient boolean")
+def tstr(series: DataFrame, period: int, test_frac: float = 0.3, seed: int = 7, together: bool = False) -> DataFrame:
+    """Per key: error on the real tail of a seasonal-linear model trained on the real and on a synthetic head.
+
+    A key's points are read once: its head is fitted, the synthetic head drawn from the fit in the key's own row, and both
+    models trained there.  ``together``: a key's points follow each other already."""
+
+    def split_of(n: int) -> int:
+        split = max(2 * period + 2, int(np.floor(n * (1 - test_frac))))
+        return split if split < n - 1 else 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made: list[list] = [[] for _ in range(7)]
+            for key, length, real, drawn in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
+                split = split_of(length)
+                y, s = (x.values.to_numpy(zero_copy_only=False).astype(float) for x in (real, drawn))
+                errors, full = [], []
+                for train in (y[:split], s):
+                    x, target = se.design(train, period)
+                    w, _, rank, _ = np.linalg.lstsq(x, target, rcond=None)
+                    errors.append(float(np.abs(se.predictions(w, np.arange(split, len(y)), period, y) - y[split:]).mean()))
+                    full.append(bool(rank < x.shape[1]))
+                for held, new in zip(made, (key, split, len(y) - split, *errors, *full)):
+                    held.append(new)
+            yield pa.RecordBatch.from_arrays([pa.array(made[0], pa.string()), *[pa.array(m, pa.int64()) for m in made[1:3]], *[pa.array(m, pa.float64()) for m in made[3:5]], *[pa.array(m, pa.bool_()) for m in made[5:]]], names)
+
+    names = ["key", "train_len", "test_len", "trtr_mae", "tstr_mae", "trtr_rank_deficient", "tstr_rank_deficient"]
+    heads = sy.fitted_heads(series, period, split_of, together)
+    fakes = sy.drawn_heads(heads, period, seed).select(F.col("key").cast("string"), "length", "values", "drawn")
+    out = fakes.mapInArrow(run, "key string, train_len bigint, test_len bigint, trtr_mae double, tstr_mae double, trtr_rank_deficient boolean, tstr_rank_deficient boolean")
     return out.withColumn("ratio", F.try_divide("tstr_mae", "trtr_mae"))
 
 

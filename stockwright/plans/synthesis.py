@@ -165,7 +165,7 @@ def _(t: Tables):
 
 @query("m03_seasonal_series")
 def _(t: Tables):
-    return rounded(sy.sample_seasonal(sy.fit_seasonal(_series(t), 7), 7))
+    return rounded(sy.sample_seasonal(sy.fit_seasonal(_series(t), 7, together=True), 7))
 
 
 @query("m04_hourly_series")
@@ -235,7 +235,7 @@ def _(t: Tables):
 
 @query("m11_tstr")
 def _(t: Tables):
-    return rounded(ut.tstr(_series(t), 7), 4)
+    return rounded(ut.tstr(_series(t), 7, together=True), 4)
 
 
 def _copies(real, columns, kinds, seed):

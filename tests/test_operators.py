@@ -636,3 +636,14 @@ def test_few_observed_values_are_looked_up_as_many_are(spark, monkeypatch):
         assert few == 2 or "Exchange" not in moved._jdf.queryExecution().toString()
         found.append(sorted(map(str, moved.collect())))
     assert found[0] == found[1]
+
+
+def test_seasonal_fit_and_tstr_read_a_key_once(spark):
+    rows = [("a", i, v) for i, v in enumerate([2.0, 0.0, 4.0, 0.0, 6.0, 0.0])] + [("b", 3, 5.0), ("b", 0, None), ("b", 1, 1.0), (None, 0, 1.0), ("c", 0, 0.0)]
+    series = spark.createDataFrame(rows, "key string, i bigint, value double").repartition(3)
+    got = {r.key: (r.profile, r.pool, r.n) for r in sy.fit_seasonal(series, 2).collect()}
+    assert got == {"a": ([4.0, 0.0], [0.5, 1.0, 1.5], 6), "b": ([0.0, 3.0], [1 / 3, 5 / 3], 4), "c": ([0.0, 0.0], [1.0], 1)}
+    long = spark.range(300).select((F.col("id") % 3).cast("string").alias("key"), F.floor(F.col("id") / 3).alias("i"), (F.col("id") * 7919 % 11).cast("double").alias("value"))
+    plan = ut.tstr(long, 7)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert {(r.key, r.train_len, r.test_len) for r in ut.tstr(long, 7).collect()} == {(k, 70, 30) for k in "012"}
