@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from ..functions import groups
 from ..functions.numeric import uniform
 from ..session import cut
 from . import demand as dm
@@ -27,27 +28,77 @@ def first_sale(panel: DataFrame) -> DataFrame:
 
 
 def origin_features(panel: DataFrame, axis: dm.Axis, horizon: int) -> DataFrame:
-    """Per item and origin (the first day not seen): what the last 28 days hold, the item's age and the days after."""
-    w = Window.partitionBy("sku_id").orderBy("i")
-    born = F.min(F.when(F.col("qty") > 0, F.col("i"))).over(Window.partitionBy("sku_id"))
-    return fc._with_next_day(panel, axis).select(
-        "sku_id", "i", "day",
-        *[F.lag("qty", n).over(w).alias(f"last_{n}") for n in (1, 7, 14)],
-        *[F.avg("qty").over(w.rowsBetween(-n, -1)).alias(f"mean_{n}") for n in (7, 28)],
-        F.avg((F.col("qty") == 0).cast("double")).over(w.rowsBetween(-28, -1)).alias("zero_share_28"),
-        (F.col("i") - born).alias("age"),
-        F.collect_list("qty").over(w.rowsBetween(0, horizon - 1)).alias("_future"),
-    ).where(F.col("i") >= WINDOW)
-
-
-def feature_rows(panel: DataFrame, axis: dm.Axis, horizon: int) -> DataFrame:
-    """``origin_features`` for every number of days ahead, with the weekday aimed at and the target."""
-    return ahead_rows(origin_features(panel, axis, horizon), horizon)
-
-
-def ahead_rows(rows: DataFrame, horizon: int, *others: str) -> DataFrame:
-    """The rows of ``origin_features`` for every number of days ahead."""
-    spread = rows.withColumn("days_ahead", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
+    """Per item and origin (the first day not seen): what the last 28 days hold, the item's age and the days after.
+
+    Whole items are worked on in tasks as their dense rows come, without windows over them."""
+    dense = fc._with_next_day(panel, axis).select("sku_id", "day", F.col("i").cast("bigint"), F.col("qty").cast("double"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in groups.whole(batches, "sku_id"):
+            counts = np.diff(np.r_[starts, table.num_rows])
+            place = groups._flat(table, "i").to_numpy()
+            back = place[1:] < place[:-1]
+            back[starts[1:] - 1] = False
+            if back.any():
+                table = table.take(np.lexsort((place, np.repeat(np.arange(len(starts)), counts))))
+                place = groups._flat(table, "i").to_numpy()
+            column = groups._flat(table, "qty")
+            none = np.asarray(column.is_null())
+            x = np.where(none, 0.0, column.to_numpy(zero_copy_only=False))
+            first, last = np.repeat(starts, counts), np.repeat(starts + counts, counts)
+            at = np.arange(len(x))
+
+            def before(n: int) -> pa.Array:
+                from_ = at - n
+                gone = from_ < first
+                from_ = np.maximum(from_, 0)
+                return pa.array(x[from_], mask=gone | none[from_])
+
+            kept = np.flatnonzero(place >= WINDOW)
+            plain = not none[at != last - 1].any() and not (at - first < WINDOW)[kept].any()  # rows kept have all days of their windows
+
+            def mean(values: np.ndarray, unknown: np.ndarray, n: int) -> pa.Array:
+                total, known = np.zeros(len(x)), np.zeros(len(x), np.int64)
+                for back_ in range(n, 0, -1) if plain else ():
+                    total[back_:] += values[:-back_]
+                if plain:
+                    return pa.array(total / n)
+                for back_ in range(n, 0, -1):
+                    seen = np.flatnonzero((at - back_ >= first) & ~unknown[np.maximum(at - back_, 0)])
+                    total[seen] += values[seen - back_]
+                    known[seen] += 1
+                return pa.array(total / np.maximum(known, 1), mask=known == 0)
+
+            sold = np.flatnonzero(~none & ((x > 0) | np.isnan(x)))
+            born = np.full(len(starts), np.iinfo(np.int64).max)
+            np.minimum.at(born, np.searchsorted(starts, sold, side="right") - 1, place[sold])
+            age = place - np.repeat(born, counts)
+            days = kept[:, None] + np.arange(horizon)
+            inside = days < last[kept][:, None]
+            days = np.minimum(days, len(x) - 1)
+            inside &= ~none[days]
+            future = pa.ListArray.from_arrays(np.r_[0, np.cumsum(inside.sum(axis=1))].astype(np.int32), pa.array(x[days][inside]))
+            whole = [groups._flat(table, c) for c in ("sku_id", "i", "day")] + [before(n) for n in (1, 7, 14)] + [mean(x, none, n) for n in (7, 28)] + [
+                mean(((x == 0) & ~none).astype(float), none, 28), pa.array(age, mask=np.repeat(born, counts) == np.iinfo(np.int64).max)]
+            out = pa.table([c.take(pa.array(kept)) for c in whole] + [future], names)
+            yield from out.to_batches(1 << 14)
+
+    names = ["sku_id", "i", "day", "last_1", "last_7", "last_14", "mean_7", "mean_28", "zero_share_28", "age", "_future"]
+    kind = panel.schema["sku_id"].dataType.simpleString()
+    doubles = ", ".join(f"{n} double" for n in names[3:9])
+    return groups.clustered(dense, "sku_id", together=True).mapInArrow(run, f"sku_id {kind}, i bigint, day date, {doubles}, age bigint, _future array<double>")
+
+
+def feature_rows(panel: DataFrame, axis: dm.Axis, horizon: int, ahead: list[int] | None = None, shaped: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+    """``origin_features`` (``shaped`` before they are spread) for every number of days ahead, or those of ``ahead``, with the
+    weekday aimed at and the target."""
+    return ahead_rows(shaped(origin_features(panel, axis, horizon)), horizon, ahead=ahead)
+
+
+def ahead_rows(rows: DataFrame, horizon: int, *others: str, ahead: list[int] | None = None) -> DataFrame:
+    """The rows of ``origin_features`` for every number of days ahead, or those of ``ahead``."""
+    asked = F.sequence(F.lit(1), F.lit(horizon)) if ahead is None else F.array(*[F.lit(d) for d in ahead])
+    spread = rows.withColumn("days_ahead", F.explode(asked))
     return spread.select(
         "sku_id", "i", *FEATURES[:6], F.weekday(F.date_add("day", F.col("days_ahead") - 1)).alias("weekday"), "days_ahead",
         "age", F.try_element_at("_future", F.col("days_ahead")).alias("target"), *others,

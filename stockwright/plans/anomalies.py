@@ -13,7 +13,7 @@ from ..operators import replenish as rp
 from . import canonical as c
 from .canonical import Tables, with_sql
 from .forecasting import H, LEVELS, ORIGINS, RESIDUAL_SQL, SERIES_SQL, STEP, SUPPLIERS, _panel, _series
-from .registry import query, rounded
+from .registry import query, r, rounded
 
 
 def _signals(t: Tables):
@@ -172,8 +172,9 @@ def _(t: Tables):
   cross join axis cross join (select unnest([1, 7]) as k) where i >= 28""")
 def _(t: Tables):
     panel, axis = _panel(t)
-    rows = bo.feature_rows(panel, axis, 7).where(F.col("days_ahead").isin(1, 7) & (F.col("i") < axis.days))
-    return rounded(rows.select("sku_id", "i", *bo.FEATURES, F.col("target").isNotNull().alias("has_target")))
+    # rounded before a row is spread to its days ahead
+    rows = bo.feature_rows(panel, axis, 7, [1, 7], lambda f: f.where(F.col("i") < axis.days).withColumns({n: r(n) + F.lit(0.0) for n in bo.FEATURES[:6]}))
+    return rows.select("sku_id", "i", *bo.FEATURES[:6], *[F.col(n).cast("bigint").alias(n) for n in bo.FEATURES[6:]], F.col("target").isNotNull().alias("has_target"))
 
 
 @query("i09_gradient_boosting")

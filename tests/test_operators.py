@@ -647,3 +647,24 @@ def test_seasonal_fit_and_tstr_read_a_key_once(spark):
     plan = ut.tstr(long, 7)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
     assert {(r.key, r.train_len, r.test_len) for r in ut.tstr(long, 7).collect()} == {(k, 70, 30) for k in "012"}
+
+
+def test_origin_features_hold_no_windows_over_dense_rows(spark):
+    from datetime import date, timedelta
+
+    from stockwright.operators import boosting as bo
+
+    first, qty = date(2024, 1, 1), {("a", d): float(d * 7919 % 13) for d in range(0, 40, 2)} | {("b", d): 1.0 for d in (5, 39)}
+    panel = spark.createDataFrame([(k, first + timedelta(days=d), q) for (k, d), q in qty.items()], "sku_id string, day date, qty double").repartition(3)
+    axis = dm.Axis(first, first + timedelta(days=39), 40)
+    rows = bo.feature_rows(panel, axis, 7, [1, 7])
+    assert rows._jdf.queryExecution().executedPlan().toString().count("Window [") == 1  # that of the sparse rows
+    found = rows.collect()
+    assert len(found) == 2 * 13 * 2  # items x origins 28 .. 40 x days ahead
+    for r in found:
+        y = [qty.get((r.sku_id, d), 0.0) for d in range(40)]
+        before = y[r.i - 28 : r.i]
+        assert (r.last_1, r.last_7, r.last_14) == (y[r.i - 1], y[r.i - 7], y[r.i - 14])
+        assert [r.mean_7, r.mean_28, r.zero_share_28] == pytest.approx([sum(before[21:]) / 7, sum(before) / 28, before.count(0.0) / 28])
+        aimed = r.i + r.days_ahead - 1
+        assert r.age == r.i - (2 if r.sku_id == "a" else 5) and r.target == (y[aimed] if aimed < 40 else None)
