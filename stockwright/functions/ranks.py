@@ -8,6 +8,8 @@ and added to a running sum inside each range.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -164,3 +166,43 @@ def values_at_ranks(
     w = Window.partitionBy(*keys, "_g").orderBy("_r", "_side").rowsBetween(Window.unboundedPreceding, 0)
     both = left.unionByName(right, allowMissingColumns=True).withColumn("_found", F.last("_v", ignorenulls=True).over(w))
     return both.where(F.col("_side") == 1).select(*draws.columns, F.col("_found").alias(value))
+
+
+#: Rows of a pool that go to the tasks as arrays; larger pools are cut into pieces by ``values_at_ranks``.
+POOL = 1 << 16
+
+
+def looked_up(pool: DataFrame, keys: list[str], value: str, before: str):
+    """``values_at_ranks`` as a column function of the keys and the rank, or None where the pool (read twice) has more than ``POOL``
+    rows or unknown keys.  Ranks lie below a key's total; a key without rows gives NULL."""
+    rows = pool.select(*keys, F.col(before).cast("bigint").alias("_b"), F.col(value).cast("double").alias("_v")).limit(POOL + 1).toPandas()
+    if len(rows) > POOL or rows[keys].isna().any(axis=None):
+        return None
+    known = [pd.Index(rows[k].unique()) for k in keys]
+    bits = int(rows["_b"].max()).bit_length() + 1 if len(rows) else 1
+    if np.prod([float(len(x)) for x in known]) * 2.0**bits >= 2.0**62:
+        return None
+
+    def place(columns: list[pd.Series], rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        number, there = np.zeros(len(rank), np.int64), np.ones(len(rank), bool)
+        for index, column in zip(known, columns):
+            code = index.get_indexer(column)
+            number, there = number * len(index) + code, there & (code >= 0)
+        return (number << bits) + np.minimum(rank, (1 << bits) - 1), there
+
+    held, _ = place([rows[k] for k in keys], rows["_b"].to_numpy(np.int64))
+    order = np.argsort(held, kind="stable")
+    held, values = held[order], rows["_v"].to_numpy(float)[order]
+
+    @F.pandas_udf("double")
+    def found(*columns: pd.Series) -> pd.Series:
+        rank = columns[-1].fillna(-1).to_numpy(np.int64)
+        asked, there = place(list(columns[:-1]), np.maximum(rank, 0))
+        at = np.searchsorted(held, asked, side="right") - 1
+        there &= (rank >= 0) & (at >= 0)
+        if len(held):
+            there &= held[np.maximum(at, 0)] >> bits == asked >> bits
+            return pd.Series(np.where(there, values[np.maximum(at, 0)], np.nan)).where(there, None)
+        return pd.Series(np.full(len(rank), np.nan)).where(there, None)
+
+    return found

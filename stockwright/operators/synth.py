@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import groups
 from ..functions.numeric import clip, correlation, normal, uniform
-from ..functions.ranks import exact_quantiles, running_totals, values_at_ranks
+from ..functions.ranks import exact_quantiles, looked_up, running_totals, values_at_ranks
 from ..session import cut
 from .fidelity import melt_columns, mutual_information
 
@@ -344,14 +344,29 @@ def sample_network(net: Network, fitted: DataFrame, kinds: dict[str, str], n: in
         key = F.lit(0.0) if net.parent[j] is None else F.col(f"b_{net.columns[net.parent[j]]}")
         weights = counts.groupBy("parent").agg(F.max("n_total").alias("_t"))
         drawn = out.withColumn("parent", key).join(weights, "parent").withColumn("_w", uniform(seed, f"network.{j}", "row") * (F.col("_t") + smoothing))
+        near, any_ = looked_up(counts, ["parent"], "child", "n_before"), looked_up(ranks, [], "child", "one_before")
+        if near and any_:  # small pools: both looked up in the row, nothing is shuffled
+            total = looked_up(weights.withColumn("_z", F.lit(0)), ["parent"], "_t", "_z")
+            put = out.withColumn("_t", total(key, F.lit(0))).withColumn("_w", uniform(seed, f"network.{j}", "row") * (F.col("_t") + smoothing))
+            place = F.least(F.floor((F.col("_w") - F.col("_t")) / smoothing * size), size - 1).cast("bigint")
+            child = F.when(F.col("_w") < F.col("_t"), near(key, F.floor("_w"))).otherwise(any_(place))
+            out = put.withColumn(f"b_{c}", child).drop("_t", "_w")
+            continue
         seen = drawn.where(F.col("_w") < F.col("_t")).withColumn("_r", F.floor("_w"))
         other = drawn.where(F.col("_w") >= F.col("_t")).withColumn("_r", F.least(F.floor((F.col("_w") - F.col("_t")) / smoothing * size), size - 1).cast("bigint"))
         found = values_at_ranks(seen, counts, ["parent"], "_r", "child", "n_before", "n").unionByName(
             values_at_ranks(other, ranks, [], "_r", "child", "one_before", "one"))
         out = found.withColumnRenamed("child", f"b_{c}").drop("parent", "_t", "_w", "_r")
     triples = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"b_{c}").alias("bin"), F.col(c).alias("value")) for c in net.columns])
-    pool = _pool(net.coded.select(F.explode(triples).alias("t")).select("t.*"), net.columns, ["bin"])
+    pool = cut(_pool(net.coded.select(F.explode(triples).alias("t")).select("t.*"), net.columns, ["bin"]))
     sizes = pool.groupBy("column", "bin").agg(F.max("n_total").alias("size"))
+    value = looked_up(pool, ["column", "bin"], "value", "n_before")
+    if value:
+        size = looked_up(sizes.withColumn("_z", F.lit(0)), ["column", "bin"], "size", "_z")
+        for c in net.columns:
+            rank = F.floor(uniform(seed, "network.value", "row", F.lit(c)) * size(F.lit(c), F.col(f"b_{c}"), F.lit(0))).cast("bigint")
+            out = out.withColumn(c, value(F.lit(c), F.col(f"b_{c}"), rank))
+        return apply_kinds(out.select("row", *net.columns), fitted, kinds).drop("row")
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"b_{c}").alias("bin")) for c in net.columns])
     draws = out.select("row", F.explode(pairs).alias("p")).select("row", "p.*").join(sizes, ["column", "bin"]).withColumn(
         "rank", F.floor(uniform(seed, "network.value", "row", "column") * F.col("size")).cast("bigint"))

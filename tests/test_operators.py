@@ -668,3 +668,19 @@ def test_origin_features_hold_no_windows_over_dense_rows(spark):
         assert [r.mean_7, r.mean_28, r.zero_share_28] == pytest.approx([sum(before[21:]) / 7, sum(before) / 28, before.count(0.0) / 28])
         aimed = r.i + r.days_ahead - 1
         assert r.age == r.i - (2 if r.sku_id == "a" else 5) and r.target == (y[aimed] if aimed < 40 else None)
+
+
+def test_small_pools_are_looked_up_in_the_row(spark, monkeypatch):
+    pool = spark.createDataFrame([("a", 5.0, 0, 90), ("a", 2.0, 90, 10), ("b", 7.0, 0, 3)], "k string, v double, before bigint, n bigint")
+    draws = spark.createDataFrame([("a", 0), ("a", 89), ("a", 90), ("a", 99), ("b", 2), ("c", 0)], "k string, r bigint")
+    found = draws.withColumn("v", ranks.looked_up(pool, ["k"], "v", "before")("k", "r"))
+    assert [r.v for r in found.collect()] == [5.0, 5.0, 2.0, 2.0, 7.0, None]
+    rows = spark.range(500).select((F.col("id") % 5).cast("double").alias("a"), (F.col("id") % 3 + F.col("id") % 5).cast("double").alias("b"))
+    made = []
+    for size in (1 << 16, 1):
+        monkeypatch.setattr(ranks, "POOL", size)
+        assert (ranks.looked_up(pool, ["k"], "v", "before") is None) == (size == 1)
+        out = sy.bayesian_network_table(rows, ["a", "b"], {}, 400)
+        assert size == 1 or "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+        made.append(sorted(map(tuple, out.collect())))
+    assert made[0] == made[1] and len(made[0]) == 400
