@@ -10,20 +10,19 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import narrow, slices
+from .common import held, narrow, slices
 
 #: The splitting pattern of this vocabulary family.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Distinct pieces in either half of what a worker keeps, and symbols merged together.
 KEPT_PIECES = 150_000
-SYMBOLS = 1 << 21
+SYMBOLS = 1 << 18
 
 
 def byte_letters() -> dict[int, str]:
@@ -34,9 +33,9 @@ def byte_letters() -> dict[int, str]:
 
 
 class Bpe:
-    """A byte-level BPE vocabulary read from the text of its JSON file."""
+    """A byte-level BPE vocabulary read from the text of its JSON file; ``numbers``: whether ids are also given as text."""
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, numbers: bool = True):
         spec = json.loads(source)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         to_byte = {letter: b for b, letter in byte_letters().items()}
@@ -57,7 +56,7 @@ class Bpe:
         self.pieces = regex.compile(PIECES)
         marks = sorted(self.special, key=len, reverse=True)
         self.marks = regex.compile("|".join(map(regex.escape, marks))) if marks else None
-        self.decimal = [str(i) for i in range(len(self.content))]
+        self.decimal = [str(i) for i in range(len(self.content))] if numbers else []
         self.raw: dict[str | int, bytes] = {}  # a piece's ids as int32 bytes
         self.text: dict[str | int, str] = {}  # and as joined numbers
         self.older: tuple[dict, dict] = ({}, {})
@@ -112,7 +111,9 @@ class Bpe:
         older, older_text = self.older
         for p in pieces.difference(self.raw):
             if p in older:
-                self.raw[p], self.text[p] = older[p], older_text[p]
+                self.raw[p] = older[p]
+                if self.decimal:
+                    self.text[p] = older_text[p]
                 continue
             block.append(p)
             size += len(p)
@@ -124,11 +125,14 @@ class Bpe:
 
     def _keep(self, block: list[str]) -> None:
         ids, starts = self.merge([p.encode() for p in block])
-        raw, text = ids.astype(np.int32).tobytes(), [self.decimal[i] for i in ids.tolist()]
+        raw = ids.astype(np.int32).tobytes()
         starts = starts.tolist()
         for p, a, z in zip(block, starts, starts[1:]):
             self.raw[p] = raw[4 * a : 4 * z]
-            self.text[p] = ",".join(text[a:z])
+        if self.decimal:
+            text = [self.decimal[i] for i in ids.tolist()]
+            for p, a, z in zip(block, starts, starts[1:]):
+                self.text[p] = ",".join(text[a:z])
 
     def split(self, text: str) -> list[str | int]:
         """Pieces of the text in order; a special token is given by its id."""
@@ -143,7 +147,7 @@ class Bpe:
         return out
 
     def encode_batch(self, texts: list[str]) -> Iterator[tuple[np.ndarray, str]]:
-        """Per text its ids, and the same as decimal numbers joined by commas."""
+        """Per text its ids, and the same as decimal numbers joined by commas (empty without ``numbers``)."""
         block, size = [], 0
         for t in texts:
             block.append(t)
@@ -156,11 +160,12 @@ class Bpe:
     def _encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, str]]:
         split = [self.split(t) for t in texts]
         self.learn(set().union(*split).difference(self.special.values()))
-        for i in self.special.values():
-            self.raw[i], self.text[i] = np.int32(i).tobytes(), self.decimal[i]
+        self.raw.update((i, np.int32(i).tobytes()) for i in self.special.values())
+        if self.decimal:
+            self.text.update((i, self.decimal[i]) for i in self.special.values())
         raw, number = self.raw.__getitem__, self.text.__getitem__
         for s in split:
-            yield np.frombuffer(b"".join(map(raw, s)), np.int32), ",".join(map(number, s))
+            yield np.frombuffer(b"".join(map(raw, s)), np.int32), ",".join(map(number, s)) if self.decimal else ""
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids, special tokens included; bytes that are no UTF-8 become U+FFFD."""
@@ -173,9 +178,8 @@ class Bpe:
         return b"".join(out).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
-def load(source: str) -> Bpe:
-    return Bpe(source)
+def load(source: str, numbers: bool = True) -> Bpe:
+    return held(("bpe", source, numbers), lambda: Bpe(source, numbers))
 
 
 def read_vocabulary(spark: SparkSession, path: str):
@@ -193,8 +197,8 @@ def encode(docs: DataFrame, vocabulary: str, id: str = "doc_id", text: str = "te
     source = read_vocabulary(docs.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(source.value)
-        for b in (x for whole in batches for x in slices(whole)):
+        bpe = load(source.value, numbers=False)
+        for b in (x for whole in batches for x in slices(whole, 2 << 20)):
             made = [ids for ids, _ in bpe.encode_batch([t or "" for t in b.column(1).to_pylist()])]
             flat = np.concatenate(made) if made else np.empty(0, np.int32)
             ends = np.cumsum([0, *map(len, made)])

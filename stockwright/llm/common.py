@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -30,6 +30,20 @@ def slices(b: pa.RecordBatch, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
         yield b.slice(at, step)
 
 
+_held: dict[object, object] = {}
+
+
+def held(key: object, make: Callable[[], object]) -> object:
+    """What ``make`` makes, kept in this process for the next task; what was kept under another key is let go.
+
+    Workers serve one stage after another: tables of the stages before would only fill their memory.
+    """
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
@@ -47,4 +61,4 @@ def fold(id_column: str, parts: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")) % parts
 
 
-__all__ = ["WORD", "cut", "fold", "narrow", "parts", "prepare", "slices", "stored"]
+__all__ = ["WORD", "cut", "fold", "held", "narrow", "parts", "prepare", "slices", "stored"]

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import fold, narrow, prepare, slices
+from .common import fold, held, narrow, prepare, slices
 
 SIZE = 512
 SEED = 6
@@ -66,7 +66,7 @@ class Vectors:
 
     def __init__(self, size: int = SIZE):
         self.size, self.place = size, {}
-        self.rows = np.empty((1024, size), np.float32)
+        self.rows = np.empty((1024, size), np.int8)
 
     def of(self, grams: np.ndarray) -> np.ndarray:
         """The vectors of at most ``BLOCK`` trigrams, one a row."""
@@ -76,12 +76,12 @@ class Vectors:
             self.place, fresh = {}, names
         need = len(self.place) + len(fresh)
         if need > len(self.rows):
-            self.rows = np.concatenate([self.rows, np.empty((max(need, 2 * len(self.rows)) - len(self.rows), self.size), np.float32)])
+            self.rows = np.concatenate([self.rows, np.empty((max(need, 2 * len(self.rows)) - len(self.rows), self.size), np.int8)])
         for g in fresh:
             a, b, c = (letter_vector(g >> s & 0x1FFFFF, self.size) for s in (42, 21, 0))
             self.rows[len(self.place)] = np.roll(a, 2) * np.roll(b, 1) * c
             self.place[g] = len(self.place)
-        return self.rows[np.fromiter(map(self.place.__getitem__, names), np.int64, len(names))]
+        return self.rows[np.fromiter(map(self.place.__getitem__, names), np.int64, len(names))].astype(np.float32)
 
     def bundle(self, texts: list[str]) -> np.ndarray:
         """A row per text: the sum of its trigrams' vectors, zero if it has no letter.
@@ -100,8 +100,10 @@ class Vectors:
             small = np.searchsorted(alphabet, letter) if width > 256 else self._ranks(alphabet)[letter]
             code = (small[mid - 1] * width + small[mid]) * width + small[mid + 1]
             if width**3 <= 1 << 22:
-                there = np.flatnonzero(np.bincount(code, minlength=width**3))
-                place = np.empty(width**3, np.int64)
+                found = np.zeros(width**3, bool)
+                found[code] = True
+                there = np.flatnonzero(found)
+                place = np.empty(width**3, np.int32)
                 place[there] = np.arange(len(there))
                 place = place[code]
             else:
@@ -126,9 +128,8 @@ class Vectors:
         return ranks
 
 
-@lru_cache(maxsize=1)
 def _vectors() -> Vectors:
-    return Vectors()
+    return held("language", Vectors)
 
 
 def prototypes(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:

@@ -18,6 +18,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # rows of long texts reach the Python workers in batches of this size: a batch stands several times in an executor's memory
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
     # percentile() and collect_list() keep hashing up to this many groups per task before sorting
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "8192",
 }
