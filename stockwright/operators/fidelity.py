@@ -158,6 +158,7 @@ class Cells:
     def __init__(self, points: np.ndarray, rows: int):
         self.side, self.value, self.child, self.parts = [], [], [], []
         self._cut(points, np.arange(len(points)), rows)
+        self.flat = np.array(self.side or [0]), np.array(self.value or [0.0]), np.array(self.child or [[0, 0]])
 
     def _cut(self, points: np.ndarray, inside: np.ndarray, rows: int) -> int:
         """The number of a new node, or -1 minus the number of a new cell."""
@@ -183,7 +184,7 @@ class Cells:
     def of(self, points: np.ndarray) -> np.ndarray:
         """The cell of each point."""
         at = np.zeros(len(points), np.int64) if self.side else np.full(len(points), -1)
-        side, value, child = np.array(self.side or [0]), np.array(self.value or [0.0]), np.array(self.child or [[0, 0]])
+        side, value, child = self.flat
         open_ = np.flatnonzero(at >= 0)
         while len(open_):
             node = at[open_]
@@ -201,6 +202,53 @@ def box_distances(queries: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.
     return out
 
 
+class Boxes:
+    """The tight boxes of a tree's cells and of its nodes: finds the cells near a query without looking at all of them."""
+
+    def __init__(self, tree: Cells, cells: np.ndarray, low: np.ndarray, high: np.ndarray):
+        self.tree, n = tree, len(tree.side)
+        child = np.array(tree.child, np.int64).reshape(n, 2)
+        self.child = np.where(child < 0, n - 1 - child, child)  # a node's number, or n + a cell's
+        self.low, self.high = np.full((2, n + len(tree.parts), low.shape[1]), np.nan)
+        self.low[n + cells], self.high[n + cells] = low, high
+        for node in range(n - 1, -1, -1):  # a node's children have larger numbers
+            self.low[node] = np.fmin(*self.low[self.child[node]])
+            self.high[node] = np.fmax(*self.high[self.child[node]])
+
+    def within(self, queries: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """All (query, cell, squared distance to its box) below the query's squared ``reach``, and how many boxes were looked at."""
+        n, looked, found = len(self.child), 0, []
+        query, node = np.arange(len(queries)), np.zeros(len(queries), np.int64)
+        while len(query):
+            looked += len(query)
+            x = queries[query]
+            gap = np.zeros(len(query))
+            for j in range(x.shape[1]):
+                gap += np.maximum(np.maximum(self.low[node, j] - x[:, j], x[:, j] - self.high[node, j]), 0) ** 2
+            near = gap < reach[query]
+            query, node, gap = query[near], node[near], gap[near]
+            leaf = node >= n
+            found.append((query[leaf], node[leaf] - n, gap[leaf]))
+            query, node = np.repeat(query[~leaf], 2), self.child[node[~leaf]].ravel()
+        q, cell, gap = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        return q, cell, gap, looked
+
+    def visits(self, queries: np.ndarray, second: np.ndarray, seen: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """The next ``width`` (query, cell) after the ``seen`` ones: first the query's own cell, then the cells nearer than ``second``, nearest first."""
+        home = self.tree.of(queries)
+        fresh = np.flatnonzero(seen == 0)
+        later = np.flatnonzero(seen > 0)
+        q, cell, gap, _ = self.within(queries[later], second[later] ** 2)
+        q = later[q]
+        other = cell != home[q]
+        q, cell, gap = q[other], cell[other], gap[other]
+        order = np.lexsort((cell, gap, q))
+        q, cell = q[order], cell[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q) + 1
+        fits = (place >= seen[q]) & (place < seen[q] + width)
+        return np.r_[fresh, q[fits]], np.r_[home[fresh], cell[fits]]
+
+
 def nearest_two(points: np.ndarray, twin: np.ndarray, queries: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """Squared distances to the two nearest ``points`` (one that is a ``twin`` counts twice), and how many pairs were compared.
 
@@ -245,8 +293,9 @@ def two_nearest(queries: DataFrame, points: DataFrame, columns: list[str]) -> Da
 
     ``queries``: distinct rows; ``points``: distinct rows with multiplicity ``n``.  Space is cut at medians into cells of
     about equally many points, by the medians of a bounded sample: dense spots get small cells.  The tight boxes of all
-    cells (``CELLS`` at most) are known to every task.  A query goes to the cell whose box is nearest, and then, in rounds of
-    growing width, to the next nearest boxes that are nearer than its second distance so far; it is done when none is left.
+    cells (``CELLS`` at most) are known to every task.  A query goes to its own cell, and then, in rounds of growing width, to
+    the nearest of the other boxes that are nearer than its second distance so far; it is done when none is left.  The boxes
+    are found down the tree, so that a query's work doesn't grow with the number of cells.
     A cell's queries are dealt to blocks, and inside a cell a tree of small leaves is searched in the same way.  ``d2`` is
     NULL where there is one point only; without points there is no row.
     """
@@ -271,25 +320,20 @@ def two_nearest(queries: DataFrame, points: DataFrame, columns: list[str]) -> Da
     box = held.groupBy("cell").agg(*[f(c).alias(f"{k}{j}") for j, c in enumerate(columns) for k, f in (("a", F.min), ("z", F.max))]).orderBy("cell").toPandas()
     cells = box["cell"].to_numpy()
     low, high = (box[[f"{k}{j}" for j in range(d)]].to_numpy(float) for k in "az")
-    boxes = spark.sparkContext.broadcast((cells, low, high))
+    boxes = spark.sparkContext.broadcast(Boxes(tree, cells, low, high))
     state = f"{coordinates}, d1 double, d2 double, seen bigint"
 
     def visits(width: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            cells, low, high = boxes.value
             for whole in batches:
                 for at in range(0, whole.num_rows, TOGETHER):
                     b = whole.slice(at, TOGETHER)
                     x = np.column_stack([b.column(j).to_numpy() for j in range(d)])
                     second, seen = b.column(d + 1).to_numpy(), b.column(d + 2).to_numpy()
-                    far = box_distances(x, low, high)
-                    order = np.argsort(far, axis=1, kind="stable")
-                    place = np.arange(len(cells))
-                    fits = (place >= seen[:, None]) & (place < seen[:, None] + width) & (np.take_along_axis(far, order, axis=1) < second[:, None] ** 2)
-                    q, k = np.nonzero(fits)
-                    none = np.flatnonzero(~fits.any(axis=1))
+                    q, near = boxes.value.visits(x, second, seen, width)
+                    none = np.setdiff1d(np.arange(b.num_rows), q)
                     rows = np.r_[q, none]
-                    to = np.r_[cells[order[q, k]], np.full(len(none), -1)]
+                    to = np.r_[near, np.full(len(none), -1)]
                     out = pa.Table.from_batches([b]).take(pa.array(rows)).combine_chunks()
                     columns_ = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in out.columns]
                     columns_[d + 2] = pa.array((seen[rows] + width).astype(np.int64))

@@ -475,6 +475,29 @@ def test_compared_pairs_grow_with_the_queries_alone():
     assert pairs[1] < 1.6 * pairs[0] < 1.6 * 500 * 1000
 
 
+def test_boxes_within_reach_are_found_without_looking_at_all():
+    rng = np.random.default_rng(5)
+    share = []
+    for n in (4000, 32000):
+        points = np.concatenate([0.3 + rng.normal(0, 1e-3, (n // 2, 2)), rng.random((n // 2, 2))])
+        tree = fi.Cells(points, 32)
+        low, high = (np.array([f(points[x], axis=0) for x in tree.parts]) for f in (np.min, np.max))
+        boxes = fi.Boxes(tree, np.arange(len(low)), low, high)
+        asked, reach = rng.random((300, 2)), np.full(300, 1e-4)
+        q, cell, gap, looked = boxes.within(asked, reach)
+        far = fi.box_distances(asked, low, high)
+        want = np.nonzero(far < reach[:, None])
+        assert sorted(zip(q, cell)) == sorted(zip(*want)) and np.array_equal(gap, far[q, cell])
+        share.append(looked / far.size)
+        # in rounds every cell within reach is visited once, its own first
+        seen, width, met = np.zeros(300, np.int64), 1, []
+        while len((some := boxes.visits(asked, np.sqrt(reach), seen, width))[0]):
+            met += zip(*some)
+            seen, width = seen + width, 4 * width
+        assert len(set(met)) == len(met) and set(met) == set(zip(*want)) | set(enumerate(tree.of(asked)))
+    assert share[1] < share[0] / 4
+
+
 def test_nearest_rows_of_few_points(spark):
     asked = spark.createDataFrame([(0.0, 0.0), (1.0, 1.0)], "a double, b double")
     one = spark.createDataFrame([(0.0, 1.0, 1)], "a double, b double, n int")
