@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F, types as T
 
 
@@ -39,6 +40,81 @@ def uniform(seed: int, stream: str, *keys) -> Column:
     return (bits.cast("double") + 0.5) * F.lit(2.0**-53)
 
 
+_P1, _P2, _P3, _P4, _P5 = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5
+_ALL = (1 << 64) - 1
+
+
+def _turned(x, bits: int):
+    if isinstance(x, int):
+        return (x << bits | x >> (64 - bits)) & _ALL
+    return x << np.uint64(bits) | x >> np.uint64(64 - bits)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ h >> np.uint64(33)) * np.uint64(_P2)
+    h = (h ^ h >> np.uint64(29)) * np.uint64(_P3)
+    return h ^ h >> np.uint64(32)
+
+
+def _hash_numbers(x: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """``xxhash64`` of whole numbers (64 bits, or fewer as 32) on top of the hashes ``h``."""
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (_P1, _P2, _P3, _P4, _P5))
+    if x.dtype.itemsize < 8:
+        h = h + p5 + np.uint64(4) ^ x.astype(np.int32).view(np.uint32).astype(np.uint64) * p1
+        return _mixed(_turned(h, 23) * p2 + p3)
+    h = h + p5 + np.uint64(8) ^ _turned(x.astype(np.int64).view(np.uint64) * p2, 31) * p1
+    return _mixed(_turned(h, 27) * p1 + p4)
+
+
+def _hash_text(text: str, h: int) -> int:
+    """``xxhash64`` of one text on top of the hash ``h``."""
+    data = text.encode()
+    n, at = len(data), 0
+    if n >= 32:
+        v = [h + _P1 + _P2, h + _P2, h, h - _P1]
+        while at <= n - 32:
+            v = [_turned(x + int.from_bytes(data[at + 8 * k : at + 8 * k + 8], "little") * _P2 & _ALL, 31) * _P1 & _ALL for k, x in enumerate(v)]
+            at += 32
+        h = sum(_turned(x, bits) for x, bits in zip(v, (1, 7, 12, 18)))
+        for x in v:
+            h = ((h ^ _turned(x * _P2 & _ALL, 31) * _P1 & _ALL) * _P1 + _P4) & _ALL
+    else:
+        h += _P5
+    h = h + n & _ALL
+    while at + 8 <= n:
+        h ^= _turned(int.from_bytes(data[at : at + 8], "little") * _P2 & _ALL, 31) * _P1 & _ALL
+        h, at = (_turned(h, 27) * _P1 + _P4) & _ALL, at + 8
+    if at + 4 <= n:
+        h ^= int.from_bytes(data[at : at + 4], "little") * _P1 & _ALL
+        h, at = (_turned(h, 23) * _P2 + _P3) & _ALL, at + 4
+    for byte in data[at:]:
+        h = _turned(h ^ byte * _P5 & _ALL, 11) * _P1 & _ALL
+    for bits, by in ((33, _P2), (29, _P3), (32, 1)):
+        h = (h ^ h >> bits) * by & _ALL
+    return h
+
+
+def uniforms(seed: int, stream: str, *keys: pa.Array) -> np.ndarray:
+    """``uniform`` of texts and whole numbers inside a task: the same numbers."""
+    whole = np.array([seed], np.int32 if -(1 << 31) <= seed < 1 << 31 else np.int64)
+    h = np.full(len(keys[0]), _hash_text(stream, int(_hash_numbers(whole, np.array([42], np.uint64))[0])), np.uint64)
+    for key in keys:
+        here = np.asarray(key.is_valid())
+        if pa.types.is_integer(key.type):
+            hashed = _hash_numbers(key.fill_null(0).to_numpy(zero_copy_only=False), h)
+        elif pa.types.is_string(key.type):
+            # rows of one text follow each other: texts are hashed where text or hash changes
+            code = key.dictionary_encode()
+            texts, codes = code.dictionary.to_pylist(), code.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            new = np.flatnonzero(np.r_[True, (codes[1:] != codes[:-1]) | (h[1:] != h[:-1])]) if len(h) else np.zeros(0, np.int64)
+            some = np.array([_hash_text(texts[codes[k]], int(h[k])) if here[k] else 0 for k in new], np.uint64)
+            hashed = np.repeat(some, np.diff(np.r_[new, len(h)]))
+        else:
+            raise TypeError(f"only texts and whole numbers are hashed in a task, not {key.type}")
+        h = np.where(here, hashed, h)
+    return ((h >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53
+
+
 def normal(seed: int, stream: str, *keys) -> Column:
     """A standard normal number by the Box-Muller transform of two hashed uniforms."""
     radius = F.sqrt(-2.0 * F.ln(uniform(seed, stream + ".r", *keys)))

@@ -158,40 +158,45 @@ def scale_of(mad: Column, mean_abs: Column, min_scale: float = 1.0) -> tuple[Col
     return scale, F.when(use_mad, "mad").when(use_mean, "mean_abs_dev").otherwise("floor")
 
 
-def residual_rule(series: DataFrame, period: int, min_scale: float = 1.0, together: bool = False, twins: bool = False) -> DataFrame:
+def residual_rule(series: DataFrame, period: int, min_scale: float = 1.0, together: bool = False, twins: bool = False,
+                  kept: list[str] | None = None, given: tuple[str, ...] = ("expected", "residual", "robust_z", "method")) -> DataFrame:
     """``series`` (key, i, value and any other columns) with ``expected, residual, robust_z, method``, all NULL in keys
     too short for the rule.  A key's points are worked on at once; ``together``: they follow each other already.
-    ``twins``: one column more, the robust z of all points at the same place of the key, NULL where there is one."""
-
-    def compute(m: groups.Matrices) -> dict:
-        (x, null), (place, _) = m["value"], m["_pos"]
-        if x.shape[1] < max(2 * period, 8):
-            no = np.ones(x.shape, bool)
-            return {**{n: (np.zeros(x.shape), no) for n in ("expected", "residual", "robust_z")},
-                    **{n: (np.full(x.shape, None, object), no) for n in made if n in ("method", "twins")}}
-        x = x.astype(float)
-        expected, unknown = groups.medians_by(place, x, null)
-        residual = x - expected
-        middle, _ = groups.median(residual, null)
-        off = np.abs(residual - middle[:, None])
-        mad, none = groups.median(off, null)
-        mean = np.where(null, 0.0, off).sum(axis=1) / np.maximum((~null).sum(axis=1), 1)
-        by_mad, by_mean = mad / MAD_TO_SIGMA, mean / MEAN_ABS_TO_SIGMA
-        # NaN stands above all numbers
-        use_mad = ~none & ~(mad <= 0) & ~(by_mad < min_scale)
-        use_mean = ~none & (mad == 0) & ~(by_mean < min_scale)
-        scale = np.where(use_mad, by_mad, np.where(use_mean, by_mean, min_scale))
-        method = np.where(use_mad, "mad", np.where(use_mean, "mean_abs_dev", "floor")).astype(object)
-        z = (residual - middle[:, None]) / scale[:, None]
-        found = {"expected": (expected, unknown), "residual": (residual, null), "robust_z": (z, null),
-                 "method": np.repeat(method[:, None], x.shape[1], axis=1)}
-        if twins:
-            found["twins"] = _twins(m["i"][0], z, null)
-        return found
+    ``twins``: one column more, the robust z of all points at the same place of the key, NULL where there is one.
+    ``kept`` and ``given``: the columns of ``series`` and of the rule that are asked for."""
 
     placed = series.withColumn("_pos", F.pmod("i", F.lit(period)))
-    made = {"expected": "double", "residual": "double", "robust_z": "double", "method": "string", **({"twins": "array<double>"} if twins else {})}
-    return groups.in_groups(placed, "key", "i", ["value", "_pos", "i"], made, compute, together).drop("_pos")
+    made = {**{n: "string" if n == "method" else "double" for n in given}, **({"twins": "array<double>"} if twins else {})}
+    return groups.in_groups(placed, "key", "i", ["value", "_pos", "i"], made, lambda m: rule(m, period, min_scale, made), together,
+                            series.columns if kept is None else kept)
+
+
+def rule(m: groups.Matrices, period: int, min_scale: float, made: dict[str, str]) -> dict:
+    """The columns ``made`` of ``residual_rule``, from matrices of ``value``, ``_pos`` (the place in the period) and ``i``."""
+    (x, null), (place, _) = m["value"], m["_pos"]
+    if x.shape[1] < max(2 * period, 8):
+        no = np.ones(x.shape, bool)
+        return {n: (np.zeros(x.shape) if k == "double" else np.full(x.shape, None, object), no) for n, k in made.items()}
+    x = x.astype(float)
+    expected, unknown = groups.medians_by(place, x, null)
+    residual = x - expected
+    middle, _ = groups.median(residual, null)
+    off = np.abs(residual - middle[:, None])
+    mad, none = groups.median(off, null)
+    mean = np.where(null, 0.0, off).sum(axis=1) / np.maximum((~null).sum(axis=1), 1)
+    by_mad, by_mean = mad / MAD_TO_SIGMA, mean / MEAN_ABS_TO_SIGMA
+    # NaN stands above all numbers
+    use_mad = ~none & ~(mad <= 0) & ~(by_mad < min_scale)
+    use_mean = ~none & (mad == 0) & ~(by_mean < min_scale)
+    scale = np.where(use_mad, by_mad, np.where(use_mean, by_mean, min_scale))
+    z = (residual - middle[:, None]) / scale[:, None]
+    found = {"expected": (expected, unknown), "residual": (residual, null), "robust_z": (z, null)}
+    if "method" in made:
+        method = np.where(use_mad, "mad", np.where(use_mean, "mean_abs_dev", "floor")).astype(object)
+        found["method"] = np.repeat(method[:, None], x.shape[1], axis=1)
+    if "twins" in made:
+        found["twins"] = _twins(m["i"][0], z, null)
+    return {n: found[n] for n in made}
 
 
 def _twins(place: np.ndarray, z: np.ndarray, null: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -16,12 +16,19 @@ from .forecasting import H, LEVELS, ORIGINS, RESIDUAL_SQL, SERIES_SQL, STEP, SUP
 from .registry import query, r, rounded
 
 
+#: Days of items that one task replays.
+TASK_ROWS = 1 << 19
+
+
 def _signals(t: Tables):
     """Demand with the stock and receipts of its replay under the service-level policy."""
     lines = c.lines(t, "l_suppkey")
     axis = dm.read_axis(lines)
     items = rp.policy_items(lines, axis, None, ["service-level"], rp.Costs())
-    return rp.daily_replay(items, axis).withColumn("i", F.datediff("day", F.lit(axis.first)).cast("bigint"))
+    # so many items to a task as have about TASK_ROWS days
+    parts = max(t.spark.sparkContext.defaultParallelism, items.count() * axis.days // TASK_ROWS)
+    items = items.repartition(parts, "sku_id")
+    return rp.packed_replay(items, axis)
 
 
 def _plain_signals(t: Tables):
@@ -76,14 +83,13 @@ def _(t: Tables):
 
 @query("k07_injected_anomalies")
 def _(t: Tables):
-    return rounded(de.inject(_signals(t)).where(F.col("kind").isNotNull()))
+    return rounded(de.inject(_signals(t)).rows(lambda table: table.column("kind").is_valid().to_numpy()).select(
+        "sku_id", "day", "i", "receipts", "demand", "on_hand", "kind"))
 
 
 @query("k08_detector_benchmark")
 def _(t: Tables):
-    from ..session import stored
-
-    panel = stored(de.inject(_signals(t)), "injected")
+    panel = de.inject(_signals(t))
     return rounded(de.score_detectors(panel, {"seasonal-residual": de.seasonal_detector, "isolation-forest": de.isolation_forest}))
 
 

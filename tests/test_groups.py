@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from stockwright.functions import groups
+from stockwright.functions.numeric import uniform, uniforms
 from stockwright.functions.ranks import value_at_rank
-from stockwright.operators import demand as dm, detect as de, series as se
+from stockwright.operators import demand as dm, detect as de, replenish as rp, series as se
 
 DAY0 = date(2024, 1, 1)
 
@@ -106,3 +107,92 @@ def test_injection_collects_no_item_and_skips_items_without_demand(spark):
     assert "collect_list" not in plan_of(made) and "Window" not in plan_of(made)
     places = made.where("kind is not null").collect()
     assert len(places) == 15 and {r.sku_id for r in places} == {"a", "b"} and made.count() == 300
+
+
+def signals_of(spark, days=90, items=12):
+    """A panel with a repeated day, an item without demand and rows of no item."""
+    rng = np.random.default_rng(4)
+    rows = [(f"k{j}", DAY0 + timedelta(days=i), i, float(rng.poisson(3) * (j > 0)), float(rng.integers(0, 40)), float(rng.integers(0, 9)))
+            for j in range(items) for i in range(days)]
+    rows += [("k3", DAY0 + timedelta(days=5), 5, 60.0, 7.0, 0.0), *[(None, DAY0 + timedelta(days=i), i, 2.0, None, None) for i in range(30)]]
+    return spark.createDataFrame(rows, "sku_id string, day date, i bigint, demand double, on_hand double, receipts double").repartition(5, "i")
+
+
+def sorted_rows(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+def test_packed_panels_give_the_results_of_rows(spark):
+    panel = signals_of(spark)
+    held = groups.packed(panel, "sku_id").stored("panel")
+    assert held.count() == panel.count() and sorted_rows(held.rows()) == sorted_rows(panel)
+    for run in (de.seasonal_detector, lambda p: de.isolation_forest(p, trees=20, samples=300)):
+        (scores, found), (packed_scores, packed_found) = run(panel), run(held)
+        assert sorted_rows(packed_scores.rows()) == sorted_rows(scores) and scores.count() >= panel.count()
+        assert sorted_rows(packed_found) == sorted_rows(found) and found.count() > 0
+        assert sorted_rows(de.top_k(packed_scores, 40)) == sorted_rows(de.top_k(scores, 40))
+    made = de.inject(held, 0.03)
+    assert sorted_rows(made.rows().select(*[n for n, _ in made.fields])) == sorted_rows(de.inject(panel, 0.03).select(*[n for n, _ in made.fields]))
+    detectors = {"seasonal": de.seasonal_detector, "forest": lambda p: de.isolation_forest(p, trees=20, samples=300)}
+    assert sorted_rows(de.score_detectors(made, detectors)) == sorted_rows(de.score_detectors(made.rows(), detectors))
+
+
+def test_packed_panels_are_not_dealt_sorted_or_spelled_out(spark):
+    held = groups.packed(dense_of(spark).select("sku_id", "day", "i", F.col("qty").alias("demand"), F.lit(9.0).alias("on_hand"), F.lit(0.0).alias("receipts")),
+                         "sku_id").stored("panel")
+    for found in (de.packed_features(held), de._seasonal_scores(held, 7)):
+        plan = plan_of(found.blocks)
+        assert plan.count("MapInArrow") == 1 and not any(x in plan for x in ("Exchange", "Sort", "Window", "Generate"))
+
+
+def test_draws_in_tasks_are_those_of_sql(spark):
+    rng = np.random.default_rng(2)
+    texts = [None, "", "7", "é漢", *["x" * int(n) for n in rng.integers(1, 90, 40)]]
+    rows = [(t, int(i), int(j)) for t in texts for i, j in zip(rng.integers(-(2**62), 2**62, 9), rng.integers(-(2**31), 2**31, 9))] + [("7", None, None)]
+    df = spark.createDataFrame(rows, "k string, i bigint, j int").coalesce(1)
+    table = df.toArrow().combine_chunks()
+    for seed, stream, keys in ((7, "inject", "ki"), (0, "tree.first", "kj"), (1 << 40, "inject.start", "k"), (3, "a stream of more than thirty-two bytes", "jik")):
+        want = [r[0] for r in df.select(uniform(seed, stream, *keys)).collect()]
+        assert (uniforms(seed, stream, *[groups._flat(table, k) for k in keys]) == np.array(want)).all()
+
+
+def test_forest_scores_are_walks_down_every_tree(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(700, 3)).round(1)
+    grown = [de._grow(x[rng.integers(0, len(x), 64)], rng, 6) for _ in range(9)]
+    whole = [de._complete(*tree, 6) for tree in grown]
+    forest = {n: [tree[k] for tree in whole] for k, n in enumerate("fth")} | {"depth": 6}
+    want = np.zeros(len(x))
+    for row, point in enumerate(x):
+        for f, t, h in grown:
+            node = 0
+            while f[node] >= 0:
+                node = 2 * node + 1 + (point[f[node]] > t[node])
+            want[row] += h[node]
+    rows, place = de._distinct(x)
+    assert len(rows) == len(np.unique(x, axis=0)) < len(x) and (rows[place] == x).all()
+    assert de._paths(rows, forest)[place] == pytest.approx(want)
+
+
+def test_numbers_at_ranks_of_blocks(spark):
+    x = np.r_[np.random.default_rng(0).normal(size=400), 0.0, -0.0, 1e300, -1e300, np.inf, -np.inf, 5e-324, np.repeat(0.25, 90)]
+    held = groups.packed(spark.createDataFrame([(str(i % 5), float(v)) for i, v in enumerate(x)], "k string, v double"), "k").stored("numbers")
+    known = np.sort(x)
+    for rank in (0, 1, 200, 204, 300, len(x) - 1):
+        v = known[rank]
+        assert de.value_at(held.select("v"), lambda table: de._values(table, "v"), rank) == (v, (x < v).sum(), (x == v).sum())
+    with pytest.raises(ValueError, match="no value at rank"):
+        de.value_at(held, lambda table: de._values(table, "v"), len(x))
+
+
+def test_packed_replay_is_the_daily_replay(spark, monkeypatch):
+    rows = [(f"s{j}", [0, 3, None, 59, 60][j % 2:], [2.0, 5.0, 7.0, 1.0, 9.0][j % 2:], 3.0, 12.0) for j in range(7)] + [("none", [], [], None, 4.0)]
+    items = spark.createDataFrame(rows, "sku_id string, idx array<int>, qty array<double>, reorder_point double, order_up_to double")
+    axis = dm.Axis(DAY0, DAY0 + timedelta(days=59), 60)
+    monkeypatch.setattr(groups, "ROWS", 150)
+    held = rp.packed_replay(items, axis).stored("signals")
+    daily = rp.daily_replay(items, axis)
+    assert sorted_rows(held.drop("i").rows()) == sorted_rows(daily) and held.count() == 8 * 60
+    assert held.rows().where(F.datediff("day", F.lit(DAY0)) != F.col("i")).count() == 0
+    got = {(r.sku_id, r.day): r.demand for r in daily.collect()}
+    assert got["s0", DAY0 + timedelta(days=3)] == 5.0 and sum(v for (k, _), v in got.items() if k == "s0") == 8.0
