@@ -106,10 +106,15 @@ def computed(groups: Iterator[tuple[pa.Table, np.ndarray]], order: str, inputs:
         columns = {n: _flat(table, n) for n in inputs}
         values = {n: (c.to_numpy(zero_copy_only=False), np.asarray(c.is_null())) for n, c in columns.items()}
         out: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-        for size in np.unique(counts):
-            at = starts[counts == size][:, None] + np.arange(size)
-            for n, found in compute({n: (v[at], m[at]) for n, (v, m) in values.items()}).items():
+        sizes = np.unique(counts)
+        for size in sizes:
+            # groups of one size are the table itself, cut into rows
+            at = starts[counts == size][:, None] + np.arange(size) if len(sizes) > 1 else None
+            for n, found in compute({n: _matrix(at, size, v, m) for n, (v, m) in values.items()}).items():
                 found, null = found if isinstance(found, tuple) else (found, False)
+                if at is None:
+                    out[n] = np.ravel(found), np.ravel(np.broadcast_to(null, found.shape))
+                    continue
                 if n not in out:
                     out[n] = np.empty(table.num_rows, found.dtype), np.zeros(table.num_rows, bool)
                 out[n][0][at], out[n][1][at] = found, null
@@ -117,6 +122,10 @@ def computed(groups: Iterator[tuple[pa.Table, np.ndarray]], order: str, inputs:
         yield pa.Table.from_arrays([*[_flat(table, n) for n in names], *new], [*names, *made])
 
 
+def _matrix(at: np.ndarray | None, size: int, value: np.ndarray, null: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (value.reshape(-1, size), null.reshape(-1, size)) if at is None else (value[at], null[at])
+
+
 _KINDS = {"array<double>": pa.list_(pa.float64()), "string": pa.string()}
 
 BLOCK = "n bigint, block binary"

@@ -85,14 +85,31 @@ def profiles(panel: DataFrame, days: Column | int) -> DataFrame:
     One aggregation of the sparse rows: days without a row are zeros, so their part of the squared
     deviation is ``(days - rows) * mean^2``.  ``days`` is a number or a scalar-subquery column.
     """
+    return _shaped(panel.groupBy("sku_id").agg(*_sums(F.lit(True))), days)
+
+
+def profiled_series(panel: DataFrame, axis: Axis, days: int) -> DataFrame:
+    """``profiles`` over the first ``days`` days of the axis, with ``idx, qty`` of ``series`` over all: one aggregation.
+    Items without a row in the first days have no mean; rows of no item are left out."""
+    first = F.coalesce(F.col("day") < F.date_add(F.lit(axis.first), days), F.lit(False))
+    sums = panel.where(F.col("sku_id").isNotNull()).groupBy("sku_id").agg(*_sums(first), _points(axis).alias("_p"))
+    return _shaped(sums, days, F.col("_p.i").alias("idx"), F.col("_p.q").alias("qty"))
+
+
+def _sums(counted: Column) -> list[Column]:
+    qty = F.when(counted, F.col("qty"))
+    return [
+        F.sum(qty).alias("total"),
+        F.count_if(counted).alias("_rows"),
+        F.avg(qty).alias("_avg"),
+        F.var_pop(qty).alias("_var"),
+        F.count_if(qty > 0).alias("_sold"),
+    ]
+
+
+def _shaped(sums: DataFrame, days: Column | int, *more: Column) -> DataFrame:
     n = (days if isinstance(days, Column) else F.lit(days)).cast("double")
-    sums = panel.groupBy("sku_id").agg(
-        F.sum("qty").alias("total"),
-        F.count(F.lit(1)).alias("_rows"),
-        F.avg("qty").alias("_avg"),
-        F.var_pop("qty").alias("_var"),
-        F.count_if(F.col("qty") > 0).alias("_sold"),
-    ).withColumn("n_days", n)
+    sums = sums.withColumn("n_days", n)
     mean = F.col("total") / F.col("n_days")
     off = F.col("_avg") - mean
     squares = F.col("_rows") * (F.col("_var") + off * off) + (F.col("n_days") - F.col("_rows")) * mean * mean
@@ -100,13 +117,14 @@ def profiles(panel: DataFrame, days: Column | int) -> DataFrame:
         "sku_id", "total", "n_days",
         mean.alias("mean"),
         F.sqrt(squares / F.col("n_days")).alias("std"),
-        (F.lit(1.0) - F.col("_sold") / F.col("n_days")).alias("zero_ratio"),
+        (F.lit(1.0) - F.col("_sold") / F.col("n_days")).alias("zero_ratio"), *more,
     )
+    later = shaped.columns[6:]
     return shaped.select(
-        "*",
+        *shaped.columns[:6],
         (F.col("zero_ratio") > INTERMITTENT_SHARE).alias("intermittent"),
         variability(F.col("mean"), F.col("std"), F.col("zero_ratio")).alias("variability"),
-        (F.col("total") / F.greatest(F.lit(1.0), F.col("n_days"))).alias("daily_rate"),
+        (F.col("total") / F.greatest(F.lit(1.0), F.col("n_days"))).alias("daily_rate"), *later,
     )
 
 
@@ -147,11 +165,14 @@ def series(panel: DataFrame, axis: Axis) -> DataFrame:
 
     Arrays hold at most one entry per axis day, whatever the number of order lines.
     """
-    point = F.struct(F.datediff("day", F.lit(axis.first)).alias("i"), F.col("qty").alias("q"))
-    packed = panel.groupBy("sku_id").agg(F.sort_array(F.collect_list(point)).alias("_p"))
+    packed = panel.groupBy("sku_id").agg(_points(axis).alias("_p"))
     return packed.select("sku_id", F.col("_p.i").alias("idx"), F.col("_p.q").alias("qty"))
 
 
+def _points(axis: Axis) -> Column:
+    return F.sort_array(F.collect_list(F.struct(F.datediff("day", F.lit(axis.first)).alias("i"), F.col("qty").alias("q"))))
+
+
 def hourly_grid(orders: DataFrame, low: int = 8, high: int = 19) -> DataFrame:
     """``(day, hour, qty)``: business hours ``low .. high-1`` of the days that have orders, 0 where none."""
     hours = kept(orders).groupBy(F.to_date("ts").alias("day"), F.hour("ts").alias("hour")).agg(

@@ -196,3 +196,29 @@ def test_packed_replay_is_the_daily_replay(spark, monkeypatch):
     assert held.rows().where(F.datediff("day", F.lit(DAY0)) != F.col("i")).count() == 0
     got = {(r.sku_id, r.day): r.demand for r in daily.collect()}
     assert got["s0", DAY0 + timedelta(days=3)] == 5.0 and sum(v for (k, _), v in got.items() if k == "s0") == 8.0
+
+
+def test_profiles_and_series_of_one_aggregation_equal_the_two(spark):
+    rng = np.random.default_rng(8)
+    lines = [(f"s{j}" if j < 9 else None, DAY0 + timedelta(days=int(d)), int(q)) for j, d, q in zip(rng.integers(0, 10, 400), rng.integers(0, 60, 400), rng.integers(0, 9, 400))]
+    lines += [("s1", None, 4), ("late", DAY0 + timedelta(days=50), 2), ("unknown", None, 1), ("empty", DAY0, None)]
+    orders = spark.createDataFrame([(k, d, q, "shipped") for k, d, q in lines], "sku_id string, ts date, quantity int, status string")
+    axis, panel = dm.Axis(DAY0, DAY0 + timedelta(days=59), 60), dm.item_day_demand(orders)
+    for days in (60, 40):
+        apart = dm.profiles(panel.where(F.col("day") < F.date_add(F.lit(DAY0), days)), days).where("mean > 0").join(dm.series(panel, axis), "sku_id")
+        both = dm.profiled_series(panel, axis, days).where("mean > 0")
+        assert both.columns == apart.columns and plan_of(both).count("Exchange") < plan_of(apart).count("Exchange")
+        want, got = ({r.sku_id: r for r in df.collect()} for df in (apart, both))
+        assert want.keys() == got.keys() and ("late" in got) == (days == 60) and "s1" in got
+        for k, row in want.items():
+            assert [got[k][n] for n in ("total", "idx", "qty", "intermittent")] == [row[n] for n in ("total", "idx", "qty", "intermittent")]
+            assert [got[k][n] for n in ("mean", "std", "zero_ratio", "variability", "daily_rate")] == pytest.approx(
+                [row[n] for n in ("mean", "std", "zero_ratio", "variability", "daily_rate")], abs=1e-12)
+
+
+def test_groups_of_one_size_and_of_many_give_the_same(spark):
+    y, equal = series_of(spark, items=4)
+    equal = equal.where("i < 40")
+    mixed = equal.unionByName(spark.createDataFrame([("short", i, 1.0) for i in range(17)], "key string, i bigint, value double"))
+    alone, among = (sorted_rows(se.seasonal_residuals(s.repartition(1), 7).where("key <> 'short'")) for s in (equal, mixed))
+    assert alone == among and len(alone) == 160
